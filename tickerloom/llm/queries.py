@@ -6,15 +6,26 @@ Every query reads whole tables; the thin functions below only pick and derive th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickerloom.llm import exact_dedup, mixing
-from tickerloom.llm.common import documents
+from tickerloom.llm import exact_dedup, mixing, packing, quality_qda
+from tickerloom.llm.common import documents, labels
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(documents(spark, sf_dir))
+    return pieces.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_qda.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scores.select("doc_id", (~quality_qda.train_rows()).alias("held_out"), "score", (F.col("score") >= quality_qda.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.copies(documents(spark, sf_dir))
     return plan.selectExpr("doc_id", "size", "source", "source_size", "target", "copies", "size * copies AS taken")
@@ -22,6 +33,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
+    "op9_quality_qda": op9_quality_qda,
     "op10_mixing": op10_mixing,
 }
 
