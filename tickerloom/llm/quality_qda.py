@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,13 @@ FEATURES = (
     "plain_words",
     "dup_lines",
     "line_words",
+    "echoes",
 )
 #: Shrinkage of a class covariance towards the pooled one, then towards the identity.
 TO_POOLED = 0.2
 TO_IDENTITY = 0.05
+#: Statistics of few words say little: a text of n words moves n / (n + DOUBT_WORDS) of the way from the average text.
+DOUBT_WORDS = 8.0
 THRESHOLD = 0.3
 
 _ALPHA = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -77,6 +81,7 @@ def text_statistics(raw: bytes) -> list[float]:
         float(plain / n),
         float(np.sqrt(1.0 - len(set(lines)) / len(lines))),
         float(np.log1p(n / len(lines))),
+        float(np.sqrt(sum(map(eq, words, words[1:])) / n)),
     ]
 
 
@@ -112,7 +117,8 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.center is None:
             return np.full(len(x), self.prior)
-        z = (x - self.center) / self.scale
+        n = np.expm1(x[:, :1])
+        z = (x - self.center) / self.scale * (n / (n + DOUBT_WORDS))
         far = [((z - m) @ f.T) ** 2 for m, f in zip(self.means, self.factors, strict=True)]
         gap = 0.5 * (far[0].sum(axis=1) - far[1].sum(axis=1)) + self.offset
         return 1.0 / (1.0 + np.exp(-np.clip(gap, -60, 60)))

@@ -8,10 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import exact_dedup, mixing, packing, quality_qda
+from tickerloom.llm import exact_dedup, mixing, packing, quality_qda, quality_rules
 from tickerloom.llm.common import documents, labels
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality_rules.ledger(documents(spark, sf_dir))
+    return book.withColumns({"base_failed": ~quality_rules.passes("base"), "kept": quality_rules.passes()})
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -32,6 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_quality_qda": op9_quality_qda,
@@ -39,6 +45,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_quality_rules": quality_rules.ORACLE,
     "op7_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
