@@ -112,7 +112,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int
         most = -(-most // chunk)
         chunks = F.ceil(F.col("left") / F.lit(chunk))
         part = F.pmod(F.xxhash64(F.col("item.mark"), F.lit(depth)), chunks)
-        grouped = level.withColumn("left", chunks).withColumn("part", part).groupBy(*facts, "left", "part").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        grouped = level.withColumns({"left": chunks, "part": part}).groupBy(*facts, "left", "part").agg(F.array_sort(F.collect_list("item")).alias("items"))
         kind = grouped.schema["items"].dataType
         start = F.struct(F.lit(None).cast(kind.elementType).alias("carry"), F.array().cast(kind).alias("done"))
         folded = grouped.select(*facts, "left", F.aggregate("items", start, _meet).alias("out"))
