@@ -8,10 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import exact_dedup, mixing, packing, quality_qda, quality_rules
+from tickerloom.llm import exact_dedup, langid, mixing, packing, quality_qda, quality_rules
 from tickerloom.llm.common import documents, labels
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.languages(documents(spark, sf_dir))
+    return found.select("doc_id", (~langid.train_rows()).alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(documents(spark, sf_dir))
     return book.withColumns({"base_failed": ~quality_rules.passes("base"), "kept": quality_rules.passes()})
@@ -37,6 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op4_quality_rules": op4_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
