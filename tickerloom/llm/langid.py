@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 10_000
+SAMPLE = 6_000
 MAX_WORDS = 20_000
 MAX_GRAMS = 20_000
 MAX_N = 4

@@ -3,10 +3,12 @@
 A source's documents all get the same expected number of copies, target / source size, at most MAX_COPIES. The whole
 part is certain. The fractional part p is rounded by dependent pairs: of two documents with fractional p, word mass
 moves from one to the other until one of them is 0 or 1, in the direction drawn so that each p keeps its expectation
-and p * size keeps its sum. The last fractional document of a source goes to the nearer whole number, so a source's
-taken words differ from the target by at most half a document's size.
+and p * size keeps its sum. A source's heavy documents (fewer than HEAVY) are rounded first, the last of them by a draw
+whose gain or loss is spread over the light documents' p; the last light one goes to the nearer whole number. So a
+source's taken words differ from the target by at most half a light document, unless the light ones can't make up for
+a heavy one.
 
-The reduction tree: documents of a source fall by hash into chunks of about CHUNK rows, each chunk is folded from the
+The reduction tree: light documents of a source fall by hash into chunks of about CHUNK rows, each chunk is folded from the
 largest document to the smallest and leaves at most one fractional document; these residuals are the next level's
 rows, until one is left in a source. Chunks are bounded however large a source is.
 
@@ -28,6 +30,8 @@ from tickerloom.llm.common import fresh, unit, word_count, written
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 CHUNK = 256
+#: A document of more than 1 / HEAVY of its source's words is heavy; a source has fewer than HEAVY of them.
+HEAVY = 64
 SEED = 20240131
 
 
@@ -93,36 +97,46 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int
     )
     fixed = (F.col("p") <= 0) | (F.col("size") == 0)
     certain = rows.where(fixed).select("source", "doc_id", "nth", "size", "source_size", "target", F.col("base").alias("copies"))
-
-    item = F.struct(
-        (-F.col("size")).alias("neg_size"),
-        F.xxhash64("doc_id", "nth", "size", F.lit(SEED)).alias("mark"),
-        "doc_id",
-        "nth",
-        "size",
-        "p",
-    ).alias("item")
     facts = ["source", "source_size", "target", "base"]
-    level = rows.where(~fixed).select(*facts, F.col("source_rows").alias("left"), item)
+    item = F.struct((-F.col("size")).alias("neg_size"), F.xxhash64("doc_id", "nth", "size", F.lit(SEED)).alias("mark"), "doc_id", "nth", "size", "p").alias("item")
+    loose = rows.where(~fixed).select(*facts, F.col("source_rows").alias("left"), (F.col("size") * HEAVY > F.col("source_size")).alias("heavy"), item)
+
+    folded = written(_folded(loose.where("heavy"), facts), "mix-heavy")
+    settled = certain.unionByName(_as_rows(folded.select(*facts, F.explode("done").alias("item")), F.col("item.p").cast("long")))
+    last = folded.where(F.col("carry").isNotNull()).select(*facts, F.col("carry").alias("item"))
+    drawn = (unit(F.col("item.mark"), F.lit(SEED + 1)) < F.col("item.p")).cast("long")
+    settled = settled.unionByName(_as_rows(last, drawn))
+
+    # What the heavy documents' draw gave or took is spread over the light documents' p, whose words are light_size.
+    heavy = loose.where("heavy").groupBy("source").agg(F.sum("item.size").alias("heavy_size"))
+    owed = last.select("source", (F.col("item.size") * (drawn - F.col("item.p"))).alias("owed"))
+    owed = owed.join(heavy.withColumnRenamed("source", "h_source"), F.col("source").eqNullSafe(F.col("h_source"))).select(F.col("source").alias("o_source"), "owed", "heavy_size")
+    light = loose.where(~F.col("heavy")).join(owed, F.col("source").eqNullSafe(F.col("o_source")), "left")
+    shift = F.coalesce(F.col("owed") / (F.col("source_size") - F.col("heavy_size")), F.lit(0.0))
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("item.p") - shift))
+    level = light.select(*facts, "left", F.col("item").withField("p", moved).alias("item"))
+
     most = sizes.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-    settled = certain
     depth = 0
     while True:
         depth += 1
         most = -(-most // chunk)
         chunks = F.ceil(F.col("left") / F.lit(chunk))
         part = F.pmod(F.xxhash64(F.col("item.mark"), F.lit(depth)), chunks)
-        grouped = level.withColumns({"left": chunks, "part": part}).groupBy(*facts, "left", "part").agg(F.array_sort(F.collect_list("item")).alias("items"))
-        kind = grouped.schema["items"].dataType
-        start = F.struct(F.lit(None).cast(kind.elementType).alias("carry"), F.array().cast(kind).alias("done"))
-        folded = grouped.select(*facts, "left", F.aggregate("items", start, _meet).alias("out"))
-        folded = written(folded.select(*facts, "left", "out.carry", "out.done"), f"mix-level{depth}")
-        done = folded.select(*facts, F.explode("done").alias("item"))
-        settled = settled.unionByName(_as_rows(done, F.col("item.p").cast("long")))
+        folded = written(_folded(level.withColumns({"left": chunks, "part": part}), [*facts, "left", "part"]).drop("part"), f"mix-level{depth}")
+        settled = settled.unionByName(_as_rows(folded.select(*facts, F.explode("done").alias("item")), F.col("item.p").cast("long")))
         level = folded.where(F.col("carry").isNotNull()).select(*facts, "left", F.col("carry").alias("item"))
         if most <= 1:
             break
-    return settled.unionByName(_as_rows(level, F.when(F.col("item.p") >= 0.5, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
+    return settled.unionByName(_as_rows(level, (F.col("item.p") >= 0.5).cast("long")))
+
+
+def _folded(level: DataFrame, by: list[str]) -> DataFrame:
+    """by, carry and done: the fold of each group's items, from the largest document to the smallest."""
+    grouped = level.groupBy(*by).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    kind = grouped.schema["items"].dataType
+    start = F.struct(F.lit(None).cast(kind.elementType).alias("carry"), F.array().cast(kind).alias("done"))
+    return grouped.select(*by, F.aggregate("items", start, _meet).alias("out")).select(*by, "out.carry", "out.done")
 
 
 def _as_rows(df: DataFrame, extra: Column) -> DataFrame:
