@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import exact_dedup, langid, mixing, packing, quality_qda, quality_rules
+from tickerloom.llm import exact_dedup, langid, mixing, packing, quality_qda, quality_rules, url_reputation
 from tickerloom.llm.common import documents, labels
 
 
@@ -17,6 +17,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.train_rows()).alias("held_out"), "lang_pred", "score")
 
 
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_reputation.judged_pages(pages, url_reputation.quality_outcomes(labels(spark, sf_dir)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(documents(spark, sf_dir))
     return book.withColumns({"base_failed": ~quality_rules.passes("base"), "kept": quality_rules.passes()})
@@ -43,6 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op3_url_reputation": op3_url_reputation,
     "op4_quality_rules": op4_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
@@ -51,6 +57,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_url_reputation": url_reputation.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
