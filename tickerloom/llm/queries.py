@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import exact_dedup, langid, mixing, packing, quality_qda, quality_rules, url_reputation
+from tickerloom.llm import exact_dedup, langid, mixing, packing, quality_qda, quality_rules, toxicity, url_reputation
 from tickerloom.llm.common import documents, labels
 
 
@@ -27,6 +27,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.withColumns({"base_failed": ~quality_rules.passes("base"), "kept": quality_rules.passes()})
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scores.select("doc_id", (~toxicity.train_rows()).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op3_url_reputation": op3_url_reputation,
     "op4_quality_rules": op4_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_quality_qda": op9_quality_qda,
