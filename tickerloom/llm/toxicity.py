@@ -87,8 +87,9 @@ class Trie:
         stack = [(self.root[word[0]], first)]
         while stack:
             node, row = stack.pop()
-            if _END in node and row[-1] <= most and (best is None or row[-1] < best[0]):
-                best = (row[-1], node[_END])
+            whole = node.get(_END, node.get(_STEM) if row[0] >= 5 else None)
+            if whole is not None and row[-1] <= most and (best is None or row[-1] < best[0]):
+                best = (row[-1], whole)
             # A misspelled stem of six letters or more (row[0] is its length): one edit from some beginning of the word.
             if _STEM in node and len(word) >= 7 and row[0] >= 6 and min(row) <= 1 and (best is None or min(row) < best[0]):
                 best = (min(row), node[_STEM])
@@ -107,6 +108,7 @@ class Trie:
 class Model:
     terms: list[str] = field(default_factory=list)
     reporting: frozenset[str] = frozenset()
+    exact_only: frozenset[int] = frozenset()
     weights: np.ndarray | None = None  # bias last
     prior: float = 0.0
 
@@ -119,15 +121,16 @@ class Model:
 class Matcher:
     """Features of texts under a model; remembers words' matches, at most HELD of them."""
 
-    def __init__(self, terms: list[str], reporting: frozenset[str]) -> None:
-        self.trie, self.reporting, self.known = Trie(terms), reporting, {}
+    def __init__(self, terms: list[str], reporting: frozenset[str] = frozenset(), exact_only: frozenset[int] = frozenset()) -> None:
+        self.trie, self.reporting, self.exact_only, self.known = Trie(terms), reporting, exact_only, {}
 
     def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(place, edits, term) of every match."""
         if len(self.known) > HELD:
             self.known.clear()
         for w in set(words).difference(self.known):
-            self.known[w] = self.trie.match(w)
+            hit = self.trie.match(w)
+            self.known[w] = None if hit and hit[0] and hit[1] in self.exact_only else hit
         found = {w for w in set(words) if self.known[w] is not None}
         return [(i, *self.known[w]) for i, w in enumerate(words) if w in found] if found else []
 
@@ -238,17 +241,17 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     strong = seen.where((F.col("a") >= least) & (lift >= LEAST_LIFT)).withColumn("z", F.log(lift) * F.sqrt("a"))
     found = strong.orderBy(F.col("z").desc(), F.length("term").desc(), "term").limit(10 * MAX_TERMS).collect()
     terms = distinct_terms([(r["term"], r["a"]) for r in found])
-    reporting = reporting_words(rows, terms)
+    reporting, exact_only = surroundings(rows, terms, n1, n0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms, reporting)
+        matcher = Matcher(terms, reporting, exact_only)
         for b in batches:
             yield _batch({"label": (b.column(0).to_pylist(), pa.int32()), "x": ([matcher.features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))})
 
     table = rows.mapInArrow(measure, "label int, x array<double>").toArrow()  # at most the sampled rows
     y = np.array(table["label"].to_pylist(), dtype=float)
     x = np.array(table["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return Model(terms, reporting, logistic(x, y), n1 / len(marks))
+    return Model(terms, reporting, exact_only, logistic(x, y), n1 / len(marks))
 
 
 def distinct_terms(ranked: list[tuple[str, int]]) -> list[str]:
@@ -267,23 +270,32 @@ def distinct_terms(ranked: list[tuple[str, int]]) -> list[str]:
     return list(chosen)
 
 
-def reporting_words(rows: DataFrame, terms: list[str]) -> frozenset[str]:
-    """Words beside matches in texts that are not toxic at least five times as often as in those that are."""
+def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[frozenset[str], frozenset[int]]:
+    """Reporting words and the numbers of the terms to be matched exactly only.
+
+    The former stand beside matches in texts that are not toxic at least five times as often as in those that are; the
+    latter have misspelled matches in texts that are not toxic, without a clear lift in those that are.
+    """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, held = Matcher(terms, frozenset()), Counter()
+        matcher, held = Matcher(terms), Counter()
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = tokens(text.as_py())
-                beside = {words[k] for i, _, _ in matcher.hits(words) for k in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1))}
-                held.update((w, label) for w in beside if matcher.known.get(w) is None)
-        yield _batch({"word": ([k[0] for k in held], pa.string()), "label": ([k[1] for k in held], pa.int32()), "n": (list(held.values()), pa.int64())})
-
-    seen = rows.mapInArrow(near, "word string, label int, n bigint").groupBy("word").agg(
+                hits = matcher.hits(words)
+                exact = {i for i, edits, _ in hits if not edits}
+                beside = {words[k] for i in exact for k in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1))}
+                held.update((w, -1, label) for w in beside if matcher.known.get(w) is None)
+                held.update(("", term, label) for term in {t for _, edits, t in hits if edits})
+        keys = list(held)
+        yield _batch({"word": ([k[0] for k in keys], pa.string()), "term": ([k[1] for k in keys], pa.int32()), "label": ([k[2] for k in keys], pa.int32()), "n": (list(held.values()), pa.int64())})
+
+    seen = rows.mapInArrow(near, "word string, term int, label int, n bigint").groupBy("word", "term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")
     )
-    strong = seen.where((F.col("b") >= 10) & (F.col("b") >= 5 * (F.col("a") + 1))).orderBy(F.col("b").desc(), "word").limit(MAX_TERMS)
-    return frozenset(r["word"] for r in strong.collect())
+    said = seen.where((F.col("term") < 0) & (F.col("b") >= 10) & (F.col("b") >= 5 * (F.col("a") + 1))).orderBy(F.col("b").desc(), "word").limit(MAX_TERMS)
+    loose = seen.where((F.col("term") >= 0) & (F.col("b") >= 2) & (F.col("a") / n1 < LEAST_LIFT * F.col("b") / n0))  # at most MAX_TERMS
+    return frozenset(r["word"] for r in said.collect()), frozenset(r["term"] for r in loose.collect())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -309,7 +321,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of docs."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms, model.reporting)
+        matcher = Matcher(model.terms, model.reporting, model.exact_only)
         for b in batches:
             x = np.array([matcher.features(t.as_py() or "") for t in b.column(1)], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
