@@ -150,10 +150,9 @@ class Matcher:
                 said = any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
             if said:
                 quoted += 1
-            elif edits:
-                wrong += 1
-            else:
+            else:  # misspelled terms count like others and once more by themselves
                 direct += 1
+                wrong += edits > 0
                 kinds.add(term)
         return [
             float(direct > 0),
@@ -298,16 +297,14 @@ def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[f
     return frozenset(r["word"] for r in said.collect()), frozenset(r["term"] for r in loose.collect())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
     """Ridge logistic weights by Newton's method, bias last and free of the penalty.
 
-    The penalty draws the weight of misspelled matches towards that of direct ones, as few texts show them.
+    What misspelled matches weigh beside direct ones is penalised more, as few texts show them.
     """
     z = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
-    tie = np.zeros((1, z.shape[1]))
-    tie[0, [FEATURES.index("misspelled"), FEATURES.index("any"), FEATURES.index("direct")]] = 1.0, -0.5, -1.0
-    penalty += 5 * ridge * tie.T @ tie
+    penalty[FEATURES.index("misspelled"), FEATURES.index("misspelled")] = 20 * ridge
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty + 1e-9 * np.eye(len(w)), z.T @ (y - p) - penalty @ w)
