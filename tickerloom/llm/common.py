@@ -65,3 +65,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+#: Rows of a few numbers that may be broadcast after counting them; more than that joins by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; df should be narrow and cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

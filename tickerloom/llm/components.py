@@ -1,0 +1,38 @@
+"""Connected components of a link table, by alternating large-star and small-star steps over joins and groupings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tickerloom.llm.common import written
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours are linked to the least of the node and its neighbours."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours are linked to the least of them; edges run from a down to b."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") > F.col("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    across = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return across.union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """node and root (the least node reachable) of every node of edges (a, b) other than the roots themselves.
+
+    Each round is written to the shared folder; rounds grow with the logarithm of the longest path.
+    """
+    state = (-1, 0)
+    for turn in range(most_rounds):
+        edges = written(_small_star(_large_star(edges)), f"components{turn}")
+        row = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
+        if (row[0], row[1]) == state:
+            break
+        state = (row[0], row[1])
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import exact_dedup, langid, mixing, packing, quality_qda, quality_rules, toxicity, url_reputation
+from tickerloom.llm import exact_dedup, langid, minhash, mixing, packing, quality_qda, quality_rules, toxicity, url_reputation
 from tickerloom.llm.common import documents, labels
 
 
@@ -27,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.withColumns({"base_failed": ~quality_rules.passes("base"), "kept": quality_rules.passes()})
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
     return scores.select("doc_id", (~toxicity.train_rows()).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op3_url_reputation": op3_url_reputation,
     "op4_quality_rules": op4_quality_rules,
+    "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
@@ -65,6 +70,19 @@ QUERIES = {
 ORACLES = {
     "op3_url_reputation": url_reputation.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op5_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g FROM (
+  SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS to_id FROM w UNION SELECT r.doc_id, sides.b FROM reach r JOIN sides ON sides.a = r.to_id)
+SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(to_id) AS component_id, w.doc_id = min(to_id) AS kept
+FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
+""",
     "op7_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
