@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import exact_dedup, langid, minhash, mixing, packing, quality_qda, quality_rules, toxicity, url_reputation
+import corpus_pipeline
+from tickerloom.llm import exact_dedup, langid, minhash, mixing, packing, quality_qda, quality_rules, toxicity, url_reputation, warc
 from tickerloom.llm.common import documents, labels
 
 
@@ -17,6 +18,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.train_rows()).alias("held_out"), "lang_pred", "score")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_reputation.judged_pages(pages, url_reputation.quality_outcomes(labels(spark, sf_dir)))
@@ -57,6 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_warc": op2_warc,
     "op3_url_reputation": op3_url_reputation,
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash": op5_minhash,
@@ -65,9 +71,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_qda": op9_quality_qda,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op2_warc": warc.ORACLE,
     "op3_url_reputation": url_reputation.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op5_minhash": r"""
