@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import lower_ascii
+from tickerloom.llm.common import lower_ascii, written
 
 #: verdict, host, path: a rule fits its host and all subdomains where the path starts with its path; the longest wins.
 RULES = (
@@ -79,6 +79,7 @@ def host_reputation(judged: DataFrame) -> DataFrame:
     """
     hosts = judged.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+    hosts = written(hosts, "url-hosts")  # read again at every level; a row per host
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mu"))
