@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickerloom.plans import sector_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for module in (sector_queries,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
