@@ -14,7 +14,8 @@ is one shingle; a text without words has an empty set and is linked with nothing
    the two texts' full sets. Verified links give components.
 4. Buckets whose classes still lie in several components are finished exactly: classes outside the bucket's largest
    component are a query set against all of its classes, in blocks of BLOCK. A pair is looked at in its first common
-   band only, and never within one component. What passes the estimate is verified, and components are final.
+   band only, and never within one component. What passes the estimate is verified block by block, and components
+   are final.
 
 So no pairs within a group are listed, and no link between components is left out.
 
@@ -25,7 +26,7 @@ filtering keeps them all, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -150,11 +151,20 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return wide.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).mapInArrow(pick, "a bigint, b bigint")
 
 
+def _texts(ids: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """id and text of the documents named in ids; written to the shared folder."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text")).join(small_side(ids.distinct()), "id", "left_semi")
+    return written(texts.dropDuplicates(["id"]), f"{label}-texts")
+
+
+def _linked(left: np.ndarray, right: np.ndarray) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(left) + len(right) - both)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """Of pairs (a, b) of doc_ids those linked on full sets; written to the shared folder."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text")).join(small_side(needed), "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id"]), f"{label}-texts")
+    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, label)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -169,11 +179,7 @@ def verified(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
 
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                left, right = of(x, batch.column(2)[i]), of(y, batch.column(3)[i])
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(left) + len(right) - both))
+            keep = [_linked(of(x, batch.column(2)[i]), of(y, batch.column(3)[i])) for i, (x, y) in enumerate(zip(a, b, strict=True))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sides = [texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
@@ -182,7 +188,10 @@ def verified(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Promising pairs between components, from buckets that hold several; members: band, key, class_id."""
+    """Promising pairs between components, from buckets that hold several; members: band, key, class_id.
+
+    A row per block and class in such a pair: block, id, root and partners, the ids it is to be verified with there.
+    """
     rows = members.join(roots, F.col("class_id") == F.col("node"), "left").select("band", "key", "class_id", F.coalesce("root", "class_id").alias("root"))
     shares = rows.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("c"))
     buckets = shares.groupBy("band", "key").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most")).where("roots > 1")
@@ -196,41 +205,83 @@ def _unsettled(members: DataFrame, classes: DataFrame, roots: DataFrame) -> Data
     blocks = queries.select(columns).union(targets.select(columns)).repartition("band", "key", "q", "t").sortWithinPartitions("band", "key", "q", "t", "asked")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
+        import xxhash
+
         asked = table["asked"].to_numpy()
         ids, roots_, asks, n = (table[c].to_numpy() for c in ("class_id", "root", "asks", "n"))
-        band = table["band"][0].as_py()
+        block = np.array([table[c][0].as_py() for c in ("band", "key", "q", "t")], dtype=np.int64)
         registers = _registers(table["bands"].combine_chunks())
         q, t = np.flatnonzero(~asked), np.flatnonzero(asked)
-        found: list[np.ndarray] = []
+        partners: dict[int, list[int]] = {}
         for i in q:
-            fits = (roots_[t] != roots_[i]) & _close_sizes(n[t], n[i]) & (~asks[t] | (ids[i] < ids[t]))
-            js = t[fits]
+            js = t[(roots_[t] != roots_[i]) & _close_sizes(n[t], n[i]) & (~asks[t] | (ids[i] < ids[t]))]
             if len(js):
                 same = registers[js] == registers[i]
-                js = js[same.reshape(len(js), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                js = js[same.reshape(len(js), BANDS, ROWS).all(axis=2).argmax(axis=1) == block[0]]
             if len(js):
                 js = js[estimate(registers[js], registers[i], n[js], np.full(len(js), n[i])) >= PERCENT / 100 - MARGIN]
-                found.append(np.stack([np.full(len(js), ids[i]), ids[js]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+            if len(js):
+                partners.setdefault(int(ids[i]), []).extend(ids[js].tolist())
+                for j in ids[js].tolist():
+                    partners.setdefault(j, [])
+        root_of = dict(zip(ids.tolist(), roots_.tolist(), strict=True))
+        name = int(np.uint64(xxhash.xxh3_64_intdigest(block.tobytes())).astype(np.int64))
+        columns = [[name] * len(partners), list(partners), [root_of[i] for i in partners]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(list(partners.values()), pa.list_(pa.int64()))], ["block", "id", "root", "partners"])
+
+    return blocks.mapInArrow(_by_group(compare, ["band", "key", "q", "t"]), "block bigint, id bigint, root bigint, partners array<bigint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups rows that follow one another; a group is at most about two blocks."""
+
+def _by_group(run: Callable[[pa.Table], pa.RecordBatch], by: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls run for rows that follow one another with equal values in by; a group is about two blocks at most."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None and rest.num_rows else table
-            keys = np.stack([table[c].to_numpy() for c in ("band", "key", "q", "t")])
-            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            keys = np.stack([table[c].to_numpy() for c in by])
             start = 0
-            for end in ends:
-                yield compare(table.slice(start, end - start))
+            for end in np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1:
+                yield run(table.slice(start, end - start))
                 start = end
             rest = table.slice(start)
         if rest is not None and rest.num_rows:
-            yield compare(rest)
+            yield run(rest)
+
+    return grouped
+
+
+def verified_blocks(members: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """Links (a, b) between components, verified on full sets; written to the shared folder.
+
+    Every block gets its members' texts once, however many pairs they are in. Of a block's links those are kept that
+    join components not yet joined in it: fewer than its members, and the same components in the end.
+    """
+    texts = _texts(members.select("id"), docs, label)
+    wide = members.join(texts, "id").select("block", "id", "root", "partners", "text").repartition("block").sortWithinPartitions("block")
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        ids, roots = table["id"].to_pylist(), table["root"].to_pylist()
+        root_of, above = dict(zip(ids, roots, strict=True)), {r: r for r in roots}
+        sets = {i: shingles(t.as_py() or b"") for i, t in zip(ids, table["text"], strict=True)}
+
+        def top(r: int) -> int:
+            while above[r] != r:
+                above[r] = above[above[r]]
+                r = above[r]
+            return r
+
+        links: list[tuple[int, int]] = []
+        for i, others in zip(ids, table["partners"].to_pylist(), strict=True):
+            for j in others:
+                x, y = top(root_of[i]), top(root_of[j])
+                if x != y and _linked(sets[i], sets[j]):
+                    above[x] = y
+                    links.append((i, j))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    return blocks.mapInArrow(run, "a bigint, b bigint")
+    return written(wide.mapInArrow(_by_group(settle, ["block"]), "a bigint, b bigint"), f"{label}-links")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -251,7 +302,7 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     more = written(_unsettled(members.select("band", "key", "class_id"), classes, roots), "minhash-unsettled")
     if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more, docs, "minhash-unsettled")))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified_blocks(more, docs, "minhash-unsettled")))
 
     ids = classes.select("n", "mark", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").select("n", "mark", F.coalesce("root", "class_id").alias("component_id"))
     joined = signed.select("doc_id", "n", "mark").join(ids, ["n", "mark"], "left")
