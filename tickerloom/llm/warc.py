@@ -40,31 +40,45 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts]))
 
 
-def decoded(text: Column) -> Column:
-    """Numeric and common named character references as characters; each kind once, &amp; last."""
-    for pattern, base in ((r"&#(\d{1,6});", 10), (r"&#[xX]([0-9a-fA-F]{1,5});", 16)):
-        codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
-        number = lambda ref, p=pattern, b=base: F.conv(F.regexp_extract(ref, p, 1), b, 16)
-        sign = lambda ref: F.decode(F.unhex(F.lpad(number(ref), 8, "0")), "UTF-32")  # noqa: E731, B023
-        swapped = F.aggregate(codes, text, lambda acc, ref: F.replace(acc, ref, sign(ref)))  # noqa: B023
-        text = F.when(text.contains("&#"), swapped).otherwise(text)
+def named(text: Column) -> Column:
+    """Common named character references as characters, &amp; last."""
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     return text
 
 
+def _numeric(text: Column, pattern: str, base: int) -> Column:
+    def sign(ref: Column) -> Column:
+        code = F.conv(F.regexp_extract(ref, pattern, 1), base, 16)
+        return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
+    return F.aggregate(codes, text, lambda acc, ref: F.replace(acc, ref, sign(ref)))
+
+
+def decoded(df: DataFrame, column: str) -> DataFrame:
+    """df with the character references in column as characters: numeric ones first, each kind once, then named ones.
+
+    A step per projection, so that a long text expression is evaluated once and not once per mention.
+    """
+    text = F.col(column)
+    for pattern, base in ((r"&#(\d{1,6});", 10), (r"&#[xX]([0-9a-fA-F]{1,5});", 16)):
+        df = df.withColumn(column, F.when(text.contains("&#"), _numeric(text, pattern, base)).otherwise(text))
+    return df.withColumn(column, named(text))
+
+
 def squeezed(text: Column) -> Column:
     """Blanks squeezed to one, lines trimmed, empty lines dropped."""
     text = F.regexp_replace(text, r"[ \t\r\f\x0B\xA0]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
-def plain_text(html: Column) -> Column:
+def without_tags(html: Column) -> Column:
+    """html without comments, dropped elements and tags; elements that begin or end lines leave a line break."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for name in DROPPED:
         text = F.regexp_replace(text, rf"(?is)<{name}\b.*?</{name}\s*>", "")
-    text = F.regexp_replace(F.regexp_replace(text, _BLOCKS, "\n"), r"<[^>]*>", "")
-    return squeezed(decoded(text))
+    return F.regexp_replace(F.regexp_replace(text, _BLOCKS, "\n"), r"<[^>]*>", "")
 
 
 def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
@@ -86,11 +100,14 @@ def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
 def derivatives(sources: DataFrame) -> DataFrame:
     """Two records per response; see the module's docstring. block is the record's content."""
     html = F.col("payload")
-    title = F.regexp_replace(squeezed(decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))), "\n", " ")
+    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
     lang = F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([A-Za-z0-9-]+)", 1)
     links = F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*\bhref=[\"']([^\"'<>\s]*)[\"']"), 1)
-    fields = F.concat(F.lit("title: "), title, F.lit("\r\nlanguage: "), lang, F.lit("\r\n"), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), decoded(x), F.lit(" L a/@href\r\n"))), ""))
-    own = sources.withColumns({"fields": fields, "words": plain_text(html)}).drop("payload")
+    own = sources.withColumns({"title": title, "lang": lang, "links": links, "words": without_tags(html)}).drop("payload")
+    own = decoded(decoded(own, "words"), "title")
+    shown = F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), named(x), F.lit(" L a/@href\r\n"))), "")
+    fields = F.concat(F.lit("title: "), F.regexp_replace(squeezed(F.col("title")), "\n", " "), F.lit("\r\nlanguage: "), "lang", F.lit("\r\n"), shown)
+    own = own.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", fields.alias("fields"), squeezed(F.col("words")).alias("words"))
     kinds = F.explode(
         F.array(
             F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.col("fields").alias("block")),
@@ -138,7 +155,7 @@ def _oracle() -> str:
         d = f"md5(concat_ws('|', {', '.join(parts)}))"
         return "'urn:uuid:' || " + " || '-' || ".join(f"substr({d}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
 
-    def named(text: str) -> str:
+    def plain(text: str) -> str:
         for name, sign in ENTITIES:
             text = f"replace({text}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
         return text
@@ -149,9 +166,9 @@ def _oracle() -> str:
     text = "regexp_replace(payload, '(?s)<!--.*?-->', '', 'g')"
     for name in DROPPED:
         text = rf"regexp_replace({text}, '(?is)<{name}\b.*?</{name}\s*>', '', 'g')"
-    text = squeeze(named(f"regexp_replace(regexp_replace({text}, '{_BLOCKS}', chr(10), 'g'), '<[^>]*>', '', 'g')"))
-    title = rf"replace({squeeze(named(r'regexp_extract(payload, $q$(?is)<title[^>]*>(.*?)</title\s*>$q$, 1)'))}, chr(10), ' ')"
-    link = named("x")
+    text = squeeze(plain(f"regexp_replace(regexp_replace({text}, '{_BLOCKS}', chr(10), 'g'), '<[^>]*>', '', 'g')"))
+    title = rf"replace({squeeze(plain(r'regexp_extract(payload, $q$(?is)<title[^>]*>(.*?)</title\s*>$q$, 1)'))}, chr(10), ' ')"
+    link = plain("x")
     return rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
 s AS (SELECT page_id, {uuid("'response'", "coalesce(page_id::VARCHAR, '')", "target_uri")} AS refers_to, target_uri, '{CRAWL_DATE}' AS date,
