@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.plans import sector_queries
+from tickerloom.plans import news_queries, sector_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (sector_queries,):
+for module in (sector_queries, news_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
