@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import small_side, written
+from tickerloom.llm.common import fresh, small_side, written
 from tickerloom.llm.components import components
 
 WIDTH = 5
@@ -313,6 +313,6 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 def near_distinct(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' own columns: the document of least doc_id of every component."""
-    gone = near_components(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    gone = written(gone, "minhash-gone")
-    return docs.join(small_side(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = written(near_components(docs).where("NOT kept").select(F.col("doc_id").alias(name)), "minhash-gone")
+    return docs.join(small_side(gone), F.col("doc_id") == F.col(name), "left_anti")

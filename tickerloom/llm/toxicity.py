@@ -146,7 +146,7 @@ class Matcher:
             near = range(max(0, place - WINDOW), min(len(words), place + WINDOW + 1))
             said = any(words[k] in self.reporting for k in near)
             if not said and marks:
-                before, after = text[spans[near[0]][0] : spans[place][0]], text[spans[place][1] : spans[near[-1]][1] + 1]
+                before, after = text[max(0, spans[near[0]][0] - 1) : spans[place][0]], text[spans[place][1] : spans[near[-1]][1] + 1]
                 said = any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
             if said:
                 quoted += 1
