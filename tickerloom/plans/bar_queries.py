@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.operators import bars as B
+from tickerloom.operators import price_action as P
 from tickerloom.operators.store import upsert
 from tickerloom.sources.views import BARS, CALENDAR, POOL, RESULTS, bars_supp, bars_type, calendar, stock_pool, tech_results
 
@@ -25,6 +26,10 @@ def _context(spark, sf):
     return B.market_context(B.bar_features(rows), B.ema(rows))
 
 
+def _back(spark, sf):
+    return P.numbered_back(P.with_ema(B.bar_features(bars_supp(spark, sf))))
+
+
 def _merged(spark, sf):
     rows = bars_type(spark, sf).select("symbol", "trade_date", "close", F.lit("old").alias("created_by"), F.lit(1).alias("version"))
     old = rows.where(F.col("trade_date") < "2024-01-20")
@@ -52,6 +57,9 @@ QUERIES = {
     "symbols_distinct": lambda spark, sf: bars_supp(spark, sf).groupBy("symbol").agg(F.max("trade_date").alias("last_date")),
     "sessions_asof": lambda spark, sf: B.sessions_asof(spark.read.parquet(f"{sf}/orders.parquet").select(F.to_date("o_orderdate").alias("day")).distinct(), calendar(spark, sf)),
     "upsert_bars": _merged,
+    "always_in": lambda spark, sf: P.always_in(_back(spark, sf)),
+    "bull_phase": lambda spark, sf: P.bull_phase(_back(spark, sf)).select("symbol", "phase", "bars_above", "since_touch", F.round("ext_pct", 6).alias("ext_pct"), F.round("ext_r", 6).alias("ext_r")),
+    "breakout": lambda spark, sf: P.breakout(_back(spark, sf)).withColumn("passes", P.passes_traders_equation(F.col("entry"), F.col("stop"), F.greatest("measured_move", F.col("entry") + 1.8 * F.greatest(F.col("entry") - F.col("stop"), F.lit(1e-9))), F.lit(0.5))),
 }
 
 _FEATURES = """f AS (SELECT *, greatest(high - low, 1e-9::DOUBLE) AS size, lag(high) OVER w AS p_high, lag(low) OVER w AS p_low,
@@ -100,3 +108,24 @@ SELECT day, max(session) AS session, arg_max(previous, session) AS previous FROM
     "upsert_bars": f"""WITH {BARS} SELECT symbol, trade_date, CASE WHEN trade_date >= DATE '2024-01-15' THEN close + 1 ELSE close END AS close, CASE WHEN trade_date < DATE '2024-01-20' THEN 'old' ELSE 'new' END AS created_by,
   CASE WHEN trade_date >= DATE '2024-01-15' THEN 2 ELSE 1 END AS version FROM bars_type""",
 }
+
+_BACK = f"""WITH RECURSIVE {BARS}, {_FEATURES}, o AS (SELECT features.*, bars_supp.open, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM features JOIN bars_supp USING (symbol, trade_date)),
+e AS (SELECT symbol, i, close AS ema FROM o WHERE i = 1 UNION ALL SELECT o.symbol, o.i, e.ema + 2 / 21::DOUBLE * (o.close - e.ema) FROM e JOIN o ON o.symbol = e.symbol AND o.i = e.i + 1),
+b AS (SELECT o.*, e.ema FROM o JOIN e USING (symbol, i))"""
+_LASTS = ", ".join(f"max({c}) FILTER (back = 1) AS {c}" for c in ("open", "high", "low", "close", "ema")) + ", bool_or(near_high) FILTER (back = 1) AS near_high"
+ORACLES |= {
+    "always_in": f"""{_BACK}, c AS (SELECT symbol, count(*) FILTER (back <= 10 AND kind = 'bull_trend') AS bull, count(*) FILTER (back <= 10 AND kind = 'bear_trend') AS bear, count(*) FILTER (back <= 10 AND close >= ema) AS above,
+  count(*) FILTER (back <= 10 AND close <= ema) AS below, count(*) FILTER (back <= 9 AND rises) AS rising, count(*) FILTER (back <= 9 AND falls) AS falling FROM b GROUP BY symbol)
+SELECT symbol, CASE WHEN bull >= bear + 2 AND above >= 8 AND rising >= 5 THEN 'long' WHEN bear >= bull + 2 AND below >= 8 AND falling >= 5 THEN 'short' ELSE 'flat' END AS always_in FROM c""",
+    "bull_phase": f"""{_BACK}, c AS (SELECT symbol, {_LASTS}, avg(high - low) FILTER (back <= 20) AS avg_range, count(*) FILTER (back <= 20 AND close > ema) AS bars_above, max(high) FILTER (back <= 20) AS high20,
+  coalesce(min(back) FILTER (low <= ema) - 1, max(back)) AS since_touch FROM b GROUP BY symbol),
+d AS (SELECT *, close / greatest(ema, 1e-9::DOUBLE) - 1 AS ext_pct, (close - ema) / greatest(avg_range, 1e-9::DOUBLE) AS ext_r, greatest(high - low, 1e-9::DOUBLE) AS size FROM c),
+x AS (SELECT *, ext_pct >= 0.08::DOUBLE OR ext_r >= 3 OR since_touch >= 8 AS far, close > open AND abs(close - open) / size >= 0.55::DOUBLE AND size >= avg_range * 1.5::DOUBLE AND near_high AND high >= high20 AS big FROM d)
+SELECT symbol, CASE WHEN big AND far AND (ext_pct >= 0.12::DOUBLE OR ext_r >= 4 OR since_touch >= 12 OR bars_above >= 18) THEN 'climax_bull' WHEN far OR bars_above >= 16 THEN 'late_bull'
+  WHEN ext_pct >= 0.03::DOUBLE OR ext_r >= 1.2::DOUBLE OR bars_above >= 10 THEN 'middle_bull' ELSE 'early_bull' END AS phase, bars_above, since_touch::INT AS since_touch, round(ext_pct, 6) AS ext_pct, round(ext_r, 6) AS ext_r FROM x""",
+    "breakout": f"""{_BACK}, c AS (SELECT symbol, {_LASTS}, max(open) FILTER (back = 2) AS p_open, max(low) FILTER (back = 2) AS p_low, max(close) FILTER (back = 2) AS p_close, max(high) FILTER (back BETWEEN 2 AND 21) AS prior_high,
+  max(high) FILTER (back <= 20) AS high20, min(low) FILTER (back <= 20) AS low20, avg(abs(close - open)) FILTER (back <= 20) AS avg_body FROM b GROUP BY symbol),
+d AS (SELECT symbol, high > prior_high AND close > open AND abs(close - open) >= greatest(avg_body * 1.2::DOUBLE, greatest(high - low, 1e-9::DOUBLE) * 0.55::DOUBLE) AND near_high AND close > ema AS is_breakout,
+  close > open AND p_close > p_open AND close >= p_close AS has_follow_through, greatest(high, prior_high) AS entry, least(low, p_low, prior_high) AS stop, prior_high + high20 - low20 AS measured_move FROM c)
+SELECT *, greatest(measured_move, entry + 1.8::DOUBLE * greatest(entry - stop, 1e-9::DOUBLE)) - entry > greatest(entry - stop, 1e-9::DOUBLE) AS passes FROM d""",
+}
