@@ -42,20 +42,20 @@ def _last(column: str, n: int = 1) -> Column:
 
 
 def always_in(bars: DataFrame) -> DataFrame:
-    """symbol, always_in: long, short or flat by the last ten bars' kinds, closes against the average and highs and lows."""
+    """symbol, always_in: long, short or neutral by the last ten bars' kinds, closes against the average and highs and lows."""
     near, pairs = F.col("back") <= 10, F.col("back") <= 9
     count = lambda c: F.count_if(near & c)
     per = bars.groupBy("symbol").agg(
         count(F.col("kind") == "bull_trend").alias("bull"),
         count(F.col("kind") == "bear_trend").alias("bear"),
         count(F.col("close") >= F.col("ema")).alias("above"),
-        count(F.col("close") <= F.col("ema")).alias("below"),
+        count(F.col("close") < F.col("ema")).alias("below"),
         F.count_if(pairs & F.col("rises")).alias("rising"),
         F.count_if(pairs & F.col("falls")).alias("falling"),
     )
     long = (F.col("bull") >= F.col("bear") + 2) & (F.col("above") >= 8) & (F.col("rising") >= 5)
     short = (F.col("bear") >= F.col("bull") + 2) & (F.col("below") >= 8) & (F.col("falling") >= 5)
-    return per.select("symbol", F.when(long, F.lit("long")).when(short, F.lit("short")).otherwise(F.lit("flat")).alias("always_in"))
+    return per.select("symbol", F.when(long, F.lit("long")).when(short, F.lit("short")).otherwise(F.lit("neutral")).alias("always_in"))
 
 
 def bull_phase(bars: DataFrame) -> DataFrame:
@@ -108,6 +108,62 @@ def breakout(bars: DataFrame) -> DataFrame:
     )
 
 
+def pivots(features: DataFrame) -> DataFrame:
+    """symbol, idx, price, kind and strength of every pivot; a bar that is both gives a high and a low.
+
+    A pivot is major if the next eight bars move away from it by two average ranges of the symbol's last twenty bars.
+    """
+    ahead = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(1, 8)
+    rows = numbered_back(features.withColumns({"next_low": F.min("low").over(ahead), "next_high": F.max("high").over(ahead)}))
+    sizes = rows.where(F.col("back") <= 20).groupBy("symbol").agg(F.avg(F.col("high") - F.col("low")).alias("size"))
+    tops = F.when(F.col("pivot_high"), F.struct(F.col("high").alias("price"), F.lit("high").alias("kind"), (F.col("high") - F.col("next_low")).alias("move")))
+    bottoms = F.when(F.col("pivot_low"), F.struct(F.col("low").alias("price"), F.lit("low").alias("kind"), (F.col("next_high") - F.col("low")).alias("move")))
+    found = rows.select("symbol", "idx", "back", F.explode(F.array_compact(F.array(tops, bottoms))).alias("p")).join(sizes, "symbol")
+    strength = F.when(F.col("p.move") >= 2 * F.col("size"), F.lit("major")).otherwise(F.lit("minor"))
+    return found.select("symbol", "idx", "back", "p.price", "p.kind", strength.alias("strength"))
+
+
+def two_legs(found: DataFrame) -> DataFrame:
+    """symbol and legs, for symbols whose last twenty bars have three pivots or more and change their kind twice or more."""
+    order = Window.partitionBy("symbol").orderBy("idx", "kind")  # a bar that is both has its high first
+    near = found.where(F.col("back") <= 20).withColumn("turn", (F.lag("kind").over(order) != F.col("kind")).cast("int"))
+    per = near.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("turn"), F.lit(0)).alias("legs"))
+    return per.where("n >= 3 AND legs >= 2").select("symbol", "legs")
+
+
+def disappointed(bars: DataFrame) -> DataFrame:
+    """symbol, failures and disappointment: trend bars of the last four that the next bar undoes at once."""
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    kind, p_open, p_close = (F.lag(c).over(w) for c in ("kind", "open", "close"))
+    up = (p_close > p_open) & (F.col("close") < F.col("open")) & (F.col("close") <= p_open)
+    down = (p_close < p_open) & (F.col("close") > F.col("open")) & (F.col("close") >= p_open)
+    rows = bars.withColumn("failed", kind.isin("bull_trend", "bear_trend") & (up | down)).where(F.col("back") <= 3)
+    return rows.groupBy("symbol").agg(F.count_if("failed").alias("failures")).withColumn("disappointment", F.col("failures") >= 2)
+
+
+def recent_extremes(found: DataFrame, bars: DataFrame) -> DataFrame:
+    """symbol, recent_high and recent_low: the last major pivot's price, else the last pivot's, else the twenty bars' extreme."""
+    def last(kind: str) -> Column:
+        of = F.col("kind") == kind
+        return F.coalesce(F.max_by("price", F.when(of & (F.col("strength") == "major"), F.col("idx"))), F.max_by("price", F.when(of, F.col("idx"))))
+
+    named = found.groupBy("symbol").agg(last("high").alias("top"), last("low").alias("bottom"))
+    span = bars.where(F.col("back") <= 20).groupBy("symbol").agg(F.max("high").alias("high20"), F.min("low").alias("low20"))
+    return span.join(named, "symbol", "left").select("symbol", F.coalesce("top", "high20").alias("recent_high"), F.coalesce("bottom", "low20").alias("recent_low"))
+
+
+def market_state(context: DataFrame, bars: DataFrame, found: DataFrame) -> DataFrame:
+    """symbol and state: bull_trend, bear_trend or trading_range; context is market_context with last_close and ema."""
+    before = bars.groupBy("symbol").agg(_last("ema", 6).alias("ema_before"), _last("ema").alias("ema_now"))
+    rows = context.join(before, "symbol").join(disappointed(bars), "symbol").join(two_legs(found), "symbol", "left")
+    calm = F.col("overlap_count") <= 8
+    bull = (F.col("last_close") > F.col("ema_now")) & (F.col("ema_now") >= F.col("ema_before")) & (F.col("bull_bars") >= F.col("bear_bars") + 3) & (F.col("bull_micro") >= 3) & calm
+    bear = (F.col("last_close") < F.col("ema_now")) & (F.col("ema_now") <= F.col("ema_before")) & (F.col("bear_bars") >= F.col("bull_bars") + 3) & (F.col("bear_micro") >= 3) & calm
+    # Confusion alone doesn't overrule a strong side; the other three do.
+    unclear = F.col("disappointment") | F.col("legs").isNotNull() | F.col("in_middle")
+    return rows.select("symbol", F.when(~unclear & bull, F.lit("bull_trend")).when(~unclear & bear, F.lit("bear_trend")).otherwise(F.lit("trading_range")).alias("state"))
+
+
 def passes_traders_equation(entry: Column, stop: Column, target: Column, probability: Column) -> Column:
     risk, reward = F.greatest(entry - stop, F.lit(TINY)), F.greatest(target - entry, F.lit(0.0))
     return (reward > 0) & (probability * reward > (1.0 - probability) * risk)

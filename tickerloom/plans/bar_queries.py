@@ -57,6 +57,11 @@ QUERIES = {
     "symbols_distinct": lambda spark, sf: bars_supp(spark, sf).groupBy("symbol").agg(F.max("trade_date").alias("last_date")),
     "sessions_asof": lambda spark, sf: B.sessions_asof(spark.read.parquet(f"{sf}/orders.parquet").select(F.to_date("o_orderdate").alias("day")).distinct(), calendar(spark, sf)),
     "upsert_bars": _merged,
+    "pivots": lambda spark, sf: P.pivots(B.bar_features(bars_supp(spark, sf))).drop("back"),
+    "two_legs": lambda spark, sf: P.two_legs(P.pivots(B.bar_features(bars_supp(spark, sf)))),
+    "disappointment": lambda spark, sf: P.disappointed(P.numbered_back(B.bar_features(bars_supp(spark, sf)))),
+    "recent_extremes": lambda spark, sf: P.recent_extremes(P.pivots(B.bar_features(bars_supp(spark, sf))), P.numbered_back(B.bar_features(bars_supp(spark, sf)))),
+    "market_state": lambda spark, sf: P.market_state(_context(spark, sf), _back(spark, sf), P.pivots(B.bar_features(bars_supp(spark, sf)))),
     "always_in": lambda spark, sf: P.always_in(_back(spark, sf)),
     "bull_phase": lambda spark, sf: P.bull_phase(_back(spark, sf)).select("symbol", "phase", "bars_above", "since_touch", F.round("ext_pct", 6).alias("ext_pct"), F.round("ext_r", 6).alias("ext_r")),
     "breakout": lambda spark, sf: P.breakout(_back(spark, sf)).withColumn("passes", P.passes_traders_equation(F.col("entry"), F.col("stop"), F.greatest("measured_move", F.col("entry") + 1.8 * F.greatest(F.col("entry") - F.col("stop"), F.lit(1e-9))), F.lit(0.5))),
@@ -115,8 +120,8 @@ b AS (SELECT o.*, e.ema FROM o JOIN e USING (symbol, i))"""
 _LASTS = ", ".join(f"max({c}) FILTER (back = 1) AS {c}" for c in ("open", "high", "low", "close", "ema")) + ", bool_or(near_high) FILTER (back = 1) AS near_high"
 ORACLES |= {
     "always_in": f"""{_BACK}, c AS (SELECT symbol, count(*) FILTER (back <= 10 AND kind = 'bull_trend') AS bull, count(*) FILTER (back <= 10 AND kind = 'bear_trend') AS bear, count(*) FILTER (back <= 10 AND close >= ema) AS above,
-  count(*) FILTER (back <= 10 AND close <= ema) AS below, count(*) FILTER (back <= 9 AND rises) AS rising, count(*) FILTER (back <= 9 AND falls) AS falling FROM b GROUP BY symbol)
-SELECT symbol, CASE WHEN bull >= bear + 2 AND above >= 8 AND rising >= 5 THEN 'long' WHEN bear >= bull + 2 AND below >= 8 AND falling >= 5 THEN 'short' ELSE 'flat' END AS always_in FROM c""",
+  count(*) FILTER (back <= 10 AND close < ema) AS below, count(*) FILTER (back <= 9 AND rises) AS rising, count(*) FILTER (back <= 9 AND falls) AS falling FROM b GROUP BY symbol)
+SELECT symbol, CASE WHEN bull >= bear + 2 AND above >= 8 AND rising >= 5 THEN 'long' WHEN bear >= bull + 2 AND below >= 8 AND falling >= 5 THEN 'short' ELSE 'neutral' END AS always_in FROM c""",
     "bull_phase": f"""{_BACK}, c AS (SELECT symbol, {_LASTS}, avg(high - low) FILTER (back <= 20) AS avg_range, count(*) FILTER (back <= 20 AND close > ema) AS bars_above, max(high) FILTER (back <= 20) AS high20,
   coalesce(min(back) FILTER (low <= ema) - 1, max(back)) AS since_touch FROM b GROUP BY symbol),
 d AS (SELECT *, close / greatest(ema, 1e-9::DOUBLE) - 1 AS ext_pct, (close - ema) / greatest(avg_range, 1e-9::DOUBLE) AS ext_r, greatest(high - low, 1e-9::DOUBLE) AS size FROM c),
@@ -129,3 +134,26 @@ d AS (SELECT symbol, high > prior_high AND close > open AND abs(close - open) >=
   close > open AND p_close > p_open AND close >= p_close AS has_follow_through, greatest(high, prior_high) AS entry, least(low, p_low, prior_high) AS stop, prior_high + high20 - low20 AS measured_move FROM c)
 SELECT *, greatest(measured_move, entry + 1.8::DOUBLE * greatest(entry - stop, 1e-9::DOUBLE)) - entry > greatest(entry - stop, 1e-9::DOUBLE) AS passes FROM d""",
 }
+
+_PIVOTS = """pv0 AS (SELECT *, min(low) OVER nx AS next_low, max(high) OVER nx AS next_high FROM b WINDOW nx AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)),
+sz AS (SELECT symbol, avg(high - low) AS size FROM b WHERE back <= 20 GROUP BY symbol),
+pv AS (SELECT symbol, idx, back, price, kind, CASE WHEN move >= 2 * size THEN 'major' ELSE 'minor' END AS strength FROM (
+  SELECT symbol, idx, back, high AS price, 'high' AS kind, high - next_low AS move FROM pv0 WHERE pivot_high UNION ALL
+  SELECT symbol, idx, back, low, 'low', next_high - low FROM pv0 WHERE pivot_low) JOIN sz USING (symbol)),
+legs AS (SELECT symbol, sum(turn)::BIGINT AS legs FROM (SELECT symbol, coalesce((lag(kind) OVER (PARTITION BY symbol ORDER BY idx, kind) <> kind)::INT, 0) AS turn FROM pv WHERE back <= 20) GROUP BY symbol HAVING count(*) >= 3 AND sum(turn) >= 2),
+fail AS (SELECT symbol, count(*) FILTER (failed) AS failures FROM (SELECT symbol, back, lag(kind) OVER w IN ('bull_trend', 'bear_trend') AND ((lag(close) OVER w > lag(open) OVER w AND close < open AND close <= lag(open) OVER w)
+  OR (lag(close) OVER w < lag(open) OVER w AND close > open AND close >= lag(open) OVER w)) AS failed FROM b WINDOW w AS (PARTITION BY symbol ORDER BY i)) WHERE back <= 3 GROUP BY symbol)"""
+_CONTEXT_SQL = ORACLES["market_context"].split("SELECT symbol, bull_bars")[0].split(_FEATURES)[1]
+ORACLES |= {
+    "pivots": f"{_BACK}, {_PIVOTS} SELECT symbol, idx, price, kind, strength FROM pv",
+    "two_legs": f"{_BACK}, {_PIVOTS} SELECT * FROM legs",
+    "disappointment": f"{_BACK}, {_PIVOTS} SELECT symbol, failures, failures >= 2 AS disappointment FROM fail",
+    "recent_extremes": f"""{_BACK}, {_PIVOTS}, n AS (SELECT symbol, coalesce(arg_max(price, idx) FILTER (kind = 'high' AND strength = 'major'), arg_max(price, idx) FILTER (kind = 'high')) AS top,
+  coalesce(arg_max(price, idx) FILTER (kind = 'low' AND strength = 'major'), arg_max(price, idx) FILTER (kind = 'low')) AS bottom FROM pv GROUP BY symbol),
+s AS (SELECT symbol, max(high) AS high20, min(low) AS low20 FROM b WHERE back <= 20 GROUP BY symbol) SELECT symbol, coalesce(top, high20) AS recent_high, coalesce(bottom, low20) AS recent_low FROM s LEFT JOIN n USING (symbol)""",
+    "market_state": f"""{_BACK}, {_PIVOTS}{_CONTEXT_SQL},
+k AS (SELECT symbol, max(ema) FILTER (back = 6) AS ema_before, max(ema) FILTER (back = 1) AS ema_now, max(close) FILTER (back = 1) AS last_close FROM b GROUP BY symbol),
+u AS (SELECT c.*, k.* EXCLUDE (symbol), bull_micro, bear_micro, failures >= 2 OR legs IS NOT NULL OR range_position BETWEEN 0.33::DOUBLE AND 0.67::DOUBLE AS unclear FROM c JOIN micro USING (symbol) JOIN k USING (symbol) JOIN fail USING (symbol) LEFT JOIN legs USING (symbol))
+SELECT symbol, CASE WHEN NOT unclear AND last_close > ema_now AND ema_now >= ema_before AND bull_bars >= bear_bars + 3 AND bull_micro >= 3 AND overlap_count <= 8 THEN 'bull_trend'
+  WHEN NOT unclear AND last_close < ema_now AND ema_now <= ema_before AND bear_bars >= bull_bars + 3 AND bear_micro >= 3 AND overlap_count <= 8 THEN 'bear_trend' ELSE 'trading_range' END AS state FROM u""",
+}
