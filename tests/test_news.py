@@ -87,6 +87,43 @@ def test_greedy_pass_against_loop_over_everything(spark):
     assert sorted(r.event_id for r in story_dedup.greedy(table).select("event_id").collect()) == want
 
 
+def _greedy_loop(keyed):
+    """event_ids kept of (event_id, keys, rank) in order of arrival."""
+    clusters = []
+    for event_id, keys, rank in keyed:
+        home = next((c for c in clusters if c[0] & keys), None)
+        if home is None:
+            clusters.append([set(keys), rank, event_id])
+            continue
+        home[0] |= keys
+        if rank > home[1]:
+            home[1:] = rank, event_id
+    return sorted(c[2] for c in clusters)
+
+
+def test_greedy_hot_key_is_never_whole_in_one_task(spark, monkeypatch):
+    """A key of most rows spans many chunks; what earlier chunks end with is carried over, and no pandas task takes a group."""
+    monkeypatch.setattr(story_dedup, "CHUNK", 16)
+    rng = random.Random(7)
+    rows = [{"event_id": f"{i:04d}", "publish_ts": NOW + i, "title": rng.choice(["everyday headline"] * 3 + [f"headline {rng.randrange(30)}"]), "content": f"story number {rng.randrange(150)} tells" + "." * rng.randrange(4)} for i in range(500)]
+    table = news(spark, rows)
+    keys = {r.event_id: set(r["keys"]) for r in story_dedup.with_keys(table).collect()}
+    want = _greedy_loop([(r["event_id"], keys[r["event_id"]], (len(r["content"]), r["publish_ts"])) for r in rows])
+    kept = story_dedup.greedy(table)
+    assert sorted(r.event_id for r in kept.select("event_id").collect()) == want
+    _, edges = story_dedup._placed(table, story_dedup.scratch_table)
+    assert edges.groupBy("key", "chunk").count().agg(F.max("count")).first()[0] <= 16
+    assert edges.groupBy("key").count().agg(F.max("count")).first()[0] > 300
+    assert not hasattr(story_dedup, "_greedy_pass")
+
+
+def test_greedy_chain_in_order_of_arrival(spark):
+    """Each story shares a key with the next; all reach the first one."""
+    chain = spark.createDataFrame([(i, 0, k.to_bytes(8)) for i in range(300) for k in (i, i + 1)], "place bigint, chunk bigint, key binary")
+    homes = {r.place: r.home for r in story_dedup.greedy_homes(chain).collect()}
+    assert homes == dict.fromkeys(range(300), 0)
+
+
 def test_ema_and_merge(spark):
     closes = [1.0, 2.0, 4.0, 3.0]
     table = spark.createDataFrame([("s", f"2024-01-0{i + 1}", c, c, c, c) for i, c in enumerate(closes)], "symbol string, trade_date string, open double, high double, low double, close double")

@@ -1,13 +1,12 @@
 """Cross-source deduplication of stories that share a dedup key.
 
 greedy() gives the order-dependent result: rows in order of time join the first cluster that shares a key with them, a
-row that bridges two clusters does not merge them. It only concerns rows connected through keys, so components come
-first, by joins, and the order-dependent pass runs within a component. transitive() keeps one row per component.
+row that bridges two clusters does not merge them. It runs as rounds of joins and running minima over all rows at once,
+in chunks of arrival. transitive() keeps one row per component.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,8 @@ from tickerloom.functions.newstext import dedup_keys, strip
 from tickerloom.sources.scratch import scratch_table
 
 SOURCE_ORDER = ("cls", "jin10", "10jqka")
+#: Most rows of a key that one window takes, and the parts that a cluster's rows are dealt over.
+CHUNK, SALTS = 10_000, 16
 
 
 def with_keys(news: DataFrame) -> DataFrame:
@@ -69,37 +70,72 @@ def transitive(news: DataFrame, scratch=None) -> DataFrame:
     return joined.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "preference", "keys")
 
 
-def _greedy_pass(rows: pd.DataFrame) -> list[str]:
-    """event_ids kept of one component's rows, which stand in order of arrival."""
-    keys_of: list[set] = []
-    kept: list[tuple] = []
-    for event_id, keys, better in zip(rows["event_id"], rows["keys"], rows["preference"], strict=True):
-        mine, rank = set(keys), tuple(better.values()) if isinstance(better, dict) else tuple(better)
-        home = next((i for i, known in enumerate(keys_of) if known & mine), None)
-        if home is None:
-            keys_of.append(mine)
-            kept.append((rank, event_id))
-            continue
-        keys_of[home] |= mine
-        if rank > kept[home][0]:
-            kept[home] = (rank, event_id)
-    return [event_id for _, event_id in kept]
+def _placed(news: DataFrame, scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows with keys (place, event_id, preference) and their shared keys (place, chunk, key).
 
+    place numbers rows in order of arrival, chunk is a range of at most CHUNK places. Keys are 128-bit digests, and only
+    those of several rows are kept.
+    """
+    digests = F.transform("keys", lambda k: F.unhex(F.md5(k)))
+    # Written before they are filtered and sorted, either of which would evaluate the texts' expressions again.
+    keyed = scratch(with_keys(news).select(order_of_arrival().alias("arrival"), "event_id", preference().alias("preference"), digests.alias("keys")))
+    rows = keyed.where(F.size("keys") > 0).orderBy("arrival").withColumn("place", F.monotonically_increasing_id()).drop("arrival")
+    rows = scratch(rows)
+    edges = scratch(rows.select("place", F.floor(F.col("place") / CHUNK).alias("chunk"), F.explode("keys").alias("key")))
+    parts = edges.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("c"))
+    shared = parts.withColumn("c", F.sum("c").over(Window.partitionBy("key"))).where("c > 1").select("key", "chunk")
+    return rows.drop("keys"), scratch(edges.join(shared, ["key", "chunk"], "left_semi"))
+
+
+def _next_homes(edges: DataFrame, homes: DataFrame) -> DataFrame:
+    """place and the least of its home and, over its keys, the homes of earlier rows with that key.
+
+    A running minimum runs within (key, chunk), what earlier chunks end with is carried over as a row per chunk.
+    """
+    at = edges.join(homes, "place")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    within = at.withColumn("within", F.min("home").over(earlier("key", "chunk").orderBy("place")))
+    ends = at.groupBy("key", "chunk").agg(F.min("home").alias("end"))
+    carried = ends.select("key", "chunk", F.min("end").over(earlier("key").orderBy("chunk")).alias("carried"))
+    return within.join(carried, ["key", "chunk"]).groupBy("place").agg(F.min(F.least("home", "within", "carried")).alias("home"))
 
-def greedy(news: DataFrame, scratch=None) -> DataFrame:
-    """Rows that survive the greedy pass, in the shape of news."""
-    keyed = with_keys(news).withColumn("preference", preference())
-    labels = key_components(keyed.where(F.size("keys") > 0), scratch)
-    rows = keyed.join(labels, "event_id").select("component", "event_id", "keys", "preference", order_of_arrival().alias("arrival"))
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
-    shared = rows.join(sizes.where("c > 1").select("component"), "component", "left_semi")
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(pdf)), key=lambda i: tuple(pdf["arrival"].iloc[i].values()) if isinstance(pdf["arrival"].iloc[i], dict) else tuple(pdf["arrival"].iloc[i]))
-        return pd.DataFrame({"event_id": _greedy_pass(pdf.iloc[order])})
+def _jumped(homes: DataFrame) -> DataFrame:
+    """Homes replaced by their own homes, which halves the way along a chain; a home's rows are dealt over SALTS."""
+    ends = homes.select(F.col("place").alias("home"), F.col("home").alias("further")).where("further < home")
+    used = homes.where("home < place").select("home").distinct()
+    ends = ends.join(used, "home").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = homes.withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int"))
+    return dealt.join(ends, ["home", "salt"], "left").select("place", F.coalesce("further", "home").alias("home"))
 
-    kept = shared.groupBy("component").applyInPandas(settle, "event_id string")
-    lost = shared.select("event_id").join(kept, "event_id", "left_anti")
+
+def greedy_homes(edges: DataFrame, scratch=None) -> DataFrame:
+    """place and home (the place that founded its cluster) of every row with shared keys.
+
+    A row's home is the least one that its keys' earlier rows have, else itself. Rounds over all rows start with every
+    row its own home and end when no home changes, so their number has no bound but the longest chain's.
+    """
+    scratch = scratch or scratch_table
+    homes = scratch(edges.select("place").distinct().withColumn("home", F.col("place")))
+    total = F.sum(F.col("home").cast("decimal(38,0)"))
+    last = homes.agg(total).first()[0]
+    while True:
+        homes = scratch(_jumped(scratch(_next_homes(edges, homes))))
+        now = homes.agg(total).first()[0]
+        if now == last:  # homes only ever fall
+            return homes
+        last = now
+
+
+def greedy(news: DataFrame, scratch=None) -> DataFrame:
+    """Rows that survive the greedy pass, in the shape of news; no group of rows is whole in one task."""
+    scratch = scratch or scratch_table
+    rows, edges = _placed(news, scratch)
+    # Of equally good rows the one that arrived first stays.
+    ranked = rows.join(greedy_homes(edges, scratch), "place").select("event_id", "home", F.struct("preference", -F.col("place")).alias("rank"))
+    ranked = scratch(ranked)
+    kept = ranked.groupBy("home").agg(F.max_by("event_id", "rank").alias("event_id")).select("event_id")
+    lost = ranked.select("event_id").join(kept, "event_id", "left_anti")
     return news.join(lost, "event_id", "left_anti")
 
 
