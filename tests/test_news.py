@@ -4,10 +4,12 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.functions import newstext as X
 from tickerloom.operators import bars, sectors, story_dedup
+from tickerloom.operators.components import components
 from tickerloom.operators.store import upsert
 from tickerloom.streaming import ingest
 
@@ -124,6 +126,20 @@ def test_greedy_chain_in_order_of_arrival(spark):
     assert homes == dict.fromkeys(range(300), 0)
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    ids = [f"{i:04d}" for i in range(400)]
+    random.Random(1).shuffle(ids)
+    chain = spark.createDataFrame([(e, [f"key {i}", f"key {i + 1}"]) for i, e in enumerate(ids)] + [("apart", ["other"])], "event_id string, keys array<string>")
+    got = {r.event_id: r.component for r in story_dedup.key_components(chain).collect()}
+    assert got == dict.fromkeys(ids, "0000") | {"apart": "apart"}
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=2)
+
+
 def test_ema_and_merge(spark):
     closes = [1.0, 2.0, 4.0, 3.0]
     table = spark.createDataFrame([("s", f"2024-01-0{i + 1}", c, c, c, c) for i, c in enumerate(closes)], "symbol string, trade_date string, open double, high double, low double, close double")

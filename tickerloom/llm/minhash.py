@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import fresh, small_side, written
-from tickerloom.llm.components import components
+from tickerloom.operators.components import components
 
 WIDTH = 5
 PERCENT = 75

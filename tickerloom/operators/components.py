@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import written
+from tickerloom.sources.scratch import scratch_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,16 +23,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return across.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 50, scratch=None) -> DataFrame:
     """node and root (the least node reachable) of every node of edges (a, b) other than the roots themselves.
 
-    Each round is written to the shared folder; rounds grow with the logarithm of the longest path.
+    Each round is written to the shared folder; rounds grow with the logarithm of the longest path. Where most_rounds do
+    not suffice this is an error, never a result.
     """
+    scratch = scratch or scratch_table
     state = (-1, 0)
-    for turn in range(most_rounds):
-        edges = written(_small_star(_large_star(edges)), f"components{turn}")
+    for _ in range(most_rounds):
+        edges = scratch(_small_star(_large_star(edges)))
         row = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if (row[0], row[1]) == state:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = (row[0], row[1])
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.newstext import dedup_keys, strip
+from tickerloom.operators.components import components
 from tickerloom.sources.scratch import scratch_table
 
 SOURCE_ORDER = ("cls", "jin10", "10jqka")
@@ -38,26 +39,18 @@ def order_of_arrival() -> Column:
     return F.struct(F.col("publish_ts").alias("ts"), source.alias("source_place"), F.col("event_id").alias("id"))
 
 
-def key_components(keyed: DataFrame, scratch=None, most_rounds: int = 30) -> DataFrame:
+def key_components(keyed: DataFrame, scratch=None) -> DataFrame:
     """event_id and component (its least event_id) of every row with keys.
 
-    Labels spread over the bipartite graph of rows and keys, so a key shared by many rows costs one row per member, never
-    a pair. scratch writes a frame and reads it again, which cuts lineage between rounds.
+    Stars over the bipartite graph of rows and keys: a key shared by many rows costs one link per member, never a pair.
+    Names of rows sort before those of keys (128-bit digests), so that a component's least node is a row.
     """
     scratch = scratch or scratch_table
-    edges = scratch(keyed.select("event_id", F.explode("keys").alias("key")))
-    labels = scratch(edges.select("event_id", F.col("event_id").alias("component")).distinct())
-    for _ in range(most_rounds):
-        by_key = edges.join(labels, "event_id").groupBy("key").agg(F.min("component").alias("component"))
-        least = edges.join(by_key, "key").groupBy("event_id").agg(F.min("component").alias("component"))
-        # One jump along the label's own label halves the remaining distance.
-        jump = least.join(labels.select(F.col("event_id").alias("component"), F.col("component").alias("further")), "component", "left")
-        new = scratch(jump.select("event_id", F.least("component", "further").alias("component")))
-        moved = new.join(labels.withColumnRenamed("component", "old"), "event_id").where("component <> old").limit(1).count()
-        labels = new
-        if not moved:
-            break
-    return labels
+    key = F.concat(F.lit("1"), F.md5("key"))
+    links = scratch(keyed.select("event_id", F.explode("keys").alias("key")).select(F.concat(F.lit("0"), "event_id").alias("a"), key.alias("b")))
+    roots = components(links, scratch=scratch).where(F.col("node").startswith("0"))
+    nodes = links.select(F.col("a").alias("node")).distinct().join(roots, "node", "left")
+    return nodes.select(F.substr("node", F.lit(2)).alias("event_id"), F.substr(F.coalesce("root", "node"), F.lit(2)).alias("component"))
 
 
 def transitive(news: DataFrame, scratch=None) -> DataFrame:
