@@ -198,6 +198,35 @@ def test_toxicity_trie():
     assert trie.match("oron") is None and trie.match("river") is None and trie.match("idi0t") == (1, 1)
 
 
+def test_toxicity_misspellings():
+    trie = toxicity.Trie(["idiot*", "moron*", "clown", "loser*", "trash*", "scum*", "stupid", "pathetic", "oaf"])
+    wrong = "idot morn clwn losr trsh skum scuum idoit tarsh stupdi 1diot $tupid athetic omron idoits".split()
+    assert [w for w in wrong if (trie.match(w) or (0,))[0] != 1] == []
+    assert trie.match("oad") is None and trie.match("oron") is None and trie.match("stpd") is None
+    terms = toxicity.Matcher(["moron", "clown"], innocent=frozenset({"crown"}))
+    assert [w for w in ("moroon", "crown", "clovn") if terms.hits([w])] == ["moroon", "clovn"]
+
+
+def test_toxicity_automaton_against_brute_force():
+    def osa(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = np.random.default_rng(2)
+    make = lambda low, high: "".join(rng.choice(list("abc"), rng.integers(low, high)))
+    terms = sorted({make(3, 11) for _ in range(12)})
+    trie = toxicity.Trie(terms)
+    for _ in range(1500):
+        word = make(2, 12)
+        near = [n for t in terms if (n := osa(t, word)) <= toxicity.edits_allowed(len(t)) and (n == 0 or not trie._beheaded(word, terms.index(t)))]
+        assert (trie.match(word) or (None,))[0] == min(near, default=None)
+
+
 def test_toxicity_quotation_and_edges(spark, docs, labels):
     matcher = toxicity.Matcher(["moron", "idiot*"])
     plain, quoted = matcher.features("you are a moron and an idiot"), matcher.features('she said "you are a moron and an idiot" again')

@@ -3,8 +3,9 @@
 learn() finds the lexicon in labelled training rows: words, and stems that stand for every word they begin, whose
 document frequency among toxic texts is far above that among others. Each cluster of near copies counts once, by the
 least hash of its four-word windows. The terms form a trie; a word of a text is matched by walking the trie with the
-states of a Levenshtein automaton (rows of edit distances, at most edits_allowed(word), the first letter fixed), so
-misspelled terms are found without listing variants. A window of WINDOW words on either side of a match is a
+states of a Levenshtein automaton (rows of edit distances, at most edits_allowed(length of the term), a swap of
+neighbours being one edit, any letter free but a missing first one in terms of five letters or fewer), so misspelled
+terms are found without listing variants. Words that training rows show to be innocent are left out one by one. A window of WINDOW words on either side of a match is a
 quotation where it has quote marks or a reporting word (reporting words are those that training rows show beside
 matches in texts that are not toxic). Counts of direct, misspelled and quoted matches feed a ridge logistic model.
 
@@ -41,7 +42,7 @@ FEATURES = ("any", "direct", "direct_density", "spread", "misspelled", "quoted",
 
 _WORD = r"[\p{L}\p{M}\p{N}@$]+"
 _QUOTES = "\"«»“”„‘’>"
-_END, _STEM = "\0", "\1"
+_END, _STEM, _MOST = "\0", "\1", "\2"
 
 
 def tokens(text: str) -> list[str]:
@@ -50,8 +51,9 @@ def tokens(text: str) -> list[str]:
     return regex.findall(_WORD, text.lower())
 
 
-def edits_allowed(word: str) -> int:
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+def edits_allowed(length: int) -> int:
+    """Edits within which a term of so many letters is found."""
+    return 0 if length < 4 else 1 if length < 9 else 2
 
 
 class Trie:
@@ -59,10 +61,13 @@ class Trie:
 
     def __init__(self, terms: list[str]) -> None:
         self.root: dict = {}
-        for i, term in enumerate(terms):
-            node = self.root
-            for ch in term.rstrip("*"):
+        self.bodies = [term.rstrip("*") for term in terms]
+        for i, (term, body) in enumerate(zip(terms, self.bodies, strict=True)):
+            node, most = self.root, edits_allowed(len(body))
+            node[_MOST] = max(node.get(_MOST, 0), most)
+            for ch in body:
                 node = node.setdefault(ch, {})
+                node[_MOST] = max(node.get(_MOST, 0), most)
             node[_STEM if term.endswith("*") else _END] = i
 
     def match(self, word: str) -> tuple[int, int] | None:
@@ -78,37 +83,43 @@ class Trie:
                 return 0, node[_END]
         if stem is not None:
             return 0, stem
-        most = edits_allowed(word)
-        if not most or word[0] not in self.root:
-            return None
-        # A state is (node, row): row[j] is the distance between the trie's path and word[:j].
+        # A state is (node, its letter, row, the row before): row[j] is the distance between the trie's path and word[:j].
         width, best = len(word) + 1, None
-        first = [abs(j - 1) for j in range(width)]
-        stack = [(self.root[word[0]], first)]
+        stack = [(self.root, "", list(range(width)), None)]
         while stack:
-            node, row = stack.pop()
-            whole = node.get(_END, node.get(_STEM) if row[0] >= 5 else None)
-            if whole is not None and row[-1] <= most and (best is None or row[-1] < best[0]):
+            node, letter, row, before = stack.pop()
+            depth = row[0]
+            whole = node.get(_END, node.get(_STEM))
+            if whole is not None and row[-1] <= edits_allowed(depth) and (best is None or row[-1] < best[0]) and not self._beheaded(word, whole):
                 best = (row[-1], whole)
-            # A misspelled stem of six letters or more (row[0] is its length): one edit from some beginning of the word.
-            if _STEM in node and len(word) >= 7 and row[0] >= 6 and min(row) <= 1 and (best is None or min(row) < best[0]):
+            # A misspelled stem of five letters or more: one edit from some beginning of a longer word.
+            if _STEM in node and depth >= 5 and width - 1 > depth and min(row) <= 1 and (best is None or min(row) < best[0]):
                 best = (min(row), node[_STEM])
             for ch, child in node.items():
-                if ch in (_END, _STEM):
+                if ch in (_END, _STEM, _MOST):
                     continue
-                new = [row[0] + 1]
+                new = [depth + 1]
                 for j in range(1, width):
-                    new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (word[j - 1] != ch)))
-                if min(new) <= most:
-                    stack.append((child, new))
+                    cost = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (word[j - 1] != ch))
+                    if before is not None and j > 1 and word[j - 1] == letter and word[j - 2] == ch:  # neighbours swapped
+                        cost = min(cost, before[j - 2] + 1)
+                    new.append(cost)
+                # A later swap reaches back to this row.
+                if min(min(new), min(row) + 1) <= child[_MOST]:
+                    stack.append((child, ch, new, row))
         return best
 
+    def _beheaded(self, word: str, term: int) -> bool:
+        """Whether word is a term of five letters or fewer without its first: too often another word."""
+        body = self.bodies[term]
+        return len(body) < 6 and word == body[1:] and body[0] != body[1]
+
 
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)
     reporting: frozenset[str] = frozenset()
-    exact_only: frozenset[int] = frozenset()
+    innocent: frozenset[str] = frozenset()
     weights: np.ndarray | None = None  # bias last
     prior: float = 0.0
 
@@ -121,8 +132,8 @@ class Model:
 class Matcher:
     """Features of texts under a model; remembers words' matches, at most HELD of them."""
 
-    def __init__(self, terms: list[str], reporting: frozenset[str] = frozenset(), exact_only: frozenset[int] = frozenset()) -> None:
-        self.trie, self.reporting, self.exact_only, self.known = Trie(terms), reporting, exact_only, {}
+    def __init__(self, terms: list[str], reporting: frozenset[str] = frozenset(), innocent: frozenset[str] = frozenset()) -> None:
+        self.trie, self.reporting, self.innocent, self.known = Trie(terms), reporting, innocent, {}
 
     def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(place, edits, term) of every match."""
@@ -130,7 +141,7 @@ class Matcher:
             self.known.clear()
         for w in set(words).difference(self.known):
             hit = self.trie.match(w)
-            self.known[w] = None if hit and hit[0] and hit[1] in self.exact_only else hit
+            self.known[w] = None if hit and hit[0] and w in self.innocent else hit
         found = {w for w in set(words) if self.known[w] is not None}
         return [(i, *self.known[w]) for i, w in enumerate(words) if w in found] if found else []
 
@@ -240,17 +251,17 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     strong = seen.where((F.col("a") >= least) & (lift >= LEAST_LIFT)).withColumn("z", F.log(lift) * F.sqrt("a"))
     found = strong.orderBy(F.col("z").desc(), F.length("term").desc(), "term").limit(10 * MAX_TERMS).collect()
     terms = distinct_terms([(r["term"], r["a"]) for r in found])
-    reporting, exact_only = surroundings(rows, terms, n1, n0)
+    reporting, innocent = surroundings(rows, terms, n1, n0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms, reporting, exact_only)
+        matcher = Matcher(terms, reporting, innocent)
         for b in batches:
             yield _batch({"label": (b.column(0).to_pylist(), pa.int32()), "x": ([matcher.features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))})
 
     table = rows.mapInArrow(measure, "label int, x array<double>").toArrow()  # at most the sampled rows
     y = np.array(table["label"].to_pylist(), dtype=float)
     x = np.array(table["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return Model(terms, reporting, exact_only, logistic(x, y), n1 / len(marks))
+    return Model(terms, reporting, innocent, logistic(x, y), n1 / len(marks))
 
 
 def distinct_terms(ranked: list[tuple[str, int]]) -> list[str]:
@@ -269,11 +280,11 @@ def distinct_terms(ranked: list[tuple[str, int]]) -> list[str]:
     return list(chosen)
 
 
-def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[frozenset[str], frozenset[int]]:
-    """Reporting words and the numbers of the terms to be matched exactly only.
+def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[frozenset[str], frozenset[str]]:
+    """Reporting words, and innocent words that are near a term.
 
     The former stand beside matches in texts that are not toxic at least five times as often as in those that are; the
-    latter have misspelled matches in texts that are not toxic, without a clear lift in those that are.
+    latter stand in texts that are not toxic, without a clear lift in those that are.
     """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +296,7 @@ def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[f
                 exact = {i for i, edits, _ in hits if not edits}
                 beside = {words[k] for i in exact for k in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1))}
                 held.update((w, -1, label) for w in beside if matcher.known.get(w) is None)
-                held.update(("", term, label) for term in {t for _, edits, t in hits if edits})
+                held.update((words[i], t, label) for i, t in {words[i]: (i, t) for i, edits, t in hits if edits}.values())
         keys = list(held)
         yield _batch({"word": ([k[0] for k in keys], pa.string()), "term": ([k[1] for k in keys], pa.int32()), "label": ([k[2] for k in keys], pa.int32()), "n": (list(held.values()), pa.int64())})
 
@@ -293,8 +304,8 @@ def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[f
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")
     )
     said = seen.where((F.col("term") < 0) & (F.col("b") >= 10) & (F.col("b") >= 5 * (F.col("a") + 1))).orderBy(F.col("b").desc(), "word").limit(MAX_TERMS)
-    loose = seen.where((F.col("term") >= 0) & (F.col("b") >= 2) & (F.col("a") / n1 < LEAST_LIFT * F.col("b") / n0))  # at most MAX_TERMS
-    return frozenset(r["word"] for r in said.collect()), frozenset(r["term"] for r in loose.collect())
+    loose = seen.where((F.col("term") >= 0) & (F.col("b") >= 2) & (F.col("a") / n1 < LEAST_LIFT * F.col("b") / n0))  # words near a term, of the sampled texts
+    return frozenset(r["word"] for r in said.collect()), frozenset(r["word"] for r in loose.collect())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
@@ -318,7 +329,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of docs."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms, model.reporting, model.exact_only)
+        matcher = Matcher(model.terms, model.reporting, model.innocent)
         for b in batches:
             x = np.array([matcher.features(t.as_py() or "") for t in b.column(1)], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
