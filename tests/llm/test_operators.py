@@ -254,6 +254,18 @@ def test_toxicity_learns(spark):
     assert np.mean(right) > 0.95
 
 
+def test_toxicity_learns_a_long_tail(spark):
+    """80 terms, each in about one in eighty toxic texts: below 1.5 %, and in no other text."""
+    rng = np.random.default_rng(6)
+    terms = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 8)) for _ in range(80)]
+    rows = [(i, " ".join([f"word{x}" for x in rng.integers(0, 400, 10)] + ([terms[i // 3 % 80]] if i % 3 == 0 else []))) for i in range(4800)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(4800)], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels, toxicity.train_rows())
+    trie = toxicity.Trie(model.terms)
+    assert sum(trie.match(t) is not None and trie.match(t)[0] == 0 for t in terms) >= 70
+    assert not any(trie.match(f"word{x}") for x in range(400))
+
+
 def test_packing_round_trip(docs):
     from pathlib import Path
 

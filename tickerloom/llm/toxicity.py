@@ -9,6 +9,7 @@ terms are found without listing variants. Words that training rows show to be in
 quotation where it has quote marks or a reporting word (reporting words are those that training rows show beside
 matches in texts that are not toxic). Counts of direct, misspelled and quoted matches feed a ridge logistic model.
 
+A term stands in LEAST_DOCS toxic texts at least, with a lift that is significant at LEAST_Z; no share is asked for.
 Fitting uses about SAMPLE labelled rows (by hash of doc_id) and at most MAX_TERMS terms; scoring reads every text.
 
 Null text is empty text and gets the score of a text without matches. Null labels are ignored; the largest of repeated
@@ -34,8 +35,9 @@ SAMPLE = 20_000
 MAX_TERMS = 400
 THRESHOLD = 0.7
 WINDOW = 6
-#: A term's least document frequency among toxic texts (absolute, and as a share), and its least lift.
-LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 5, 0.015, 6.0
+#: A term's least document frequency among toxic texts, its least lift, and how many standard deviations (signed root of
+#: the likelihood ratio) it lies above no lift at all.
+LEAST_DOCS, LEAST_LIFT, LEAST_Z = 5, 6.0, 4.5
 STEMS = range(3, 9)
 HELD = 300_000
 FEATURES = ("any", "direct", "direct_density", "spread", "misspelled", "quoted", "length")
@@ -247,8 +249,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     )
     share = (F.col("a") + 0.5) / n1
     lift = share / ((F.col("b") + 0.5) / n0)
-    least = max(LEAST_DOCS, LEAST_SHARE * n1)
-    strong = seen.where((F.col("a") >= least) & (lift >= LEAST_LIFT)).withColumn("z", F.log(lift) * F.sqrt("a"))
+    expected = (F.col("a") + F.col("b")) * n1 / (n1 + n0)
+    evidence = F.col("a") * F.log(F.col("a") / expected) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (F.col("a") + F.col("b") - expected))).otherwise(0)
+    strong = seen.where((F.col("a") >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (2 * evidence >= LEAST_Z**2)).withColumn("z", F.log(lift) * F.sqrt("a"))
     found = strong.orderBy(F.col("z").desc(), F.length("term").desc(), "term").limit(10 * MAX_TERMS).collect()
     terms = distinct_terms([(r["term"], r["a"]) for r in found])
     reporting, innocent = surroundings(rows, terms, n1, n0)
