@@ -50,6 +50,14 @@ def test_langid_backs_off_to_ngrams():
     assert model.word("zaz").argmax() == 0  # no known pair of letters: single ones
 
 
+def test_langid_learns_rare_languages(spark):
+    """A language with a row in two thousand is read whole, however small the sample."""
+    docs = spark.range(8000).selectExpr("id AS doc_id", "IF(id % 2000 = 7, 'zig zag zug', 'one two three') AS text", "IF(id % 2000 = 7, 'rare', 'common') AS lang")
+    model = langid.fit(docs, 60, 20)
+    assert model.langs == ["common", "rare"]
+    assert model.word("zug").argmax() == 1 and model.word("two").argmax() == 0
+
+
 def test_warc_links_and_digests(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", '<html lang="en"><head><title>T &amp; &#65;</title></head><p>one<br>two&#x42;<script>x</script></html>'), (2, None, None), (3, "x", "")], "page_id bigint, url string, html string")
     sources = warc.responses(pages)

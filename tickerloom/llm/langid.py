@@ -5,8 +5,9 @@ characters taken from words written with marks at both ends. A known word scores
 word backs off: to the mean over its known n-grams of the longest size of which it has any, down to single characters.
 A text's score is the posterior share of its best language under equal priors, its words' evidence added up.
 
-The model is fitted on about SAMPLE documents (each labelled training row is taken with probability SAMPLE / rows, by
-hash of doc_id) and holds at most MAX_WORDS words and MAX_GRAMS n-grams of each size, the commonest.
+The model is fitted on about SAMPLE documents, and PER_LANG of every language that has so many (all of one that has
+fewer): a labelled training row is taken by hash of doc_id with probability SAMPLE / rows, or PER_LANG / rows of its
+language where that is more. It holds at most MAX_WORDS words and MAX_GRAMS n-grams of each size, the commonest.
 
 Null text, or text without a letter, is "und" with score 0. Without any training row every text is "und". Rows with a
 null lang teach nothing. Repeated rows are predicted once each. An empty table gives an empty result. Columns other
@@ -24,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.llm.common import small_side, written
+
 SAMPLE = 6_000
+PER_LANG = 1_500
 MAX_WORDS = 20_000
 MAX_GRAMS = 20_000
 MAX_N = 4
@@ -98,12 +102,17 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG) -> Model:
     """The model of docs' text and lang; see above for the bounds."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = usable.count()
+    sizes = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if total > sample:
-        usable = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30)) < int((1 << 30) * sample / total))
+        # A language with no more than per_lang rows is read whole, any other gives about per_lang rows or its share of sample.
+        rate = F.least(F.lit(1.0), F.greatest(F.lit(sample / total), F.lit(float(per_lang)) / F.col("n")))
+        share = small_side(sizes.select(F.col("lang").alias("__lang"), (rate * (1 << 30)).cast("long").alias("__most")))
+        place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30))
+        usable = usable.join(share, F.col("lang") == F.col("__lang")).where(place < F.col("__most")).select(usable.columns)
     most = F.when(F.col("size") == 0, F.lit(MAX_WORDS)).otherwise(F.lit(MAX_GRAMS))
     place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "term"))
     ranked = counts(usable).withColumn("place", place).where(F.col("place") <= most).drop("place")
