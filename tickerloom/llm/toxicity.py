@@ -45,6 +45,7 @@ FEATURES = ("any", "direct", "direct_density", "spread", "misspelled", "quoted",
 _WORD = r"[\p{L}\p{M}\p{N}@$]+"
 _QUOTES = "\"«»“”„‘’>"
 _END, _STEM, _MOST = "\0", "\1", "\2"
+_FAR = 1 << 20
 
 
 def tokens(text: str) -> list[str]:
@@ -100,14 +101,15 @@ class Trie:
             for ch, child in node.items():
                 if ch in (_END, _STEM, _MOST):
                     continue
-                new = [depth + 1]
-                for j in range(1, width):
+                # Only the band that most edits can reach; what lies outside it counts as too far.
+                most = child[_MOST]
+                new = [depth + 1] + [_FAR] * (width - 1)
+                for j in range(max(1, depth + 1 - most), min(width, depth + 2 + most)):
                     cost = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (word[j - 1] != ch))
                     if before is not None and j > 1 and word[j - 1] == letter and word[j - 2] == ch:  # neighbours swapped
                         cost = min(cost, before[j - 2] + 1)
-                    new.append(cost)
-                # A later swap reaches back to this row.
-                if min(min(new), min(row) + 1) <= child[_MOST]:
+                    new[j] = cost
+                if min(new) <= most:
                     stack.append((child, ch, new, row))
         return best
 
