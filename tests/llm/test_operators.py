@@ -199,6 +199,41 @@ def test_collision_correction_is_unbiased():
         assert abs(np.mean(got) - share) < 0.03
 
 
+def test_ablations_against_brute_force(spark):
+    bits = [int(x) for x in np.random.default_rng(4).integers(0, 1 << len(quality_rules.RULES), 300)] + [0, 0, 1, 2, 4]
+    book = spark.createDataFrame([(b,) for b in bits], "fail_bits bigint")
+    for policy, force in quality_rules.POLICIES.items():
+        want = {}
+        for i, name in enumerate(quality_rules.RULES):
+            if force >> i & 1:
+                mine = [b & force for b in bits]
+                want[name] = (sum(b >> i & 1 for b in mine), mine.count(1 << i), mine.count(0), sum(not b & ~(1 << i) for b in mine))
+        found = {r["rule"]: (r["n_failed"], r["n_failed_alone"], r["n_kept"], r["n_kept_without"]) for r in rows_of(quality_rules.ablations(book, policy))}
+        assert found == want
+
+
+def test_write_warc_and_buckets(spark, docs, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a.b/c", "<title>é</title><p>one<br>two"), (2, None, None)], "page_id bigint, url string, html string")
+    records = warc.derivatives(warc.responses(pages))
+    warc.write_warc(records.coalesce(1), str(tmp_path / "warc"))
+    raw, found = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "warc").glob("*.gz")), []
+    while raw.strip():
+        head, rest = raw.split(b"\r\n\r\n", 1)
+        length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: ")).split()[1])
+        assert head.startswith(b"WARC/1.")
+        found.append(rest[:length].decode())
+        assert rest[length : length + 4] == b"\r\n\r\n"
+        raw = rest[length + 4 :].removeprefix(b"\n")
+    assert sorted(found) == sorted(r["block"] for r in rows_of(records))
+    pieces = packing.packed(docs)
+    packing.write_buckets(pieces, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    assert sorted(map(str, back.select("doc_id", "start", "length").collect())) == sorted(map(str, pieces.selectExpr("doc_id", "start", "length").collect()))
+    assert all(len(r["ids"]) % r["length"] == 0 for r in rows_of(back))
+
+
 def test_toxicity_trie():
     trie = toxicity.Trie(["moron", "idiot*", "disgusting"])
     assert trie.match("moron") == (0, 0) and trie.match("idiots") == (0, 1)
@@ -210,7 +245,7 @@ def test_toxicity_misspellings():
     trie = toxicity.Trie(["idiot*", "moron*", "clown", "loser*", "trash*", "scum*", "stupid", "pathetic", "oaf"])
     wrong = "idot morn clwn losr trsh skum scuum idoit tarsh stupdi 1diot $tupid athetic omron idoits".split()
     assert [w for w in wrong if (trie.match(w) or (0,))[0] != 1] == []
-    assert trie.match("oad") is None and trie.match("oron") is None and trie.match("stpd") is None
+    assert trie.match("oad") is None and toxicity.Trie(["disgusting"]).match("a") is None and trie.match("oron") is None and trie.match("stpd") is None
     terms = toxicity.Matcher(["moron", "clown"], innocent=frozenset({"crown"}))
     assert [w for w in ("moroon", "crown", "clovn") if terms.hits([w])] == ["moroon", "clovn"]
 

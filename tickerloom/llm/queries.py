@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.withColumns({"base_failed": ~quality_rules.passes("base"), "kept": quality_rules.passes()})
 
 
+def op4_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.ledger(documents(spark, sf_dir)))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_url_reputation": op3_url_reputation,
     "op4_quality_rules": op4_quality_rules,
+    "op4_ablations": op4_ablations,
     "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
