@@ -54,6 +54,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.buckets(packing.packed(documents(spark, sf_dir)))
+
+
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_qda.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
     return scores.select("doc_id", (~quality_qda.train_rows()).alias("held_out"), "score", (F.col("score") >= quality_qda.THRESHOLD).cast("int").alias("predicted"))
@@ -74,6 +78,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
+    "op8_buckets": op8_buckets,
     "op9_quality_qda": op9_quality_qda,
     "op10_mixing": op10_mixing,
     "pipeline": corpus_pipeline.run,
