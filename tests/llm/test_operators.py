@@ -232,6 +232,9 @@ def test_write_warc_and_buckets(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "buckets"))
     assert sorted(map(str, back.select("doc_id", "start", "length").collect())) == sorted(map(str, pieces.selectExpr("doc_id", "start", "length").collect()))
     assert all(len(r["ids"]) % r["length"] == 0 for r in rows_of(back))
+    want = Counter(r["length"] for r in rows_of(pieces))
+    assert {r["length"]: r["sequences"] for r in rows_of(packing.buckets(pieces))} == want
+    assert sum(r["documents_ended"] for r in rows_of(packing.buckets(pieces))) == docs.count()
 
 
 def test_toxicity_trie():
@@ -316,7 +319,6 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(str(Path(public_tokenizers.path("byte_bpe_50k.json"))))
-    tokenizer.encode_special_tokens = True
     found = packing.packed(docs.where("doc_id <> 6")).collect()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     by = defaultdict(list)
@@ -329,7 +331,7 @@ def test_packing_round_trip(docs):
     assert len({r.sequence_id for r in found}) == len(found)
     assert packing.packed(docs.where("doc_id = 6")).groupBy("doc_id").agg(F.sum("length")).count() == 1
     assert packing.packed(docs.limit(0)).count() == 0
-    for odd in ("a  b", "a \n\n b", "x　　y ", "  ", "it's 12  ok\x1c\x1c!"):
+    for odd in ("a  b", "a \n\n b", "x　　y ", "  ", "it's 12  ok\x1c\x1c!", "hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>  b\n\n", "<|endoftext|", "x <|endoftext|>|> y"):
         assert packing.encoder(packing.default_vocabulary())(odd).tolist() == tokenizer.encode(odd, add_special_tokens=False).ids
 
 
@@ -348,15 +350,40 @@ def test_quality_edges_and_accuracy(spark, docs, labels):
     assert np.mean([(score[i] >= 0.3) == (i % 5 != 0) for i in range(300)]) > 0.98
 
 
-def test_qda_matches_dense_formula():
+def test_qda_against_plain_numpy(spark):
+    """Statistics, fit and scores restated row by row from the texts, with dense inverses and determinants."""
     rng = np.random.default_rng(4)
-    d = 3
-    x0, x1 = rng.normal(0, 1, (50, d)), rng.normal(1, 2, (80, d))
-    sums = [np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]) for x in (x0, x1)]
-    model = quality_qda.solve(*sums, d)
-    gap = [np.sum(((np.array([[20.0, 1, 1]]) - model.center) / model.scale * (np.expm1(20.0) / (np.expm1(20.0) + 8)) - m) @ f.T * (((np.array([[20.0, 1, 1]]) - model.center) / model.scale * (np.expm1(20.0) / (np.expm1(20.0) + 8)) - m) @ f.T)) for m, f in zip(model.means, model.factors, strict=True)]
-    want = 1 / (1 + np.exp(-np.clip(0.5 * (gap[0] - gap[1]) + model.offset, -60, 60)))
-    assert model.scores(np.array([[20.0, 1, 1]]))[0] == pytest.approx(want)
+    texts = []
+    for i in range(160):
+        words = [f"word{x}" for x in rng.integers(0, 60, rng.integers(1, 50))]
+        if i % 3 == 0:
+            words = [w.upper() + "!" * int(rng.integers(0, 3)) if rng.random() < 0.5 else w + "." for w in words]
+        texts.append(" ".join(words) + ("\n" + words[0]) * int(rng.integers(0, 3)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    marks = {i: int(i % 3 != 0) for i in range(140)}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id bigint, quality int")
+    x = np.array([quality_qda.text_statistics(t.encode()) for t in texts])
+    for i, text in enumerate(texts):  # a few statistics by hand
+        words, lines = text.split(), text.split("\n")
+        assert x[i, 0] == pytest.approx(np.log(1 + len(words))) and x[i, 3] == pytest.approx(np.log(len(set(words)) / len(words)))
+        assert x[i, 11] == pytest.approx(np.sqrt(1 - len(set(lines)) / len(lines)))
+    train = [i for i in marks if zlib.crc32(str(i).encode()) % 5 != 0]
+    sizes = np.array([len(t.split()) for t in texts])
+    center = x[train].mean(axis=0)
+    u = (sizes / (sizes + 8))[:, None] * (x - center)
+    groups = [u[[i for i in train if marks[i] == c]] for c in (0, 1)]
+    covs = [np.cov(g.T, bias=True) for g in groups]
+    pooled = sum(len(g) * c for g, c in zip(groups, covs, strict=True)) / len(train)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
+    logs = []
+    for g, c in zip(groups, covs, strict=True):
+        c = (0.8 * c + 0.2 * pooled) / np.outer(scale, scale)
+        c = 0.95 * c + 0.05 * np.trace(c) / len(c) * np.eye(len(c))
+        off = (u - g.mean(axis=0)) / scale
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(c), off) - 0.5 * np.linalg.slogdet(c)[1] + np.log(len(g)))
+    want = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -60, 60)))
+    got = {r["doc_id"]: r["score"] for r in rows_of(quality_qda.quality_scores(docs, labels))}
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-6)
 
 
 def test_mixing_targets_and_totals(spark, docs):

@@ -1,9 +1,11 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
-statistics() turns every text into FEATURES. fit() takes class means and covariances from sums that tasks add up (all
-labelled rows count, none is sampled), standardises by the pooled spread, shrinks each class covariance towards the
-pooled one and towards a multiple of the identity, and caches the inverse Cholesky factors. A score is the logistic of
-the difference of the two log densities, priors included.
+statistics() turns every text into FEATURES. Statistics of few words say little, so those of a text of n words are moved
+to u = n / (n + DOUBT_WORDS) * (x - center), center being the mean over all labelled rows; fitting and scoring both see u.
+fit() takes class means and covariances of u from sums that tasks add up in one pass (all labelled rows count, none is
+sampled), standardises by the pooled spread, shrinks each class covariance towards the pooled one and towards a multiple
+of the identity, and caches the inverse Cholesky factors. A score is the logistic of the difference of the two fitted log
+densities, priors included.
 
 Null text is empty text and is scored like any other. Label rows with a null doc_id or label are ignored; of repeated
 labels of a document the largest counts. Repeated documents are scored once each. If a class has fewer than two rows,
@@ -43,7 +45,7 @@ FEATURES = (
 #: Shrinkage of a class covariance towards the pooled one, then towards the identity.
 TO_POOLED = 0.2
 TO_IDENTITY = 0.05
-#: Statistics of few words say little: a text of n words moves n / (n + DOUBT_WORDS) of the way from the average text.
+#: A text of n words moves n / (n + DOUBT_WORDS) of the way from the average text.
 DOUBT_WORDS = 8.0
 THRESHOLD = 0.3
 
@@ -105,6 +107,12 @@ def one_label(labels: DataFrame, label: str) -> DataFrame:
     return known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(label).cast("int").alias("label"))
 
 
+def trust(x: np.ndarray) -> np.ndarray:
+    """How far each row of statistics is believed, from its words' number; a column."""
+    n = np.expm1(x[:, :1])
+    return n / (n + DOUBT_WORDS)
+
+
 @dataclass(frozen=True)
 class Model:
     prior: float
@@ -117,47 +125,60 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.center is None:
             return np.full(len(x), self.prior)
-        n = np.expm1(x[:, :1])
-        z = (x - self.center) / self.scale * (n / (n + DOUBT_WORDS))
+        z = trust(x) * (x - self.center) / self.scale
         far = [((z - m) @ f.T) ** 2 for m, f in zip(self.means, self.factors, strict=True)]
         gap = 0.5 * (far[0].sum(axis=1) - far[1].sum(axis=1)) + self.offset
         return 1.0 / (1.0 + np.exp(-np.clip(gap, -60, 60)))
 
 
+def class_sums(x: np.ndarray) -> np.ndarray:
+    """What the fit needs of a class's rows x with trusts w, end to end: their number, the sums of x, w, w^2, w x, w^2 x
+    and w^2 x x'. The moments of w (x - c) follow from them for any center c."""
+    w = trust(x)
+    v = w * x
+    return np.concatenate([[len(x)], x.sum(axis=0), [w.sum(), (w * w).sum()], v.sum(axis=0), (w * v).sum(axis=0), (v.T @ v).ravel()])
+
+
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", train: Column | None = None) -> Model:
     """The model from rows of stats that have a label and for which train (of doc_id) holds."""
     rows = stats if train is None else stats.where(train)
     rows = rows.join(one_label(labels, label), F.col("doc_id") == F.col("label_id")).select("label", "x")
     d = len(FEATURES)
+    none = class_sums(np.zeros((0, d)))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
+        total = {0: none.copy(), 1: none.copy()}
         for batch in batches:
             if batch.num_rows:
                 y = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy().reshape(-1, d)
                 for c in total:
-                    z = x[y == c]
-                    total[c] += np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
+                    total[c] += class_sums(x[y == c])
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["label", "sums"])
 
     sums = rows.mapInArrow(add_up, "label bigint, sums array<double>").select("label", F.posexplode("sums").alias("at", "v"))
-    got = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
-    for r in sums.groupBy("label", "at").agg(F.sum("v").alias("v")).collect():  # 2 * (1 + d + d * d) numbers
+    got = {0: none.copy(), 1: none.copy()}
+    for r in sums.groupBy("label", "at").agg(F.sum("v").alias("v")).collect():  # 2 * (3 + 3 * d + d * d) numbers
         got[r["label"]][r["at"]] = r["v"]
     return solve(got[0], got[1], d)
 
 
 def solve(sums0: np.ndarray, sums1: np.ndarray, d: int) -> Model:
-    """The model from each class's count, sums and sums of products."""
+    """The model from each class's class_sums."""
     n = [float(s[0]) for s in (sums0, sums1)]
     prior = n[1] / sum(n) if sum(n) else 0.5
     if min(n) < 2:
         return Model(prior)
-    means = [s[1 : 1 + d] / k for s, k in zip((sums0, sums1), n, strict=True)]
-    covs = [s[1 + d :].reshape(d, d) / k - np.outer(m, m) for s, k, m in zip((sums0, sums1), n, means, strict=True)]
+    center = (sums0[1 : 1 + d] + sums1[1 : 1 + d]) / sum(n)
+    means, covs = [], []
+    for s, k in zip((sums0, sums1), n, strict=True):
+        w1, w2 = s[1 + d : 3 + d]
+        wx, wwx, products = s[3 + d : 3 + 2 * d], s[3 + 2 * d : 3 + 3 * d], s[3 + 3 * d :].reshape(d, d)
+        mean = (wx - w1 * center) / k
+        cross = np.outer(wwx, center)
+        means.append(mean)
+        covs.append((products - cross - cross.T + w2 * np.outer(center, center)) / k - np.outer(mean, mean))
     pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
-    center = (n[0] * means[0] + n[1] * means[1]) / sum(n)
     scale = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
     covs, pooled = [c / np.outer(scale, scale) for c in covs], pooled / np.outer(scale, scale)
     factors, half_logs = [], []
@@ -168,7 +189,7 @@ def solve(sums0: np.ndarray, sums1: np.ndarray, d: int) -> Model:
         factors.append(np.linalg.inv(lower))
         half_logs.append(np.log(np.diag(lower)).sum())
     offset = half_logs[0] - half_logs[1] + float(np.log(n[1] / n[0]))
-    return Model(prior, center, scale, tuple((m - center) / scale for m in means), tuple(factors), offset)
+    return Model(prior, center, scale, tuple(m / scale for m in means), tuple(factors), offset)
 
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:
