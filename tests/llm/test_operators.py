@@ -130,6 +130,20 @@ def test_exact_dedup(docs):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_merges_sorted_runs(docs):
+    """Every fold runs in sort order; no hash table holds digests."""
+    rows = docs.select("doc_id", *exact_dedup.digest_columns(F.col("text"))).repartition(5)
+    plan = exact_dedup.merged_runs(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan
+    want = {}
+    for r in docs.collect():
+        want.setdefault("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""), []).append(r.doc_id)
+    for keep, best in (("max", max), ("min", min)):
+        found = sorted((r["keep_id"] is None, r["keep_id"], r["group_size"]) for r in rows_of(exact_dedup.merged_runs(rows, keep)))
+        ids = [([i for i in g if i is not None], len(g)) for g in want.values()]
+        assert found == sorted((not i, best(i) if i else None, n) for i, n in ids)
+
+
 def test_minhash_edges(docs):
     found = rows_of(minhash.near_components(docs))
     assert len(found) == 12

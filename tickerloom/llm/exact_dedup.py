@@ -1,11 +1,15 @@
-"""Exact deduplication by a tree merge of digest runs, in DataFrame operations only.
+"""Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Every input partition forms a run: one row per digest with the identifier that stays and the rows counted. Runs meet
-in binomial rounds: in each, 2**FAN_BITS neighbouring runs exchange their rows by (run, digest) and are merged, so that
-the identifiers that lose never travel further. Map-side aggregation leaves at most one row per digest and task before
-each exchange, so a text that holds a third of all rows costs one row per task.
+Every text is digested once, into a narrow table. Each input partition then forms a run: its rows sorted by digest, equal
+neighbours folded into one row with the identifier that stays and the rows counted. Runs meet in binomial rounds: in each,
+2**FAN_BITS neighbouring runs exchange their rows by (run, digest); a task sorts what it receives, which merges the
+sorted pieces of its runs, and advances through the merged run once, folding equal neighbours again. So identifiers that
+lose never travel further, a round holds one row in memory, and a text that holds a third of all rows costs one row per
+task. The state that a fold carries is a struct, which Spark folds in sort order (SortAggregate over Sort) and not in a
+hash table; a test holds the plan to that.
 
-A digest is verified at every level: SHA-256, byte length and a second, independent 64-bit hash must all agree.
+A digest is verified at every level: SHA-256, byte length and a second, independent 64-bit hash must all agree. The texts
+themselves are not compared: two that agree in all three would be a collision of SHA-256.
 
 Null text counts as empty text; empty texts are equal to one another. A null doc_id loses against any other. Rows that
 repeat a doc_id and its text are one document: each counts in group_size and all share the verdict. An empty table
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import fresh, lower_ascii
+from tickerloom.llm.common import fresh, lower_ascii, written
 
 #: Runs at the leaves of the tree, and how many bits of the run number each round folds away.
 RUN_BITS = 6
@@ -29,42 +33,42 @@ KEY = ["digest", "octets", "second"]
 def digest_columns(text: Column) -> list[Column]:
     body = lower_ascii(F.coalesce(text, F.lit("")))
     return [
-        F.sha2(body.cast("binary"), 256).alias("digest"),
+        F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"),
         F.octet_length(body).cast("long").alias("octets"),
         F.xxhash64(body).alias("second"),
     ]
 
 
+def _folded(runs: DataFrame) -> DataFrame:
+    """Equal neighbours of sorted runs as one row; best is a struct, so the fold follows the sort order."""
+    return runs.groupBy("run", *KEY).agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
+
+
 def merged_runs(rows: DataFrame, keep: str = "max", run_bits: int = RUN_BITS, fan_bits: int = FAN_BITS) -> DataFrame:
     """Of rows (doc_id and KEY), one row per text: KEY, keep_id, group_size. keep: "max" or "min" identifier."""
-    best = F.max if keep == "max" else F.min
-    runs = (
-        rows.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(1 << run_bits)))
-        .groupBy("run", *KEY)
-        .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
+    place = F.col("doc_id") if keep == "max" else F.bitwise_not(F.col("doc_id"))
+    # Any identifier is better than none.
+    best = F.struct(F.col("doc_id").isNotNull().alias("there"), place.alias("place"), "doc_id")
+    run = F.pmod(F.spark_partition_id(), F.lit(1 << run_bits))
+    runs = _folded(rows.select(run.alias("run"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("group_size")))
     left = run_bits
     while left > 0:
         step = min(fan_bits, left)
         left -= step
-        runs = (
-            runs.withColumn("run", F.shiftright("run", step))
-            .groupBy("run", *KEY)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-    return runs.drop("run")
+        runs = _folded(runs.withColumn("run", F.shiftright("run", step)))
+    return runs.select(*KEY, F.col("best.doc_id").alias("keep_id"), "group_size")
 
 
 def exact_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select("doc_id", *digest_columns(F.col("text")))
+    rows = written(docs.select("doc_id", *digest_columns(F.col("text"))), "exact-digests")
     groups = merged_runs(rows, keep)
     return rows.join(groups, KEY).select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
