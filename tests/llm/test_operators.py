@@ -96,6 +96,37 @@ def test_bad_hosts_are_blocked(spark):
     assert verdicts == {("bad", "block"), ("goo", "allow")}
 
 
+def test_worse_hosts_are_blocked_at_any_base_rate(spark):
+    """A host of twice the odds of all pages over many pages is blocked, one of few pages and one a little worse are not."""
+    for base in (0.02, 0.15, 0.6):
+        odds = 2.2 * base / (1 - base)
+        rates = {"worse.test": odds / (1 + odds), "little.test": 1.02 * base} | {f"h{i}.test": base for i in range(20)}
+        rows = [(h, int(i < round(r * 3000))) for h, r in rates.items() for i in range(3000)] + [("few.test", 1)] * 2
+        judged = spark.createDataFrame(rows, "host string, bad int")
+        found = {r["host"]: r for r in rows_of(url_reputation.host_reputation(judged).withColumn("worse", F.expr(url_reputation._worse("bound", "base", url_reputation.BLOCK_ODDS))))}
+        assert {h for h, r in found.items() if r["worse"]} == {"worse.test"}
+
+
+def test_lower_bound_against_beta_quantiles(spark):
+    rng = np.random.default_rng(8)
+    cases = [(0.0, 0.0, 5.0, 0.2), (3.0, 3.0, 2.0, 0.15), (12.0, 4.0, 20.0, 0.15), (2000.0, 300.0, 100.0, 0.1), (1.0, 0.0, 1.0, 0.5)]
+    table = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n double, k double, s double, mu double")
+    for r in table.select("i", F.expr(url_reputation._BOUND).alias("b")).collect():
+        n, k, s, mu = cases[r["i"]]
+        draws = rng.beta(k + s * mu, n - k + s * (1 - mu), 200_000)
+        assert 0.02 < (draws < r["b"]).mean() < 0.075  # 0.05 is asked for
+
+
+def test_url_edges(spark):
+    """Very long urls, repeated rows and clashing further columns change nothing."""
+    long = "http://long.test/x/" + "a/" * 50_000
+    rows = [(1, long, "x", 0.5), (1, long, "x", 0.5), (None, "http://long.test/y", None, None), (2, "", "z", 1.0)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, host string, bound double")
+    found = rows_of(url_reputation.judged_pages(pages, spark.createDataFrame([(1, 1), (2, 0)], "key bigint, bad int")))
+    assert sorted(map(str, (r["page_id"] for r in found))) == ["1", "1", "2", "None"]
+    assert {r["host"] for r in found} == {"long.test", ""} and [r["path"] for r in found if r["page_id"] == 1] == [long[16:]] * 2
+
+
 def test_quality_rules_edges(docs):
     found = rows_of(quality_rules.ledger(docs))
     assert len(found) == 12

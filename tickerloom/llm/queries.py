@@ -24,7 +24,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return url_reputation.judged_pages(pages, url_reputation.quality_outcomes(labels(spark, sf_dir)))
+    judged = url_reputation.judged_pages(pages, url_reputation.quality_outcomes(labels(spark, sf_dir)))
+    numbers = [F.col(c).cast("bigint").alias(c) for c in ("n", "k")] + [F.round(c, 8).alias(c) for c in ("mean", "bound")]
+    return judged.select("page_id", "host", "path", "rule", "verdict", *numbers)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Labelled outcomes (1: bad page) are counted per host; domains and suffixes sum their hosts' counts. Every level's rate is
 shrunk towards its parent's through a beta-binomial prior whose concentration is fitted by moments over that level:
-all pages -> suffix -> registered domain -> host. A host is blocked where the lower posterior bound of its bad rate,
-mean - Z * sd, exceeds BLOCK_RATE.
+all pages -> suffix -> registered domain -> host. A host's posterior is Beta(k + s mu, n - k + s (1 - mu)); its lower bound
+is taken on the log-odds scale, where a beta distribution is near to normal even for few pages: digamma and trigamma
+functions give mean and variance there, Z the bound. A host is blocked where the bound's odds exceed BLOCK_ODDS times
+those of the mean rate of all pages, so that clearly worse hosts are blocked whatever the base rate is.
 
 Only urls are shuffled with pages' identifiers, page bodies are not read. A host with a third of all pages is
 aggregated before its exchange, and the join that brings its verdict back is one that adaptive execution splits.
@@ -34,7 +36,8 @@ SECOND_LEVELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Bounds on a prior's concentration, in pseudo-pages.
 LEAST, MOST = 1.0, 1000.0
 Z = 1.645
-BLOCK_RATE = 0.35
+#: How many times the odds of all pages' rate a host's lower bound must have.
+BLOCK_ODDS = 1.25
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -64,6 +67,24 @@ def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return F.coalesce(*cases)
 
 
+def _digamma(x: str) -> str:
+    """SQL for the digamma function: four steps of its recurrence, then its asymptotic series (error below 1e-7)."""
+    y = f"({x} + 4)"
+    return f"(ln{y} - 1 / (2 * {y}) - 1 / (12 * {y} * {y}) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) - 1 / {x} - 1 / ({x} + 1) - 1 / ({x} + 2) - 1 / ({x} + 3))"
+
+
+def _trigamma(x: str) -> str:
+    y = f"({x} + 4)"
+    shifts = " + ".join(f"1 / pow({x} + {i}, 2)" for i in range(4))
+    return f"(1 / {y} + 1 / (2 * {y} * {y}) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)) + {shifts})"
+
+
+#: SQL, for Spark and DuckDB alike, over n, k, s and mu of a host: its mean, and its lower bound.
+_MEAN = "(k + s * mu) / (n + s)"
+_A, _B = "(k + s * mu)", "(n - k + s * (1 - mu))"
+_BOUND = f"1 / (1 + exp(-({_digamma(_A)} - {_digamma(_B)} - {Z} * sqrt({_trigamma(_A)} + {_trigamma(_B)}))))"
+
+
 def _concentration(level: DataFrame, name: str) -> DataFrame:
     """One row: the prior's concentration of a level with columns n, k and parent mean mu."""
     noise = F.col("mu") * (1 - F.col("mu"))
@@ -73,31 +94,36 @@ def _concentration(level: DataFrame, name: str) -> DataFrame:
 
 
 def host_reputation(judged: DataFrame) -> DataFrame:
-    """Of rows (host, bad: 1, 0 or null): host, n, k, mean, bound.
+    """Of rows (host, bad: 1, 0 or null): host, n, k, mean, bound and base (the mean rate of all pages).
 
-    The one-row tables of totals and concentrations are broadcast: their size is one row whatever the input.
+    Hosts, domains and suffixes are written once each, as every level is read for its prior and for its shrinkage. The
+    one-row tables of totals and concentrations are broadcast: their size is one row whatever the input.
     """
     hosts = judged.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
-    hosts = written(hosts, "url-hosts")  # read again at every level; a row per host
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    hosts = written(hosts, "url-hosts")
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "url-domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mu"))
-    shrunk = (F.col("k") + F.col("s") * F.col("mu")) / (F.col("n") + F.col("s"))
+    total = written(total, "url-total")
+
+    def shrunk(level: DataFrame, by: str) -> DataFrame:
+        level = written(level, f"url-{by}-priors")
+        return level.join(F.broadcast(_concentration(level, "s"))).select(by, F.expr(_MEAN).alias("mu"))
+
+    above = shrunk(suffixes.join(F.broadcast(total)), "suffix")
+    above = shrunk(domains.join(above, "suffix").select("domain", "n", "k", "mu"), "domain")
+    level = written(hosts.join(above, "domain").select("host", "n", "k", "mu"), "url-host-priors")
+    level = level.join(F.broadcast(_concentration(level, "s"))).join(F.broadcast(total.withColumnRenamed("mu", "base")))
+    return level.select("host", "n", "k", F.expr(_MEAN).alias("mean"), F.expr(_BOUND).alias("bound"), "base")
+
 
-    level = suffixes.join(F.broadcast(total))
-    level = level.join(F.broadcast(_concentration(level, "s"))).select("suffix", shrunk.alias("mu"))
-    level = domains.join(level, "suffix")
-    level = level.join(F.broadcast(_concentration(level, "s"))).select("domain", shrunk.alias("mu"))
-    level = hosts.join(level, "domain")
-    level = level.join(F.broadcast(_concentration(level, "s")))
-    weight = F.col("n") + F.col("s")
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1))
-    return level.withColumn("mean", shrunk).select("host", "n", "k", "mean", (F.col("mean") - Z * sd).alias("bound"))
+def _worse(bound: str, base: str, odds: float) -> str:
+    return f"{bound} * (1 - {base}) > {odds} * {base} * (1 - {bound})"
 
 
-def judged_pages(pages: DataFrame, outcomes: DataFrame, block_rate: float = BLOCK_RATE) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page.
+def judged_pages(pages: DataFrame, outcomes: DataFrame, block_odds: float = BLOCK_ODDS) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page; with them its host's n, k, mean and bound, and the base rate.
 
     outcomes: key and bad, one row per key; a page's key is the number at the start of its path's second part.
     """
@@ -107,9 +133,9 @@ def judged_pages(pages: DataFrame, outcomes: DataFrame, block_rate: float = BLOC
     marked = rows.join(outcomes.select(F.col("key").alias("page_key"), "bad"), "page_key", "left")
     known = host_reputation(marked.select("host", "bad"))
     fit = matched_rule(F.col("host"), F.col("path"))
-    method = F.when(F.col("bound") > block_rate, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.expr(_worse("bound", "base", block_odds)), F.lit("block")).otherwise(F.lit("allow"))
     joined = rows.join(known, "host").withColumn("fit", fit)
-    return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"))
+    return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), "n", "k", "mean", "bound", "base")
 
 
 def quality_outcomes(labels: DataFrame) -> DataFrame:
@@ -144,9 +170,10 @@ d1 AS (SELECT d.*, (x1.k + s * x1.mu) / (x1.n + s) AS mu FROM d JOIN x1 USING (s
 {concentration("d1", "ds")},
 h2 AS (SELECT h.host, h.n, h.k, (d1.k + s * d1.mu) / (d1.n + s) AS mu FROM h JOIN d1 USING (domain), ds),
 {concentration("h2", "hs")},
-b AS (SELECT host, mean - {Z} * sqrt(mean * (1 - mean) / (w + 1)) AS bound FROM (SELECT host, (k + s * mu) / (n + s) AS mean, n + s AS w FROM h2, hs)),
-r AS (SELECT page_id, host, path, CASE {cases} END AS rule, bound FROM p JOIN b USING (host))
-SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE CASE WHEN bound > {BLOCK_RATE} THEN 'block' ELSE 'allow' END END AS verdict FROM r
+b AS (SELECT host, n, k, {_MEAN} AS mean, {_BOUND} AS bound, base FROM h2, hs, (SELECT (sum(k) + 1) / (sum(n) + 2) AS base FROM x) t),
+r AS (SELECT page_id, host, path, CASE {cases} END AS rule, n, k, mean, bound, base FROM p JOIN b USING (host))
+SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE CASE WHEN {_worse("bound", "base", BLOCK_ODDS)} THEN 'block' ELSE 'allow' END END AS verdict,
+  n::BIGINT AS n, k::BIGINT AS k, round(mean, 8) AS mean, round(bound, 8) AS bound FROM r
 """
 
 
