@@ -7,7 +7,9 @@ A text's score is the posterior share of its best language under equal priors, i
 
 The model is fitted on about SAMPLE documents, and PER_LANG of every language that has so many (all of one that has
 fewer): a labelled training row is taken by hash of doc_id with probability SAMPLE / rows, or PER_LANG / rows of its
-language where that is more. It holds at most MAX_WORDS words and MAX_GRAMS n-grams of each size, the commonest.
+language where that is more. Every word and n-gram of these texts is in the model, unless a language has more than
+MAX_TERMS of a size: then those of its rarest counts are left out, whole counts at a time, and a warning tells how many
+(Model.cut; nothing on the tables given). The least counts come from a histogram of counts, so terms are never ranked.
 
 Null text, or text without a letter, is "und" with score 0. Without any training row every text is "und". Rows with a
 null lang teach nothing. Repeated rows are predicted once each. An empty table gives an empty result. Columns other
@@ -16,6 +18,7 @@ than doc_id, text and (for training) lang are not read.
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,8 +32,8 @@ from tickerloom.llm.common import small_side, written
 
 SAMPLE = 6_000
 PER_LANG = 1_500
-MAX_WORDS = 20_000
-MAX_GRAMS = 20_000
+#: Memory bound of the model, in words or n-grams of a size per language.
+MAX_TERMS = 250_000
 MAX_N = 4
 #: Counts added to every known word or n-gram of a language.
 SMOOTHING = 0.5
@@ -88,6 +91,7 @@ class Model:
     """tables[0] is of words, tables[n] of n-grams: term -> row of rows[n], log frequencies per language."""
 
     langs: list[str]
+    cut: int = 0  # terms left out by MAX_TERMS
     tables: list[dict[str, int]] = field(default_factory=list)
     rows: list[np.ndarray] = field(default_factory=list)
 
@@ -102,7 +106,18 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG) -> Model:
+def least_counts(terms: DataFrame, most: int = MAX_TERMS) -> DataFrame:
+    """lang, size, least and cut: the least count at which a language has at most so many terms of a size, and how many
+    terms fall below it. The window sees a row per distinct count, not terms."""
+    histogram = terms.groupBy("lang", "size", "n").agg(F.count(F.lit(1)).alias("terms"))
+    down = Window.partitionBy("lang", "size").orderBy(F.col("n").desc())
+    kept = F.col("so_far") <= most
+    return histogram.withColumn("so_far", F.sum("terms").over(down)).groupBy("lang", "size").agg(
+        F.coalesce(F.min(F.when(kept, F.col("n"))), F.max("n") + 1).alias("least"), F.coalesce(F.sum(F.when(~kept, F.col("terms"))), F.lit(0)).alias("cut")
+    )
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG, most: int = MAX_TERMS) -> Model:
     """The model of docs' text and lang; see above for the bounds."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
@@ -113,11 +128,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG) -> Mode
         share = small_side(sizes.select(F.col("lang").alias("__lang"), (rate * (1 << 30)).cast("long").alias("__most")))
         place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30))
         usable = usable.join(share, F.col("lang") == F.col("__lang")).where(place < F.col("__most")).select(usable.columns)
-    most = F.when(F.col("size") == 0, F.lit(MAX_WORDS)).otherwise(F.lit(MAX_GRAMS))
-    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "term"))
-    ranked = counts(usable).withColumn("place", place).where(F.col("place") <= most).drop("place")
-    table = ranked.toArrow()
-    return build(zip(*(table[c].to_pylist() for c in ("lang", "size", "term", "n")), strict=True))
+    terms = written(counts(usable), "langid-terms")
+    least = written(least_counts(terms, most), "langid-least")
+    cut = least.agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0]
+    if cut:
+        logging.getLogger(__name__).warning("language identification leaves out %d terms of the rarest counts", cut)
+        terms = terms.join(small_side(least.drop("cut")), ["lang", "size"]).where(F.col("n") >= F.col("least"))
+    table = terms.select("lang", "size", "term", "n").toArrow()
+    model = build(zip(*(table[c].to_pylist() for c in ("lang", "size", "term", "n")), strict=True))
+    model.cut = int(cut)
+    return model
 
 
 def build(rows: Iterator[tuple[str, int, str, int]]) -> Model:
@@ -139,7 +159,7 @@ def build(rows: Iterator[tuple[str, int, str, int]]) -> Model:
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TERMS
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
