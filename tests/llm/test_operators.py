@@ -58,6 +58,70 @@ def test_langid_learns_rare_languages(spark):
     assert model.word("zug").argmax() == 1 and model.word("two").argmax() == 0
 
 
+def test_langid_against_brute_force(spark):
+    """Counting, smoothing, backing off and adding up, restated with plain dictionaries over every training text."""
+    rng = np.random.default_rng(12)
+    sounds = {"aa": ["ka", "lo", "mi", "tu", "é"], "bb": ["sch", "ei", "nd", "lo", "ü"], "cc": ["zh", "ao", "ka", "nd", "x"]}
+    rows = []
+    for i in range(150):
+        lang = sorted(sounds)[i % 3]
+        words = ["".join(rng.choice(sounds[lang], rng.integers(1, 5))) for _ in range(rng.integers(1, 25))]
+        rows.append((i, " ".join(w.upper() if rng.random() < 0.1 else w for w in words) + " 12!", lang if rng.random() < 0.9 else None))
+    rows += [(150, "kalo Schei, mitu... QQ", None), (151, None, "aa"), (152, "77 --", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    tokens = lambda t: ["".join(g) for g in _letter_runs(t.lower())]
+    grams = lambda w, n: [m[i : i + n] for m in [f"<{w}>" if n > 1 else w] for i in range(len(m) - n + 1)]
+    counts: dict[tuple[int, str], Counter] = {}
+    for i, text, lang in rows:
+        if lang and text and zlib.crc32(str(i).encode()) % 5:
+            for w in tokens(text):
+                for size in range(5):
+                    for term in [w] if size == 0 else grams(w, size):
+                        counts.setdefault((size, term), Counter())[lang] += 1
+    langs = sorted({x for c in counts.values() for x in c})
+    totals = {(size, x): sum(c[x] + 0.5 for (k, _), c in counts.items() if k == size) for size in range(5) for x in langs}
+
+    def of_word(w, x):
+        if (0, w) in counts:
+            return np.log((counts[0, w][x] + 0.5) / totals[0, x])
+        for n in (4, 3, 2, 1):
+            known = [np.log((counts[n, g][x] + 0.5) / totals[n, x]) for g in grams(w, n) if (n, g) in counts]
+            if known:
+                return np.mean(known)
+        return 0.0
+
+    found = {r["doc_id"]: r for r in rows_of(langid.languages(docs))}
+    for i, text, _ in rows:
+        words = tokens(text or "")
+        if not words:
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0)
+            continue
+        evidence = {x: sum(of_word(w, x) for w in words) for x in langs}
+        best = max(evidence.values())
+        assert evidence[found[i]["lang_pred"]] == pytest.approx(best)
+        assert found[i]["score"] == pytest.approx(1 / sum(np.exp(e - best) for e in evidence.values()))
+
+
+def _letter_runs(text):
+    run = []
+    for c in text:
+        if c.isalpha():
+            run.append(c)
+        elif run:
+            yield run
+            run = []
+    if run:
+        yield run
+
+
+def test_langid_bound_leaves_out_whole_counts_and_says_so(spark, caplog):
+    docs = spark.createDataFrame([(i, "often rare%s" % "abcdefgh"[i] + " often twice" * (i < 2), "x") for i in range(8)], "doc_id bigint, text string, lang string")
+    assert langid.fit(docs).cut == 0
+    model = langid.fit(docs, most=3)
+    assert model.cut > 0 and set(model.tables[0]) == {"often", "twice"}
+    assert "leaves out" in caplog.text
+
+
 def test_warc_links_and_digests(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", '<html lang="en"><head><title>T &amp; &#65;</title></head><p>one<br>two&#x42;<script>x</script></html>'), (2, None, None), (3, "x", "")], "page_id bigint, url string, html string")
     sources = warc.responses(pages)
@@ -318,6 +382,73 @@ def test_toxicity_automaton_against_brute_force():
         assert (trie.match(word) or (None,))[0] == min(near, default=None)
 
 
+def test_toxicity_scores_against_brute_force(spark, docs):
+    """Matches by plain edit distance over all terms, windows, features and scores restated; only the weights are given."""
+    terms, reporting, innocent = ["moron", "idiot*", "scum*", "disgusting"], frozenset({"said", "wrote"}), frozenset({"maroon"})
+    weights = np.array([1.5, 0.7, 3.0, 0.4, -0.3, -0.8, -0.1, -1.0])
+    rng = np.random.default_rng(13)
+    pool = ["river", "stone", "maroon", "moron", "morn", "m0ron", "idiots", "ideot", "scumbag", "skum", "disgustin", "disqustlng", "said", '"', ".", "oron", "İdiot", "blue"]
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 60), p=[0.2, 0.2] + [0.6 / 16] * 16)) for _ in range(120)] + ["", None, "x " * 20000 + "you moron"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["score"] for r in rows_of(toxicity.scored(table, toxicity.Model(terms, reporting, innocent, weights)))}
+
+    def distance(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    def match(word):
+        """(edits, term) or None."""
+        whole = [(0, t) for t in terms if word == t or (t[-1] == "*" and word.startswith(t[:-1]))]
+        if whole:
+            return whole[0]
+        near = []
+        for t in terms:
+            body = t.rstrip("*")
+            if distance(body, word) <= (0 if len(body) < 4 else 1 if len(body) < 9 else 2) and not (len(body) < 6 and word == body[1:]):
+                near.append((distance(body, word), t))
+            if t[-1] == "*" and len(word) > len(body) >= 5 and min(distance(body, word[:k]) for k in range(len(word) + 1)) <= 1:
+                near.append((1, t))
+        return None if not near or word in innocent else min(near)
+
+    import re
+
+    for i, text in enumerate(texts):
+        lowered = (text or "").lower()
+        spans = [(m.start(), m.end()) for m in re.finditer(r"(?:[\w@$](?<!_)|[\u0300-\u036f])+", lowered)]
+        words = [lowered[a:b] for a, b in spans]
+        known = {w: match(w) for w in set(words)}
+        hits = [(k, *known[w]) for k, w in enumerate(words) if known[w]]
+        direct = wrong = quoted = 0
+        kinds = set()
+        for k, edits, term in hits:
+            low, high = max(0, k - 6), min(len(words), k + 7)
+            said = any(w in reporting for w in words[low:high])
+            quotes = lambda part: any(q in part for q in toxicity._QUOTES)
+            said = said or (quotes(lowered[max(0, spans[low][0] - 1) : spans[k][0]]) and quotes(lowered[spans[k][1] : spans[high - 1][1] + 1]))
+            if said:
+                quoted += 1
+            else:
+                direct, wrong, kinds = direct + 1, wrong + (edits > 0), kinds | {term}
+        x = [direct > 0, np.log1p(direct), np.sqrt(direct / max(len(words), 1)), np.log1p(len(kinds)), np.log1p(wrong), np.log1p(quoted), np.log1p(len(words))]
+        assert found[i] == pytest.approx(1 / (1 + np.exp(-(np.dot(x, weights[:-1]) + weights[-1])))), text
+
+
+def test_toxicity_weights_are_the_penalised_optimum():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(400, len(toxicity.FEATURES)))
+    y = (x @ rng.normal(size=x.shape[1]) + rng.normal(size=400) > 0.5).astype(float)
+    w = toxicity.logistic(x, y)
+    ridge = np.full(len(w), 0.3)
+    ridge[-1], ridge[toxicity.FEATURES.index("misspelled")] = 1e-6, 6.0
+    z = np.hstack([x, np.ones((400, 1))])
+    assert np.abs(z.T @ (y - 1 / (1 + np.exp(-z @ w))) - ridge * w).max() < 1e-5
+
+
 def test_toxicity_quotation_and_edges(spark, docs, labels):
     matcher = toxicity.Matcher(["moron", "idiot*"])
     plain, quoted = matcher.features("you are a moron and an idiot"), matcher.features('she said "you are a moron and an idiot" again')

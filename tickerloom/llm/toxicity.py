@@ -10,7 +10,8 @@ quotation where it has quote marks or a reporting word (reporting words are thos
 matches in texts that are not toxic). Counts of direct, misspelled and quoted matches feed a ridge logistic model.
 
 A term stands in LEAST_DOCS toxic texts at least, with a lift that is significant at LEAST_Z; no share is asked for.
-Fitting uses about SAMPLE labelled rows (by hash of doc_id) and at most MAX_TERMS terms; scoring reads every text.
+Fitting uses about SAMPLE labelled rows (by hash of doc_id); scoring reads every text. MAX_TERMS bounds the memory of the
+lexicon, and of the reporting words: whatever it leaves out is counted in a warning (nothing on the tables given).
 
 Null text is empty text and gets the score of a text without matches. Null labels are ignored; the largest of repeated
 labels counts. With one class or none in the labels every score is the share of label 1 (0 without labels). Repeated
@@ -20,6 +21,7 @@ read.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -31,8 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_log = logging.getLogger(__name__)
+
 SAMPLE = 20_000
-MAX_TERMS = 400
+MAX_TERMS = 10_000
 THRESHOLD = 0.7
 WINDOW = 6
 #: A term's least document frequency among toxic texts, its least lift, and how many standard deviations (signed root of
@@ -150,12 +154,16 @@ class Matcher:
         return [(i, *self.known[w]) for i, w in enumerate(words) if w in found] if found else []
 
     def features(self, text: str) -> list[float]:
+        import regex
+
         words = tokens(text)
         hits = self.hits(words)
         if not hits:
             return [0.0] * (len(FEATURES) - 1) + [math.log1p(len(words))]
         marks = any(q in text for q in _QUOTES)
-        spans = word_spans(text) if marks else []
+        if marks:
+            text = text.lower()  # some letters lower-case to two, so places are those of the lowered text
+        spans = [m.span() for m in regex.finditer(_WORD, text)] if marks else []
         direct, wrong, quoted, kinds = 0, 0, 0, set()
         for place, edits, term in hits:
             near = range(max(0, place - WINDOW), min(len(words), place + WINDOW + 1))
@@ -180,15 +188,6 @@ class Matcher:
         ]
 
 
-def word_spans(text: str) -> list[tuple[int, int]]:
-    import regex
-
-    lowered = text.lower()
-    if len(lowered) != len(text):  # some letters lower-case to two: take places from the lowered text alone
-        text = lowered
-    return [m.span() for m in regex.finditer(_WORD, lowered)]
-
-
 def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
@@ -203,6 +202,14 @@ def sampled_labels(labels: DataFrame, train: Column, sample: int) -> DataFrame:
     return known
 
 
+def _bounded(ranked: DataFrame, most: int, what: str) -> list:
+    """The first most rows of ranked, which come from the bounded sample; a warning if there are more."""
+    rows = ranked.limit(most + 1).collect()
+    if len(rows) > most:
+        _log.warning("more than %d %s: the weakest are left out", most, what)
+    return rows[:most]
+
+
 def _cluster(words: list[str]) -> int:
     return min((crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))), default=0)
 
@@ -254,7 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     expected = (F.col("a") + F.col("b")) * n1 / (n1 + n0)
     evidence = F.col("a") * F.log(F.col("a") / expected) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (F.col("a") + F.col("b") - expected))).otherwise(0)
     strong = seen.where((F.col("a") >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (2 * evidence >= LEAST_Z**2)).withColumn("z", F.log(lift) * F.sqrt("a"))
-    found = strong.orderBy(F.col("z").desc(), F.length("term").desc(), "term").limit(10 * MAX_TERMS).collect()
+    # A term's words and stems make up to a few candidates each.
+    found = _bounded(strong.orderBy(F.col("z").desc(), F.length("term").desc(), "term"), 10 * MAX_TERMS, "lexicon candidates")
     terms = distinct_terms([(r["term"], r["a"]) for r in found])
     reporting, innocent = surroundings(rows, terms, n1, n0)
 
@@ -280,9 +288,9 @@ def distinct_terms(ranked: list[tuple[str, int]]) -> list[str]:
         if term.endswith("*") and any(c.startswith(body) and n < 1.25 * m for c, m in chosen.items()):
             continue
         chosen[term] = n
-        if len(chosen) >= MAX_TERMS:
-            break
-    return list(chosen)
+    if len(chosen) > MAX_TERMS:
+        _log.warning("the lexicon leaves out %d terms", len(chosen) - MAX_TERMS)
+    return list(chosen)[:MAX_TERMS]
 
 
 def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[frozenset[str], frozenset[str]]:
@@ -308,9 +316,9 @@ def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[f
     seen = rows.mapInArrow(near, "word string, term int, label int, n bigint").groupBy("word", "term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")
     )
-    said = seen.where((F.col("term") < 0) & (F.col("b") >= 10) & (F.col("b") >= 5 * (F.col("a") + 1))).orderBy(F.col("b").desc(), "word").limit(MAX_TERMS)
+    said = seen.where((F.col("term") < 0) & (F.col("b") >= 10) & (F.col("b") >= 5 * (F.col("a") + 1))).orderBy(F.col("b").desc(), "word")
     loose = seen.where((F.col("term") >= 0) & (F.col("b") >= 2) & (F.col("a") / n1 < LEAST_LIFT * F.col("b") / n0))  # words near a term, of the sampled texts
-    return frozenset(r["word"] for r in said.collect()), frozenset(r["word"] for r in loose.collect())
+    return frozenset(r["word"] for r in _bounded(said, MAX_TERMS, "reporting words")), frozenset(r["word"] for r in loose.collect())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
