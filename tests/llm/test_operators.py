@@ -141,6 +141,18 @@ def test_warc_links_and_digests(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_edges(spark):
+    """Very long pages, repeated rows, nulls in any column and clashing further columns."""
+    long = "<p>" + "word " * 400_000
+    rows = [(1, "http://a.b", long, "x", "x"), (1, "http://a.b", long, "x", "x"), (None, None, None, None, None), (2, "", "<b>t", "y", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, block string, record_id string")
+    made = rows_of(warc.derivatives(warc.responses(pages)))
+    assert Counter(r["page_id"] for r in made) == {1: 4, None: 2, 2: 2}
+    texts = [r for r in made if r["page_id"] == 1 and r["record_type"] == "conversion"]
+    assert len(texts) == 2 and texts[0] == texts[1] and len(texts[0]["block"]) == 5 * 400_000 - 1
+    assert {r["block"] for r in made if r["page_id"] is None} == {"", "title: \r\nlanguage: \r\n"}
+
+
 def test_url_rules_and_reputation(spark):
     urls = ["http://X.example.COM/en/7?q", "http://a.com/en/1", "https://b.net/de/9", "http://m.example.net/de/85", "http://o.org/es/", "http://notcom/en/", None, "no scheme", "http://fine.io#x", "http://[::1]:80/a"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
@@ -324,18 +336,22 @@ def test_ablations_against_brute_force(spark):
 def test_write_warc_and_buckets(spark, docs, tmp_path):
     import gzip
 
-    pages = spark.createDataFrame([(1, "http://a.b/c", "<title>é</title><p>one<br>two"), (2, None, None)], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(1, "http://a.b/c", "<title>é</title><p>one<br>two"), (2, None, None), (3, "http://a.b/\r\nWARC-Type: bad", "long " * 100_000)], "page_id bigint, url string, html string")
     records = warc.derivatives(warc.responses(pages))
-    warc.write_warc(records.coalesce(1), str(tmp_path / "warc"))
-    raw, found = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "warc").glob("*.gz")), []
-    while raw.strip():
-        head, rest = raw.split(b"\r\n\r\n", 1)
-        length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: ")).split()[1])
-        assert head.startswith(b"WARC/1.")
-        found.append(rest[:length].decode())
-        assert rest[length : length + 4] == b"\r\n\r\n"
-        raw = rest[length + 4 :].removeprefix(b"\n")
-    assert sorted(found) == sorted(r["block"] for r in rows_of(records))
+    warc.write_warc(records.repartition(2), str(tmp_path / "warc"))
+    found = []
+    for file in (tmp_path / "warc").glob("*.warc.gz"):
+        raw = file.read_bytes()
+        while raw:  # a gzip member per record, each a whole record and nothing else
+            member = zlib.decompressobj(wbits=31)
+            record, raw = member.decompress(raw), member.unused_data
+            head, rest = record.split(b"\r\n\r\n", 1)
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            length = int(fields[b"Content-Length"])
+            assert head.startswith(b"WARC/1.0\r\nWARC-Type: ") and rest[length:] == b"\r\n\r\n"
+            found.append((fields[b"WARC-Record-ID"].decode()[1:-1], fields[b"WARC-Type"].decode(), rest[:length].decode()))
+        assert gzip.decompress(file.read_bytes()).startswith(b"WARC/1.0")
+    assert sorted(found) == sorted((r["record_id"], r["record_type"], r["block"]) for r in rows_of(records))
     pieces = packing.packed(docs)
     packing.write_buckets(pieces, str(tmp_path / "buckets"))
     back = spark.read.parquet(str(tmp_path / "buckets"))

@@ -3,7 +3,7 @@
 responses() frames pages as response records: identifier, target, HTTP header block, payload and its digest.
 derivatives() makes of each a metadata record (title, language, out-links, as warc-fields) and a conversion record (the
 page's text); both name the response in refers_to, repeat its target, date, headers and payload digest, and carry
-their own identifier, length and block digest. write_warc() serialises records to gzipped WARC files.
+their own identifier, length and block digest. write_warc() serialises records to WARC files, a gzip member per record.
 
 Everything is a projection of one row: no exchange. Identifiers come from the record's kind, page_id and url, so reruns
 agree. Digests are SHA-1 in base 32, lengths are bytes of UTF-8.
@@ -14,8 +14,18 @@ repeated records. An empty table gives an empty result. Columns other than page_
 
 from __future__ import annotations
 
+import gzip
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 CRAWL_DATE = "2024-01-31T00:00:00Z"
 
@@ -124,6 +134,11 @@ def derivatives(sources: DataFrame) -> DataFrame:
     )
 
 
+def _field(value: Column) -> Column:
+    """A header value on one line: line breaks in urls would end it."""
+    return F.regexp_replace(value, r"[\r\n]+", " ")
+
+
 def record_head(records: DataFrame) -> Column:
     """The WARC header of a derivative."""
     lines = [
@@ -131,7 +146,7 @@ def record_head(records: DataFrame) -> Column:
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: <"), F.col("record_id"), F.lit(">")),
         F.concat(F.lit("WARC-Refers-To: <"), F.col("refers_to"), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")),
+        F.concat(F.lit("WARC-Target-URI: "), _field(F.col("target_uri"))),
         F.concat(F.lit("WARC-Date: "), F.col("date")),
         F.concat(F.lit("WARC-Refers-To-Payload-Digest: "), F.col("payload_digest")),
         F.concat(F.lit("WARC-Block-Digest: "), F.col("block_digest")),
@@ -141,9 +156,59 @@ def record_head(records: DataFrame) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    file: str
+
+
+class _Files(DataSourceArrowWriter):
+    """Every task writes a file of its own under a name no other attempt has; what isn't committed is removed."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, folder = FileSystem.from_uri(self.folder)
+        store.create_dir(folder)
+        name = f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
+        with store.open_output_stream(name, compression=None) as out:
+            for batch in batches:
+                for record in batch.column(0):
+                    out.write(gzip.compress(record.as_py(), mtime=0))
+        return _Written(name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, folder = FileSystem.from_uri(self.folder)
+        kept = {Path(m.file).name for m in messages if m}
+        for info in store.get_file_info(FileSelector(folder, allow_not_found=True)):
+            if info.base_name.endswith(".warc.gz") and info.base_name not in kept:
+                store.delete_file(info.path)  # of attempts that were lost
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, _ = FileSystem.from_uri(self.folder)
+        for m in messages:
+            if m:
+                store.delete_file(m.file)
+
+
+class WarcFiles(DataSource):
+    """Sink of whole records (one binary column), as gzip members in files of a new folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Files(self.options["path"])
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    whole = F.concat(record_head(records), F.col("block"), F.lit("\r\n\r\n"))
-    records.select(whole.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    """records as WARC files in the new folder path (a URI or an absolute path that all executors reach)."""
+    spark = records.sparkSession
+    spark.dataSource.register(WarcFiles)
+    folder = path if "://" in path else "file://" + path
+    whole = F.concat(F.encode(record_head(records), "UTF-8"), F.encode("block", "UTF-8"), F.lit(b"\r\n\r\n"))
+    records.select(whole.alias("record")).write.format("warc_files").mode("append").save(folder)
 
 
 def _oracle() -> str:
