@@ -76,3 +76,53 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert r.length & (r.length - 1) == 0
     times = Counter(ids["end"])
     assert pieces == {i: times[i] * (len(encode(of["end"][i].text)) + 1) for i in times}
+
+
+def test_run_on_edge_rows_is_its_stages_one_after_another(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeats and clashing columns; expected rows from plain Python."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(f"word{x}" for x in rng.integers(0, 500, n))
+    long, one = prose(30_000), prose(40)
+    texts = [prose(int(rng.integers(20, 60))) for _ in range(60)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), "x", i, "y") for i, t in enumerate(texts)]
+    rows += [(60, None, None, None, None, None, None, None), (61, "", "en", "s1", 0, "x", 1, "y"), (62, " \n", "en", "s1", 2, "x", 1, "y")]
+    rows += [(63, long, "en", None, None, "x", 1, "y"), (64, one, "en", "s0", 1, "x", 1, "y"), (64, one, "en", "s0", 1, "x", 1, "y"), (65, one.upper(), "en", "s0", 1, "x", 1, "y"), (66, one + " end", "en", "s2", 1, "x", 1, "y")]
+    rows += [(None, prose(30), "en", "s0", 1, "x", 1, "y"), (None, prose(30), None, "s0", 1, "x", 1, "y")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size int, kept string"
+    folder = str(tmp_path / "t")
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    # Without a second class of labels every document has the same score and stays: what follows is exact.
+    spark.createDataFrame([(1, 1, 0), (1, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+    shown = lambda k: sorted((str(r.doc_id) for r in spark.read.parquet(f"{tmp_path}/stage{k}").collect()))
+    ids = [str(r[0]) for r in rows]
+    assert shown(0) == sorted(ids)
+    assert shown(1) == sorted([*ids[:60], "61", "62", "63", "65", "66", "None", "None"])  # null text is equal to the empty one; 65 is the largest of its text
+    assert shown(2) == sorted([*ids[:60], "61", "62", "63", "65", "None", "None"])
+    plan = mixing.copies(spark.read.parquet(f"{tmp_path}/stage2")).collect()
+    assert Counter(shown(3)) == sum((Counter({str(r["doc_id"]): r["copies"]}) for r in plan), Counter())
+    for source in ("s0", "s1", "s2", None):
+        of = [r for r in plan if r["source"] == source]
+        assert abs(sum(r["copies"] * r["size"] for r in of) - of[0]["target"]) <= max(r["size"] for r in of)
+
+    encode, mixed = packing.encoder(packing.default_vocabulary()), Counter()
+    for r in spark.read.parquet(f"{tmp_path}/stage3").collect():
+        mixed[str(r.doc_id)] += len(encode(r.text)) + 1
+    found = corpus_pipeline.run(spark, folder).collect()
+    packed = Counter()
+    for r in found:
+        packed[str(r.doc_id)] += r.length
+        assert r.length & (r.length - 1) == 0 and 0 < r.length <= 1024 and r.offset == 0
+    assert packed == mixed and len({r.sequence_id for r in found}) == len(found)
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
