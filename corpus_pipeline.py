@@ -1,7 +1,14 @@
 """A training corpus from the documents table: rejects low quality, removes copies, mixes sources and packs sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes a stage's rows as Parquet in the shared
-folder and reads them again as the next stage's docs. All stages but the last return the columns of documents.
+folder and reads them again as the next stage's docs. All stages but the last return the columns of documents, further
+columns of any name included.
+
+Null and empty texts are texts without words: the classifier scores them like any other, exact dedup keeps one of them,
+near dedup links them with nothing, mixing takes them as often as their source's whole copies and they count no words
+there; packing makes one sequence of the end token of each. Rows with a null doc_id teach nothing and are never near copies; each of them goes through. Rows that repeat a doc_id and its text are one
+document to exact dedup, which keeps or drops them together; of those it keeps, near dedup keeps all. An empty table
+gives an empty result, as does a table whose every row is rejected.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-#: The classifier, the rounding draws and the tokenizer are not SQL; tests hold run() against a brute-force version.
+#: The classifier, the rounding draws and the tokenizer are not SQL; tests hold the stages and run() against brute force.
 ORACLE_SQL = None
 
 
