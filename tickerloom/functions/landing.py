@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.functions.newstext import strip
+from tickerloom.functions.newstext import fixed, strip
 
 ZONE = "Asia/Shanghai"
 _LEAD = r"(?U)^\s*(?:【([^】]*)】|\[([^\]]*)\]|〖([^〗]*)〗)\s*"
@@ -55,7 +55,7 @@ def codes_in_text(text: Column, most: int = 100) -> Column:
 
 
 def hundred_millions(value: Column) -> Column:
-    return F.format_string("%.2f亿", value / 1e8)
+    return F.concat(fixed(value / 1e8, 2), F.lit("亿"))
 
 
 def fallback_trade_date(ts: Column) -> Column:

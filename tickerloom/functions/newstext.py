@@ -233,9 +233,14 @@ def score_tag(score: Column) -> Column:
     return F.when(s > 60, F.lit("利好")).when(s < -60, F.lit("利空")).otherwise(F.lit("中性"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals, rounded by its binary value, halves to even; format_string would round its shortest decimal."""
+    return F.replace(F.format_number(x.cast("double"), digits), F.lit(","), F.lit(""))
+
+
 def fmt_num(x: Column) -> Column:
     """At most three decimals, without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.3f", x.cast("double")), r"0+$", ""), r"\.$", "")
+    return F.regexp_replace(F.regexp_replace(fixed(x, 3), r"0+$", ""), r"\.$", "")
 
 
 def md_escape(text: Column) -> Column:

@@ -33,6 +33,23 @@ def recent_bars(bars: DataFrame, pool: DataFrame, end_date: str, limit: int = MI
     return valid_bars(last.join(pool.select(F.col("stock_code").alias("symbol")).distinct(), "symbol"))
 
 
+def as_of_sets(bars: DataFrame, ends: list[str], limit: int = MIN_BARS) -> DataFrame:
+    """The last limit bars of every symbol as of each of ends: bars with end, symbol being symbol@end.
+
+    A bar tells for which ends it is the last one, by the date of the next; those rows ask for the bars before them by
+    number, in an equi-join. Rows grow with the ends, not with the history.
+    """
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    known = bars.withColumns({"__at": F.row_number().over(w), "__next": F.lead("trade_date").over(w)})
+    dates = F.array(*[F.lit(e).cast("date") for e in ends])
+    date, following = F.col("trade_date"), F.col("__next")
+    last_for = F.filter(dates, lambda e: (e >= date) & (following.isNull() | (e < following)))
+    asked = known.select("symbol", "__at", F.explode(last_for).alias("end"))
+    asked = asked.select("symbol", "end", F.explode(F.sequence(F.greatest(F.col("__at") - limit + 1, F.lit(1)), F.col("__at"))).alias("__at"))
+    joined = known.drop("__next").join(asked, ["symbol", "__at"]).drop("__at")
+    return joined.withColumn("symbol", F.concat("symbol", F.lit("@"), F.col("end").cast("string")))
+
+
 def _range(high: str = "high", low: str = "low") -> Column:
     return F.greatest(F.col(high) - F.col(low), F.lit(TINY))
 
@@ -80,16 +97,6 @@ def bar_features(bars: DataFrame) -> DataFrame:
     return out.withColumns({"pivot_high": whole & (F.col("high") >= around["high"]), "pivot_low": whole & (F.col("low") <= around["low"])})
 
 
-def micro_channels(features: DataFrame) -> DataFrame:
-    """symbol, bull_micro and bear_micro: how many of its last bars have lows that don't fall, highs that don't rise."""
-    per = features.groupBy("symbol").agg(
-        F.max("idx").alias("last"),
-        F.coalesce(F.max(F.when(~F.coalesce("rises", F.lit(False)), F.col("idx"))), F.lit(0)).alias("bull_break"),
-        F.coalesce(F.max(F.when(~F.coalesce("falls", F.lit(False)), F.col("idx"))), F.lit(0)).alias("bear_break"),
-    )
-    return per.select("symbol", (F.col("last") - F.col("bull_break") + 1).alias("bull_micro"), (F.col("last") - F.col("bear_break") + 1).alias("bear_micro"))
-
-
 def ema(bars: DataFrame, period: int = EMA_PERIOD) -> DataFrame:
     """symbol and ema, the exponential average of its closes in order of time, seeded by the first.
 
@@ -98,12 +105,16 @@ def ema(bars: DataFrame, period: int = EMA_PERIOD) -> DataFrame:
     alpha = 2.0 / (period + 1)
     closes = F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "close"))), lambda b: b["close"])
     rows = bars.groupBy("symbol").agg(closes.alias("closes"))
-    folded = F.aggregate(F.slice("closes", 2, 100_000), F.get("closes", 0), lambda acc, c: acc + alpha * (c - acc))
+    rest = F.slice("closes", F.lit(2), F.size("closes"))
+    folded = F.aggregate(rest, F.get("closes", 0), lambda acc, c: acc + alpha * (c - acc))
     return rows.select("symbol", folded.alias("ema"))
 
 
 def stock_context(bars: DataFrame) -> DataFrame:
-    """Per symbol: how many bars, first and last date, last close, highest high, lowest low."""
+    """Per symbol: how many bars, first and last date, last close, highest high, lowest low, and the bars themselves in order.
+
+    For bars that a limit per symbol has cut (recent_bars).
+    """
     return bars.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("bars_count"),
         F.min("trade_date").alias("first_date"),
@@ -111,32 +122,20 @@ def stock_context(bars: DataFrame) -> DataFrame:
         F.max_by("close", "trade_date").alias("last_close"),
         F.max("high").alias("max_high"),
         F.min("low").alias("min_low"),
+        F.array_sort(F.collect_list(F.struct("trade_date", "open", "high", "low", "close"))).alias("input_bars"),
     )
 
 
-def market_context(features: DataFrame, averages: DataFrame, last_n: int = 20) -> DataFrame:
-    """Counts over a symbol's last bars, its place in their range, micro channels and whether its bars confuse."""
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("trade_date").desc()))
-    last = features.withColumn("back", place).where(F.col("back") <= last_n)
-    inner = F.col("back") < F.least(F.lit(last_n), F.col("seen"))
-    last = last.withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
-    per = last.groupBy("symbol").agg(
-        F.count_if(F.col("kind") == "bull_trend").alias("bull_bars"),
-        F.count_if(F.col("kind") == "bear_trend").alias("bear_bars"),
-        F.count_if(F.col("kind") == "tr_bar").alias("tr_bars"),
-        F.count_if(inner & F.col("overlap")).alias("overlap_count"),
-        F.count_if(inner & F.col("inside")).alias("inside_count"),
-        F.count_if(F.col("tail_heavy")).alias("heavy_tails"),
-        F.max("high").alias("range_high"),
-        F.min("low").alias("range_low"),
-        F.max_by("close", "trade_date").alias("last_close"),
-        F.avg(F.col("high") - F.col("low")).alias("avg_range"),
-    )
-    per = per.join(micro_channels(features), "symbol").join(averages, "symbol")
-    spread = F.greatest(F.col("range_high") - F.col("range_low"), F.lit(TINY))
-    per = per.withColumn("range_position", (F.col("last_close") - F.col("range_low")) / spread)
-    confusing = (F.col("tr_bars") >= 9) | (F.col("overlap_count") >= 10) | (F.col("inside_count") >= 4) | (F.col("heavy_tails") >= 9) | (F.abs(F.col("bull_bars") - F.col("bear_bars")) <= 2)
-    return per.withColumns({"in_middle": F.col("range_position").between(0.33, 0.67), "confusion": confusing})
+def symbols_distinct(bars: DataFrame) -> DataFrame:
+    """symbol, the name on its newest bar, and that bar's date."""
+    return bars.groupBy("symbol").agg(F.max_by("name", "trade_date").alias("name"), F.max("trade_date").alias("last_date"))
+
+
+def has_trade_date(bars: DataFrame, dates: list[str]) -> DataFrame:
+    """trade_date and present, for every one of dates: a semi join that reads dates alone."""
+    asked = bars.sparkSession.createDataFrame([(d,) for d in dates], "d string").select(F.to_date("d").alias("trade_date"))
+    there = bars.where(F.col("trade_date").isin([F.to_date(F.lit(d)) for d in dates])).select("trade_date").distinct().withColumn("there", F.lit(True))
+    return asked.join(F.broadcast(there), "trade_date", "left").select("trade_date", F.coalesce("there", F.lit(False)).alias("present"))
 
 
 def claim_plan(pool: DataFrame, results: DataFrame, stale_minutes: int = 10) -> DataFrame:
@@ -147,9 +146,9 @@ def claim_plan(pool: DataFrame, results: DataFrame, stale_minutes: int = 10) ->
     copy = F.row_number().over(Window.partitionBy("stock_code").orderBy("sector_rank", "stock_rank"))
     status, age = F.col("analysis_status"), F.col("age_minutes")
     plan = (
-        F.when(F.col("copy") > 1, "skipped_by_other_worker")
+        F.when(status == "succeeded", "skip_succeeded")
+        .when(F.col("copy") > 1, "skipped_by_other_worker")
         .when(status.isNull(), "insert")
-        .when(status == "succeeded", "skip_succeeded")
         .when(status.isin("failed", "skipped_data_insufficient"), "retry")
         .when((status == "running") & (age > stale_minutes), "take_over")
         .otherwise("skip_running")
@@ -157,18 +156,56 @@ def claim_plan(pool: DataFrame, results: DataFrame, stale_minutes: int = 10) ->
     return pool.withColumn("copy", copy).join(results, "stock_code", "left").withColumn("plan", plan).drop("copy")
 
 
-def run_stats(plan: DataFrame) -> DataFrame:
-    return plan.agg(
+def run_stats(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row of counts over claim_plan's rows and the claimed stocks' outcomes (stock_code, analysis_status).
+
+    Succeeded stocks count once each, however many sectors list them; a freshly running one is another worker's.
+    """
+    done = outcomes.select("stock_code", F.col("analysis_status").alias("outcome"))
+    rows = plan.withColumn("claims", F.col("plan").isin("insert", "retry", "take_over")).join(done, "stock_code", "left")
+    ended = lambda s: F.count_if(F.col("claims") & (F.col("outcome") == s))
+    return rows.agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("plan") == "skip_succeeded").alias("pre_skipped_succeeded"),
-        F.count_if(F.col("plan").isin("insert", "retry", "take_over")).alias("to_process"),
-        F.count_if(F.col("plan") == "skip_running").alias("skipped_running"),
-        F.count_if(F.col("plan") == "skipped_by_other_worker").alias("skipped_by_other_worker"),
+        F.count_distinct(F.when(F.col("plan") == "skip_succeeded", F.col("stock_code"))).alias("pre_skipped_succeeded"),
+        F.count_if(F.col("plan") != "skip_succeeded").alias("to_process"),
+        F.count_if("claims").alias("claimed"),
+        *[ended(s).alias(s) for s in STATUSES[1:]],
+        F.count_if(F.col("plan").isin("skip_running", "skipped_by_other_worker")).alias("skipped_by_other_worker"),
     )
 
 
 def sessions_asof(days: DataFrame, calendar: DataFrame) -> DataFrame:
-    """day, its session on or before, and the session before that one; days before the first session have no row."""
-    known = calendar.withColumn("previous", F.lag("session").over(Window.orderBy("session")))  # a row per trading day
-    joined = days.join(F.broadcast(known), F.col("session") <= F.col("day"))
-    return joined.groupBy("day").agg(F.max("session").alias("session"), F.max_by("previous", "session").alias("previous"))
+    """days (a column day, any others) with session, the one on or before it, and previous, the one before that; rows
+    before the first session are dropped.
+
+    Every session stands for the days until the next one, so this is an equi-join with a row per calendar day; days
+    after the last session take that one, a single row.
+    """
+    w = Window.orderBy("session")  # a row per trading day
+    known = calendar.select("session", F.lag("session").over(w).alias("previous"), F.lead("session").over(w).alias("next"))
+    filled = known.where("next IS NOT NULL").select("session", "previous", F.explode(F.sequence("session", F.date_sub("next", 1))).alias("day"))
+    last = known.where("next IS NULL").select(F.col("session").alias("last_session"), F.col("previous").alias("last_previous"))
+    joined = days.join(filled, "day", "left").join(F.broadcast(last))
+    late = F.col("day") >= F.col("last_session")
+    out = joined.withColumns({"session": F.when(late, F.col("last_session")).otherwise(F.col("session")), "previous": F.when(late, F.col("last_previous")).otherwise(F.col("previous"))})
+    return out.where("session IS NOT NULL").drop("last_session", "last_previous")
+
+
+def trade_dates(moments: DataFrame, calendar: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
+    """moments (a column ts, epoch seconds) with the trading dates that hold then.
+
+    trade_date and prev_trade_date: of the local day from nine o'clock on, else of the day before. morning_date and
+    morning_prev: of the local day at any hour. is_session: whether the local day is one. target_date: trade_date on a
+    session day, else prev_trade_date, so on a Saturday the session before Friday's, as the source of these rules has it.
+    """
+    local = F.from_utc_timestamp(F.timestamp_seconds("ts"), zone)
+    day = F.to_date(local)
+    days = moments.select(day.alias("day")).distinct()
+    days = days.union(days.select(F.date_sub("day", 1))).distinct()
+    known = sessions_asof(days, calendar)
+    here = known.select(F.col("day").alias("__day"), F.col("session").alias("morning_date"), F.col("previous").alias("morning_prev"))
+    by_hour = known.select(F.col("day").alias("__at"), F.col("session").alias("trade_date"), F.col("previous").alias("prev_trade_date"))
+    rows = moments.withColumns({"__day": day, "__at": F.when(F.hour(local) >= 9, day).otherwise(F.date_sub(day, 1))})
+    out = rows.join(here, "__day", "left").join(by_hour, "__at", "left")
+    is_session = F.coalesce(F.col("morning_date") == F.col("__day"), F.lit(False))
+    return out.withColumns({"is_session": is_session, "target_date": F.when(is_session, F.col("trade_date")).otherwise(F.col("prev_trade_date"))}).drop("__day", "__at")

@@ -67,6 +67,57 @@ bars_supp AS (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, date_trunc('mon
   FROM lineitem GROUP BY ALL)"""
 
 
+def bars_flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars_supp with flaws: high and low swapped in some symbols' Mays, no close in others' Aprils."""
+    bars = bars_supp(spark, sf_dir)
+    key, month = F.col("symbol").cast("int") % 20, F.month("trade_date")
+    swap = (key == 3) & (month == 5)
+    return bars.select(
+        "symbol",
+        "trade_date",
+        "open",
+        F.when(swap, F.col("low")).otherwise(F.col("high")).alias("high"),
+        F.when(swap, F.col("high")).otherwise(F.col("low")).alias("low"),
+        F.when(~((key == 7) & (month == 4)), F.col("close")).alias("close"),
+    )
+
+
+def bars_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars_supp with its noise bounded and a course per symbol: rising, falling, turning up once or after a double bottom."""
+    bars = bars_supp(spark, sf_dir)
+    key = F.col("symbol").cast("int") % 5
+    month = (F.year("trade_date") - 1992) * 12 + F.month("trade_date")
+
+    def bend(m):
+        k = m % 40
+        twice = F.when(k < 16, 16 - k).when(k < 20, k - 16).when(k < 24, 24 - k).otherwise(k - 24)
+        return 1500.0 + F.when(key == 0, m * 6.0).when(key == 1, m * -6.0).when(key == 3, twice * 7.0).otherwise(F.abs((m + key * 5) % 40 - 22) * 7.0)
+
+    # A bar takes the middle half of its month's step, so that steps leave gaps between quiet bars; before they turn, bars are wide.
+    falls = F.when(key == 3, month % 40 < 16).otherwise((key > 1) & ((month + key * 5) % 40 < 22))
+    scale = F.when(falls, 12.0).otherwise(0.3 * (F.col("symbol").cast("int") % 7 + 1))
+    start, step = bend(month), bend(month + 1) - bend(month)
+    shifts = {"open": 0.25, "high": F.when(step > 0, 0.75).otherwise(0.25), "low": F.when(step > 0, 0.25).otherwise(0.75), "close": 0.75}
+    return bars.select("symbol", "trade_date", *[(F.col(c) / (F.col(c) + 1000.0) * scale + start + step * by).alias(c) for c, by in shifts.items()])
+
+
+def _bend_sql(m: str) -> str:
+    k = f"({m} % 40)"
+    twice = f"CASE WHEN {k} < 16 THEN 16 - {k} WHEN {k} < 20 THEN {k} - 16 WHEN {k} < 24 THEN 24 - {k} ELSE {k} - 24 END"
+    return f"(1500.0::DOUBLE + CASE key WHEN 0 THEN {m} * 6.0::DOUBLE WHEN 1 THEN {m} * -6.0::DOUBLE WHEN 3 THEN ({twice}) * 7.0::DOUBLE ELSE abs(({m} + key * 5) % 40 - 22) * 7.0::DOUBLE END)"
+
+
+DRIFT = f"""bars_drift AS (SELECT symbol, trade_date, open / (open + 1000.0::DOUBLE) * scale + b0 + step * 0.25::DOUBLE AS open,
+  high / (high + 1000.0::DOUBLE) * scale + b0 + step * CASE WHEN step > 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS high,
+  low / (low + 1000.0::DOUBLE) * scale + b0 + step * CASE WHEN step > 0 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS low, close / (close + 1000.0::DOUBLE) * scale + b0 + step * 0.75::DOUBLE AS close
+  FROM (SELECT *, CASE WHEN (key = 3 AND m % 40 < 16) OR (key IN (2, 4) AND (m + key * 5) % 40 < 22) THEN 12.0::DOUBLE ELSE 0.3::DOUBLE * (symbol::INT % 7 + 1) END AS scale,
+    {_bend_sql("m")} AS b0, {_bend_sql("(m + 1)")} - {_bend_sql("m")} AS step
+  FROM (SELECT *, symbol::INT % 5 AS key, (year(trade_date) - 1992) * 12 + month(trade_date) AS m FROM bars_supp)))"""
+
+FLAWED = """bars_flawed AS (SELECT symbol, trade_date, open, CASE WHEN symbol::INT % 20 = 3 AND month(trade_date) = 5 THEN low ELSE high END AS high,
+  CASE WHEN symbol::INT % 20 = 3 AND month(trade_date) = 5 THEN high ELSE low END AS low, CASE WHEN symbol::INT % 20 = 7 AND month(trade_date) = 4 THEN NULL ELSE close END AS close FROM bars_supp)"""
+
+
 def stock_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sector, sector_rank, stock_rank, stock_code, stock_name, s_suppkey: suppliers ranked within their nations."""
     rows = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -84,6 +135,17 @@ stock_pool AS (SELECT n_name AS sector, sector_rank, row_number() OVER (PARTITIO
   lpad(s_suppkey::VARCHAR, 6, '0') AS stock_code, s_name AS stock_name, s_suppkey FROM pool_rows JOIN pool_sectors USING (n_name))"""
 
 
+def pool_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stock_pool with every seventh stock listed in a further sector too."""
+    pool = stock_pool(spark, sf_dir)
+    again = pool.where(F.col("s_suppkey") % 7 == 0).withColumns({"sector": F.lit("ALSO"), "sector_rank": F.lit(99)})
+    return pool.unionByName(again)
+
+
+POOL_TWICE = """pool_twice AS (SELECT sector, sector_rank, stock_rank, stock_code, stock_name, s_suppkey FROM stock_pool
+  UNION ALL SELECT 'ALSO', 99, stock_rank, stock_code, stock_name, s_suppkey FROM stock_pool WHERE s_suppkey % 7 = 0)"""
+
+
 def tech_results(pool: DataFrame) -> DataFrame:
     """stock_code, analysis_status and minutes since its update, by s_suppkey % 5; the fifth part has no row."""
     kind = F.col("s_suppkey") % 5
