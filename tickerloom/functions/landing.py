@@ -79,7 +79,3 @@ def unique_lines(text: Column) -> Column:
     """Squeezed lines of text, empty ones dropped, each kept where it stands first."""
     lines = F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(" ")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
     return F.array_distinct(F.filter(lines, lambda x: x != ""))
-
-
-def link_targets(html: Column, pattern: str = r'href="(/[^"]*)"') -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), 1)))

@@ -258,3 +258,9 @@ def iso_date(text: Column) -> Column:
     """yyyyMMdd or ISO text as a date; null for anything else."""
     t = strip(text)
     return F.coalesce(F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd")), F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")))
+
+
+def normalize_date(text: Column) -> Column:
+    """yyyyMMdd as yyyy-MM-dd, any other text trimmed but as it is, blank as null."""
+    t = strip(text)
+    return F.when(t == "", None).when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))).otherwise(t)

@@ -80,8 +80,10 @@ def after_cursor(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.where(F.col("newest").isNull() | (F.col("publish_ts") >= F.col("newest"))).drop("of", "newest")
 
 
-def document_for(docs: DataFrame, day: str) -> DataFrame:
-    """The document whose trade_date is day, else whose analysis_date is, else the newest of all."""
-    at = F.lit(day).cast("date")
-    rank = F.when(F.col("trade_date") == at, 0).when(F.col("analysis_date") == at, 1).otherwise(2)
-    return docs.orderBy(rank, F.col("analysis_date").desc(), F.col("updated_at").desc()).limit(1)
+def feeds_union(feeds: list[DataFrame]) -> DataFrame:
+    """Rows of several feeds in order of time; equal times keep the order of feeds."""
+    out = None
+    for i, feed in enumerate(feeds):
+        rows = feed.withColumn("__feed", F.lit(i))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.orderBy("publish_ts", "__feed", "event_id").drop("__feed")

@@ -35,7 +35,6 @@ QUERIES = {
     "fallback_trade_date": lambda spark, sf: news(spark, sf).select("event_id", L.fallback_trade_date(F.col("publish_ts")).alias("trade_date")),
     "land_batch_clean": lambda spark, sf: L.batch_clean(news(spark, sf).withColumn("event_id", F.concat("title", F.lit("-"), F.pmod(F.col("publish_ts"), F.lit(97)).cast("string")))).select("event_id", "publish_ts"),
     "clean_unique_lines": lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(L.unique_lines(F.col("text")), "\n")).alias("lines_md5"), F.size(L.unique_lines(F.col("text"))).alias("n_lines")),
-    "sector_list_dedup": lambda spark, sf: table(spark, sf, "pages").select(F.explode(L.link_targets(F.col("html"))).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("n_pages")),
     "ranking_digest": _digest,
 }
 
@@ -56,6 +55,5 @@ SELECT event_id, (day - CASE WHEN isodow(day) = 6 THEN 1 WHEN isodow(day) = 7 TH
 u AS (SELECT doc_id, trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ') AS line, min(i) AS i FROM l GROUP BY 1, 2 HAVING trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ') <> ''),
 g AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS lines, count(*) AS n FROM u GROUP BY doc_id)
 SELECT d.doc_id, md5(coalesce(g.lines, '')) AS lines_md5, coalesce(g.n, 0)::INT AS n_lines FROM documents d LEFT JOIN g USING (doc_id)""",
-    "sector_list_dedup": """SELECT link, count(*) AS n_pages FROM (SELECT unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS link FROM pages) GROUP BY link""",
     "ranking_digest": f"""WITH {NEWS}, {NOW}, {PREF_NOW} SELECT string_agg(rank || '. ' || sector || ' | score=' || regexp_replace(regexp_replace(printf('%.3f', round(final_score, 2)), '0+$', ''), '\\.$', '') || ' | news=' || news_count, chr(10) ORDER BY rank) AS digest FROM pref WHERE rank <= 5""",
 }
