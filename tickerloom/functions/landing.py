@@ -51,13 +51,17 @@ def market_prefix(symbol: Column) -> Column:
 
 def codes_in_text(text: Column, most: int = 100) -> Column:
     """Distinct six-digit codes in order of appearance, the first most of them."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b\d{6}\b"), 0)), 1, most)
+    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\b\d{6}\b"), 0)), 1, most)
 
 
 def hundred_millions(value: Column) -> Column:
     return F.concat(fixed(value / 1e8, 2), F.lit("亿"))
 
 
+def hundred_million_shares(value: Column) -> Column:
+    return F.concat(hundred_millions(value), F.lit("股"))
+
+
 def fallback_trade_date(ts: Column) -> Column:
     """The weekday a local time belongs to: weekends fall back to Friday, before nine o'clock to the weekday before."""
     local = F.from_utc_timestamp(F.timestamp_seconds(ts), ZONE)
@@ -67,15 +71,19 @@ def fallback_trade_date(ts: Column) -> Column:
     return F.date_sub(day, back)
 
 
-def batch_clean(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """Rows with content, one per event_id (the newest), newest first, at most so many."""
-    place = F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("publish_ts").desc()))
-    out = rows.where((strip(F.col("content")) != "") & F.col("publish_ts").isNotNull()).withColumn("place", place).where("place = 1").drop("place")
-    out = out.orderBy(F.col("publish_ts").desc(), "event_id")
+def batch_clean(rows: DataFrame, arrival: str, most: int | None = None) -> DataFrame:
+    """Rows with content, of each event_id the first by arrival, newest first, at most so many."""
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy(arrival))
+    out = rows.where((F.coalesce("content", F.lit("")) != "") & F.col("publish_ts").isNotNull()).withColumn("place", place).where("place = 1").drop("place")
+    out = out.orderBy(F.col("publish_ts").desc(), arrival)
     return out.limit(most) if most else out
 
 
+# Lines with these are scripts, not text.
+SCRIPTS = ("window.location.href", "document.domain")
+
+
 def unique_lines(text: Column) -> Column:
-    """Squeezed lines of text, empty ones dropped, each kept where it stands first."""
+    """Squeezed lines of text, empty ones and scripts dropped, each kept where it stands first."""
     lines = F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(" ")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
-    return F.array_distinct(F.filter(lines, lambda x: x != ""))
+    return F.array_distinct(F.filter(lines, lambda x: (x != "") & ~x.contains(SCRIPTS[0]) & ~x.contains(SCRIPTS[1])))

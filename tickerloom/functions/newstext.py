@@ -31,15 +31,16 @@ DEDUP_NOISE = (
 TEMPLATE_TITLES = (r"^金十图示", r"^新闻联播今日要点", r"^今日要点$", r"^金十数据$", r"^财联社$", r"^快讯$")
 
 # Sector names in order of precedence.
-SECTORS = tuple(
-    """半导体 白酒 白色家电 保险 包装印刷 厨卫电器 电池 电机 电力 电网设备 多元金融 电子化学品
-    房地产 风电设备 非金属材料 服装家纺 纺织制造 工程机械 光伏设备 贵金属 轨交设备 港口航运 公路铁路运输 钢铁 光学光电子 工业金属
-    环保设备 环境治理 互联网电商 黑色家电 化学纤维 化学原料 化学制品 化学制药 IT服务 机场航运 军工电子 军工装备 家居用品 计算机设备
-    金属新材料 教育 建筑材料 建筑装饰 零售 旅游及酒店 美容护理 煤炭开采加工 贸易 农产品加工 农化制品 能源金属
-    汽车服务及其他 汽车零部件 汽车整车 其他电源设备 其他电子 其他社会服务 软件开发 燃气 塑料制品 食品加工制造 生物制品 石油加工贸易
-    通信服务 通信设备 通用设备 文化传媒 物流 消费电子 小家电 小金属 橡胶制品 元件 医疗服务 医疗器械 饮料制造 油气开采及服务 影视院线 游戏 银行 医药商业
-    养殖业 自动化设备 综合 证券 中药 专用设备 造纸 种植业与林业""".split()
-)
+SECTORS = (
+    "半导体", "白酒", "白色家电", "保险", "包装印刷", "厨卫电器", "电池", "电机", "电力", "电网设备", "多元金融", "电子化学品",
+    "房地产", "风电设备", "非金属材料", "服装家纺", "纺织制造", "工程机械", "光伏设备", "贵金属", "轨交设备", "港口航运", "公路铁路运输", "钢铁",
+    "光学光电子", "工业金属", "环保设备", "环境治理", "互联网电商", "黑色家电", "化学纤维", "化学原料", "化学制品", "化学制药", "IT服务", "机场航运",
+    "军工电子", "军工装备", "家居用品", "计算机设备", "金属新材料", "教育", "建筑材料", "建筑装饰", "零售", "旅游及酒店", "美容护理", "煤炭开采加工",
+    "贸易", "农产品加工", "农化制品", "能源金属", "汽车服务及其他", "汽车零部件", "汽车整车", "其他电源设备", "其他电子", "其他社会服务", "软件开发", "燃气",
+    "塑料制品", "食品加工制造", "生物制品", "石油加工贸易", "通信服务", "通信设备", "通用设备", "文化传媒", "物流", "消费电子", "小家电", "小金属",
+    "橡胶制品", "元件", "医疗服务", "医疗器械", "饮料制造", "油气开采及服务", "影视院线", "游戏", "银行", "医药商业", "养殖业", "自动化设备",
+    "综合", "证券", "中药", "专用设备", "造纸", "种植业与林业",
+)
 # Other names of sectors, in order of precedence.
 ALIASES = {
     "猪肉": "养殖业", "生猪": "养殖业", "猪价": "养殖业", "猪周期": "养殖业", "养猪": "养殖业", "养殖": "养殖业", "白电": "白色家电",
@@ -76,22 +77,47 @@ CONTENT_RULES = (
     (r"(通信设备|光模块|基站|交换机)", "通信设备"),
 )
 # Words of strong events, of official sources, and events strong by themselves.
-POSITIVE = tuple("收储 补贴 回购 增持 中标 签约 获批 批准 订单 提价 涨价 上调 降息 降准 减税 免税 落地 正式实施 量产 突破 首个 首次 扩产 投产 并购 收购 超预期".split())
-NEGATIVE = tuple("处罚 立案 违约 爆雷 停产 召回 减持 制裁 封禁 禁运 退市 裁员 下修 终止 取消订单 砍单 亏损扩大 暴雷 调查 断供 事故 停牌".split())
-OFFICIAL = tuple("国务院 国家发改委 发改委 财政部 工信部 商务部 央行 证监会 国家能源局 农业农村部 卫健委".split())
-HARD_EVENTS = tuple("收储 中标 量产 获批 回购 增持 提价 涨价 降息 降准 停产 处罚 立案 制裁 订单 断供".split())
+POSITIVE = (
+    "收储", "补贴", "回购", "增持", "中标", "签约", "获批", "批准", "订单", "提价", "涨价", "上调", "降息", "降准",
+    "减税", "免税", "落地", "正式实施", "量产", "突破", "首个", "首次", "扩产", "投产", "并购", "收购", "超预期",
+)
+NEGATIVE = (
+    "处罚", "立案", "违约", "爆雷", "停产", "召回", "减持", "制裁", "封禁", "禁运", "退市", "裁员", "下修", "终止",
+    "取消订单", "砍单", "亏损扩大", "暴雷", "调查", "断供", "事故", "停牌",
+)
+OFFICIAL = (
+    "国务院", "国家发改委", "发改委", "财政部", "工信部", "商务部", "央行", "证监会", "国家能源局", "农业农村部", "卫健委",
+)
+HARD_EVENTS = (
+    "收储", "中标", "量产", "获批", "回购", "增持", "提价", "涨价", "降息", "降准", "停产", "处罚", "立案", "制裁",
+    "订单", "断供",
+)
 NO_REASON = "未返回有效分析理由。"
 
 
+#: Unicode's white space; as a list of characters it is trimmed without a regular expression.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
+
+
+#: The last three noise patterns only take characters away, so they are one class of characters.
+_SITES, _CHARACTERS = DEDUP_NOISE[:-3], "[" + "".join(p.strip("[]+") if p != r"\s+" else WHITE for p in (DEDUP_NOISE[-3], r"\s+")) + DEDUP_NOISE[-2][1:-1] + "]+"
+_SITE_NAMES = ("财联社", "金十数据", "同花顺")
 
 
 def dedup_text(text: Column) -> Column:
-    out = strip(text)
-    for pattern in DEDUP_NOISE:
-        out = F.regexp_replace(out, "(?U)" + pattern, "")
-    return F.lower(out)
+    """text in the form that is compared; only texts that name a feed go through the feeds' patterns."""
+    out = plain = strip(text)
+    for pattern in _SITES:
+        # White space by its characters: (?U) makes every class of a pattern slow.
+        out = F.regexp_replace(out, "(?U)" + pattern if "\\d" in pattern else pattern.replace("\\s", f"[{WHITE}]"), "")
+    named = plain.contains(_SITE_NAMES[0])
+    for name in _SITE_NAMES[1:]:
+        named = named | plain.contains(name)
+    return F.lower(F.regexp_replace(F.when(named, out).otherwise(plain), _CHARACTERS, ""))
 
 
 def dedup_title_ok(title: Column) -> Column:
@@ -175,6 +201,20 @@ def coerce_int(text: Column, default: int = 0) -> Column:
     return F.coalesce(F.regexp_extract(F.coalesce(text, F.lit("")), r"-?\d+", 0).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
+def json_int(value: Column, default: int = 0) -> Column:
+    """An integer of a JSON value (a variant): numbers rounded, halves to even; of other text the first integer; default
+    for true, false, null and text without one."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    number = F.rint(F.try_variant_get(value, "$", "double")).cast("bigint")
+    return F.when(kind.isin("BOOLEAN", "VOID") | value.isNull(), F.lit(default).cast("bigint")).when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), number).otherwise(coerce_int(text, default))
+
+
+def json_list(value: Column) -> Column:
+    """A JSON list of names, or a text that lists them; null for nothing."""
+    items = F.filter(F.transform(F.try_variant_get(value, "$", "array<string>"), strip), lambda x: x != "")
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.when(F.size(items) > 0, items)).otherwise(coerce_list(F.try_variant_get(value, "$", "string")))
+
+
 def coerce_list(text: Column) -> Column:
     """A list written as text, or null."""
     t = strip(text)
@@ -209,6 +249,20 @@ def score_postprocess(score: Column, sectors: Column, content: Column) -> Column
     return F.when((clamped == 0) & (F.size(F.coalesce(sectors, F.array().cast("array<string>"))) > 0) & (way != 0), way * size).otherwise(clamped)
 
 
+def analysis_payload(told: Column, content: Column, subjects: Column) -> Column:
+    """struct(score, reason, companies, sectors) of what a scorer told, a JSON object in text: coerced, cleaned, completed.
+
+    A missing reason becomes NO_REASON, companies are distinct, sectors are normalised, a zero score takes the direction
+    of the words. Null where told holds no object.
+    """
+    v = F.try_parse_json(extract_json(told))
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    reason = F.coalesce(F.nullif(strip(F.try_variant_get(v, "$.reason", "string")), F.lit("")), F.lit(NO_REASON))
+    sectors = norm_sector_list(json_list(field("sectors")), content, subjects)
+    score = score_postprocess(json_int(field("score")), sectors, content)
+    return F.when(v.isNotNull(), F.struct(score.cast("int").alias("score"), reason.alias("reason"), F.array_distinct(json_list(field("companies"))).alias("companies"), sectors.alias("sectors")))
+
+
 def needs_repair(content: Column, raw_sectors: Column, sectors: Column, raw_score: Column) -> Column:
     none = F.array().cast("array<string>")
     raw, kept = F.size(F.coalesce(raw_sectors, none)) > 0, F.size(F.coalesce(sectors, none)) > 0
@@ -251,7 +305,8 @@ def md_escape(text: Column) -> Column:
 
 
 def join_list(items: Column) -> Column:
-    return F.when(F.size(F.coalesce(items, F.array().cast("array<string>"))) > 0, F.array_join(items, "、")).otherwise(F.lit("None"))
+    names = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), strip), lambda x: x != "")
+    return F.when(F.size(names) > 0, F.array_join(names, "、")).otherwise(F.lit("None"))
 
 
 def iso_date(text: Column) -> Column:
@@ -264,3 +319,21 @@ def normalize_date(text: Column) -> Column:
     """yyyyMMdd as yyyy-MM-dd, any other text trimmed but as it is, blank as null."""
     t = strip(text)
     return F.when(t == "", None).when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))).otherwise(t)
+
+
+def safe_float(text: Column, default: float = 0.0) -> Column:
+    return F.coalesce(text.try_cast("double"), F.lit(default))
+
+
+def safe_int(text: Column, default: int = 0) -> Column:
+    """A number's whole part."""
+    return F.coalesce(text.try_cast("double").try_cast("bigint"), F.lit(default).cast("bigint"))
+
+
+def positive_int(text: Column, default: int) -> Column:
+    n = safe_int(text, default)
+    return F.when(n > 0, n).otherwise(F.lit(default).cast("bigint"))
+
+
+def non_negative_int(text: Column) -> Column:
+    return F.greatest(safe_int(text), F.lit(0).cast("bigint"))

@@ -22,3 +22,33 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
         return F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
 
     return joined.select(*[value(c) for c in old.columns])
+
+
+def upsert_news(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored news with new rows over it by event_id, whole rows at a time; of a repeated id in new the newest counts."""
+    return upsert(old, newest(new, ["event_id"], "publish_ts"), ["event_id"])
+
+
+def newest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Of rows with equal keys the one greatest in by; rows are pre-aggregated, so a hot key costs a row per task."""
+    others = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(by, F.xxhash64(*others))).alias("__row"))
+    return best.select(*keys, "__row.*").select(rows.columns)
+
+
+def upsert_daily(old: DataFrame, new: DataFrame, key: str = "biz_date", text_key: bool = False) -> DataFrame:
+    """Documents of a day, one per key: created_at stays as it was first, everything else is the new document's.
+
+    A null key is an error, as is a blank one where the key is text: the task that meets it fails.
+    """
+    missing = F.col(key).isNull() | (F.trim(key) == "") if text_key else F.col(key).isNull()
+    checked = new.withColumn(key, F.when(missing, F.raise_error(F.lit(f"{key} must not be blank")).cast(new.schema[key].dataType)).otherwise(F.col(key)))
+    return upsert(old, checked, [key], keep=("created_at",))
+
+
+def record_outcomes(old: DataFrame, outcomes: DataFrame, now: str) -> DataFrame:
+    """Result rows by (trade_date, stock_code) with the outcomes of a run: id and created_at stay, a success clears the error."""
+    error = F.when(F.col("analysis_status") != "succeeded", F.col("error_message"))
+    at = F.lit(now).cast("timestamp")
+    new = outcomes.withColumns({"error_message": error, "updated_at": at, "created_at": at})
+    return upsert(old, new.select(old.columns), ["trade_date", "stock_code"], keep=("id", "created_at"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import bars as B
 from tickerloom.operators import decision as D
 from tickerloom.operators import price_action as P
-from tickerloom.operators.search import local_date
-from tickerloom.operators.store import upsert
+from tickerloom.operators.store import record_outcomes, upsert
 from tickerloom.sources.views import (
     BARS,
     CALENDAR,
@@ -75,6 +74,13 @@ def _merged(spark, sf):
     return upsert(old, new, ["symbol", "trade_date"], keep=("created_by",))
 
 
+def _outcomes(spark, sf):
+    """Stored results of the batch's day with the outcomes of a run over them."""
+    stored = tech_results(stock_pool(spark, sf)).select(F.lit(END).cast("date").alias("trade_date"), "stock_code", F.concat(F.lit("id-"), "stock_code").alias("id"), F.lit("1998-06-15 08:00:00").cast("timestamp").alias("created_at"), F.lit("1998-06-15 08:00:00").cast("timestamp").alias("updated_at"), "analysis_status", F.lit("old").alias("error_message"))
+    new = _batch(spark, sf).select(F.lit(END).cast("date").alias("trade_date"), "stock_code", F.concat(F.lit("new-"), "stock_code").alias("id"), "analysis_status", "error_message")
+    return record_outcomes(stored, new, "1998-06-15 09:30:00").withColumns({c: F.date_format(c, "HH:mm").alias(c) for c in ("created_at", "updated_at")})
+
+
 def _moments(spark, sf):
     """publish_ts of news shifted over the calendar's years, weekends and hours included."""
     return news(spark, sf).select("event_id", (F.col("publish_ts") - F.col("event_id").cast("long") % 1500 * 86400).alias("ts"))
@@ -124,6 +130,7 @@ QUERIES = {
     "chart_text": lambda spark, sf: D.chart_text(bars_supp(spark, sf)),
     "decision_markdown": lambda spark, sf: D.markdown(D.analysed(bars_supp(spark, sf))).select("symbol", "formatted_markdown"),
     "stock_tech_batch": lambda spark, sf: _batch(spark, sf).drop("input_bars"),
+    "outcome_writes": _outcomes,
     "market_scan": _scan,
     "scan_summary": lambda spark, sf: D.scan_summary(_scan(spark, sf)),
 }
@@ -338,6 +345,8 @@ FROM c LEFT JOIN f a ON a.d = day LEFT JOIN f h ON h.d = by_hour""",
 SELECT symbol, {_CHART} AS chart FROM s4 JOIN five USING (symbol)""",
     "decision_markdown": f"{_OF_SUPP}, {_DECIDED} SELECT symbol, {_MARKDOWN} AS formatted_markdown FROM decided",
     "stock_tech_batch": f"{_BATCH_OUT} SELECT * FROM batch",
+    "outcome_writes": f"""{_BATCH_OUT} SELECT DATE '{END}' AS trade_date, coalesce(r.stock_code, o.stock_code) AS stock_code, coalesce('id-' || r.stock_code, 'new-' || o.stock_code) AS id, CASE WHEN r.stock_code IS NULL THEN '09:30' ELSE '08:00' END AS created_at,
+  CASE WHEN o.stock_code IS NULL THEN '08:00' ELSE '09:30' END AS updated_at, coalesce(o.analysis_status, r.analysis_status) AS analysis_status, CASE WHEN o.stock_code IS NULL THEN 'old' ELSE o.error_message END AS error_message FROM tech_results r FULL JOIN batch o ON o.stock_code = r.stock_code""",
     "market_scan": f"{_SCAN_OUT} SELECT * FROM scan",
     "scan_summary": f"""{_SCAN_OUT} SELECT count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (conclusion = '买') AS buy, count(*) FILTER (conclusion = '不买') AS not_buy,
   count(*) FILTER (status = 'skipped_data_insufficient') AS skipped_data_insufficient, count(*) FILTER (status = 'skipped_invalid_current_snapshot') AS skipped_invalid_current_snapshot, count(*) FILTER (status = 'failed') AS failed FROM scan""",

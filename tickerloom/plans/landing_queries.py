@@ -17,6 +17,19 @@ def _bracketed(spark, sf):
     return rows.select("event_id", title.alias("title"), content.alias("content"))
 
 
+def _met(spark, sf):
+    """News in order of arrival, many sharing an id, some without content or time."""
+    n = F.col("event_id").cast("long")
+    rows = news(spark, sf).withColumns({"met": n, "content": F.when(n % 10 == 3, "").otherwise(F.col("content")), "publish_ts": F.when(n % 10 != 4, F.col("publish_ts"))})
+    return rows.withColumn("event_id", F.concat("title", F.lit("-"), (F.col("met") % 97).cast("string")))
+
+
+def _scripted():
+    """Documents' texts with script lines of two kinds and blanks of three."""
+    tail = F.concat(F.lit("\n\u00a0 tail \t x \nvar a = window.location.href;\nif (document.domain) {}\ntail x\nn"), (F.col("doc_id") % 3).cast("string"))
+    return F.concat(F.coalesce("text", F.lit("")), tail)
+
+
 def _digest(spark, sf):
     top = S.ranking_payload(S.investment_preference(news(spark, sf), ASOF), 5)
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), "sector", F.lit(" | score="), fmt_num(F.col("final_score")), F.lit(" | news="), F.col("news_count").cast("string"))
@@ -31,10 +44,10 @@ QUERIES = {
     "hhmm_to_ts": lambda spark, sf: news(spark, sf).select("event_id", L.clock_to_epoch(F.substring(L.clock_text(F.col("publish_ts")), 1, 5), ASOF).alias("ts")),
     "market_prefix": lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", F.coalesce(L.market_prefix(F.lpad(F.col("o_custkey").cast("string"), 6, "9")), F.lit(-1)).alias("market")),
     "codes_in_text": lambda spark, sf: table(spark, sf, "pages").select("page_id", F.array_join(L.codes_in_text(F.concat("html", F.lit(" 600519 000001 600519 "), F.lpad(F.col("page_id").cast("string"), 6, "3"))), ",").alias("codes")),
-    "snapshot_display": lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", L.hundred_millions(F.col("o_orderkey") * 123456.0).alias("shown")),
+    "snapshot_display": lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", L.hundred_millions(F.col("o_orderkey") * 123456.0).alias("shown"), L.hundred_million_shares(F.col("o_totalprice") * 1000).alias("shares")),
     "fallback_trade_date": lambda spark, sf: news(spark, sf).select("event_id", L.fallback_trade_date(F.col("publish_ts")).alias("trade_date")),
-    "land_batch_clean": lambda spark, sf: L.batch_clean(news(spark, sf).withColumn("event_id", F.concat("title", F.lit("-"), F.pmod(F.col("publish_ts"), F.lit(97)).cast("string")))).select("event_id", "publish_ts"),
-    "clean_unique_lines": lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(L.unique_lines(F.col("text")), "\n")).alias("lines_md5"), F.size(L.unique_lines(F.col("text"))).alias("n_lines")),
+    "land_batch_clean": lambda spark, sf: L.batch_clean(_met(spark, sf), "met", 300).select("event_id", "publish_ts", "met"),
+    "clean_unique_lines": lambda spark, sf: table(spark, sf, "documents").select("doc_id", L.unique_lines(_scripted()).alias("lines")).select("doc_id", F.md5(F.array_join("lines", "\n")).alias("lines_md5"), F.size("lines").alias("n_lines")),
     "ranking_digest": _digest,
 }
 
@@ -47,12 +60,14 @@ ORACLES = {
     "market_prefix": "SELECT o_orderkey, CASE WHEN substr(lpad(o_custkey::VARCHAR, 6, '9'), 1, 1) IN ('5', '6', '9') THEN 1 WHEN substr(lpad(o_custkey::VARCHAR, 6, '9'), 1, 1) IN ('0', '1', '2', '3', '4', '8') THEN 0 ELSE -1 END AS market FROM orders",
     "codes_in_text": r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html || ' 600519 000001 600519 ' || lpad(page_id::VARCHAR, 6, '3'), '\b[0-9]{6}\b')) AS code, generate_subscripts(regexp_extract_all(html || ' 600519 000001 600519 ' || lpad(page_id::VARCHAR, 6, '3'), '\b[0-9]{6}\b'), 1) AS i FROM pages),
 g AS (SELECT page_id, code, min(i) AS i FROM c GROUP BY page_id, code), f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM g QUALIFY k <= 100) SELECT page_id, string_agg(code, ',' ORDER BY i) AS codes FROM f GROUP BY page_id""",
-    "snapshot_display": "SELECT o_orderkey, printf('%.2f', o_orderkey * 123456.0::DOUBLE / 1e8::DOUBLE) || '亿' AS shown FROM orders",
+    "snapshot_display": "SELECT o_orderkey, printf('%.2f', o_orderkey * 123456.0::DOUBLE / 1e8::DOUBLE) || '亿' AS shown, printf('%.2f', o_totalprice * 1000 / 1e8::DOUBLE) || '亿股' AS shares FROM orders",
     "fallback_trade_date": f"""WITH {NEWS}, d AS (SELECT event_id, {_LOCAL}::DATE AS day, extract(hour FROM {_LOCAL}) < 9 AS early FROM news)
 SELECT event_id, (day - CASE WHEN isodow(day) = 6 THEN 1 WHEN isodow(day) = 7 THEN 2 WHEN early AND isodow(day) = 1 THEN 3 WHEN early THEN 1 ELSE 0 END::INT)::DATE AS trade_date FROM d""",
-    "land_batch_clean": f"WITH {NEWS} SELECT title || '-' || (publish_ts % 97) AS event_id, max(publish_ts) AS publish_ts FROM news GROUP BY 1",
-    "clean_unique_lines": """WITH l AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(160), ' '), chr(10))) AS line, generate_subscripts(string_split(replace(coalesce(text, ''), chr(160), ' '), chr(10)), 1) AS i FROM documents),
-u AS (SELECT doc_id, trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ') AS line, min(i) AS i FROM l GROUP BY 1, 2 HAVING trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ') <> ''),
+    "land_batch_clean": f"""WITH {NEWS}, m AS (SELECT event_id::BIGINT AS met, title || '-' || (event_id::BIGINT % 97) AS event_id, publish_ts FROM news WHERE event_id::BIGINT % 10 NOT IN (3, 4) AND content <> '')
+SELECT * FROM (SELECT event_id, publish_ts, met FROM m QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY met) = 1) ORDER BY publish_ts DESC, met LIMIT 300""",
+    "clean_unique_lines": """WITH x AS (SELECT doc_id, replace(coalesce(text, '') || chr(10) || chr(160) || ' tail ' || chr(9) || ' x ' || chr(10) || 'var a = window.location.href;' || chr(10) || 'if (document.domain) {}' || chr(10) || 'tail x' || chr(10) || 'n' || (doc_id % 3), chr(160), ' ') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM x),
+u AS (SELECT doc_id, trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ') AS line, min(i) AS i FROM l WHERE NOT contains(line, 'window.location.href') AND NOT contains(line, 'document.domain') GROUP BY 1, 2 HAVING trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ') <> ''),
 g AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS lines, count(*) AS n FROM u GROUP BY doc_id)
 SELECT d.doc_id, md5(coalesce(g.lines, '')) AS lines_md5, coalesce(g.n, 0)::INT AS n_lines FROM documents d LEFT JOIN g USING (doc_id)""",
     "ranking_digest": f"""WITH {NEWS}, {NOW}, {PREF_NOW} SELECT string_agg(rank || '. ' || sector || ' | score=' || regexp_replace(regexp_replace(printf('%.3f', round(final_score, 2)), '0+$', ''), '\\.$', '') || ' | news=' || news_count, chr(10) ORDER BY rank) AS digest FROM pref WHERE rank <= 5""",

@@ -13,9 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, publish_ts, source, title, content, subjects, score, companies, sectors."""
+def news(spark: SparkSession, sf_dir: str, only_id: int | None = None) -> DataFrame:
+    """event_id, publish_ts, source, title, content, subjects, score, companies, sectors; only_id: of one event, by its own
+    key, so that both scans skip what can't hold it."""
     events = table(spark, sf_dir, "events")
+    if only_id is not None:
+        events = events.where(F.col("event_id") == only_id)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kind, user = F.col("event_type"), F.col("user_id")
     return events.join(docs, F.col("event_id") == F.col("doc_id"), "left").select(
