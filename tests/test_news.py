@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions import newstext as X
 from tickerloom.operators import bars, sectors, story_dedup
 from tickerloom.operators.components import components
-from tickerloom.operators.store import upsert
+from tickerloom.operators.store import upsert, upsert_daily, upsert_news
 from tickerloom.streaming import ingest
 
 NOW = 1_700_000_000
@@ -156,5 +156,48 @@ def test_stream_drops_late_rows_per_source(spark, tmp_path):
     news(spark, [{"event_id": "a", "publish_ts": NOW, "content": text + "one"}, {"event_id": "b", "publish_ts": NOW, "source": "jin10", "content": text + "one"}]).coalesce(1).write.parquet(source)
     ingest.start(spark, source, store, checkpoint).awaitTermination(120)
     news(spark, [{"event_id": "c", "publish_ts": NOW - 1, "content": text + "two"}, {"event_id": "d", "publish_ts": NOW, "content": text + "three"}, {"event_id": "a", "publish_ts": NOW, "content": text + "four"}]).coalesce(1).write.mode("append").parquet(source)
-    ingest.start(spark, source, store, checkpoint).awaitTermination(120)
-    assert sorted(r.event_id for r in spark.read.parquet(store).collect()) == ["a", "d"]
+    ingest.start(spark, source, store, checkpoint, views=True).awaitTermination(120)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{store}/rows").collect()) == ["a", "d"]
+    assert spark.read.parquet(f"{store}/views/batch=1").count() == 0  # no sectors in these rows
+
+
+def test_stream_state_names_live_batches_only(spark, tmp_path):
+    source, store, checkpoint = (str(tmp_path / x) for x in ("in", "store", "check"))
+    for k in range(4):
+        rows = [{"event_id": f"{k}", "publish_ts": NOW + k * 40 * 86400, "sectors": ["银行"], "score": 50, "content": f"a long enough story about thing number {k}"}]
+        news(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        ingest.start(spark, source, store, checkpoint, views=True).awaitTermination(120)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{store}/rows").collect()) == ["0", "1", "2", "3"]
+    assert [r.batch for r in spark.read.schema(ingest.STATE_SCHEMA).parquet(f"{store}/state/batch=3").collect()] == [3]
+    views = {r.view: r for r in spark.read.parquet(f"{store}/views/batch=3").collect()}
+    assert {v: (r.sector, r.news_count) for v, r in views.items()} == {v: ("银行", 1) for v in ("summary", "preference", "heat")}
+
+
+def test_failed_scores_are_neutral(spark):
+    def scorer(batches):
+        for rows in batches:
+            if rows["content"].str.contains("bad").any():
+                raise ValueError("no answer")
+            yield rows.assign(score=77)
+
+    rows = news(spark, [{"content": "good one", "score": 5}, {"content": "bad one", "score": 5}, {"content": " ", "score": 5, "sectors": ["银行"]}, {"content": None, "score": 5}]).coalesce(1)
+    got = {r.event_id: r.score for r in rows.mapInPandas(ingest.guarded(scorer), ingest.NEWS_SCHEMA).collect()}
+    assert got == {"0": 77, "1": 0, "2": 0, "3": 0}
+
+
+def test_merges_keep_what_they_must(spark):
+    old = spark.createDataFrame([("2024-01-01", 1, "first")], "biz_date string, n int, created_at string")
+    new = spark.createDataFrame([("2024-01-01", 2, "second"), ("2024-01-02", 3, "second")], "biz_date string, n int, created_at string")
+    assert {tuple(r) for r in upsert_daily(old, new, text_key=True).collect()} == {("2024-01-01", 2, "first"), ("2024-01-02", 3, "second")}
+    for blank in (" ", None):
+        with pytest.raises(Exception, match="must not be blank"):
+            upsert_daily(old, spark.createDataFrame([(blank, 2, "x")], "biz_date string, n int, created_at string"), text_key=True).collect()
+    rows = news(spark, [{"event_id": "a", "score": 1}, {"event_id": "a", "score": 2, "publish_ts": NOW + 1}])
+    assert [(r.event_id, r.score) for r in upsert_news(news(spark, []), rows).collect()] == [("a", 2)]
+    assert [(r.event_id, r.score) for r in upsert_news(rows.where("score = 2"), rows.where("score = 1")).collect()] == [("a", 1)]
+
+
+def test_dedup_text_restated(spark):
+    cases = {" 财联社4月5日电，A b。 ": "ab", "[金十数据]：Story - 金十数据  ": "story", "财联社讯 x": "财联社讯x".replace("财联社", ""), "a　b\u00a0(同花顺)": "ab", "no feed – here": "nofeed–here", None: ""}
+    rows = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert all(r.got == r.want for r in rows.withColumn("got", X.dedup_text(F.col("t"))).collect())

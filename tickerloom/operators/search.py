@@ -73,13 +73,18 @@ def new_events_only(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(stored.select("event_id"), "event_id", "left_anti")
 
 
-def after_cursor(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Drops rows older than the newest stored of their source; the equal second stays. A row per source is broadcast."""
-    newest = stored.groupBy(F.col("source").alias("of")).agg(F.max("publish_ts").alias("newest"))
-    joined = incoming.join(F.broadcast(newest), F.col("source") == F.col("of"), "left")
+def past_cursor(incoming: DataFrame, cursor: DataFrame) -> DataFrame:
+    """Drops rows older than their source's cursor (source, newest); the equal second stays. A row per source is broadcast."""
+    known = cursor.select(F.col("source").alias("of"), "newest")
+    joined = incoming.join(F.broadcast(known), F.col("source") == F.col("of"), "left")
     return joined.where(F.col("newest").isNull() | (F.col("publish_ts") >= F.col("newest"))).drop("of", "newest")
 
 
+def after_cursor(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Drops rows older than the newest stored of their source."""
+    return past_cursor(incoming, stored.groupBy("source").agg(F.max("publish_ts").alias("newest")))
+
+
 def feeds_union(feeds: list[DataFrame]) -> DataFrame:
     """Rows of several feeds in order of time; equal times keep the order of feeds."""
     out = None

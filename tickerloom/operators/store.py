@@ -29,10 +29,11 @@ def upsert_news(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, newest(new, ["event_id"], "publish_ts"), ["event_id"])
 
 
-def newest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Of rows with equal keys the one greatest in by; rows are pre-aggregated, so a hot key costs a row per task."""
+def newest(rows: DataFrame, keys: list[str], by: str, earliest: bool = False) -> DataFrame:
+    """Of rows with equal keys the one greatest (or least) in by; rows are pre-aggregated, so a hot key costs a row per task."""
     others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(by, F.xxhash64(*others))).alias("__row"))
+    pick = F.min_by if earliest else F.max_by
+    best = rows.groupBy(*keys).agg(pick(F.struct(*others), F.struct(by, F.xxhash64(*others))).alias("__row"))
     return best.select(*keys, "__row.*").select(rows.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators import sectors as S
 from tickerloom.sources.views import ASOF, NEWS, news
+from tickerloom.streaming.ingest import rebuilt_views
 
 AT = ASOF
 
@@ -59,6 +60,7 @@ QUERIES = {
     "ranking_payload": lambda spark, sf: S.ranking_payload(S.investment_preference(news(spark, sf), AT)),
     "ranking_days": lambda spark, sf: _days(spark, sf).select("biz_date", "sector", "rank", "news_count", "final_score"),
     "ranking_asof": lambda spark, sf: S.ranking_asof(_days(spark, sf), "2026-12-31").select("biz_date", "sector", "rank", "final_score"),
+    "rebuilt_views": lambda spark, sf: rebuilt_views(news(spark, sf), AT),
     "ranking_history": lambda spark, sf: S.ranking_history(_days(spark, sf), "2024-01-29"),
 }
 
@@ -73,6 +75,8 @@ ORACLES = {
     "heat_dominant_events": f"WITH {NEWS}, {NOW} SELECT sector, string_agg(event_id, ',' ORDER BY k) AS event_ids FROM (SELECT sector, event_id, row_number() OVER (PARTITION BY sector ORDER BY age_h, publish_ts DESC, event_id) AS k FROM per) WHERE k <= 5 GROUP BY sector",
     "event_window": f"WITH {NEWS} SELECT event_id, publish_ts, source, score FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF}",
     "ranking_payload": f"WITH {NEWS}, {NOW}, {PREF_NOW} SELECT sector, rank, round(final_score, 2) AS final_score, news_count FROM pref WHERE rank <= 12",
+    "rebuilt_views": f"""WITH {NEWS}, {NOW}, {PREF_NOW}, {HEAT_NOW} SELECT 'summary' AS view, trim(sector) AS sector, NULL::INT AS rank, count(*) AS news_count, sum(coalesce(score, 0))::DOUBLE AS score FROM (SELECT score, unnest(list_distinct(sectors)) AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF}) GROUP BY ALL
+UNION ALL SELECT 'preference', sector, rank, news_count, round(final_score, 2) FROM pref UNION ALL SELECT 'heat', sector, rank, news_count, round(final_score, 2) FROM heat""",
     "ranking_days": f"WITH {NEWS}, {_DAYS} SELECT biz_date, sector, rank, news_count, final_score FROM pref",
     "ranking_asof": f"WITH {NEWS}, {_DAYS} SELECT biz_date, sector, rank, final_score FROM pref WHERE biz_date = DATE '{LAST}'",
     "ranking_history": f"WITH {NEWS}, {_DAYS} SELECT p.sector, t.rank AS top_rank, p.biz_date, p.rank, p.final_score, p.news_count FROM pref p JOIN pref t ON t.sector = p.sector AND t.biz_date = DATE '2024-01-29' AND t.rank <= 5 WHERE p.biz_date BETWEEN DATE '2024-01-23' AND DATE '2024-01-29'",

@@ -8,16 +8,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickerloom.functions.newstext import norm_sector_list, score_postprocess
-from tickerloom.operators.search import after_cursor, new_events_only
+from tickerloom.operators.search import new_events_only, past_cursor
+from tickerloom.operators.sectors import WINDOW_S, event_window, investment_preference, market_heat, sector_summary
+from tickerloom.operators.store import newest
 from tickerloom.operators.story_dedup import greedy
+from tickerloom.sources.scratch import scratch_table
 
 NEWS_SCHEMA = "event_id string, publish_ts bigint, source string, title string, content string, subjects array<string>, score int, companies array<string>, sectors array<string>"
 
+STATE_SCHEMA = "batch bigint, source string, newest bigint"
+#: How far before the oldest cursor stored ids are looked up.
+HORIZON_S = 30 * 86400
+
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -31,25 +38,86 @@ def cleaned(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sectors", sectors).withColumn("score", score_postprocess(F.col("score"), F.col("sectors"), F.col("content")))
 
 
-def ingest_batch(batch: DataFrame, stored: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """The rows of a micro-batch that are to be stored."""
-    fresh = new_events_only(after_cursor(batch.dropDuplicates(["event_id"]), stored), stored)
-    kept = greedy(fresh)
+def guarded(scorer: Scorer) -> Scorer:
+    """scorer for rows with content; a row that it fails on, and one without content, gets a neutral score and no lists."""
+
+    def neutral(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(score=0, companies=None, sectors=None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            told = rows["content"].fillna("").str.strip() != ""
+            yield neutral(rows[~told])
+            try:
+                yield from list(scorer(iter([rows[told]])))
+            except Exception:  # whatever a scorer raises: find the rows it fails on
+                for i in range(int(told.sum())):
+                    one = rows[told].iloc[i : i + 1]
+                    try:
+                        yield from list(scorer(iter([one])))
+                    except Exception:
+                        yield neutral(one)
+
+    return run
+
+
+def ingest_batch(batch: DataFrame, cursor: DataFrame, stored_ids: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+    """The rows of a micro-batch that are to be stored: not older than their source's cursor, of ids not stored yet, each id
+    once (its earliest row), stories once. cursor: source and newest, a row per source; stored_ids: event_id."""
+    once = newest(batch, ["event_id"], "publish_ts", earliest=True)
+    kept = greedy(scratch_table(new_events_only(past_cursor(once, cursor), stored_ids)))
     if scorer:
-        kept = kept.mapInPandas(scorer, NEWS_SCHEMA)
+        kept = kept.mapInPandas(guarded(scorer), NEWS_SCHEMA)
     return cleaned(kept)
 
 
-def start(spark: SparkSession, source: str, store: str, checkpoint: str, scorer: Scorer | None = None) -> StreamingQuery:
+def rebuilt_views(news: DataFrame, asof: Column | int) -> DataFrame:
+    """The three sector views at asof as one table: view, sector, rank, news_count and score (the summary's sum, else the
+    ranking's final score to two digits)."""
+    window = event_window(news, asof)
+    row = lambda view, df, score: df.select(F.lit(view).alias("view"), "sector", "rank", F.col("news_count").cast("bigint").alias("news_count"), score.cast("double").alias("score"))
+    summary = sector_summary(window, asof).withColumn("rank", F.lit(None).cast("int"))
+    out = row("summary", summary, F.col("score_sum"))
+    for view, ranking in (("preference", investment_preference(window, asof)), ("heat", market_heat(window, asof))):
+        out = out.unionByName(row(view, ranking, F.round("final_score", 2)))
+    return out
+
+
+def start(spark: SparkSession, source: str, store: str, checkpoint: str, scorer: Scorer | None = None, horizon_s: int | None = HORIZON_S, views: bool = False) -> StreamingQuery:
     """Ingests what has landed at source into the Parquet store, then stops; run again for what lands later.
 
-    A batch writes its own folder in the store and overwrites it if it is replayed, so each row is stored once.
+    A batch writes rows/batch=n, with views views/batch=n, and state/batch=n: per source and batch that is still looked
+    at, its newest time. It reads only the state before it and the batches named there, so its cost does not grow with
+    the history. Ids are looked up in batches up to horizon_s before the oldest cursor (None: in all). A batch that is
+    replayed overwrites its folders, so each row is stored once.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        before = [f"{store}/batch={i}" for i in range(number)]
         session = batch.sparkSession
-        stored = session.read.schema(NEWS_SCHEMA).parquet(*before) if before else session.createDataFrame([], NEWS_SCHEMA)
-        ingest_batch(batch, stored, scorer).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        state = session.read.schema(STATE_SCHEMA).parquet(f"{store}/state/batch={number - 1}").collect() if number else []  # a row per source and live batch
+        cursor: dict[str, int] = {}
+        for r in state:
+            cursor[r["source"]] = max(r["newest"], cursor.get(r["source"], r["newest"]))
+        low = min(cursor.values()) - horizon_s if cursor and horizon_s is not None else None
+        live = sorted({r["batch"] for r in state if low is None or r["newest"] >= low})
+        empty = session.createDataFrame([], NEWS_SCHEMA)
+        stored = session.read.schema(NEWS_SCHEMA).parquet(*[f"{store}/rows/batch={i}" for i in live]) if live else empty
+        cursors = session.createDataFrame(list(cursor.items()), "source string, newest bigint")
+        path = f"{store}/rows/batch={number}"
+        ingest_batch(batch, cursors, stored.select("event_id"), scorer).write.mode("overwrite").parquet(path)
+        rows = session.read.schema(NEWS_SCHEMA).parquet(path)
+        ends = rows.groupBy("source").agg(F.max("publish_ts").alias("newest")).select(F.lit(number).cast("bigint").alias("batch"), "source", "newest").collect()  # a row per source
+        now = [tuple(r) for r in [*state, *ends]]
+        top = {}
+        for _, name, ts in now:
+            top[name] = max(ts, top.get(name, ts))
+        floor = min(top.values()) - max(horizon_s, WINDOW_S) if top and horizon_s is not None else None
+        kept = [r for r in now if floor is None or r[2] >= floor or r[2] == top[r[1]]]
+        session.createDataFrame(kept, STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{store}/state/batch={number}")
+        if views and top:
+            asof = max(top.values())
+            recent = sorted({r[0] for r in kept if r[2] >= asof - WINDOW_S})
+            seen = session.read.schema(NEWS_SCHEMA).parquet(*[f"{store}/rows/batch={i}" for i in recent])
+            rebuilt_views(seen, asof).coalesce(1).write.mode("overwrite").parquet(f"{store}/views/batch={number}")
 
     return landed(spark, source).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
