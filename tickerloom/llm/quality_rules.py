@@ -152,3 +152,18 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text,
 b AS (SELECT *, ({" + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(RULES.values()))})::BIGINT AS fail_bits FROM m)
 SELECT *, fail_bits & {POLICIES["base"]} <> 0 AS base_failed, fail_bits & {POLICIES[CURRENT]} = 0 AS kept FROM b
 """
+
+
+def _ablations_oracle(policy: str = CURRENT) -> str:
+    """The ablations from the failing conditions themselves, rule by rule, without the bits."""
+    force = [(name, failing) for i, (name, failing) in enumerate(RULES.items()) if POLICIES[policy] >> i & 1]
+    others = {name: " OR ".join(f"({c})" for n, c in force if n != name) for name, _ in force}
+    every = " OR ".join(f"({c})" for _, c in force)
+    rows = [
+        f"SELECT '{name}' AS rule, count(*) FILTER ({c}) AS n_failed, count(*) FILTER (({c}) AND NOT ({others[name]})) AS n_failed_alone, count(*) FILTER (NOT ({every})) AS n_kept, count(*) FILTER (NOT ({others[name]})) AS n_kept_without FROM b"
+        for name, c in force
+    ]
+    return ORACLE.rpartition("SELECT *, fail_bits &")[0] + " UNION ALL ".join(rows)
+
+
+ABLATIONS_ORACLE = _ablations_oracle()

@@ -90,6 +90,7 @@ ORACLES = {
     "op2_warc": warc.ORACLE,
     "op3_url_reputation": url_reputation.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op4_ablations": quality_rules.ABLATIONS_ORACLE,
     "op5_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
