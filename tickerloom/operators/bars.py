@@ -138,6 +138,11 @@ def has_trade_date(bars: DataFrame, dates: list[str]) -> DataFrame:
     return asked.join(F.broadcast(there), "trade_date", "left").select("trade_date", F.coalesce("there", F.lit(False)).alias("present"))
 
 
+def not_loaded(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of trading dates of which nothing is stored yet: what a resumed load still has to do."""
+    return rows.join(stored.select("trade_date").distinct(), "trade_date", "left_anti")
+
+
 def claim_plan(pool: DataFrame, results: DataFrame, stale_minutes: int = 10) -> DataFrame:
     """What a run does with every pool row: succeeded and freshly running stocks are skipped, others are (re)tried.
 

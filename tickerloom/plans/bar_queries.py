@@ -107,6 +107,7 @@ QUERIES = {
     "results_by_date": lambda spark, sf: _batch(spark, sf).where("sector_rank IN (1, 2, 99)").orderBy("sector_rank", "stock_rank", "stock_code").select("sector", "sector_rank", "stock_rank", "stock_code", "analysis_status"),
     "symbols_distinct": lambda spark, sf: B.symbols_distinct(bars_supp(spark, sf).withColumn("name", F.concat("symbol", F.lit("/"), F.year("trade_date").cast("string")))),
     "has_trade_date": lambda spark, sf: B.has_trade_date(bars_supp(spark, sf), [END, TODAY, "1994-12-01"]),
+    "skip_loaded": lambda spark, sf: B.not_loaded(bars_supp(spark, sf).select("symbol", "trade_date"), bars_flawed(spark, sf).where("close IS NULL")),
     "sessions_asof": lambda spark, sf: B.sessions_asof(spark.read.parquet(f"{sf}/orders.parquet").select(F.to_date("o_orderdate").alias("day")).distinct(), calendar(spark, sf)),
     "trade_dates": lambda spark, sf: B.trade_dates(_moments(spark, sf), calendar(spark, sf)).drop("ts"),
     "upsert_bars": _merged,
@@ -317,6 +318,7 @@ SELECT count(*) AS total, count(DISTINCT stock_code) FILTER (plan = 'skip_succee
     "results_by_date": f"{_BATCH_OUT} SELECT sector, sector_rank, stock_rank, stock_code, analysis_status FROM batch WHERE sector_rank IN (1, 2, 99)",
     "symbols_distinct": f"WITH {BARS} SELECT symbol, symbol || '/' || max(year(trade_date)) AS name, max(trade_date) AS last_date FROM bars_supp GROUP BY symbol",
     "has_trade_date": f"WITH {BARS} SELECT d AS trade_date, d IN (SELECT trade_date FROM bars_supp) AS present FROM (VALUES (DATE '{END}'), (DATE '{TODAY}'), (DATE '1994-12-01')) AS k(d)",
+    "skip_loaded": f"WITH {BARS}, {FLAWED} SELECT symbol, trade_date FROM bars_supp WHERE trade_date NOT IN (SELECT trade_date FROM bars_flawed WHERE close IS NULL)",
     "sessions_asof": f"""WITH {BARS}, {CALENDAR}, k AS (SELECT session, lag(session) OVER (ORDER BY session) AS previous FROM calendar)
 SELECT day, max(session) AS session, arg_max(previous, session) AS previous FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) JOIN k ON session <= day GROUP BY day""",
     "trade_dates": f"""{_SESSIONS}, m AS (SELECT event_id, publish_ts - event_id::BIGINT % 1500 * 86400 AS ts FROM news), l AS (SELECT event_id, (to_timestamp(ts) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR) AS lt FROM m),
