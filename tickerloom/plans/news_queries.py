@@ -279,3 +279,20 @@ SELECT event_id, component, source FROM (SELECT news.event_id, coalesce(label, n
 
 
 ORACLES["story_dedup_transitive"] = _transitive_sql()
+
+
+def _greedy_sql(rounds: int = 8) -> str:
+    """Homes of rows in order of arrival: each round a row takes the least home that its keys had before it; more rounds than
+    these tables need."""
+    steps, last = [], "h0"
+    for i in range(1, rounds + 1):
+        steps.append(f"""w{i} AS (SELECT event_id, min(home) OVER (PARTITION BY key ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ka JOIN {last} USING (event_id)),
+h{i} AS (SELECT event_id, least({last}.home, coalesce(min(before), {last}.home)) AS home FROM {last} JOIN w{i} USING (event_id) GROUP BY event_id, {last}.home)""")
+        last = f"h{i}"
+    return f"""WITH {NEWS}, {_KEYS}, arr AS (SELECT event_id, row_number() OVER (ORDER BY publish_ts, CASE source WHEN 'cls' THEN 1 WHEN 'jin10' THEN 2 ELSE 3 END, event_id) AS place FROM news),
+ka AS (SELECT event_id, key, place FROM keys JOIN arr USING (event_id)), h0 AS (SELECT DISTINCT event_id, place AS home FROM ka), {", ".join(steps)},
+best AS (SELECT news.event_id, publish_ts, source, home, row_number() OVER (PARTITION BY home ORDER BY length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) DESC, (source = 'cls')::INT DESC, publish_ts DESC, place) AS rank FROM news JOIN arr USING (event_id) JOIN {last} USING (event_id))
+SELECT event_id, publish_ts, source FROM best WHERE rank = 1 UNION ALL SELECT event_id, publish_ts, source FROM news WHERE event_id NOT IN (SELECT event_id FROM keys)"""
+
+
+ORACLES["story_dedup_greedy"] = _greedy_sql()
