@@ -9,7 +9,8 @@ terms are found without listing variants. Words that training rows show to be in
 quotation where it has quote marks or a reporting word (reporting words are those that training rows show beside
 matches in texts that are not toxic). Counts of direct, misspelled and quoted matches feed a ridge logistic model.
 
-A term stands in LEAST_DOCS toxic texts at least, with a lift that is significant at LEAST_Z; no share is asked for.
+A term stands in LEAST_DOCS toxic texts at least, with a lift that is significant among all the terms tested
+(BY_ACCIDENT); no share is asked for.
 Fitting uses about SAMPLE labelled rows (by hash of doc_id); scoring reads every text. MAX_TERMS bounds the memory of the
 lexicon, and of the reporting words: whatever it leaves out is counted in a warning (nothing on the tables given).
 
@@ -26,6 +27,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 from zlib import crc32
 
 import numpy as np
@@ -33,15 +35,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.llm.common import written
+
 _log = logging.getLogger(__name__)
 
 SAMPLE = 20_000
 MAX_TERMS = 10_000
 THRESHOLD = 0.7
 WINDOW = 6
-#: A term's least document frequency among toxic texts, its least lift, and how many standard deviations (signed root of
-#: the likelihood ratio) it lies above no lift at all.
-LEAST_DOCS, LEAST_LIFT, LEAST_Z = 5, 6.0, 4.5
+#: A term's least document frequency among toxic texts, its least lift, and the chance that any of the terms tested passes
+#: by accident: its lift lies so many standard deviations (signed root of the likelihood ratio) above none that all the
+#: tests together keep to this chance.
+LEAST_DOCS, LEAST_LIFT, BY_ACCIDENT = 5, 6.0, 0.05
 STEMS = range(3, 9)
 HELD = 300_000
 FEATURES = ("any", "direct", "direct_density", "spread", "misspelled", "quoted", "length")
@@ -63,12 +68,33 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 9 else 2
 
 
+def _shortened(word: str, most: int) -> set[str]:
+    """word without up to most of its letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Trie:
-    """Lexicon terms as nested dictionaries; a term ending in * is a stem, any continuation of it matches."""
+    """Lexicon terms as nested dictionaries; a term ending in * is a stem, any continuation of it matches.
+
+    Two words within k edits share a word that both become by k deletions at most, so the automaton need only walk for
+    words that share one with a term: that test loses no match and spares most words the walk.
+    """
 
     def __init__(self, terms: list[str]) -> None:
         self.root: dict = {}
         self.bodies = [term.rstrip("*") for term in terms]
+        #: Shortened terms by the edits they are found within, with their lengths; those of stems; beginnings to be looked at.
+        self.whole = {k: (set().union(*[_shortened(b, k) for b in bs]), min(map(len, bs)) - k, max(map(len, bs)) + k) for k in (1, 2) if (bs := [b for b in self.bodies if edits_allowed(len(b)) == k])}
+        stems = [b for b, term in zip(self.bodies, terms, strict=True) if term.endswith("*") and len(b) >= 5]
+        self.heads = set().union(*[_shortened(b, 1) for b in stems])
+        self.head_lengths = sorted({len(b) + d for b in stems for d in (-1, 0, 1)})
+        #: First three letters of the shortened terms that one deletion, and that two lead to: most words fail on these.
+        self.near_starts = {v[:3] for v in self.heads} | {v[:3] for v in (self.whole[1][0] if 1 in self.whole else ())}
+        self.far_starts = {v[:3] for v in (self.whole[2][0] if 2 in self.whole else ())}
         for i, (term, body) in enumerate(zip(terms, self.bodies, strict=True)):
             node, most = self.root, edits_allowed(len(body))
             node[_MOST] = max(node.get(_MOST, 0), most)
@@ -90,6 +116,8 @@ class Trie:
                 return 0, node[_END]
         if stem is not None:
             return 0, stem
+        if not self._possible(word):
+            return None
         # A state is (node, its letter, row, the row before): row[j] is the distance between the trie's path and word[:j].
         width, best = len(word) + 1, None
         stack = [(self.root, "", list(range(width)), None)]
@@ -117,6 +145,23 @@ class Trie:
                     stack.append((child, ch, new, row))
         return best
 
+    def _possible(self, word: str) -> bool:
+        """Whether word, or a beginning of it, shares a shortened form with a term. Of a word from four letters on, a form
+        with one letter less begins with three of its first four letters, one with two less with three of its first five."""
+        n = len(word)
+        a, b, c, d, e = (word + "     ")[:5]
+        if n < 4 or not self.near_starts.isdisjoint((a + b + c, b + c + d, a + c + d, a + b + d)):
+            near, least, most = self.whole.get(1, ((), 1, 0))
+            if least <= n <= most and not near.isdisjoint(_shortened(word, 1)):
+                return True
+            if any(not self.heads.isdisjoint(_shortened(word[:p], 1)) for p in self.head_lengths if p <= n):
+                return True
+        far, least, most = self.whole.get(2, ((), 1, 0))
+        if not least <= n <= most:
+            return False
+        starts = (a + b + c, a + b + d, a + b + e, a + c + d, a + c + e, a + d + e, b + c + d, b + c + e, b + d + e, c + d + e)
+        return not self.far_starts.isdisjoint(starts) and not far.isdisjoint(_shortened(word, 2))
+
     def _beheaded(self, word: str, term: int) -> bool:
         """Whether word is a term of five letters or fewer without its first: too often another word."""
         body = self.bodies[term]
@@ -256,11 +301,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     seen = rows.mapInArrow(tally, "term string, label int, n bigint").groupBy("term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")
     )
+    seen = written(seen.where(F.col("a") + F.col("b") >= LEAST_DOCS), "toxicity-terms")
+    least_z = NormalDist().inv_cdf(1 - BY_ACCIDENT / max(seen.count(), 1))
     share = (F.col("a") + 0.5) / n1
     lift = share / ((F.col("b") + 0.5) / n0)
     expected = (F.col("a") + F.col("b")) * n1 / (n1 + n0)
     evidence = F.col("a") * F.log(F.col("a") / expected) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (F.col("a") + F.col("b") - expected))).otherwise(0)
-    strong = seen.where((F.col("a") >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (2 * evidence >= LEAST_Z**2)).withColumn("z", F.log(lift) * F.sqrt("a"))
+    strong = seen.where((F.col("a") >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (2 * evidence >= least_z**2)).withColumn("z", F.log(lift) * F.sqrt("a"))
     # A term's words and stems make up to a few candidates each.
     found = _bounded(strong.orderBy(F.col("z").desc(), F.length("term").desc(), "term"), 10 * MAX_TERMS, "lexicon candidates")
     terms = distinct_terms([(r["term"], r["a"]) for r in found])
