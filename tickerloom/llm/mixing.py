@@ -40,24 +40,39 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("source", "doc_id", word_count(F.col("text")).alias("size")).groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _in_order(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """rows sorted over all partitions and written, with part, the place of a row's partition in that order."""
+    return written(rows.orderBy(*order).withColumn("part", F.spark_partition_id()), label)
+
+
+def _sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """_in_order()'s rows with the sums over all rows before each: within its part by a window, before it by the parts'
+    totals. No window sees more than a part of the rows or a row per part."""
+    totals = rows.groupBy("part").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the sort has partitions
+    offsets = totals.select("part", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_offset") for name in sums])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(offsets), "part")
+    return out.withColumns({name: F.col(f"{name}_offset") + F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sums.items()}).drop("part", *[f"{name}_offset" for name in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """A row per source: source, source_size, target, source_rows.
 
     Targets are the level L at which min(cap, L * weight) sums to all words. With sources in order of cap / weight,
     the level that holds if the first k are at their caps rises until the right k and falls after it, so L is the
-    largest of them. The windows see one row per source, not documents.
+    largest of them. Sources are ranked and summed in order over all partitions, however many there are.
     """
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("source_rows"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.lit(float(max_copies)) * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    here_on = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(here_on))
-    per = per.withColumn("level", F.max("level").over(everything))
-    return per.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"), "source_rows")
+    by_name = [F.col("source").asc_nulls_last()]
+    per = _sums_before(_in_order(per, by_name, "mix-names"), by_name, {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("cap", F.lit(float(max_copies)) * F.col("source_size")).drop("place")
+    by_ratio = [F.col("cap") / F.col("weight"), *by_name]
+    per = written(_sums_before(_in_order(per, by_ratio, "mix-ratios"), by_ratio, {"caps": F.col("cap"), "weights": F.col("weight")}), "mix-sources")
+    whole = per.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weights"))
+    level = per.join(F.broadcast(whole)).agg(F.max((F.col("all_words") - F.col("caps")) / (F.col("all_weights") - F.col("weights"))).alias("level"))
+    return per.join(F.broadcast(level)).select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"), "source_rows")
 
 
 def _meet(acc: Column, x: Column) -> Column:
