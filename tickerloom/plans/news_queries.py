@@ -159,7 +159,8 @@ QUERIES = {
     "new_events_only": lambda spark, sf: search.new_events_only(_split(spark, sf)[1], _split(spark, sf)[0]).select("event_id", "publish_ts"),
     "after_cursor": lambda spark, sf: search.after_cursor(_split(spark, sf)[1], _split(spark, sf)[0]).select("event_id", "publish_ts", "source"),
     "biz_date": lambda spark, sf: news(spark, sf).groupBy(search.local_date(F.col("publish_ts")).alias("biz_date")).agg(F.count(F.lit(1)).alias("n")),
-    "dedup_text": lambda spark, sf: table(spark, sf, "documents").select("doc_id", X.dedup_text(_sited(F.col("text"), F.col("doc_id"))).alias("text")).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("length")),
+    "dedup_text": lambda spark, sf: table(spark, sf, "documents").select("doc_id", X.dedup_text(F.col("text")).alias("text")).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("length")),
+    "dedup_text_feeds": lambda spark, sf: table(spark, sf, "events").select("event_id", X.dedup_text(_sited(F.concat("event_type", F.lit(" "), "props"), F.col("event_id"))).alias("text")),
     "dedup_title_ok": lambda spark, sf: _text(spark, sf).select("event_id", X.dedup_title_ok(_titles()).alias("ok")),
     "dedup_keys": lambda spark, sf: story_dedup.with_keys(news(spark, sf)).select("event_id", F.explode("keys").alias("key")).select("event_id", F.md5("key").alias("key_md5")),
     "dedup_key_overlap": lambda spark, sf: story_dedup.shared_key_pairs(news(spark, sf)).select(F.md5("key").alias("key_md5"), "n_rows", "first_id"),
@@ -196,7 +197,7 @@ def _held(text: str, words) -> str:
 
 
 _N = "event_id::BIGINT"
-_SITED = f"""({_pick(("", "财联社1月12日电，", "金十数据3月4日讯:", "[金十数据]", "财联社：", "同花顺9月30日讯，", "[同花顺],", "头 金十数据1月2日讯，"), "doc_id")} || coalesce(text, '') || {_pick(("", " - 金十数据 ", "—财联社", " 金十数据", "财联社", " — 同花顺", "同花顺", "（同花顺） ", "“引”"), "doc_id // 3")})"""
+_SITED = f"""({_pick(("", "财联社1月12日电，", "金十数据3月4日讯:", "[金十数据]", "财联社：", "同花顺9月30日讯，", "[同花顺],", "头 金十数据1月2日讯，"), "event_id")} || event_type || ' ' || coalesce(props, '') || {_pick(("", " - 金十数据 ", "—财联社", " 金十数据", "财联社", " — 同花顺", "同花顺", "（同花顺） ", "“引”"), "event_id // 3")})"""
 _SPREAD = "substr({x}, 1, 1) || '、 ' || substr({x}, 2, 20)"
 _NAME = f"""(CASE {_N} // 90 % 9 WHEN 0 THEN '　' || {_pick(X.SECTORS, _N)} WHEN 1 THEN '某' || {_pick(X.SECTORS, _N)} || '公司' WHEN 2 THEN {_SPREAD.format(x=_pick(X.SECTORS, _N))} WHEN 3 THEN {_SPREAD.format(x=_pick(tuple(X.ALIASES), _N))}
   WHEN 4 THEN '近期' || {_pick(tuple(X.ALIASES), _N)} || '板块' WHEN 5 THEN 'x' || event_id WHEN 6 THEN ' ' WHEN 8 THEN 'ETF-' || {_pick(tuple(X.ALIASES), _N)} END)"""
@@ -236,7 +237,8 @@ SELECT biz_date, CASE WHEN biz_date > DATE '2024-01-10' THEN n * 2 ELSE n END AS
     "new_events_only": f"WITH {NEWS} SELECT event_id, publish_ts FROM news WHERE publish_ts >= {ASOF - 15 * 86400}",
     "after_cursor": f"WITH {NEWS}, c AS (SELECT source, max(publish_ts) AS newest FROM news WHERE publish_ts < {ASOF - 15 * 86400} GROUP BY source) SELECT event_id, publish_ts, source FROM news LEFT JOIN c USING (source) WHERE publish_ts >= {ASOF - 16 * 86400} AND (newest IS NULL OR publish_ts >= newest)",
     "biz_date": f"WITH {NEWS} SELECT {_LOCAL}::DATE AS biz_date, count(*) AS n FROM news GROUP BY 1",
-    "dedup_text": f"WITH t AS (SELECT doc_id, {_noise_sql(_SITED)} AS text FROM documents) SELECT doc_id, md5(text) AS text_md5, length(text)::INT AS length FROM t",
+    "dedup_text": f"WITH t AS (SELECT doc_id, {_noise_sql('text')} AS text FROM documents) SELECT doc_id, md5(text) AS text_md5, length(text)::INT AS length FROM t",
+    "dedup_text_feeds": f"SELECT event_id, {_noise_sql(_SITED)} AS text FROM events",
     "dedup_title_ok": f"""WITH {NEWS}, t AS (SELECT event_id, trim({_pick(("  ", "金十图示", "新闻联播今日要点", "今日要点", "金十数据", "快讯", "财联社", "五个字的题", "六个字的标题"), "event_id::BIGINT")} || CASE WHEN event_id::BIGINT % 2 = 0 THEN '一二三' ELSE '　' END, ' 　') AS t FROM news)
 SELECT event_id, length(t) >= 6 AND NOT (starts_with(t, '金十图示') OR starts_with(t, '新闻联播今日要点') OR t IN ('今日要点', '金十数据', '财联社', '快讯')) AS ok FROM t""",
     "dedup_keys": f"WITH {NEWS}, {_KEYS} SELECT event_id, md5(key) AS key_md5 FROM keys",
