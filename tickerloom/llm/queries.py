@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickerloom.llm import exact_dedup, langid, minhash, mixing, packing, quality_qda, quality_rules, toxicity, url_reputation, warc
+from tickerloom.llm import (
+    conversation_repair,
+    exact_dedup,
+    langid,
+    minhash,
+    mixing,
+    neighbours,
+    packing,
+    quality_qda,
+    quality_rules,
+    toxicity,
+    url_reputation,
+    vector_codes,
+    warc,
+)
 from tickerloom.llm.common import documents, labels
 
 
@@ -70,6 +84,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("doc_id", "size", "source", "source_size", "target", "copies", "size * copies AS taken")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_of_every(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_warc": op2_warc,
@@ -83,6 +109,9 @@ QUERIES = {
     "op8_buckets": op8_buckets,
     "op9_quality_qda": op9_quality_qda,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_neighbours": op13_neighbours,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -110,4 +139,6 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
 FROM d WINDOW same AS (PARTITION BY body)
 """,
+    "op11_vector_codes": vector_codes.oracle(),
+    "op12_conversation_repair": conversation_repair.ORACLE,
 }
