@@ -255,7 +255,7 @@ def analysis_payload(told: Column, content: Column, subjects: Column) -> Column:
     A missing reason becomes NO_REASON, companies are distinct, sectors are normalised, a zero score takes the direction
     of the words. Null where told holds no object.
     """
-    v = F.try_parse_json(extract_json(told))
+    v = parsed_object(told)
     field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
     reason = F.coalesce(F.nullif(strip(F.try_variant_get(v, "$.reason", "string")), F.lit("")), F.lit(NO_REASON))
     sectors = norm_sector_list(json_list(field("sectors")), content, subjects)
@@ -277,6 +277,15 @@ def extract_json(text: Column) -> Column:
     return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")))
 
 
+def parsed_object(text: Column) -> Column:
+    """The variant of the object written in text; null if there is none, or if more than one value stands there.
+
+    The parser stops after the first value, so it reads a list that has to hold just that value.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), extract_json(text), F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def sentiment(score: Column) -> Column:
     s = F.coalesce(score.try_cast("double"), F.lit(0.0))
     return F.when(s >= 20, F.lit("positive")).when(s <= -20, F.lit("negative")).otherwise(F.lit("neutral"))

@@ -1,10 +1,22 @@
-"""Keyed merges of stored tables, without a table format: the merged frame is written as a new version by the caller."""
+"""Keyed merges of stored tables. Frames go in and out here; sources.versioned writes them as versions."""
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.operators.rejects import Routed, bar_rules, routed
+
+if TYPE_CHECKING:
+    from tickerloom.sources.versioned import VersionedTable
+
+#: The three stored tables: what their rows are known by and partitioned by, and what stays as first stored.
+NEWS_TABLE = {"keys": ["event_id"], "partition": "to_date(from_utc_timestamp(timestamp_seconds(publish_ts), 'Asia/Shanghai'))", "moves": True}
+BARS_TABLE = {"keys": ["trade_date", "symbol"], "partition": "trade_date", "keep": ("id", "created_at")}
+DOCS_TABLE = {"keys": ["biz_date"], "partition": "biz_date", "keep": ("created_at",)}
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """old with new's rows over it by keys; columns in keep stay as they were where the key was stored before.
@@ -53,3 +65,10 @@ def record_outcomes(old: DataFrame, outcomes: DataFrame, now: str) -> DataFrame:
     at = F.lit(now).cast("timestamp")
     new = outcomes.withColumns({"error_message": error, "updated_at": at, "created_at": at})
     return upsert(old, new.select(old.columns), ["trade_date", "stock_code"], keep=("id", "created_at"))
+
+
+def merge_bars(table: VersionedTable, rows: DataFrame) -> Routed:
+    """Lays the valid ones of rows over the stored bars; the others are returned with their reasons."""
+    parts = routed(rows, "upsert_bars", bar_rules(), ["symbol", "trade_date"])
+    table.merge(parts.passed)
+    return parts
