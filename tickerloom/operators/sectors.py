@@ -34,19 +34,31 @@ def trimmed_sectors(sectors: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(sectors, F.array().cast("array<string>")), clean), lambda s: s != ""))
 
 
+def clamped(score: Column) -> Column:
+    return F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.coalesce(score.try_cast("double"), F.lit(0.0))))
+
+
+def strength(score: Column) -> Column:
+    s = F.abs(score) / 100.0
+    return F.when(score == 0, F.lit(0.0)).otherwise(F.signum(score) * 100.0 * F.pow(s, 2.6 - 1.6 * s))
+
+
+def half_life(score: Column) -> Column:
+    """Hours in which news of this score lose half their weight, once they are not fresh."""
+    return FRESH_H + FRESH_H * F.pow(F.abs(score) / 100.0, F.lit(1.5))
+
+
 def aged_news(news: DataFrame, asof: Column | int) -> DataFrame:
     """News of the window with at least one sector, with score, age, both decays, strength and effect."""
     asof = F.lit(asof) if isinstance(asof, int) else asof
-    score = F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.coalesce(F.col("score").try_cast("double"), F.lit(0.0))))
     age = F.greatest((asof - F.col("publish_ts")) / F.lit(3600.0), F.lit(0.0))
-    s = F.abs("score") / 100.0
     old = F.col("age_h") > FRESH_H
     rows = event_window(news, asof).withColumn("sectors", trimmed_sectors(F.col("sectors"))).where(F.size("sectors") > 0)
-    rows = rows.withColumns({"score": score, "age_h": age})
+    rows = rows.withColumns({"score": clamped(F.col("score")), "age_h": age})
     rows = rows.withColumns(
         {
-            "strength": F.when(F.col("score") == 0, F.lit(0.0)).otherwise(F.signum("score") * 100.0 * F.pow(s, 2.6 - 1.6 * s)),
-            "decay": F.when(old, F.exp(-LN2 * (F.col("age_h") - FRESH_H) / (FRESH_H + FRESH_H * F.pow(s, F.lit(1.5))))).otherwise(F.lit(1.0)),
+            "strength": strength(F.col("score")),
+            "decay": F.when(old, F.exp(-LN2 * (F.col("age_h") - FRESH_H) / half_life(F.col("score")))).otherwise(F.lit(1.0)),
             "heat_decay": F.when(old, F.exp(-LN2 * (F.col("age_h") - FRESH_H) / FRESH_H)).otherwise(F.lit(1.0)),
         }
     )
@@ -83,7 +95,12 @@ def preference_scores(aged: DataFrame, by: list[str]) -> DataFrame:
         F.max(F.when(score > 0, score)).alias("top_positive"),
         F.min(F.when(score < 0, score)).alias("top_negative"),
     )
-    agg = agg.withColumns(
+    return preference_formulas(agg)
+
+
+def preference_formulas(sums: DataFrame) -> DataFrame:
+    """The scores of sums e, effects, p, n, up and down."""
+    agg = sums.withColumns(
         {
             "event_score": 100.0 * F.tanh(F.col("effects") / F.sqrt(F.greatest(F.col("e"), F.lit(1.0))) / 60.0),
             "count_score": 100.0 * F.tanh((F.log(1.0 + F.col("p")) - F.log(1.0 + F.col("n"))) / 1.6),
@@ -104,7 +121,12 @@ def heat_scores(aged: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(F.col("age_h") <= FRESH_H).alias("recent_count"),
         F.max("publish_ts").alias("latest_ts"),
     )
-    agg = agg.withColumns({"count_score": 100.0 * F.tanh(F.col("effective_news_count") / 6.0), "time_score": 100.0 * F.col("effective_news_count") / F.greatest(F.col("news_count"), F.lit(1))})
+    return heat_formulas(agg)
+
+
+def heat_formulas(sums: DataFrame) -> DataFrame:
+    """The scores of sums effective_news_count and news_count."""
+    agg = sums.withColumns({"count_score": 100.0 * F.tanh(F.col("effective_news_count") / 6.0), "time_score": 100.0 * F.col("effective_news_count") / F.greatest(F.col("news_count"), F.lit(1))})
     final = 0.75 * F.col("count_score") + 0.25 * F.col("time_score")
     return agg.withColumn("final_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), final)))
 

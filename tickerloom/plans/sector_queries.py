@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom.operators import panes as P
 from tickerloom.operators import sectors as S
 from tickerloom.sources.views import ASOF, NEWS, news
 from tickerloom.streaming.ingest import rebuilt_views
@@ -47,7 +48,30 @@ def _days(spark, sf):
     return S.ranking_days(news(spark, sf), FIRST, LAST)
 
 
+#: Full hours since the epoch, of January 2024 and of the three days after it.
+HOURS = (1704067200 // 3600, 1706918400 // 3600)
+
+
+def _states(spark, sf):
+    return P.states(P.panes(news(spark, sf)), *HOURS)
+
+
+def _four_digits(ranking):
+    """Without ranks, which rest on more digits than two orders of summing share."""
+    return ranking.drop("rank").withColumns({c: F.round(c, 4) for c, kind in ranking.dtypes if kind == "double"})
+
+
+def _hourly(spark, sf):
+    """The month's rows in three parts whose panes are merged, as a stream's batches are."""
+    rows = news(spark, sf)
+    part = F.col("event_id").cast("long") % 3
+    return P.hourly_views(P.merged_panes(*[P.panes(rows.where(part == i)) for i in range(3)]), *HOURS)
+
+
 QUERIES = {
+    "hourly_preference": lambda spark, sf: _four_digits(P.hourly_preference(_states(spark, sf))),
+    "hourly_heat": lambda spark, sf: _four_digits(P.hourly_heat(_states(spark, sf))),
+    "hourly_views": _hourly,
     "sector_3d_summary": lambda spark, sf: S.sector_summary(news(spark, sf), AT),
     "sector_3d_header": lambda spark, sf: S.sector_summary(news(spark, sf), AT).agg(F.count(F.lit(1)).alias("sector_count"), F.sum("news_count").alias("total_news_count"), F.sum("score_sum").alias("total_score_sum")),
     "investment_preference": lambda spark, sf: S.investment_preference(news(spark, sf), AT),
@@ -64,7 +88,22 @@ QUERIES = {
     "ranking_history": lambda spark, sf: S.ranking_history(_days(spark, sf), "2024-01-29"),
 }
 
+_AT_HOURS = f"""at_hours AS (SELECT news.*, hour, hour * 3600 AS now FROM news JOIN range({HOURS[0]}, {HOURS[1] + 1}) AS k(hour)
+  ON publish_ts BETWEEN hour * 3600 - {S.WINDOW_S} AND hour * 3600),
+{_AGED.format(at="now", more=", hour", source="at_hours")}"""
+_PREF_HOURS = PREFERENCE.format(by="hour, sector", apart="PARTITION BY hour")
+_HEAT_HOURS = HEAT.format(by="hour, sector", apart="PARTITION BY hour")
+
 ORACLES = {
+    "hourly_preference": f"WITH {NEWS}, {_AT_HOURS}, {_PREF_HOURS} SELECT hour, sector, news_count, positive_count, negative_count, neutral_count, latest_ts, top_positive, top_negative, "
+    "round(event_score, 4) AS event_score, round(count_score, 4) AS count_score, round(time_score, 4) AS time_score, round(final_score, 4) AS final_score FROM pref",
+    "hourly_heat": f"WITH {NEWS}, {_AT_HOURS}, {_HEAT_HOURS} SELECT hour, sector, news_count, recent_count, latest_ts, round(effective_news_count, 4) AS effective_news_count, "
+    "round(count_score, 4) AS count_score, round(time_score, 4) AS time_score, round(final_score, 4) AS final_score FROM heat",
+    "hourly_views": f"""WITH {NEWS}, {_AT_HOURS}, {_PREF_HOURS}, {_HEAT_HOURS}
+SELECT hour, 'summary' AS view, trim(sector) AS sector, NULL::INT AS rank, count(*) AS news_count, sum(coalesce(score, 0))::DOUBLE AS score
+  FROM (SELECT hour, score, unnest(list_distinct(sectors)) AS sector FROM at_hours) GROUP BY ALL
+UNION ALL SELECT hour, 'preference', sector, rank, news_count, round(final_score, 2) FROM pref
+UNION ALL SELECT hour, 'heat', sector, rank, news_count, round(final_score, 2) FROM heat""",
     "sector_3d_summary": f"WITH {NEWS} SELECT trim(sector) AS sector, count(*) AS news_count, sum(coalesce(score, 0))::BIGINT AS score_sum FROM (SELECT score, unnest(list_distinct(sectors)) AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF}) WHERE trim(sector) <> '' GROUP BY 1",
     "sector_3d_header": f"WITH {NEWS} SELECT count(DISTINCT sector) AS sector_count, count(*) AS total_news_count, sum(coalesce(score, 0))::BIGINT AS total_score_sum FROM (SELECT score, unnest(list_distinct(sectors)) AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF})",
     "investment_preference": f"WITH {NEWS}, {NOW}, {PREF_NOW} SELECT * FROM pref",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickerloom.functions.newstext import norm_sector_list, score_postprocess
+from tickerloom.operators.panes import HOUR_S, PANES_SCHEMA, WINDOW_H, hourly_views, merged_panes, panes
 from tickerloom.operators.search import new_events_only, past_cursor
 from tickerloom.operators.sectors import WINDOW_S, event_window, investment_preference, market_heat, sector_summary
 from tickerloom.operators.store import newest
@@ -83,12 +84,29 @@ def rebuilt_views(news: DataFrame, asof: Column | int) -> DataFrame:
     return out
 
 
-def start(spark: SparkSession, source: str, store: str, checkpoint: str, scorer: Scorer | None = None, horizon_s: int | None = HORIZON_S, views: bool = False) -> StreamingQuery:
+def moved_views(session: SparkSession, store: str, number: int, rows: DataFrame, live: list[int], first: int, asof: int) -> None:
+    """Adds a batch's panes to the store, and the views of every full hour from the second first to asof.
+
+    Reads panes of the batches live, never rows of theirs.
+    """
+    panes(rows).coalesce(1).write.mode("overwrite").parquet(f"{store}/panes/batch={number}")
+    parts = session.read.schema(PANES_SCHEMA).parquet(*[f"{store}/panes/batch={i}" for i in live])
+    hourly_views(merged_panes(parts), -(-first // HOUR_S), asof // HOUR_S).coalesce(1).write.mode("overwrite").parquet(f"{store}/hourly/batch={number}")
+
+
+def hourly(spark: SparkSession, store: str) -> DataFrame:
+    """The views of every full hour as the last batch that changed it left them."""
+    rows = spark.read.parquet(f"{store}/hourly")
+    latest = rows.groupBy("hour").agg(F.max("batch").alias("latest"))  # a row per hour
+    return rows.join(latest, "hour").where("batch = latest").drop("batch", "latest")
+
+
+def start(spark: SparkSession, source: str, store: str, checkpoint: str, scorer: Scorer | None = None, horizon_s: int | None = HORIZON_S, views: bool = False, hours: bool = False) -> StreamingQuery:
     """Ingests what has landed at source into the Parquet store, then stops; run again for what lands later.
 
-    A batch writes rows/batch=n, with views views/batch=n, and state/batch=n: per source and batch that is still looked
+    A batch writes rows/batch=n, with views views/batch=n, with hours panes/batch=n and hourly/batch=n, and state/batch=n: per source and batch that is still looked
     at, its newest time. It reads only the state before it and the batches named there, so its cost does not grow with
-    the history. Ids are looked up in batches up to horizon_s before the oldest cursor (None: in all). A batch that is
+    the history. hours is for a store that has had it from its first batch on. Ids are looked up in batches up to horizon_s before the oldest cursor (None: in all). A batch that is
     replayed overwrites its folders, so each row is stored once.
     """
 
@@ -119,5 +137,11 @@ def start(spark: SparkSession, source: str, store: str, checkpoint: str, scorer:
             recent = sorted({r[0] for r in kept if r[2] >= asof - WINDOW_S})
             seen = session.read.schema(NEWS_SCHEMA).parquet(*[f"{store}/rows/batch={i}" for i in recent])
             rebuilt_views(seen, asof).coalesce(1).write.mode("overwrite").parquet(f"{store}/views/batch={number}")
+        if hours and top:
+            # From the oldest of the batch's rows, or from where the views ended if that is earlier.
+            oldest = rows.agg(F.min("publish_ts")).first()[0]
+            first = min([x for x in (oldest, max(cursor.values()) + 1 if cursor else None) if x is not None])
+            near = sorted({number, *(r[0] for r in now if r[2] >= first - (WINDOW_H + 1) * HOUR_S)})
+            moved_views(session, store, number, rows, near, first, max(top.values()))
 
     return landed(spark, source).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
