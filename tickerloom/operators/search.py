@@ -15,7 +15,10 @@ def local_date(ts: Column) -> Column:
 
 
 def filtered(news: DataFrame, trade_date: str | None = None, sector: str | None = None, source: str | None = None, keyword: str | None = None, min_score: int | None = None) -> DataFrame:
-    """News that meets every filter given. A day is a local day; its bounds are epochs, so that the scan can skip by them."""
+    """News that meets every filter given. A day is a local day; its bounds are epochs, so that the scan can skip by them.
+
+    keyword is a regular expression, as it was given, matched in any case of letters.
+    """
     if trade_date:
         day = F.lit(trade_date).cast("date").cast("timestamp")
         start = F.unix_seconds(F.to_utc_timestamp(day, ZONE))
@@ -25,7 +28,7 @@ def filtered(news: DataFrame, trade_date: str | None = None, sector: str | None
     if source:
         news = news.where(F.col("source") == source)
     if keyword:
-        news = news.where(F.col("title").rlike(f"(?i){keyword}") | F.col("content").rlike(f"(?i){keyword}"))
+        news = news.where(F.col("title").rlike(f"(?iu){keyword}") | F.col("content").rlike(f"(?iu){keyword}"))
     if min_score is not None:
         news = news.where(F.col("score") >= min_score)
     return news

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickerloom.operators import search
+from tickerloom.operators.gram_index import GramIndex
 from tickerloom.operators.rejects import answer_rules, bar_rules, routed, symbol_rules
 from tickerloom.operators.store import BARS_TABLE, DOCS_TABLE, NEWS_TABLE, merge_bars
 from tickerloom.sources.scratch import shared_folder
@@ -55,6 +56,25 @@ def _docs(spark, sf) -> VersionedTable:
     return out
 
 
+#: Twenty keywords and patterns: common and rare ones, ones that are nowhere, and four that guarantee no trigram.
+KEYWORDS = (
+    "purchase", "CLICK", "signup", "the thing", "Étion", "ieraux", "keit", "erstellen", "ation", "lorem", "zzzz", "a{3}bcd", "pur.hase",
+    "sig+nup", r"\{\"k\": 77", "colou?rs", "k", "click|signup", "(view)", "[ét]ion",
+)
+
+
+def _indexed_search(spark, sf):
+    """How many stored news every keyword finds, by the index; half of them are stored and indexed before the others."""
+    rows = news(spark, sf).select("event_id", "publish_ts", "source", "title", "content", "score")
+    stored = new_table(spark, NEWS_TABLE)
+    index = GramIndex(stored, stored.path + "-grams")
+    stored.merge(rows.where(F.col("publish_ts") < CUT))
+    index.refresh()
+    stored.merge(rows.where(F.col("publish_ts") >= CUT))
+    found = index.search_many(list(KEYWORDS)).groupBy(F.col("pattern").alias("keyword"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.sum("score").alias("score_sum"))
+
+
 def _before_and_after(spark, sf):
     """Per day, how many rows the two newest versions of the stored news have."""
     stored = stored_news(spark, sf)
@@ -91,6 +111,7 @@ QUERIES = {
     "stored_versions": _before_and_after,
     "stored_bars_history": lambda spark, sf: stored_bars(spark, sf)[0].history(),
     "rejects": _rejects,
+    "indexed_search": _indexed_search,
 }
 
 _MERGED = f"""merged AS (SELECT event_id, CASE WHEN publish_ts >= {CUT} - 3 * 86400 AND event_id::BIGINT % 11 = 0 THEN publish_ts + 86400 ELSE publish_ts END AS publish_ts, source,
@@ -112,6 +133,8 @@ b AS (SELECT {_DATE} AS biz_date, count(*) AS rows_1 FROM merged GROUP BY 1) SEL
     "stored_bars_history": f"""WITH {BARS}, {FLAWED}, {_GOOD}, of AS (SELECT trade_date, count(*) AS n FROM good GROUP BY 1)
 SELECT 0 AS version, count(*)::INT AS partitions, sum(n)::BIGINT AS rows, count(*)::INT AS rewritten FROM of WHERE trade_date < DATE '{BARS_TO}'
 UNION ALL SELECT 1, count(*)::INT, sum(n)::BIGINT, count(*) FILTER (trade_date >= DATE '{BARS_FROM}')::INT FROM of""",
+    "indexed_search": f"""WITH {NEWS}, k(keyword) AS (VALUES {", ".join("('" + k + "')" for k in KEYWORDS)})
+SELECT keyword, count(*) AS n, min(event_id) AS first_id, sum(score)::BIGINT AS score_sum FROM news JOIN k ON regexp_matches(title, '(?i)' || keyword) OR regexp_matches(content, '(?i)' || keyword) GROUP BY keyword""",
     "rejects": rf"""WITH {BARS}, {FLAWED}, r AS (
   SELECT 'upsert_bars' AS operator, {_FAULT} AS reason, symbol || '/' || trade_date AS key FROM bars_flawed
   UNION ALL SELECT 'market_prefix', CASE WHEN p_partkey % 6 IN (0, 2) AND (p_partkey % 6 = 2 OR length(p_partkey::VARCHAR) <> 6) THEN 'not six digits'

@@ -45,21 +45,14 @@ class Manifest:
     rewritten: list[str] = field(default_factory=list)
 
 
-class VersionedTable:
-    """A table with one row per keys, partitioned by an SQL expression over its columns.
+class Journal:
+    """Numbered JSON documents in a folder's _versions, each put there by one rename; the files beside them are its table's."""
 
-    keep names columns that stay as they were first stored. moves says that the expression is no function of the keys:
-    then a merge also reads the keys and the expression's columns of all stored rows, as a row may come from elsewhere.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], partition: str, keep: tuple[str, ...] = (), moves: bool = False):
-        self.spark, self.path, self.keys, self.partition = spark, path.rstrip("/"), keys, partition
-        self.keep, self.moves = keep, moves
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
-    # -- files --
-
     def _at(self, *names: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
 
@@ -77,26 +70,46 @@ class VersionedTable:
         options[0] = none
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), self._conf).rename(source, target, options)
 
-    def _commit(self, manifest: Manifest) -> None:
+    def _put(self, number: int, document: dict) -> None:
         draft = self._at("_versions", f".{uuid.uuid4().hex}")
         fs = self._fs()
         out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(manifest.__dict__).encode()))
+        out.write(bytearray(json.dumps(document).encode()))
         out.close()
-        target = self._at("_versions", f"{manifest.version:012d}.json")
         try:
-            self._rename(draft, target)
+            self._rename(draft, self._at("_versions", f"{number:012d}.json"))
         except Py4JJavaError as e:
             fs.delete(draft, False)
             if "FileAlreadyExists" in str(e.java_exception):
-                raise VersionConflict(f"version {manifest.version} of {self.path} is taken") from e
+                raise VersionConflict(f"version {number} of {self.path} is taken") from e
             raise
 
-    # -- reading --
+    def _get(self, number: int) -> dict:
+        stream = self._fs().open(self._at("_versions", f"{number:012d}.json"))
+        text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
 
     def versions(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in self._children("_versions") if n.endswith(".json") and not n.startswith("."))
 
+
+class VersionedTable(Journal):
+    """A table with one row per keys, partitioned by an SQL expression over its columns.
+
+    keep names columns that stay as they were first stored. moves says that the expression is no function of the keys:
+    then a merge also reads the keys and the expression's columns of all stored rows, as a row may come from elsewhere.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], partition: str, keep: tuple[str, ...] = (), moves: bool = False):
+        super().__init__(spark, path)
+        self.keys, self.partition, self.keep, self.moves = keys, partition, keep, moves
+
+    def _commit(self, manifest: Manifest) -> None:
+        self._put(manifest.version, manifest.__dict__)
+
+    # -- reading --
+
     def manifest(self, version: int | None = None) -> Manifest | None:
         """Of a version, by default the newest; None before the first merge."""
         known = self.versions()
@@ -104,11 +117,7 @@ class VersionedTable:
             return None
         if version is not None and version not in known:
             raise ValueError(f"{self.path} has no version {version}")
-        name = self._at("_versions", f"{known[-1] if version is None else version:012d}.json")
-        stream = self._fs().open(name)
-        text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return Manifest(**json.loads(text))
+        return Manifest(**self._get(known[-1] if version is None else version))
 
     def _rows(self, manifest: Manifest, parts: list[str] | None = None) -> DataFrame:
         chosen = manifest.parts if parts is None else {p: manifest.parts[p] for p in parts if p in manifest.parts}
