@@ -12,6 +12,7 @@ from tickerloom.operators import bars, sectors, story_dedup
 from tickerloom.operators.components import components
 from tickerloom.operators.store import upsert, upsert_daily, upsert_news
 from tickerloom.streaming import ingest
+from tickerloom.streaming.repair import guarded
 
 NOW = 1_700_000_000
 
@@ -181,7 +182,7 @@ def test_failed_scores_are_neutral(spark):
             yield rows.assign(score=77)
 
     rows = news(spark, [{"content": "good one", "score": 5}, {"content": "bad one", "score": 5}, {"content": " ", "score": 5, "sectors": ["银行"]}, {"content": None, "score": 5}]).coalesce(1)
-    got = {r.event_id: r.score for r in rows.mapInPandas(ingest.guarded(scorer), ingest.NEWS_SCHEMA).collect()}
+    got = {r.event_id: r.score for r in rows.mapInPandas(guarded(scorer), ingest.NEWS_SCHEMA).collect()}
     assert got == {"0": 77, "1": 0, "2": 0, "3": 0}
 
 

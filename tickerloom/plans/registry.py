@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.plans import bar_queries, claim_queries, landing_queries, news_queries, payload_queries, sector_queries, store_queries
+from tickerloom.plans import bar_queries, claim_queries, landing_queries, news_queries, payload_queries, sector_queries, store_queries, stream_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (sector_queries, news_queries, bar_queries, claim_queries, landing_queries, payload_queries, store_queries):
+for module in (sector_queries, news_queries, bar_queries, claim_queries, landing_queries, payload_queries, store_queries, stream_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -5,9 +5,8 @@ One micro-batch is one pass of batch operators over new rows, so that a replay o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,18 +18,30 @@ from tickerloom.operators.sectors import WINDOW_S, event_window, investment_pref
 from tickerloom.operators.store import newest
 from tickerloom.operators.story_dedup import greedy
 from tickerloom.sources.scratch import scratch_table
-
-NEWS_SCHEMA = "event_id string, publish_ts bigint, source string, title string, content string, subjects array<string>, score int, companies array<string>, sectors array<string>"
+from tickerloom.streaming.figures import BatchFigures, observed
+from tickerloom.streaming.repair import NEWS_SCHEMA, QUEUE_SCHEMA, Scorer, scored
 
 STATE_SCHEMA = "batch bigint, source string, newest bigint"
 #: How far before the oldest cursor stored ids are looked up.
 HORIZON_S = 30 * 86400
 
-Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+def landed(spark: SparkSession, path: str, files_per_batch: int = 50, archive: str | None = None) -> DataFrame:
+    """The files of a folder as a stream; those read are moved to archive, if there is one, so that listing stays short."""
+    reader = spark.readStream.schema(NEWS_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.parquet(path)
 
 
-def landed(spark: SparkSession, path: str, files_per_batch: int = 50) -> DataFrame:
-    return spark.readStream.schema(NEWS_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def in_flight_guard(rows: DataFrame, wait_s: int) -> DataFrame:
+    """Rows whose id did not arrive in the last wait_s seconds, by ids kept in the state store.
+
+    Time is that of arrival, so no source's rows are late for being old, and ids leave the state once wait_s has passed.
+    Of rows of an id in one batch any one stays.
+    """
+    timed = rows.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", f"{wait_s} seconds")
+    return timed.dropDuplicatesWithinWatermark(["event_id"]).drop("__arrived")
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
@@ -39,37 +50,18 @@ def cleaned(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sectors", sectors).withColumn("score", score_postprocess(F.col("score"), F.col("sectors"), F.col("content")))
 
 
-def guarded(scorer: Scorer) -> Scorer:
-    """scorer for rows with content; a row that it fails on, and one without content, gets a neutral score and no lists."""
-
-    def neutral(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(score=0, companies=None, sectors=None)
+def ingest_batch(batch: DataFrame, cursor: DataFrame, stored_ids: DataFrame, scorer: Scorer | None = None, repairer: Scorer | None = None, attempts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The rows of a micro-batch that are to be stored, and the queue of repairs to their scores.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            told = rows["content"].fillna("").str.strip() != ""
-            yield neutral(rows[~told])
-            try:
-                yield from list(scorer(iter([rows[told]])))
-            except Exception:  # whatever a scorer raises: find the rows it fails on
-                for i in range(int(told.sum())):
-                    one = rows[told].iloc[i : i + 1]
-                    try:
-                        yield from list(scorer(iter([one])))
-                    except Exception:
-                        yield neutral(one)
-
-    return run
-
-
-def ingest_batch(batch: DataFrame, cursor: DataFrame, stored_ids: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """The rows of a micro-batch that are to be stored: not older than their source's cursor, of ids not stored yet, each id
-    once (its earliest row), stories once. cursor: source and newest, a row per source; stored_ids: event_id."""
+    Stored are rows not older than their source's cursor, of ids not stored yet, each id once (its earliest row), stories
+    once. cursor: source and newest, a row per source; stored_ids: event_id.
+    """
     once = newest(batch, ["event_id"], "publish_ts", earliest=True)
     kept = greedy(scratch_table(new_events_only(past_cursor(once, cursor), stored_ids)))
+    queue = batch.sparkSession.createDataFrame([], QUEUE_SCHEMA)
     if scorer:
-        kept = kept.mapInPandas(guarded(scorer), NEWS_SCHEMA)
-    return cleaned(kept)
+        kept, queue = scored(kept, scorer, repairer, attempts)
+    return cleaned(kept), queue
 
 
 def rebuilt_views(news: DataFrame, asof: Column | int) -> DataFrame:
@@ -101,14 +93,34 @@ def hourly(spark: SparkSession, store: str) -> DataFrame:
     return rows.join(latest, "hour").where("batch = latest").drop("batch", "latest")
 
 
-def start(spark: SparkSession, source: str, store: str, checkpoint: str, scorer: Scorer | None = None, horizon_s: int | None = HORIZON_S, views: bool = False, hours: bool = False) -> StreamingQuery:
-    """Ingests what has landed at source into the Parquet store, then stops; run again for what lands later.
-
-    A batch writes rows/batch=n, with views views/batch=n, with hours panes/batch=n and hourly/batch=n, and state/batch=n: per source and batch that is still looked
-    at, its newest time. It reads only the state before it and the batches named there, so its cost does not grow with
-    the history. hours is for a store that has had it from its first batch on. Ids are looked up in batches up to horizon_s before the oldest cursor (None: in all). A batch that is
-    replayed overwrites its folders, so each row is stored once.
+def start(
+    spark: SparkSession,
+    source: str,
+    store: str,
+    checkpoint: str,
+    scorer: Scorer | None = None,
+    horizon_s: int | None = HORIZON_S,
+    views: bool = False,
+    hours: bool = False,
+    repairer: Scorer | None = None,
+    attempts: int = 1,
+    guard_s: int | None = None,
+    every: str | None = None,
+    archive: str | None = None,
+    files_per_batch: int = 50,
+) -> StreamingQuery:
+    """Ingests what lands at source into the Parquet store: what is there, then stops, or with every ("5 minutes") at each
+    such interval until it is stopped.
+
+    A batch writes rows/batch=n, with views views/batch=n, with hours panes/batch=n and hourly/batch=n, with a repairer
+    repairs/batch=n, and state/batch=n: per source and batch that is still looked at, its newest time. It reads only the
+    state before it and the batches named there, so its cost does not grow with the history. hours is for a store that has
+    had it from its first batch on. Ids are looked up in batches up to horizon_s before the oldest cursor (None: in all);
+    guard_s keeps ids in flight in the state store as well. A batch that is replayed overwrites its folders, so each row is
+    stored once. Figures of every batch go to figures/; archive takes the files that were read.
     """
+    name = f"ingest-{uuid.uuid4().hex}"
+    listener = BatchFigures(spark, f"{store}/figures", name)
 
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -122,8 +134,12 @@ def start(spark: SparkSession, source: str, store: str, checkpoint: str, scorer:
         stored = session.read.schema(NEWS_SCHEMA).parquet(*[f"{store}/rows/batch={i}" for i in live]) if live else empty
         cursors = session.createDataFrame(list(cursor.items()), "source string, newest bigint")
         path = f"{store}/rows/batch={number}"
-        ingest_batch(batch, cursors, stored.select("event_id"), scorer).write.mode("overwrite").parquet(path)
+        fresh, queue = ingest_batch(batch, cursors, stored.select("event_id"), scorer, repairer, attempts)
+        fresh.write.mode("overwrite").parquet(path)
+        if repairer:
+            queue.coalesce(1).write.mode("overwrite").parquet(f"{store}/repairs/batch={number}")
         rows = session.read.schema(NEWS_SCHEMA).parquet(path)
+        listener.stored[number] = rows.count()
         ends = rows.groupBy("source").agg(F.max("publish_ts").alias("newest")).select(F.lit(number).cast("bigint").alias("batch"), "source", "newest").collect()  # a row per source
         now = [tuple(r) for r in [*state, *ends]]
         top = {}
@@ -144,4 +160,9 @@ def start(spark: SparkSession, source: str, store: str, checkpoint: str, scorer:
             near = sorted({number, *(r[0] for r in now if r[2] >= first - (WINDOW_H + 1) * HOUR_S)})
             moved_views(session, store, number, rows, near, first, max(top.values()))
 
-    return landed(spark, source).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = observed(landed(spark, source, files_per_batch, archive))
+    if guard_s is not None:
+        stream = in_flight_guard(stream, guard_s)
+    spark.streams.addListener(listener)
+    writer = stream.writeStream.queryName(name).foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
