@@ -18,22 +18,20 @@ than doc_id, text and (for training) lang are not read.
 
 from __future__ import annotations
 
-import logging
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import small_side, written
 
 SAMPLE = 6_000
 PER_LANG = 1_500
-#: Memory bound of the model, in words or n-grams of a size per language.
-MAX_TERMS = 250_000
 MAX_N = 4
 #: Counts added to every known word or n-gram of a language.
 SMOOTHING = 0.5
@@ -86,38 +84,43 @@ def counts(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(tally, "lang string, size int, term string, n bigint").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Terms:
+    """Words, or n-grams of a size: term -> number i; its languages and what it adds to their log frequencies of an unseen
+    term (base) are entries starts[i] to starts[i + 1]."""
+
+    number: dict[str, int]
+    base: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    added: np.ndarray
+
+    def mean(self, terms: list[int]) -> np.ndarray:
+        """Mean log frequencies of known terms, per language."""
+        at = np.concatenate([np.arange(self.starts[i], self.starts[i + 1]) for i in terms])
+        return self.base + np.bincount(self.langs[at], self.added[at], len(self.base)) / len(terms)
+
+
 @dataclass
 class Model:
-    """tables[0] is of words, tables[n] of n-grams: term -> row of rows[n], log frequencies per language."""
+    """terms[0] is of words, terms[n] of n-grams."""
 
     langs: list[str]
-    cut: int = 0  # terms left out by MAX_TERMS
-    tables: list[dict[str, int]] = field(default_factory=list)
-    rows: list[np.ndarray] = field(default_factory=list)
+    terms: list[Terms] = field(default_factory=list)
 
     def word(self, word: str) -> np.ndarray:
-        at = self.tables[0].get(word)
+        at = self.terms[0].number.get(word)
         if at is not None:
-            return self.rows[0][at]
+            return self.terms[0].mean([at])
         for n in range(MAX_N, 0, -1):
-            known = [i for g in grams_of(word, n) if (i := self.tables[n].get(g)) is not None]
+            number = self.terms[n].number
+            known = [i for g in grams_of(word, n) if (i := number.get(g)) is not None]
             if known:
-                return self.rows[n][known].mean(axis=0)
+                return self.terms[n].mean(known)
         return np.zeros(len(self.langs))
 
 
-def least_counts(terms: DataFrame, most: int = MAX_TERMS) -> DataFrame:
-    """lang, size, least and cut: the least count at which a language has at most so many terms of a size, and how many
-    terms fall below it. The window sees a row per distinct count, not terms."""
-    histogram = terms.groupBy("lang", "size", "n").agg(F.count(F.lit(1)).alias("terms"))
-    down = Window.partitionBy("lang", "size").orderBy(F.col("n").desc())
-    kept = F.col("so_far") <= most
-    return histogram.withColumn("so_far", F.sum("terms").over(down)).groupBy("lang", "size").agg(
-        F.coalesce(F.min(F.when(kept, F.col("n"))), F.max("n") + 1).alias("least"), F.coalesce(F.sum(F.when(~kept, F.col("terms"))), F.lit(0)).alias("cut")
-    )
-
-
-def fit(docs: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG, most: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG) -> Model:
     """The model of docs' text and lang; see above for the bounds."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
@@ -128,38 +131,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG, most: i
         share = small_side(sizes.select(F.col("lang").alias("__lang"), (rate * (1 << 30)).cast("long").alias("__most")))
         place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30))
         usable = usable.join(share, F.col("lang") == F.col("__lang")).where(place < F.col("__most")).select(usable.columns)
-    terms = written(counts(usable), "langid-terms")
-    least = written(least_counts(terms, most), "langid-least")
-    cut = least.agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0]
-    if cut:
-        logging.getLogger(__name__).warning("language identification leaves out %d terms of the rarest counts", cut)
-        terms = terms.join(small_side(least.drop("cut")), ["lang", "size"]).where(F.col("n") >= F.col("least"))
-    table = terms.select("lang", "size", "term", "n").toArrow()
-    model = build(zip(*(table[c].to_pylist() for c in ("lang", "size", "term", "n")), strict=True))
-    model.cut = int(cut)
-    return model
+    return build(counts(usable).toArrow())  # terms of the bounded sample
 
 
-def build(rows: Iterator[tuple[str, int, str, int]]) -> Model:
-    per: dict[int, dict[str, dict[str, int]]] = {size: {} for size in range(MAX_N + 1)}
-    for lang, size, term, n in rows:
-        per[size].setdefault(term, {})[lang] = n
-    langs = sorted({lang for terms in per.values() for by in terms.values() for lang in by})
+def build(seen: pa.Table) -> Model:
+    """The model of counts n by lang, size and term."""
+    langs = sorted(pc.unique(seen["lang"]).to_pylist())
     model = Model(langs)
     for size in range(MAX_N + 1):
-        terms = per[size]
-        table = np.full((len(terms), len(langs)), SMOOTHING)
-        for i, by in enumerate(terms.values()):
-            for lang, n in by.items():
-                table[i, langs.index(lang)] += n
-        model.tables.append({t: i for i, t in enumerate(terms)})
-        model.rows.append(np.log(table / table.sum(axis=0)) if len(terms) else table)
+        rows = seen.filter(pc.equal(seen["size"], size))
+        coded = rows["term"].combine_chunks().dictionary_encode()
+        term, n = coded.indices.to_numpy(zero_copy_only=False), rows["n"].to_numpy()
+        lang = pc.index_in(rows["lang"].combine_chunks(), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
+        total = np.bincount(lang, n, len(langs)) + SMOOTHING * len(coded.dictionary)
+        order = np.argsort(term, kind="stable")
+        number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        starts = np.searchsorted(term[order], np.arange(len(number) + 1))
+        # Without terms there is no frequency to fall back on.
+        base = np.log(SMOOTHING / total) if number else total
+        model.terms.append(Terms(number, base, starts, lang[order].astype(np.int32), np.log((n[order] + SMOOTHING) / SMOOTHING)))
     return model
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -4,15 +4,15 @@ learn() finds the lexicon in labelled training rows: words, and stems that stand
 document frequency among toxic texts is far above that among others. Each cluster of near copies counts once, by the
 least hash of its four-word windows. The terms form a trie; a word of a text is matched by walking the trie with the
 states of a Levenshtein automaton (rows of edit distances, at most edits_allowed(length of the term), a swap of
-neighbours being one edit, any letter free but a missing first one in terms of five letters or fewer), so misspelled
-terms are found without listing variants. Words that training rows show to be innocent are left out one by one. A window of WINDOW words on either side of a match is a
+neighbours being one edit, any letter free), so misspelled terms are found without listing variants. Words that
+training rows show to be innocent are left out one by one. A window of WINDOW words on either side of a match is a
 quotation where it has quote marks or a reporting word (reporting words are those that training rows show beside
 matches in texts that are not toxic). Counts of direct, misspelled and quoted matches feed a ridge logistic model.
 
 A term stands in LEAST_DOCS toxic texts at least, with a lift that is significant among all the terms tested
 (BY_ACCIDENT); no share is asked for.
-Fitting uses about SAMPLE labelled rows (by hash of doc_id); scoring reads every text. MAX_TERMS bounds the memory of the
-lexicon, and of the reporting words: whatever it leaves out is counted in a warning (nothing on the tables given).
+Fitting uses about SAMPLE labelled rows (by hash of doc_id), which bound the lexicon and the other words learnt; scoring
+reads every text.
 
 Null text is empty text and gets the score of a text without matches. Null labels are ignored; the largest of repeated
 labels counts. With one class or none in the labels every score is the share of label 1 (0 without labels). Repeated
@@ -22,7 +22,6 @@ read.
 
 from __future__ import annotations
 
-import logging
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -37,10 +36,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import written
 
-_log = logging.getLogger(__name__)
-
 SAMPLE = 20_000
-MAX_TERMS = 10_000
 THRESHOLD = 0.7
 WINDOW = 6
 #: A term's least document frequency among toxic texts, its least lift, and the chance that any of the terms tested passes
@@ -125,7 +121,7 @@ class Trie:
             node, letter, row, before = stack.pop()
             depth = row[0]
             whole = node.get(_END, node.get(_STEM))
-            if whole is not None and row[-1] <= edits_allowed(depth) and (best is None or row[-1] < best[0]) and not self._beheaded(word, whole):
+            if whole is not None and row[-1] <= edits_allowed(depth) and (best is None or row[-1] < best[0]):
                 best = (row[-1], whole)
             # A misspelled stem of five letters or more: one edit from some beginning of a longer word.
             if _STEM in node and depth >= 5 and width - 1 > depth and min(row) <= 1 and (best is None or min(row) < best[0]):
@@ -162,11 +158,6 @@ class Trie:
         starts = (a + b + c, a + b + d, a + b + e, a + c + d, a + c + e, a + d + e, b + c + d, b + c + e, b + d + e, c + d + e)
         return not self.far_starts.isdisjoint(starts) and not far.isdisjoint(_shortened(word, 2))
 
-    def _beheaded(self, word: str, term: int) -> bool:
-        """Whether word is a term of five letters or fewer without its first: too often another word."""
-        body = self.bodies[term]
-        return len(body) < 6 and word == body[1:] and body[0] != body[1]
-
 
 @dataclass
 class Model:
@@ -247,14 +238,6 @@ def sampled_labels(labels: DataFrame, train: Column, sample: int) -> DataFrame:
     return known
 
 
-def _bounded(ranked: DataFrame, most: int, what: str) -> list:
-    """The first most rows of ranked, which come from the bounded sample; a warning if there are more."""
-    rows = ranked.limit(most + 1).collect()
-    if len(rows) > most:
-        _log.warning("more than %d %s: the weakest are left out", most, what)
-    return rows[:most]
-
-
 def _cluster(words: list[str]) -> int:
     return min((crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))), default=0)
 
@@ -308,8 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     expected = (F.col("a") + F.col("b")) * n1 / (n1 + n0)
     evidence = F.col("a") * F.log(F.col("a") / expected) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (F.col("a") + F.col("b") - expected))).otherwise(0)
     strong = seen.where((F.col("a") >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (2 * evidence >= least_z**2)).withColumn("z", F.log(lift) * F.sqrt("a"))
-    # A term's words and stems make up to a few candidates each.
-    found = _bounded(strong.orderBy(F.col("z").desc(), F.length("term").desc(), "term"), 10 * MAX_TERMS, "lexicon candidates")
+    found = strong.orderBy(F.col("z").desc(), F.length("term").desc(), "term").collect()  # terms of the sample
     terms = distinct_terms([(r["term"], r["a"]) for r in found])
     reporting, innocent = surroundings(rows, terms, n1, n0)
 
@@ -335,9 +317,7 @@ def distinct_terms(ranked: list[tuple[str, int]]) -> list[str]:
         if term.endswith("*") and any(c.startswith(body) and n < 1.25 * m for c, m in chosen.items()):
             continue
         chosen[term] = n
-    if len(chosen) > MAX_TERMS:
-        _log.warning("the lexicon leaves out %d terms", len(chosen) - MAX_TERMS)
-    return list(chosen)[:MAX_TERMS]
+    return list(chosen)
 
 
 def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[frozenset[str], frozenset[str]]:
@@ -363,9 +343,9 @@ def surroundings(rows: DataFrame, terms: list[str], n1: int, n0: int) -> tuple[f
     seen = rows.mapInArrow(near, "word string, term int, label int, n bigint").groupBy("word", "term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")
     )
-    said = seen.where((F.col("term") < 0) & (F.col("b") >= 10) & (F.col("b") >= 5 * (F.col("a") + 1))).orderBy(F.col("b").desc(), "word")
+    said = seen.where((F.col("term") < 0) & (F.col("b") >= 10) & (F.col("b") >= 5 * (F.col("a") + 1)))
     loose = seen.where((F.col("term") >= 0) & (F.col("b") >= 2) & (F.col("a") / n1 < LEAST_LIFT * F.col("b") / n0))  # words near a term, of the sampled texts
-    return frozenset(r["word"] for r in _bounded(said, MAX_TERMS, "reporting words")), frozenset(r["word"] for r in loose.collect())
+    return frozenset(r["word"] for r in said.collect()), frozenset(r["word"] for r in loose.collect())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
