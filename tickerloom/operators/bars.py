@@ -26,11 +26,12 @@ def bar_faults(bars: DataFrame) -> DataFrame:
 def recent_bars(bars: DataFrame, pool: DataFrame, end_date: str, limit: int = MIN_BARS) -> DataFrame:
     """The last limit bars, up to and including end_date, of every pool stock; the cut precedes the check of prices.
 
-    One join and one window, whose limit Spark applies before the exchange too.
+    The pool's symbols go first, so that other symbols' bars are never sorted; the window's limit applies before the
+    exchange too.
     """
+    wanted = bars.where(F.col("trade_date") <= F.lit(end_date).cast("date")).join(pool.select(F.col("stock_code").alias("symbol")).distinct(), "symbol", "left_semi")
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("trade_date").desc()))
-    last = bars.where(F.col("trade_date") <= F.lit(end_date).cast("date")).withColumn("place", place).where(F.col("place") <= limit).drop("place")
-    return valid_bars(last.join(pool.select(F.col("stock_code").alias("symbol")).distinct(), "symbol"))
+    return valid_bars(wanted.withColumn("place", place).where(F.col("place") <= limit).drop("place"))
 
 
 def as_of_sets(bars: DataFrame, ends: list[str], limit: int = MIN_BARS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.newstext import fixed, fmt_num
 from tickerloom.operators import price_action as P
 from tickerloom.operators.bars import MIN_BARS, TINY, bar_faults, claim_plan, recent_bars, valid_bars
+from tickerloom.sources.scratch import scratch_table
 
 BUY, NOT_BUY = "买", "不买"
 
@@ -260,10 +261,10 @@ def stock_tech_batch(pool: DataFrame, results: DataFrame, bars: DataFrame, end_d
     skipped_data_insufficient; a bar that contradicts itself, or fewer than MIN_BARS, fails with a message.
     """
     plan = claim_plan(pool, results)
-    todo = plan.where(F.col("plan").isin("insert", "retry", "take_over"))
-    last = recent_bars(bars, todo, end_date)
-    # The exchange by symbol that counts the bars also serves their windows.
-    sets = _bar_sets(last)
+    # Each is used several times and costs a row per claim, or MIN_BARS of them: written once.
+    todo = scratch_table(plan.where(F.col("plan").isin("insert", "retry", "take_over")))
+    last = scratch_table(recent_bars(bars, todo, end_date))
+    sets = scratch_table(_bar_sets(last))
     sound = last.join(sets.where((F.col("bars_count") >= MIN_BARS) & F.col("fault").isNull()).select("symbol"), "symbol", "left_semi")
     decided = analysed(sound).select("symbol", *FIELDS)
     out = todo.join(sets.withColumnRenamed("symbol", "stock_code"), "stock_code", "left").join(decided.withColumnRenamed("symbol", "stock_code"), "stock_code", "left")
@@ -287,9 +288,11 @@ def market_scan(snapshot: DataFrame, history: DataFrame, today: str, previous: s
     marked = snapshot.withColumn("whole", whole)
     now = marked.where("whole").select("symbol", F.to_date(F.lit(today)).alias("trade_date"), *prices)
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("trade_date").desc()))
-    before = history.where(F.col("trade_date") <= F.to_date(F.lit(previous))).withColumn("place", place).where(F.col("place") <= most_history).select("symbol", "trade_date", *prices)
-    rows = now.unionByName(valid_bars(before).join(now.select("symbol"), "symbol", "left_semi"))
-    sets = _bar_sets(rows).select("symbol", "bars_count", "fault")
+    known = history.where(F.col("trade_date") <= F.to_date(F.lit(previous))).join(now.select("symbol"), "symbol", "left_semi")
+    before = known.withColumn("place", place).where(F.col("place") <= most_history).select("symbol", "trade_date", *prices)
+    # Used by the counts and by the analysis: most_history + 1 bars of a symbol, written once.
+    rows = scratch_table(now.unionByName(valid_bars(before)))
+    sets = scratch_table(_bar_sets(rows).select("symbol", "bars_count", "fault"))
     sound = rows.join(sets.where((F.col("bars_count") >= MIN_BARS) & F.col("fault").isNull()).select("symbol"), "symbol", "left_semi")
     decided = analysed(sound).select("symbol", *FIELDS)
     out = marked.select("symbol", "name", "whole").join(sets, "symbol", "left").join(decided, "symbol", "left")

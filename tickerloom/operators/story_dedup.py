@@ -40,14 +40,18 @@ def order_of_arrival() -> Column:
 
 
 def key_components(keyed: DataFrame, scratch=None) -> DataFrame:
-    """event_id and component (its least event_id) of every row with keys.
+    """event_id and component (its least event_id) of every row with keys."""
+    scratch = scratch or scratch_table
+    return linked(scratch(keyed.select("event_id", F.explode("keys").alias("key")).select("event_id", F.unhex(F.md5("key")).alias("key"))), scratch)
+
+
+def linked(edges: DataFrame, scratch) -> DataFrame:
+    """event_id and component of the rows of edges (event_id, key digest).
 
     Stars over the bipartite graph of rows and keys: a key shared by many rows costs one link per member, never a pair.
-    Names of rows sort before those of keys (128-bit digests), so that a component's least node is a row.
+    Names of rows sort before those of keys, so that a component's least node is a row.
     """
-    scratch = scratch or scratch_table
-    key = F.concat(F.lit("1"), F.md5("key"))
-    links = scratch(keyed.select("event_id", F.explode("keys").alias("key")).select(F.concat(F.lit("0"), "event_id").alias("a"), key.alias("b")))
+    links = scratch(edges.select(F.concat(F.lit("0"), "event_id").alias("a"), F.concat(F.lit("1"), F.hex("key")).alias("b")))
     roots = components(links, scratch=scratch).where(F.col("node").startswith("0"))
     nodes = links.select(F.col("a").alias("node")).distinct().join(roots, "node", "left")
     return nodes.select(F.substr("node", F.lit(2)).alias("event_id"), F.substr(F.coalesce("root", "node"), F.lit(2)).alias("component"))
@@ -55,12 +59,20 @@ def key_components(keyed: DataFrame, scratch=None) -> DataFrame:
 
 def transitive(news: DataFrame, scratch=None) -> DataFrame:
     """The preferred row of every component, and every row without keys."""
-    keyed = with_keys(news).withColumn("preference", preference())
-    labels = key_components(keyed.where(F.size("keys") > 0), scratch)
-    joined = keyed.join(labels, "event_id", "left").withColumn("component", F.coalesce("component", "event_id"))
+    scratch = scratch or scratch_table
+    digests = F.transform("keys", lambda k: F.unhex(F.md5(k)))
+    # Keys and preferences are worked out once; only short columns go on.
+    keyed = scratch(with_keys(news).select("event_id", digests.alias("keys"), F.struct(preference().alias("preference"), order_of_arrival().alias("arrival")).alias("rank")))
+    edges = scratch(keyed.select("event_id", F.explode("keys").alias("key")))
+    # A key of one row links nothing, and most keys are such.
+    shared = edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    labels = linked(edges.join(shared, "key", "left_semi"), scratch)
+    joined = keyed.select("event_id", "rank").join(labels, "event_id").select("event_id", "component", "rank.preference", "rank.arrival")
     # Ties keep the row that arrived first.
-    best = Window.partitionBy("component").orderBy(F.col("preference").desc(), order_of_arrival())
-    return joined.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "preference", "keys")
+    best = Window.partitionBy("component").orderBy(F.col("preference").desc(), "arrival")
+    placed = scratch(joined.select("event_id", "component", F.row_number().over(best).alias("place")))
+    kept = news.join(placed, "event_id", "left").where("place IS NULL OR place = 1").drop("place")
+    return kept.withColumn("component", F.coalesce("component", "event_id"))
 
 
 def _placed(news: DataFrame, scratch) -> tuple[DataFrame, DataFrame]:
