@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import newstext as X
 from tickerloom.operators import search, story_dedup
+from tickerloom.operators.deep_pages import deep_page
 from tickerloom.operators.store import upsert_daily, upsert_news
 from tickerloom.sources.views import ASOF, NEWS, news, table
 
@@ -144,6 +145,7 @@ QUERIES = {
     "upsert_news": lambda spark, sf: upsert_news(*_store(spark, sf)),
     "upsert_daily_doc": _daily,
     "news_search": lambda spark, sf: search.page(_searched(spark, sf), skip=5, limit=40).select("event_id", "publish_ts", "title", "score"),
+    "deep_page": lambda spark, sf: deep_page(news(spark, sf).select("event_id", "publish_ts", "title", "score"), skip=7000, limit=60, small=200),
     "news_count": lambda spark, sf: _searched(spark, sf).agg(F.count(F.lit(1)).alias("n")),
     "news_by_sector": lambda spark, sf: search.page(search.filtered(news(spark, sf), sector="U7"), limit=30).select("event_id", "publish_ts"),
     "news_by_id": lambda spark, sf: news(spark, sf, only_id=77).select("event_id", "publish_ts", "source", "title", "score"),
@@ -218,6 +220,7 @@ _SAID = f"""concat_ws(' ', CASE WHEN {_N} % 3 <> 2 THEN {_pick(X.POSITIVE, _N)}
   CASE WHEN {_N} % 7 = 0 THEN '8%' END, CASE WHEN {_N} % 9 = 0 THEN {_pick(X.HARD_EVENTS, _N)} END, title)"""
 _CUT = ASOF - 15 * 86400
 ORACLES = {
+    "deep_page": f"WITH {NEWS} SELECT event_id, publish_ts, title, score FROM news ORDER BY publish_ts DESC, event_id LIMIT 60 OFFSET 7000",
     "upsert_news": f"WITH {NEWS} SELECT event_id, publish_ts, source, CASE WHEN publish_ts >= {_CUT - 3 * 86400} THEN title || '!' ELSE title END AS title, (CASE WHEN publish_ts >= {_CUT - 3 * 86400} THEN score + 1 ELSE score END)::INT AS score FROM news",
     "upsert_daily_doc": f"""WITH {NEWS}, d AS (SELECT {_LOCAL}::DATE AS biz_date, count(*) AS n FROM news GROUP BY 1)
 SELECT biz_date, CASE WHEN biz_date > DATE '2024-01-10' THEN n * 2 ELSE n END AS n, CASE WHEN biz_date < DATE '2024-01-20' THEN 'first' ELSE 'second' END AS created_at, CASE WHEN biz_date > DATE '2024-01-10' THEN 'second' ELSE 'first' END AS updated_at FROM d""",
