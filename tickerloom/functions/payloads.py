@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.functions.landing import ZONE, clock_text, epoch_seconds, event_id, split_title
+from tickerloom.functions.landing import ZONE, clock_text, clock_to_epoch, epoch_seconds, event_id, split_title
 from tickerloom.functions.newstext import strip
 
 # Words that stand between a flash's time and its title, and navigation words of the flash pages.
@@ -93,11 +93,17 @@ def flash_items(pages: DataFrame, key: str = "page_id", text: str = "text") -> D
     return found.groupBy(key, "clock", "title", "content").agg(F.min("pos").alias("pos"))
 
 
+# A bracketed beginning, a title before a dateline, and what goes from a story's ends, in order.
+BRACKETED = r"^[【\[]\s*([^】\]]+?)\s*[】\]]"
+DATELINE = r"^(.{4,80}?)\s+金十数据\d{1,2}月\d{1,2}日讯"
+FEED_AFFIXES = (BRACKETED + r"\s*", DATELINE + r"[，,:：]?\s*", r"^金十数据[，,:：]?\s*", r"\s*[-—]\s*金十数据\s*$", r"\s*金十数据\s*$")
+
+
 def feed_title(summary: Column, content: Column) -> Column:
     """A story's title: bracketed at its beginning, before the feed's dateline, or a short clean summary; else empty."""
     s, c = strip(summary), strip(content)
-    inner = _given(strip(F.regexp_extract(c, r"(?U)^[【\[]\s*([^】\]]+?)\s*[】\]]", 1)))
-    before = _given(strip(F.regexp_extract(c, r"(?U)^(.{4,80}?)\s+金十数据\d{1,2}月\d{1,2}日讯", 1)))
+    inner = _given(strip(F.regexp_extract(c, "(?U)" + BRACKETED, 1)))
+    before = _given(strip(F.regexp_extract(c, "(?U)" + DATELINE, 1)))
     short = (s != "") & ~s.rlike(_BUTTONS) & ~s.rlike(r"\d{4}-\d{2}-\d{2}") & (F.length(s) <= 80)
     return F.coalesce(F.when(inner != "金十数据", inner), F.when(~before.rlike(_BUTTONS), before), F.when(short, s), F.lit(""))
 
@@ -108,10 +114,8 @@ def feed_content(content: Column, summary: Column) -> Column:
     for pattern in PAGE_NOISE:
         text = F.regexp_replace(text, "(?U)" + pattern, " ")
     text = strip(F.regexp_replace(text, rf"(?Us)\s*[-—]\s*金十数据\s+{_STAMP}\s+.*$", ""))
-    text = F.regexp_replace(text, r"(?U)^[【\[]\s*[^】\]]+?\s*[】\]]\s*", "")
-    text = F.regexp_replace(text, r"(?U)^(.{4,80}?)\s+金十数据\d{1,2}月\d{1,2}日讯[，,:：]?\s*", "")
-    text = F.regexp_replace(text, r"(?U)^金十数据[，,:：]?\s*", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s*[-—]\s*金十数据\s*$", ""), r"(?U)\s*金十数据\s*$", "")
+    for pattern in FEED_AFFIXES:
+        text = F.regexp_replace(text, "(?U)" + pattern, "")
     return F.when(strip(content) == "", strip(summary)).otherwise(strip(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
@@ -123,6 +127,33 @@ def feed_epoch(stamp: Column, clock: Column, now: int) -> Column:
     return F.unix_seconds(F.to_utc_timestamp(local, ZONE))
 
 
+def _landed(source: str, given: Column, ts: Column, title: Column, content: Column, *parts: Column) -> list[Column]:
+    """A news row's columns; its id is the given one, else the digest of parts."""
+    none = F.array().cast("array<string>")
+    return [event_id(given, *parts).alias("event_id"), ts.alias("publish_ts"), clock_text(ts).alias("publish_time"), none.alias("subjects"), title.alias("title"), content.alias("content"), F.lit(source).alias("source")]
+
+
+def flash_news(flashes: DataFrame, now: int) -> DataFrame:
+    """News rows of flash_items as of now: their clocks become epochs of the last day, a missing content is the title."""
+    rows = flashes.withColumn("ts", clock_to_epoch(F.col("clock"), now))
+    told = F.coalesce(_given(strip(F.col("content"))), strip(F.col("title")))
+    rows = rows.select("ts", strip(F.col("title")).alias("title"), told.alias("content")).where(F.col("ts").isNotNull() & (F.col("content") != ""))
+    name = F.lit("10jqka")
+    return rows.select(*_landed("10jqka", F.lit(None).cast("string"), F.col("ts"), F.col("title"), F.col("content"), F.col("ts"), F.col("title"), F.col("content"), name))
+
+
+def feed_news(stories: DataFrame, now: int) -> DataFrame:
+    """News rows of the second feed's stories (content, summary, stamp, clock, detail_url) as of now.
+
+    A story is known by its page's address, else by its time and content; without a time or content it is dropped.
+    """
+    told, named = feed_content(F.col("content"), F.col("summary")), feed_title(F.col("summary"), F.col("content"))
+    rows = stories.select("detail_url", named.alias("title"), told.alias("content"), feed_epoch(F.col("stamp"), F.col("clock"), now).alias("ts"))
+    rows = rows.where(F.col("ts").isNotNull() & (F.col("content") != ""))
+    page = F.when(F.coalesce("detail_url", F.lit("")) != "", F.md5("detail_url"))
+    return rows.select(*_landed("jin10", page, F.col("ts"), F.col("title"), F.col("content"), F.col("ts"), F.col("content"), F.lit("jin10")))
+
+
 def vendor_number(text: Column) -> Column:
     """A number, null for the vendor's marks of nothing and for what is none."""
     n = F.trim(text).try_cast("double")
@@ -154,6 +185,12 @@ def index_rows(raw: DataFrame) -> DataFrame:
     return wanted.join(F.broadcast(per), "index_code", "left").withColumn("missing", F.col("there").isNull()).drop("there").orderBy("place")
 
 
+def index_snapshot(raw: DataFrame) -> DataFrame:
+    """index_rows without missing ones: the task that meets an index without a row fails, naming it."""
+    absent = F.raise_error(F.concat(F.lit("no quote of index "), F.col("index_code")))
+    return index_rows(raw).withColumn("index_code", F.when(F.col("missing"), absent.cast("string")).otherwise(F.col("index_code"))).drop("missing")
+
+
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, section and body: a text's lines under the marker line before them, head before the first marker.
 

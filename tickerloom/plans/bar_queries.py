@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickerloom.operators import bars as B
 from tickerloom.operators import decision as D
 from tickerloom.operators import price_action as P
+from tickerloom.operators.bar_store import store_bars, stored_bars
 from tickerloom.operators.store import record_outcomes, upsert
+from tickerloom.sources.scratch import shared_folder
 from tickerloom.sources.views import (
     BARS,
     CALENDAR,
@@ -88,7 +92,20 @@ def _moments(spark, sf):
 
 FEATURES = ("symbol", "trade_date", "idx", "kind", "inside", "outside", "near_high", "near_low", "overlap", "tail_heavy", "prev_close", "avg_range20", "prior_high20", "pivot_high", "pivot_low")
 
+def _bucketed(spark, sf, rows):
+    """rows as a table of months and buckets in the shared folder."""
+    name = f"bars_{uuid.uuid4().hex}"
+    store_bars(rows, name, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}")
+    return name
+
+
+def _stored_recent(spark, sf):
+    return B.recent_bars(stored_bars(spark, _bucketed(spark, sf, bars_supp(spark, sf))), stock_pool(spark, sf), END)
+
+
 QUERIES = {
+    "stored_recent_bars": _stored_recent,
+    "stored_market_context": lambda spark, sf: P.structures(stored_bars(spark, _bucketed(spark, sf, bars_supp(spark, sf)))).select("symbol", "bull_bars", "bear_bars", "tr_bars", "overlap_count", "inside_count", "heavy_tails", "bull_micro", "bear_micro", "in_middle", "confusion"),
     "bars_type": bars_type,
     "bars_supp": bars_supp,
     "stock_pool": stock_pool,
@@ -300,6 +317,7 @@ ORACLES = {
     "bars_type": f"WITH {BARS} SELECT * FROM bars_type",
     "bars_supp": f"WITH {BARS} SELECT * FROM bars_supp",
     "stock_pool": f"WITH {POOL} SELECT sector, sector_rank::INT AS sector_rank, stock_rank::INT AS stock_rank, stock_code, stock_name, s_suppkey FROM stock_pool",
+    "stored_recent_bars": f"WITH {BARS}, {POOL}, {_RECENT} SELECT * FROM recent",
     "recent_bars": f"WITH {BARS}, {POOL}, {_RECENT} SELECT * FROM recent",
     "valid_bars": f"WITH {BARS}, {FLAWED} SELECT count(*) AS n FROM bars_flawed WHERE close IS NOT NULL",
     "bar_faults": f"WITH {BARS}, {FLAWED} SELECT * FROM (SELECT *, {_FAULT} AS fault FROM bars_flawed) WHERE fault IS NOT NULL",
@@ -353,3 +371,5 @@ SELECT symbol, {_CHART} AS chart FROM s4 JOIN five USING (symbol)""",
     "scan_summary": f"""{_SCAN_OUT} SELECT count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (conclusion = '买') AS buy, count(*) FILTER (conclusion = '不买') AS not_buy,
   count(*) FILTER (status = 'skipped_data_insufficient') AS skipped_data_insufficient, count(*) FILTER (status = 'skipped_invalid_current_snapshot') AS skipped_invalid_current_snapshot, count(*) FILTER (status = 'failed') AS failed FROM scan""",
 }
+
+ORACLES["stored_market_context"] = ORACLES["market_context"]

@@ -35,11 +35,11 @@ _BODIES = """bodies AS (SELECT *, event_id::BIGINT AS n FROM news WHERE source =
 
 
 def _pages(spark, sf):
-    """Flash pages: navigation words, times, titles and contents, now and then with a time where a title should be."""
+    """Flash pages: navigation words, times, titles and documents as contents, now and then with a time where a title should be."""
     n = F.col("doc_id")
     clock = F.concat(F.lpad((n % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"))
     word = F.element_at(F.array(*map(F.lit, Y.SKIP_WORDS)), (n % len(Y.SKIP_WORDS) + 1).cast("int"))
-    first = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " "), 1, 40)
+    first = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ")
     lines = F.array(F.lit("滚动快讯"), clock, word, F.lit("重要"), F.concat(F.lit("## 题 "), n.cast("string")), F.concat(F.lit(" 文  "), first), F.lit(""), clock, F.concat(F.lit("## 题 "), n.cast("string")), F.concat(F.lit("文 "), first), F.lit("12:30:45"), F.when(n % 3 == 0, F.lit("12:31")).otherwise("A"), F.lit("B"), F.lit("C"), F.lit("23:59"), F.lit("last"))
     return table(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.array_join(lines, "\n").alias("text"))
 
@@ -93,7 +93,7 @@ def _histories(spark, sf):
 
 
 def _index_quotes(spark, sf):
-    part = table(spark, sf, "part").where("p_partkey <= 40")
+    part = table(spark, sf, "part")
     code = F.element_at(F.array(*map(F.lit, ["1", "399001", "399006", "688", "300", "777777"])), (F.col("p_partkey") % 6 + 1).cast("int"))
     return part.groupBy(code.alias("f12")).agg(*[F.max("p_retailprice").cast("string").alias(f) for f in ("f2", "f3", "f4", "f15", "f16", "f17", "f18")])
 
@@ -102,7 +102,10 @@ def _mornings(spark, sf):
     """Morning texts with the markers of sections in and around the lines of documents."""
     n = F.col("doc_id")
     marks = list(Y.SECTIONS)
-    piece = lambda i: F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " "), 1 + 30 * i, 30)
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")
+    fifth = F.floor(F.length(flat) / 5).cast("int")
+    # A fifth each, the last with what remains.
+    piece = lambda i: F.substring(flat, F.lit(1) + fifth * i, fifth if i < 4 else F.length(flat))
     mark = lambda i: F.element_at(F.array(*map(F.lit, marks)), ((n + i) % 6 + 1).cast("int"))
     text = F.concat_ws("\n", piece(0), F.lit("  "), F.concat(F.lit("> "), mark(0), F.lit(" <")), piece(1), piece(2), mark(2), piece(3), mark(0), piece(4))
     return table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", text.alias("text"))
@@ -205,7 +208,21 @@ def _feeds_union(spark, sf):
     return search.feeds_union([rows.where(F.col("source") == s) for s in ("cls", "jin10", "10jqka")])
 
 
+def _stories(spark, sf):
+    """The second feed's stories, a third of them with the address of their page."""
+    n = F.col("event_id").cast("long")
+    return _feed(spark, sf).withColumn("detail_url", F.when(n % 3 == 0, F.concat(F.lit("https://flash.test/detail/"), "event_id")).when(n % 3 == 1, F.lit("")))
+
+
+def _land_feeds(spark, sf):
+    """News rows of all three feeds' payloads, in order of time."""
+    feeds = [Y.news_items(_bodies(spark, sf)), Y.feed_news(_stories(spark, sf), ASOF), Y.flash_news(Y.flash_items(_pages(spark, sf)), ASOF)]
+    rows = search.feeds_union(feeds)
+    return rows.select("event_id", "publish_ts", "publish_time", F.array_join("subjects", ",").alias("subjects"), "title", F.md5("content").alias("content_md5"), "source")
+
+
 QUERIES = {
+    "land_feeds": _land_feeds,
     "land_news_json": lambda spark, sf: Y.news_items(_bodies(spark, sf)).withColumn("subjects", F.array_join("subjects", ",")),
     "flash_lines": lambda spark, sf: Y.flash_items(_pages(spark, sf)),
     "jin10_clean": lambda spark, sf: _feed(spark, sf).select("event_id", Y.feed_content(F.col("content"), F.col("summary")).alias("content")),
@@ -250,7 +267,7 @@ ORACLES = {
 u AS (SELECT *, trim(told, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM t)
 SELECT CASE WHEN n % 3 = 0 THEN n::VARCHAR ELSE md5(publish_ts || '+' || shown || '+' || body || '+cls') END AS event_id, publish_ts, strftime({_LOCAL}, '%H:%M:%S') AS publish_time, title || ',s' || (n % 4) AS subjects, shown AS title, body AS content, 'cls' AS source FROM u""",
     "flash_lines": f"""WITH p AS (SELECT doc_id, lpad((doc_id % 24)::VARCHAR, 2, '0') || ':' || lpad((doc_id % 60)::VARCHAR, 2, '0') AS clock, '题 ' || doc_id AS title,
-  trim(regexp_replace('文 ' || substr(regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g'), 1, 40), '[ \\t\\x0B\\f\\x{{a0}}]+', ' ', 'g')) AS content FROM documents WHERE doc_id IS NOT NULL)
+  trim(regexp_replace('文 ' || regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g'), '[ \\t\\x0B\\f\\x{{a0}}]+', ' ', 'g')) AS content FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id AS page_id, clock, title, content, 1 AS pos FROM p
 UNION ALL SELECT doc_id, '12:30:45', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'A' END, 'B', 10 FROM p WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, '12:31', 'B', 'C', 11 FROM p WHERE doc_id % 3 = 0""",
     "jin10_clean": f"WITH {NEWS}, {_FEED} SELECT event_id, CASE WHEN n % 5 < 4 THEN body WHEN n % 4 = 0 THEN '分享 详情' WHEN n % 4 = 1 THEN '摘要' || n WHEN n % 4 = 2 THEN '2024-01-01 x' ELSE repeat('长', 90) END AS content FROM fd",
@@ -260,10 +277,10 @@ UNION ALL SELECT doc_id, '12:30:45', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'A'
     "history_from_csv": f"""WITH {BARS}, h AS (SELECT symbol, trade_date, open AS open_price, CASE WHEN month(trade_date) <> 7 THEN close END AS close_price, high AS high_price, low AS low_price FROM bars_supp WHERE month(trade_date) <> 2)
 SELECT symbol, 'N' || symbol AS name, trade_date, open_price, close_price, high_price, low_price, 12.5::DOUBLE AS turnover_amount_yuan, NULL::DOUBLE AS amplitude_percent, NULL::DOUBLE AS change_percent, 0.5::DOUBLE AS change_amount, 3::DOUBLE AS turnover_percent,
   lag(close_price) OVER (PARTITION BY symbol ORDER BY trade_date) AS prev_close_price FROM h""",
-    "index_snapshot": """WITH q AS (SELECT ['000001', '399001', '399006', '000688', '000300', '777777'][p_partkey % 6 + 1] AS code, max(p_retailprice)::DOUBLE AS latest FROM part WHERE p_partkey <= 40 GROUP BY 1)
+    "index_snapshot": """WITH q AS (SELECT ['000001', '399001', '399006', '000688', '000300', '777777'][p_partkey % 6 + 1] AS code, max(p_retailprice)::DOUBLE AS latest FROM part GROUP BY 1)
 SELECT place::INT AS place, w.code AS index_code, w.name AS index_name, latest, latest AS prev_close, latest IS NULL AS missing FROM (VALUES (1, '000001', '上证指数'), (2, '399001', '深证成指'), (3, '399006', '创业板指'), (4, '000688', '科创50'), (5, '899050', '北证50')) AS w(place, code, name) LEFT JOIN q USING (code)""",
     "split_sections": f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS x FROM documents WHERE doc_id IS NOT NULL),
-l AS (SELECT doc_id, i, trim(substr(x, 1 + 30 * i, 30), ' ' || chr(9) || chr(11) || chr(12) || chr(160) || chr(12288)) AS line, CASE WHEN i = 0 THEN 'head' WHEN i = 3 THEN {_MARKS}[(doc_id + 2) % 6 + 1] ELSE {_MARKS}[doc_id % 6 + 1] END AS section FROM t, range(0, 5) AS k(i)),
+l AS (SELECT doc_id, i, trim(substr(x, 1 + length(x) // 5 * i, CASE WHEN i < 4 THEN length(x) // 5 ELSE length(x) END), ' ' || chr(9) || chr(11) || chr(12) || chr(160) || chr(12288)) AS line, CASE WHEN i = 0 THEN 'head' WHEN i = 3 THEN {_MARKS}[(doc_id + 2) % 6 + 1] ELSE {_MARKS}[doc_id % 6 + 1] END AS section FROM t, range(0, 5) AS k(i)),
 s AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS body FROM l WHERE line <> '' GROUP BY doc_id, section) SELECT doc_id, section, md5(body) AS body_md5, length(body)::INT AS length FROM s""",
     "sector_list_dedup": f"WITH {_LINKS} SELECT sector_name, sector_code FROM links",
     "sector_dim": f"WITH {_docs_sql()}, {_LINKS}, pool AS ({_POOL_ROWS}) SELECT analysis_date, sector, sector_code, stock_code FROM pool LEFT JOIN links ON sector_name = sector",
@@ -293,3 +310,14 @@ SELECT o_orderpriority, o_orderstatus, count(*) AS samples, round(avg(p), 2) AS
   count(*) FILTER (k % 6 = 0) AS warmup_failures, count(*) FILTER (p = 0) AS zero_page_failures, count(*) FILTER (k % 5 = 0) AS expired_count FROM t GROUP BY 1, 2""",
     "feeds_union": f"WITH {NEWS} SELECT event_id, publish_ts, source, title FROM news",
 }
+
+_CLOCK = "strftime(to_timestamp(ts) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR, '%H:%M:%S')"
+ORACLES["land_feeds"] = f"""
+WITH flash AS (SELECT title, content, CASE WHEN s > {ASOF} + 300 THEN s - 86400 ELSE s END AS ts FROM (
+  SELECT title, content, {ASOF - 28800} + clock[1:2]::INT * 3600 + clock[4:5]::INT * 60 + coalesce(nullif(clock[7:8], '')::INT, 0) AS s FROM ({ORACLES["flash_lines"]}))),
+feed AS (SELECT event_id::BIGINT AS n, title, content, ts FROM ({ORACLES["jin10_clean"]}) JOIN ({ORACLES["jin10_title"]}) USING (event_id) JOIN ({ORACLES["jin10_ts"]}) USING (event_id)
+  WHERE ts IS NOT NULL AND content <> '')
+SELECT event_id, publish_ts, publish_time, subjects, title, md5(content) AS content_md5, source FROM ({ORACLES["land_news_json"]})
+UNION ALL SELECT CASE WHEN n % 3 = 0 THEN md5('https://flash.test/detail/' || n) ELSE md5(ts || '+' || content || '+jin10') END, ts, {_CLOCK}, '', title, md5(content), 'jin10' FROM feed
+UNION ALL SELECT md5(ts || '+' || title || '+' || content || '+10jqka'), ts, {_CLOCK}, '', title, md5(content), '10jqka' FROM flash
+"""
