@@ -240,11 +240,20 @@ def test_exact_dedup(docs):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_distinct_digests_once(docs, spark):
+    """Rows of one id: other texts, other cases, repeated; the plan that meets the texts again has no SHA-256 in it."""
+    rows = [(1, "Ab"), (1, "aB"), (2, "x"), (1, "x"), (1, "y"), (3, "AB"), (None, "y"), (4, None), (4, ""), (2, "X"), (2, "x")]
+    table = spark.createDataFrame([(*r, "raw") for r in rows], "doc_id bigint, text string, raw string")
+    left = exact_dedup.exact_distinct(table)
+    assert sorted(map(str, left.collect())) == sorted(map(str, table.where("(doc_id = 3) OR (doc_id = 2) OR (doc_id = 1 AND text = 'y') OR doc_id = 4").collect()))
+    assert "sha2" not in left._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_dedup_merges_sorted_runs(docs):
-    """Every fold runs in sort order; no hash table holds digests."""
+    """Every fold runs in sort order, no hash table holds digests, and the rounds need no exchange of their own."""
     rows = docs.select("doc_id", *exact_dedup.digest_columns(F.col("text"))).repartition(5)
     plan = exact_dedup.merged_runs(rows)._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" in plan and "HashAggregate" not in plan
+    assert "SortAggregate" in plan and "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 2
     want = {}
     for r in docs.collect():
         want.setdefault("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""), []).append(r.doc_id)

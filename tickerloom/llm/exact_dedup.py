@@ -1,12 +1,13 @@
 """Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
 Every text is digested once, into a narrow table. Each input partition then forms a run: its rows sorted by digest, equal
-neighbours folded into one row with the identifier that stays and the rows counted. Runs meet in binomial rounds: in each,
-2**FAN_BITS neighbouring runs exchange their rows by (run, digest); a task sorts what it receives, which merges the
-sorted pieces of its runs, and advances through the merged run once, folding equal neighbours again. So identifiers that
-lose never travel further, a round holds one row in memory, and a text that holds a third of all rows costs one row per
-task. The state that a fold carries is a struct, which Spark folds in sort order (SortAggregate over Sort) and not in a
-hash table; a test holds the plan to that.
+neighbours folded into one row with the identifier that stays and the rows counted. The runs are cut at the same digests
+into CELLS ranges, and one exchange brings a range of all runs together; the binomial rounds then need no further one:
+in each, 2**FAN_BITS neighbouring runs become one, the task merging its sorted pieces of them and advancing through the
+merged run once, folding equal neighbours again. So identifiers that lose never travel further, a round holds one row in
+memory, and a text that holds a third of all rows costs one row per run. The state that a fold carries is a struct,
+which Spark folds in sort order (SortAggregate over Sort) and not in a hash table; a test holds the plan to that, and
+to the two exchanges.
 
 A digest is verified at every level: SHA-256, byte length and a second, independent 64-bit hash must all agree. The texts
 themselves are not compared: two that agree in all three would be a collision of SHA-256.
@@ -26,6 +27,8 @@ from tickerloom.llm.common import fresh, lower_ascii, written
 #: Runs at the leaves of the tree, and how many bits of the run number each round folds away.
 RUN_BITS = 6
 FAN_BITS = 3
+#: Ranges of digests that runs are cut into; a task holds one or several of them.
+CELLS = 1 << 12
 
 KEY = ["digest", "octets", "second"]
 
@@ -41,7 +44,7 @@ def digest_columns(text: Column) -> list[Column]:
 
 def _folded(runs: DataFrame) -> DataFrame:
     """Equal neighbours of sorted runs as one row; best is a struct, so the fold follows the sort order."""
-    return runs.groupBy("run", *KEY).agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
+    return runs.groupBy("run", "cell", *KEY).agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
 
 
 def merged_runs(rows: DataFrame, keep: str = "max", run_bits: int = RUN_BITS, fan_bits: int = FAN_BITS) -> DataFrame:
@@ -50,7 +53,10 @@ def merged_runs(rows: DataFrame, keep: str = "max", run_bits: int = RUN_BITS, fa
     # Any identifier is better than none.
     best = F.struct(F.col("doc_id").isNotNull().alias("there"), place.alias("place"), "doc_id")
     run = F.pmod(F.spark_partition_id(), F.lit(1 << run_bits))
-    runs = _folded(rows.select(run.alias("run"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("group_size")))
+    cell = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int") % CELLS
+    runs = _folded(rows.select(run.alias("run"), cell.alias("cell"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("group_size")))
+    # From here on a task has a range of digests of all runs.
+    runs = runs.repartition("cell")
     left = run_bits
     while left > 0:
         step = min(fan_bits, left)
@@ -72,10 +78,24 @@ def exact_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
     )
 
 
+def raw_columns(text: Column) -> list[Column]:
+    """What tells rows of one doc_id apart: their texts as they are, by length and two hashes that cost next to nothing."""
+    own = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(own).alias("raw"), F.hash(own).alias("raw_second"), F.octet_length(own).alias("raw_octets")]
+
+
 def exact_distinct(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns."""
-    names = {c: fresh(docs, c) for c in KEY}
-    tagged = docs.select("*", *[c.alias(names[k]) for k, c in zip(KEY, digest_columns(F.col("text")), strict=True)])
-    groups = merged_runs(docs.select("doc_id", *digest_columns(F.col("text"))), keep)
-    on = [tagged[names[k]] == groups[k] for k in KEY] + [tagged["doc_id"].eqNullSafe(groups["keep_id"])]
-    return tagged.join(groups, on, "left_semi").select(*docs.columns)
+    """The rows of docs that stay, with docs' own columns.
+
+    Texts are digested into a narrow table; docs then meets the rows of it that stay by doc_id and raw_columns, which are
+    read off the texts again. They need only tell apart the texts of rows that share a doc_id.
+    """
+    narrow = written(docs.select("doc_id", *digest_columns(F.col("text")), *raw_columns(F.col("text"))), "exact-digests")
+    groups = merged_runs(narrow, keep)
+    same = [narrow[k] == groups[k] for k in KEY] + [narrow["doc_id"].eqNullSafe(groups["keep_id"])]
+    raws = ["raw", "raw_second", "raw_octets"]
+    stay = narrow.join(groups, same, "left_semi").select(F.col("doc_id").alias("stays"), *[F.col(r).alias(f"stays_{r}") for r in raws])
+    names = [fresh(docs, r) for r in raws]
+    tagged = docs.select("*", *[c.alias(n) for n, c in zip(names, raw_columns(F.col("text")), strict=True)])
+    on = [tagged["doc_id"].eqNullSafe(stay["stays"])] + [tagged[n] == stay[f"stays_{r}"] for n, r in zip(names, raws, strict=True)]
+    return tagged.join(stay, on, "left_semi").select(*docs.columns)
