@@ -121,8 +121,9 @@ def _link_pages(spark, sf):
 
 
 def _docs(spark, sf):
-    """A market document per day of events and its re-issue on every third, with nested sectors, stocks and a written analysis."""
-    days = table(spark, sf, "events").select(F.to_date("ts").alias("analysis_date")).distinct()
+    """A market document per row of documents, a day each, and its re-issue on every third, with nested sectors, stocks and a
+    written analysis that begins with the row's text."""
+    days = table(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")).alias("analysis_date"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("flat"))
     k = F.datediff("analysis_date", F.lit("2024-01-01").cast("date"))
     sector = lambda i: F.element_at(F.array(*map(F.lit, SECTORS)), (F.pmod(k * 7 + i * 13, F.lit(90)) + 1).cast("int"))
     ordinals = "一二三四五"
@@ -131,7 +132,7 @@ def _docs(spark, sf):
         lines.append(F.concat(F.lit(f"第{o}主线： " if i < 4 else f"第{o}主线："), F.when((k % 5 == 4) & F.lit(i == 4), F.lit("别的")).otherwise(sector(i)), F.lit("  ")))
         lines.append(F.when(F.lit(i) != 3, F.concat(F.lit("理由：because "), k.cast("string"), F.lit(f" of {i}"))).otherwise("no reason here"))
         lines.append(F.lit(f"  and more {i}"))
-    text = F.when(k % 6 == 5, F.lit("nothing clear today")).otherwise(F.concat_ws("\n", F.lit("开头"), *lines))
+    text = F.when(k % 6 == 5, F.concat(F.lit("nothing clear today "), "flat")).otherwise(F.concat_ws("\n", F.concat(F.lit("开头 "), "flat"), *lines))
     stocks = lambda i: F.array(*[F.struct(F.when((k + j) % 4 == 0, F.lit(" ")).otherwise(F.lpad((k * 10 + i * 3 + j).cast("string"), 6, "0")).alias("code"), F.lit(f" name {i}{j} ").alias("name")) for j in range(3)])
     tops = F.array(*[F.struct((F.lit(i + 1)).alias("rank"), F.when((k + i) % 7 == 0, F.lit("")).otherwise(sector(i)).alias("sector_name"), stocks(i).alias("stocks")) for i in range(3)])
     mains = F.array(*[F.struct((F.lit(i + 1) if i != 1 else F.lit(None).cast("int")).alias("rank"), F.concat(F.lit(" "), sector(i)).alias("sector_name")) for i in range(5)])
@@ -153,8 +154,8 @@ def _docs_sql() -> str:
     for i, o in enumerate("一二三四五"):
         name = f"CASE WHEN k % 5 = 4 THEN '别的' ELSE {_sector_sql(i)} END" if i == 4 else _sector_sql(i)
         lines += [f"'第{o}主线：' || '{' ' if i < 4 else ''}' || {name} || '  '", f"'理由：because ' || k || ' of {i}'" if i != 3 else "'no reason here'", f"'  and more {i}'"]
-    return f"""d0 AS (SELECT DISTINCT ts::DATE AS analysis_date, ts::DATE - DATE '2024-01-01' AS k FROM events),
-d1 AS (SELECT analysis_date, k, CASE WHEN k % 4 <> 3 THEN (analysis_date + 1)::DATE END AS trade_date, (k * 10)::INT AS updated_at, CASE WHEN k % 6 = 5 THEN 'nothing clear today' ELSE array_to_string(['开头', {", ".join(lines)}], chr(10)) END AS analysis_text FROM d0),
+    return f"""d0 AS (SELECT (DATE '2024-01-01' + doc_id::INT)::DATE AS analysis_date, doc_id AS k, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS flat FROM documents WHERE doc_id IS NOT NULL),
+d1 AS (SELECT analysis_date, k, CASE WHEN k % 4 <> 3 THEN (analysis_date + 1)::DATE END AS trade_date, (k * 10)::INT AS updated_at, CASE WHEN k % 6 = 5 THEN 'nothing clear today ' || flat ELSE array_to_string(['开头 ' || flat, {", ".join(lines)}], chr(10)) END AS analysis_text FROM d0),
 docs AS (SELECT * FROM d1 UNION ALL SELECT analysis_date, k, analysis_date, updated_at + 5, analysis_text FROM d1 WHERE k % 3 = 0)"""
 
 
@@ -165,15 +166,15 @@ _REASONS = " UNION ALL ".join(
 
 
 def _indices(spark, sf):
-    """Index rows per day: padded and short codes in changing order, repeats, 000300 and others."""
-    days = table(spark, sf, "events").select(F.to_date("ts").alias("day")).distinct()
+    """Index rows per row of documents, a day each: padded and short codes in changing order, repeats, 000300 and others."""
+    days = table(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")).alias("day"))
     k = F.datediff("day", F.lit("2024-01-01").cast("date"))
     codes = ["688", "899050", "300", "399001", "000016", "1", "399006", "000905", "399001", "000852", "000016"]
     rows = days.select("day", k.alias("k"), F.posexplode(F.array(*map(F.lit, codes))).alias("pos", "index_code")).where((F.col("k") + F.col("pos")) % 4 != 0)
     return rows.select("day", "pos", "index_code", F.concat(F.lit(" raw "), "index_code").alias("index_name"), (F.col("k") * 100 + F.col("pos")).alias("latest"))
 
 
-_INDICES = """ix0 AS (SELECT DISTINCT ts::DATE AS day, ts::DATE - DATE '2024-01-01' AS k FROM events),
+_INDICES = """ix0 AS (SELECT (DATE '2024-01-01' + doc_id::INT)::DATE AS day, doc_id AS k FROM documents WHERE doc_id IS NOT NULL),
 ix AS (SELECT day, p - 1 AS pos, lpad(c, 6, '0') AS code, ' raw ' || c AS raw, (k * 100 + p - 1)::INT AS latest FROM ix0, (SELECT unnest(['688', '899050', '300', '399001', '000016', '1', '399006', '000905', '399001', '000852', '000016']) AS c, generate_subscripts(['688', '899050', '300', '399001', '000016', '1', '399006', '000905', '399001', '000852', '000016'], 1) AS p) WHERE (k + p - 1) % 4 <> 0)"""
 
 
@@ -288,7 +289,7 @@ s AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS body FROM
     "mainline_reasons": f"WITH {_docs_sql()} {_REASONS}",
     "digest_lines": f"""WITH {_docs_sql()}, l AS (SELECT analysis_date, updated_at, trim(unnest(string_split(analysis_text, chr(10)))) AS line, generate_subscripts(string_split(analysis_text, chr(10)), 1) AS i FROM docs WHERE k % 6 <> 5)
 SELECT analysis_date, updated_at, md5(string_agg(CASE WHEN starts_with(line, '第') THEN '**' || line || '**' ELSE '> ' || line END, chr(10) || chr(10) ORDER BY i)) AS digest_md5 FROM l WHERE starts_with(line, '第') OR starts_with(line, '理由：') GROUP BY 1, 2
-UNION ALL SELECT analysis_date, updated_at, md5(analysis_text) FROM docs WHERE k % 6 = 5""",
+UNION ALL SELECT analysis_date, updated_at, md5(substr(analysis_text, 1, 2000)) FROM docs WHERE k % 6 = 5""",
     "market_doc_latest": f"WITH {_docs_sql()} SELECT analysis_date, trade_date, updated_at FROM docs ORDER BY analysis_date DESC, updated_at DESC LIMIT 1",
     "market_docs_recent": f"WITH {_docs_sql()} SELECT analysis_date, trade_date, updated_at FROM docs ORDER BY analysis_date DESC, updated_at DESC LIMIT 7",
     "market_doc_by_date": f"WITH {_docs_sql()} SELECT analysis_date, arg_max(trade_date, updated_at) AS trade_date, max(updated_at) AS updated_at FROM docs GROUP BY analysis_date",
