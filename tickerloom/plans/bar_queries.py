@@ -156,27 +156,35 @@ QUERIES = {
 _FEATURES_OF = """f AS (SELECT *, greatest(high - low, 1e-9::DOUBLE) AS size, lag(high) OVER w AS p_high, lag(low) OVER w AS p_low,
   (row_number() OVER w - 1)::INT AS idx, lag(close) OVER w AS prev_close, avg(high - low) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS avg_range20,
   max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior_high20,
-  CASE WHEN lag(high, 2) OVER w IS NOT NULL AND lead(high, 2) OVER w IS NOT NULL THEN high >= greatest(lag(high) OVER w, lag(high, 2) OVER w, lead(high) OVER w, lead(high, 2) OVER w) ELSE false END AS pivot_high,
-  CASE WHEN lag(high, 2) OVER w IS NOT NULL AND lead(high, 2) OVER w IS NOT NULL THEN low <= least(lag(low) OVER w, lag(low, 2) OVER w, lead(low) OVER w, lead(low, 2) OVER w) ELSE false END AS pivot_low
+  CASE WHEN lag(high, 2) OVER w IS NOT NULL AND lead(high, 2) OVER w IS NOT NULL THEN high >= greatest(lag(high) OVER w, lag(high, 2) OVER w, lead(high)
+  OVER w, lead(high, 2) OVER w) ELSE false END AS pivot_high,
+  CASE WHEN lag(high, 2) OVER w IS NOT NULL AND lead(high, 2) OVER w IS NOT NULL THEN low <= least(lag(low) OVER w, lag(low, 2) OVER w, lead(low) OVER
+  w, lead(low, 2) OVER w) ELSE false END AS pivot_low
   FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
 features AS (SELECT symbol, trade_date, idx, high, low, close, CASE WHEN close > open AND abs(close - open) / size >= 0.5 AND (high - greatest(open, close)) / size <= 0.25 THEN 'bull_trend'
     WHEN close < open AND abs(close - open) / size >= 0.5 AND (least(open, close) - low) / size <= 0.25 THEN 'bear_trend' ELSE 'tr_bar' END AS kind,
-  coalesce(high <= p_high AND low >= p_low, false) AS inside, coalesce(high >= p_high AND low <= p_low, false) AS outside, close >= high - 0.25 * size AS near_high, close <= low + 0.25 * size AS near_low,
-  CASE WHEN p_high IS NOT NULL THEN least(high, p_high) - greatest(low, p_low) > 0 ELSE high - low > 0 END AS overlap, abs(close - open) / size < 0.35 AS tail_heavy, prev_close, avg_range20, prior_high20, pivot_high, pivot_low,
+  coalesce(high <= p_high AND low >= p_low, false) AS inside, coalesce(high >= p_high AND low <= p_low, false) AS outside, close >= high - 0.25 * size
+  AS near_high, close <= low + 0.25 * size AS near_low,
+  CASE WHEN p_high IS NOT NULL THEN least(high, p_high) - greatest(low, p_low) > 0 ELSE high - low > 0 END AS overlap, abs(close - open) / size < 0.35
+  AS tail_heavy, prev_close, avg_range20, prior_high20, pivot_high, pivot_low,
   low >= p_low AS rises, high <= p_high AS falls FROM f),
-micro AS (SELECT symbol, max(idx) - coalesce(max(idx) FILTER (NOT coalesce(rises, false)), 0) + 1 AS bull_micro, max(idx) - coalesce(max(idx) FILTER (NOT coalesce(falls, false)), 0) + 1 AS bear_micro FROM features GROUP BY symbol)"""
+micro AS (SELECT symbol, max(idx) - coalesce(max(idx) FILTER (NOT coalesce(rises, false)), 0) + 1 AS bull_micro, max(idx) - coalesce(max(idx) FILTER (NOT
+  coalesce(falls, false)), 0) + 1 AS bear_micro FROM features GROUP BY symbol)"""
 _FEATURES = _FEATURES_OF.format(source="bars_supp")
 
-_RECENT = f"""recent AS (SELECT symbol, trade_date, open, high, low, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS place FROM bars_supp WHERE trade_date <= DATE '{END}')
+_RECENT = f"""recent AS (SELECT symbol, trade_date, open, high, low, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS place
+  FROM bars_supp WHERE trade_date <= DATE '{END}')
   WHERE place <= {B.MIN_BARS} AND symbol IN (SELECT stock_code FROM stock_pool))"""
-_PLAN = """plan AS (SELECT sector, sector_rank, stock_rank, stock_code, stock_name, analysis_status, CASE WHEN analysis_status = 'succeeded' THEN 'skip_succeeded' WHEN copy > 1 THEN 'skipped_by_other_worker' WHEN analysis_status IS NULL THEN 'insert'
+_PLAN = """plan AS (SELECT sector, sector_rank, stock_rank, stock_code, stock_name, analysis_status, CASE WHEN analysis_status = 'succeeded' THEN 'skip_succeeded'
+  WHEN copy > 1 THEN 'skipped_by_other_worker' WHEN analysis_status IS NULL THEN 'insert'
   WHEN analysis_status = 'failed' THEN 'retry' WHEN age_minutes > 10 THEN 'take_over' ELSE 'skip_running' END AS plan
   FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY sector_rank, stock_rank) AS copy FROM pool_twice) LEFT JOIN tech_results USING (stock_code))"""
 
 
 def _back(source: str, more: str = "") -> str:
     """Bars of source with features, number from both ends (i, back) and average, as b."""
-    return f"""WITH RECURSIVE {BARS}{more}, {_FEATURES_OF.format(source=source)}, o AS (SELECT features.*, src.open, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM features JOIN {source} src USING (symbol, trade_date)),
+    return f"""WITH RECURSIVE {BARS}{more}, {_FEATURES_OF.format(source=source)}, o AS (SELECT features.*, src.open, row_number() OVER (PARTITION BY symbol ORDER BY trade_date)
+  AS i, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM features JOIN {source} src USING (symbol, trade_date)),
 e AS (SELECT symbol, i, close AS ema FROM o WHERE i = 1 UNION ALL SELECT o.symbol, o.i, e.ema + 2 / 21::DOUBLE * (o.close - e.ema) FROM e JOIN o ON o.symbol = e.symbol AND o.i = e.i + 1),
 b AS (SELECT o.*, e.ema FROM o JOIN e USING (symbol, i))"""
 
@@ -187,11 +195,14 @@ sz AS (SELECT symbol, avg(high - low) AS size FROM b WHERE back <= 20 GROUP BY s
 pv AS (SELECT symbol, idx, back, price, kind, CASE WHEN move >= 2 * size THEN 'major' ELSE 'minor' END AS strength FROM (
   SELECT symbol, idx, back, high AS price, 'high' AS kind, high - next_low AS move FROM pv0 WHERE pivot_high UNION ALL
   SELECT symbol, idx, back, low, 'low', next_high - low FROM pv0 WHERE pivot_low) JOIN sz USING (symbol)),
-legs AS (SELECT symbol, sum(turn)::BIGINT AS legs FROM (SELECT symbol, coalesce((lag(kind) OVER (PARTITION BY symbol ORDER BY idx, kind) <> kind)::INT, 0) AS turn FROM pv WHERE back <= 20) GROUP BY symbol HAVING count(*) >= 3 AND sum(turn) >= 2),
-fail AS (SELECT symbol, count(*) FILTER (failed) AS failures FROM (SELECT symbol, back, lag(kind) OVER w IN ('bull_trend', 'bear_trend') AND ((lag(close) OVER w > lag(open) OVER w AND close < open AND close <= lag(open) OVER w)
+legs AS (SELECT symbol, sum(turn)::BIGINT AS legs FROM (SELECT symbol, coalesce((lag(kind) OVER (PARTITION BY symbol ORDER BY idx, kind) <> kind)::INT,
+  0) AS turn FROM pv WHERE back <= 20) GROUP BY symbol HAVING count(*) >= 3 AND sum(turn) >= 2),
+fail AS (SELECT symbol, count(*) FILTER (failed) AS failures FROM (SELECT symbol, back, lag(kind) OVER w IN ('bull_trend', 'bear_trend') AND ((lag(close)
+  OVER w > lag(open) OVER w AND close < open AND close <= lag(open) OVER w)
   OR (lag(close) OVER w < lag(open) OVER w AND close > open AND close >= lag(open) OVER w)) AS failed FROM b WINDOW w AS (PARTITION BY symbol ORDER BY i)) WHERE back <= 3 GROUP BY symbol)"""
 _STRUCT = f"""{_PIVOTS},
-bb AS (SELECT *, greatest(high - low, 1e-9::DOUBLE) AS rng, lag(open) OVER w AS p_open, lag(high) OVER w AS p_high, lag(low) OVER w AS p_low, lead(high) OVER w AS n_high FROM b WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+bb AS (SELECT *, greatest(high - low, 1e-9::DOUBLE) AS rng, lag(open) OVER w AS p_open, lag(high) OVER w AS p_high, lag(low) OVER w AS p_low, lead(high)
+  OVER w AS n_high FROM b WINDOW w AS (PARTITION BY symbol ORDER BY i)),
 st AS (SELECT symbol, least(coalesce(min(back) FILTER (back >= 2 AND high < n_high) - 1, max(back)), 14) AS start_back, max(back) AS bars_count FROM bb GROUP BY symbol),
 cut AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i DESC) AS cb FROM bb WHERE back > 1),
 cut2 AS (SELECT *, avg(rng) FILTER (cb <= 20) OVER (PARTITION BY symbol) AS sz20, lag(low) OVER w AS a1, lag(low, 2) OVER w AS a2, lead(low) OVER w AS c1, lead(low, 2) OVER w AS c2,
@@ -201,44 +212,62 @@ ml AS (SELECT symbol, coalesce(arg_max(low, i) FILTER (piv AND nh - low >= 2 * s
 lp AS (SELECT symbol, list(price ORDER BY idx DESC) AS ps, list(idx ORDER BY idx DESC) AS ix FROM pv WHERE kind = 'low' GROUP BY symbol),
 ex AS (SELECT symbol, coalesce(arg_max(price, idx) FILTER (kind = 'high' AND strength = 'major'), arg_max(price, idx) FILTER (kind = 'high')) AS top,
   coalesce(arg_max(price, idx) FILTER (kind = 'low' AND strength = 'major'), arg_max(price, idx) FILTER (kind = 'low')) AS bottom FROM pv GROUP BY symbol),
-near AS (SELECT symbol, max(rng) FILTER (back = 1) AS rng, bool_or(near_high) FILTER (back = 1) AS near_high, bool_or(near_low) FILTER (back = 1) AS near_low, bool_or(inside) FILTER (back = 1) AS inside, bool_or(outside) FILTER (back = 1) AS outside,
-  {", ".join(f"max({c}) FILTER (back = 1) AS {c}" for c in ("open", "high", "low", "close", "ema", "p_open", "p_high", "p_low", "prev_close"))}, max(ema) FILTER (back = 6) AS ema6, max(close) FILTER (back = 6) AS close6,
+near AS (SELECT symbol, max(rng) FILTER (back = 1) AS rng, bool_or(near_high) FILTER (back = 1) AS near_high, bool_or(near_low) FILTER (back = 1) AS near_low,
+  bool_or(inside) FILTER (back = 1) AS inside, bool_or(outside) FILTER (back = 1) AS outside,
+  {", ".join(f"max({c}) FILTER (back = 1) AS {c}" for c in ("open", "high", "low", "close", "ema", "p_open", "p_high", "p_low", "prev_close"))}, max(ema)
+  FILTER (back = 6) AS ema6, max(close) FILTER (back = 6) AS close6,
   avg(rng) FILTER (back <= 20) AS avg_range, avg(rng) FILTER (back <= 10) AS avg_range10, avg(abs(close - open)) FILTER (back <= 20) AS avg_body,
   count(*) FILTER (back <= 20 AND kind = 'bull_trend') AS bull_bars, count(*) FILTER (back <= 20 AND kind = 'bear_trend') AS bear_bars, count(*) FILTER (back <= 20 AND kind = 'tr_bar') AS tr_bars,
   count(*) FILTER (back < 20 AND i > 1 AND overlap) AS overlap_count, count(*) FILTER (back < 20 AND i > 1 AND inside) AS inside_count, count(*) FILTER (back <= 20 AND tail_heavy) AS heavy_tails,
-  min(back) FILTER (NOT coalesce(rises, false)) AS bull_micro, min(back) FILTER (NOT coalesce(falls, false)) AS bear_micro, max(high) FILTER (back <= 20) AS high20, min(low) FILTER (back <= 20) AS low20,
-  count(*) FILTER (back <= 10 AND kind = 'bull_trend') AS s_bull, count(*) FILTER (back <= 10 AND kind = 'bear_trend') AS s_bear, count(*) FILTER (back <= 10 AND close >= ema) AS s_above, count(*) FILTER (back <= 10 AND close < ema) AS s_below,
-  count(*) FILTER (back <= 9 AND rises) AS s_rise, count(*) FILTER (back <= 9 AND falls) AS s_fall, count(*) FILTER (back <= 20 AND close > ema) AS bars_above, coalesce(min(back) FILTER (low <= ema) - 1, max(back)) AS since_touch,
-  max(high) FILTER (back BETWEEN 2 AND 21) AS prior_high20, min(low) FILTER (back <= start_back) AS swing_low, count(*) FILTER (back < start_back AND close > open AND near_high AND high >= p_high AND NOT outside) AS attempts,
-  min(back) FILTER (back >= start_back AND NOT coalesce(rises, false)) - max(start_back) + 1 AS micro_before, max(high) FILTER (back <= 3) AS h3, max(high) FILTER (back BETWEEN 4 AND 8) AS h4_8, max(high) FILTER (back BETWEEN 6 AND 20) AS h6_20, max(high) FILTER (back <= 10) AS h10
+  min(back) FILTER (NOT coalesce(rises, false)) AS bull_micro, min(back) FILTER (NOT coalesce(falls, false)) AS bear_micro, max(high) FILTER (back <= 20)
+  AS high20, min(low) FILTER (back <= 20) AS low20,
+  count(*) FILTER (back <= 10 AND kind = 'bull_trend') AS s_bull, count(*) FILTER (back <= 10 AND kind = 'bear_trend') AS s_bear, count(*) FILTER (back
+  <= 10 AND close >= ema) AS s_above, count(*) FILTER (back <= 10 AND close < ema) AS s_below,
+  count(*) FILTER (back <= 9 AND rises) AS s_rise, count(*) FILTER (back <= 9 AND falls) AS s_fall, count(*) FILTER (back <= 20 AND close > ema) AS bars_above,
+  coalesce(min(back) FILTER (low <= ema) - 1, max(back)) AS since_touch,
+  max(high) FILTER (back BETWEEN 2 AND 21) AS prior_high20, min(low) FILTER (back <= start_back) AS swing_low, count(*) FILTER (back < start_back AND close
+  > open AND near_high AND high >= p_high AND NOT outside) AS attempts,
+  min(back) FILTER (back >= start_back AND NOT coalesce(rises, false)) - max(start_back) + 1 AS micro_before, max(high) FILTER (back <= 3) AS h3, max(high)
+  FILTER (back BETWEEN 4 AND 8) AS h4_8, max(high) FILTER (back BETWEEN 6 AND 20) AS h6_20, max(high) FILTER (back <= 10) AS h10
   FROM bb JOIN st USING (symbol) GROUP BY symbol),
 tch AS (SELECT symbol, bool_or(low <= ema + 0.25::DOUBLE * size) AS touched_ema FROM bb JOIN st USING (symbol) JOIN sz USING (symbol) WHERE back <= start_back GROUP BY symbol),
-g AS (SELECT near.*, st.* EXCLUDE (symbol), ml.major_low, ps[1] AS pivot1, ps[2] AS pivot2, ps[3] AS pivot3, ix[1] - ix[2] >= 2 AND ix[2] - ix[3] >= 2 AS apart, legs.legs, failures, touched_ema, coalesce(top, high20) AS recent_high, coalesce(bottom, low20) AS recent_low
+g AS (SELECT near.*, st.* EXCLUDE (symbol), ml.major_low, ps[1] AS pivot1, ps[2] AS pivot2, ps[3] AS pivot3, ix[1] - ix[2] >= 2 AND ix[2] - ix[3] >= 2
+  AS apart, legs.legs, failures, touched_ema, coalesce(top, high20) AS recent_high, coalesce(bottom, low20) AS recent_low
   FROM near JOIN st USING (symbol) JOIN ml USING (symbol) JOIN fail USING (symbol) JOIN tch USING (symbol) LEFT JOIN lp USING (symbol) LEFT JOIN legs USING (symbol) LEFT JOIN ex USING (symbol)),
-y AS (SELECT *, (close - low20) / greatest(high20 - low20, 1e-9::DOUBLE) AS range_position, close / greatest(ema, 1e-9::DOUBLE) - 1 AS ext_pct, (close - ema) / greatest(avg_range, 1e-9::DOUBLE) AS ext_r,
+y AS (SELECT *, (close - low20) / greatest(high20 - low20, 1e-9::DOUBLE) AS range_position, close / greatest(ema, 1e-9::DOUBLE) - 1 AS ext_pct, (close
+  - ema) / greatest(avg_range, 1e-9::DOUBLE) AS ext_r,
   tr_bars >= 9 OR overlap_count >= 10 OR inside_count >= 4 OR heavy_tails >= 9 OR abs(bull_bars - bear_bars) <= 2 AS confusion, failures >= 2 AS disappointment, legs IS NOT NULL AS two_legs,
   CASE WHEN s_bull >= s_bear + 2 AND s_above >= 8 AND s_rise >= 5 THEN 'long' WHEN s_bear >= s_bull + 2 AND s_below >= 8 AND s_fall >= 5 THEN 'short' ELSE 'neutral' END AS always_in,
-  close > open AND prev_close > p_open AND close >= prev_close AS pair_up, coalesce(apart AND pivot3 IS NOT NULL AND greatest(pivot1, pivot2, pivot3) - least(pivot1, pivot2, pivot3) <= 3 * avg_range, false) AS wedge_bottom,
+  close > open AND prev_close > p_open AND close >= prev_close AS pair_up, coalesce(apart AND pivot3 IS NOT NULL AND greatest(pivot1, pivot2, pivot3) -
+  least(pivot1, pivot2, pivot3) <= 3 * avg_range, false) AS wedge_bottom,
   coalesce(apart AND pivot3 >= pivot2 AND pivot2 >= pivot1, false) AS falling3, coalesce(abs(pivot1 - pivot2) <= 0.8::DOUBLE * avg_range, false) AS r_double FROM g),
 x AS (SELECT *, range_position BETWEEN 0.33::DOUBLE AND 0.67::DOUBLE AS in_middle, ext_pct >= 0.08::DOUBLE OR ext_r >= 3 OR since_touch >= 8 AS far, wedge_bottom OR falling3 AS bull_flag,
   close > open AND abs(close - open) / rng >= 0.55::DOUBLE AND rng >= avg_range * 1.5::DOUBLE AND near_high AND high >= high20 AS big,
   (high > prior_high20 OR close > prior_high20) AND close > open AND abs(close - open) >= greatest(avg_body * 1.2::DOUBLE, rng * 0.55::DOUBLE) AND near_high AND close > ema AS b_found,
   greatest(high, prior_high20) AS b_entry, least(low, p_low, prior_high20) AS b_stop, prior_high20 + high20 - low20 AS b_target, swing_low >= major_low - 0.3::DOUBLE * avg_range AS u_held,
   greatest(high, p_high) AS u_entry, least(swing_low, major_low) AS u_stop, bear_bars >= bull_bars AND close6 < ema6 AND close > ema AND h3 > h4_8 AND (r_double OR wedge_bottom) AS r_found,
-  (close > open AND prev_close > p_open) OR close > p_high AS r_follows, CASE WHEN pivot2 IS NOT NULL THEN least(pivot1, pivot2) ELSE low20 END AS r_stop, CASE WHEN bars_count >= 25 THEN h6_20 ELSE h10 END AS r_target FROM y),
+  (close > open AND prev_close > p_open) OR close > p_high AS r_follows, CASE WHEN pivot2 IS NOT NULL THEN least(pivot1, pivot2) ELSE low20 END AS r_stop,
+  CASE WHEN bars_count >= 25 THEN h6_20 ELSE h10 END AS r_target FROM y),
 z AS (SELECT *, CASE WHEN NOT (disappointment OR two_legs OR in_middle) AND close > ema AND ema >= ema6 AND bull_bars >= bear_bars + 3 AND bull_micro >= 3 AND overlap_count <= 8 THEN 'bull_trend'
-  WHEN NOT (disappointment OR two_legs OR in_middle) AND close < ema AND ema <= ema6 AND bear_bars >= bull_bars + 3 AND bear_micro >= 3 AND overlap_count <= 8 THEN 'bear_trend' ELSE 'trading_range' END AS state,
+  WHEN NOT (disappointment OR two_legs OR in_middle) AND close < ema AND ema <= ema6 AND bear_bars >= bull_bars + 3 AND bear_micro >= 3 AND overlap_count
+  <= 8 THEN 'bear_trend' ELSE 'trading_range' END AS state,
   CASE WHEN big AND far AND (ext_pct >= 0.12::DOUBLE OR ext_r >= 4 OR since_touch >= 12 OR bars_above >= 18) THEN 'climax_bull' WHEN far OR bars_above >= 16 THEN 'late_bull'
     WHEN ext_pct >= 0.03::DOUBLE OR ext_r >= 1.2::DOUBLE OR bars_above >= 10 THEN 'middle_bull' ELSE 'early_bull' END AS phase,
-  CASE WHEN bull_flag THEN 'wedge' WHEN attempts >= 2 THEN 'second' WHEN (CASE WHEN bars_count - start_back >= 2 THEN micro_before ELSE 1 END) >= 3 AND start_back <= 11 AND attempts <= 1 THEN 'first' ELSE 'plain' END AS u_kind,
+  CASE WHEN bull_flag THEN 'wedge' WHEN attempts >= 2 THEN 'second' WHEN (CASE WHEN bars_count - start_back >= 2 THEN micro_before ELSE 1 END) >= 3 AND
+  start_back <= 11 AND attempts <= 1 THEN 'first' ELSE 'plain' END AS u_kind,
   close > open AND near_high AND high >= p_high AND u_held AS u_ready, r_found AND close > open AND close - open >= 0.5::DOUBLE * rng AND near_high AND r_follows AS r_ready FROM x)"""
-_SETUPS = """s1 AS (SELECT *, CASE WHEN state <> 'bull_trend' OR always_in = 'short' THEN 'background' WHEN phase = 'late_bull' AND NOT touched_ema THEN 'late' WHEN two_legs THEN 'range' WHEN NOT u_ready THEN 'signal' END AS trend_not,
+_SETUPS = """s1 AS (SELECT *, CASE WHEN state <> 'bull_trend' OR always_in = 'short' THEN 'background' WHEN phase = 'late_bull' AND NOT touched_ema THEN 'late' WHEN
+  two_legs THEN 'range' WHEN NOT u_ready THEN 'signal' END AS trend_not,
   CASE WHEN phase IN ('late_bull', 'climax_bull') THEN 'late' WHEN NOT b_found THEN 'none' WHEN state = 'trading_range' AND in_middle THEN 'middle' END AS breakout_not,
-  CASE WHEN NOT r_found THEN 'none' WHEN NOT r_ready THEN 'signal' END AS reversal_not, CASE WHEN state = 'bull_trend' AND phase = 'climax_bull' THEN 'climax' WHEN state = 'trading_range' AND in_middle THEN 'middle' END AS hold FROM z),
+  CASE WHEN NOT r_found THEN 'none' WHEN NOT r_ready THEN 'signal' END AS reversal_not, CASE WHEN state = 'bull_trend' AND phase = 'climax_bull' THEN 'climax'
+  WHEN state = 'trading_range' AND in_middle THEN 'middle' END AS hold FROM z),
 s2 AS (SELECT *, CASE WHEN hold IS NOT NULL THEN NULL WHEN trend_not IS NULL THEN 'trend' WHEN breakout_not IS NULL THEN 'breakout' WHEN reversal_not IS NULL THEN 'reversal' END AS setup FROM s1),
-s3 AS (SELECT *, CASE setup WHEN 'trend' THEN u_entry WHEN 'breakout' THEN b_entry WHEN 'reversal' THEN u_entry END AS entry, CASE setup WHEN 'trend' THEN u_stop WHEN 'breakout' THEN b_stop WHEN 'reversal' THEN r_stop END AS stop,
-  CASE setup WHEN 'trend' THEN CASE u_kind WHEN 'first' THEN 0.58::DOUBLE WHEN 'second' THEN 0.55::DOUBLE ELSE 0.52::DOUBLE END WHEN 'breakout' THEN CASE state WHEN 'bull_trend' THEN 0.56::DOUBLE ELSE 0.5::DOUBLE END WHEN 'reversal' THEN 0.4::DOUBLE END AS probability FROM s2),
-s4 AS (SELECT *, CASE setup WHEN 'trend' THEN greatest(high20, entry + 2 * greatest(entry - stop, 1e-9::DOUBLE)) WHEN 'breakout' THEN greatest(recent_high, b_target, entry + 1.8::DOUBLE * greatest(entry - stop, 1e-9::DOUBLE))
+s3 AS (SELECT *, CASE setup WHEN 'trend' THEN u_entry WHEN 'breakout' THEN b_entry WHEN 'reversal' THEN u_entry END AS entry, CASE setup WHEN 'trend' THEN
+  u_stop WHEN 'breakout' THEN b_stop WHEN 'reversal' THEN r_stop END AS stop,
+  CASE setup WHEN 'trend' THEN CASE u_kind WHEN 'first' THEN 0.58::DOUBLE WHEN 'second' THEN 0.55::DOUBLE ELSE 0.52::DOUBLE END WHEN 'breakout' THEN CASE
+  state WHEN 'bull_trend' THEN 0.56::DOUBLE ELSE 0.5::DOUBLE END WHEN 'reversal' THEN 0.4::DOUBLE END AS probability FROM s2),
+s4 AS (SELECT *, CASE setup WHEN 'trend' THEN greatest(high20, entry + 2 * greatest(entry - stop, 1e-9::DOUBLE)) WHEN 'breakout' THEN greatest(recent_high,
+  b_target, entry + 1.8::DOUBLE * greatest(entry - stop, 1e-9::DOUBLE))
   WHEN 'reversal' THEN greatest(recent_high, r_target, entry + 2 * greatest(entry - stop, 1e-9::DOUBLE)) END AS target FROM s3)"""
 
 
@@ -256,19 +285,27 @@ def _case(key: str, names: dict[str, str]) -> str:
 
 
 _DECIDED = f"""s5 AS (SELECT *, setup IS NOT NULL AND target > entry AND probability * (target - entry) > (1 - probability) * greatest(entry - stop, 1e-9::DOUBLE) AS buys,
-  '背景判断：当前更接近' || {_case("state", {"bull_trend": "多头趋势", "bear_trend": "空头趋势", "trading_range": "震荡区间"})} || '；Always In 状态为 ' || always_in || '；近20根 bull/bear/tr=' || bull_bars || '/' || bear_bars || '/' || tr_bars ||
-  '，重叠数=' || overlap_count || '，TBTL=' || CASE WHEN two_legs THEN '是' ELSE '否' END || '；多头阶段=' || phase || '，EMA乖离=' || printf('%.2f', ext_pct * 100) || '%/' || printf('%.2f', ext_r) || 'R。' AS summary,
+  '背景判断：当前更接近' || {_case("state", {"bull_trend": "多头趋势", "bear_trend": "空头趋势", "trading_range": "震荡区间"})} || '；Always In 状态为 ' || always_in || '；近20根 bull/bear/tr='
+  || bull_bars || '/' || bear_bars || '/' || tr_bars ||
+  '，重叠数=' || overlap_count || '，TBTL=' || CASE WHEN two_legs THEN '是' ELSE '否' END || '；多头阶段=' || phase || '，EMA乖离=' || printf('%.2f', ext_pct * 100) ||
+  '%/' || printf('%.2f', ext_r) || 'R。' AS summary,
   CASE WHEN always_in = 'short' AND state <> 'trading_range' THEN '{D.SHORT_SIDE}' END AS short_side FROM s4),
-decided AS (SELECT symbol, CASE WHEN buys THEN '买' ELSE '不买' END AS conclusion, {_case("state", {k: v[0] for k, v in D.CHANNELS.items()})} AS current_channel, {_case("state", {k: v[1] for k, v in D.CHANNELS.items()})} AS channel_support_buy,
-  CASE WHEN hold = 'climax' THEN '{D.CLIMAX["pattern"]}' WHEN hold = 'middle' THEN '{D.MIDDLE["pattern"]}' WHEN setup = 'trend' THEN {_case("u_kind", P.PULLBACKS)} WHEN setup = 'breakout' THEN '{D.PATTERNS["breakout"]}'
+decided AS (SELECT symbol, CASE WHEN buys THEN '买' ELSE '不买' END AS conclusion, {_case("state", {k: v[0] for k, v in D.CHANNELS.items()})} AS current_channel,
+  {_case("state", {k: v[1] for k, v in D.CHANNELS.items()})} AS channel_support_buy,
+  CASE WHEN hold = 'climax' THEN '{D.CLIMAX["pattern"]}' WHEN hold = 'middle' THEN '{D.MIDDLE["pattern"]}' WHEN setup = 'trend' THEN {_case("u_kind", P.PULLBACKS)}
+  WHEN setup = 'breakout' THEN '{D.PATTERNS["breakout"]}'
     WHEN setup = 'reversal' AND r_double THEN '{D.PATTERNS["double"]}' WHEN setup = 'reversal' THEN '{D.PATTERNS["wedge"]}' ELSE '{D.NOTHING["pattern"]}' END AS current_pattern,
-  coalesce({_case("setup", D.TYPES)}, '否') AS pattern_allowed_type, CASE WHEN setup = 'trend' THEN {_signal("avg_range")} WHEN setup = 'breakout' THEN {_signal("avg_range10")} || '，并突破 ' || {_num("prior_high20")} ELSE {_signal("avg_range10")} END AS key_candle,
+  coalesce({_case("setup", D.TYPES)}, '否') AS pattern_allowed_type, CASE WHEN setup = 'trend' THEN {_signal("avg_range")} WHEN setup = 'breakout' THEN
+  {_signal("avg_range10")} || '，并突破 ' || {_num("prior_high20")} ELSE {_signal("avg_range10")} END AS key_candle,
   CASE WHEN (setup = 'reversal' AND r_follows) OR (setup IN ('trend', 'breakout') AND pair_up) THEN '是' ELSE '否' END AS has_follow_through, CASE WHEN buys THEN '是' ELSE '否' END AS can_trigger_buy,
   CASE WHEN buys THEN NULL WHEN hold = 'climax' THEN '{D.CLIMAX["entry"]}' WHEN hold = 'middle' THEN '{D.MIDDLE["entry"]}' WHEN setup IS NULL THEN '{D.NOTHING["entry"]}' END AS expected_entry,
-  CASE WHEN buys THEN NULL WHEN hold = 'climax' THEN '{D.CLIMAX["trigger"]}' WHEN hold = 'middle' THEN '{D.MIDDLE["trigger"]}' WHEN setup IS NULL THEN '{D.NOTHING["trigger"]}' END AS trigger_condition,
-  CASE WHEN buys THEN '突破 ' || {_num("entry")} || ' 上方的突破单入场' END AS buy_price, CASE WHEN buys THEN {_num("stop")} || ' 下方（保护性止损 / 结构失效位）' END AS stop_loss, CASE WHEN buys THEN '先看 ' || {_num("target")} || '；若继续单边，可移动保护止损管理盈利' END AS take_profit,
+  CASE WHEN buys THEN NULL WHEN hold = 'climax' THEN '{D.CLIMAX["trigger"]}' WHEN hold = 'middle' THEN '{D.MIDDLE["trigger"]}' WHEN setup IS NULL THEN
+  '{D.NOTHING["trigger"]}' END AS trigger_condition,
+  CASE WHEN buys THEN '突破 ' || {_num("entry")} || ' 上方的突破单入场' END AS buy_price, CASE WHEN buys THEN {_num("stop")} || ' 下方（保护性止损 / 结构失效位）' END AS stop_loss,
+  CASE WHEN buys THEN '先看 ' || {_num("target")} || '；若继续单边，可移动保护止损管理盈利' END AS take_profit,
   CASE WHEN hold = 'climax' THEN '{D.CLIMAX["reason"]}' WHEN hold = 'middle' THEN '{D.MIDDLE["reason"]}' WHEN buys THEN concat_ws(' ', short_side, summary, {_case("setup", D.WHY)}, '{D.EQUATION[0]}')
-    WHEN setup IS NOT NULL THEN concat_ws(' ', short_side, summary, '{D.EQUATION[1]}') ELSE concat_ws(' ', short_side, summary, {_case("trend_not", D.TREND_NOT)}, {_case("breakout_not", D.BREAKOUT_NOT)}, {_case("reversal_not", D.REVERSAL_NOT)}) END AS reason
+    WHEN setup IS NOT NULL THEN concat_ws(' ', short_side, summary, '{D.EQUATION[1]}') ELSE concat_ws(' ', short_side, summary, {_case("trend_not", D.TREND_NOT)},
+  {_case("breakout_not", D.BREAKOUT_NOT)}, {_case("reversal_not", D.REVERSAL_NOT)}) END AS reason
   FROM s5 WHERE bars_count >= {B.MIN_BARS})"""
 _ENDS = ", ".join(f"(DATE '{e}')" for e in ENDS)
 _SETS = f""", {DRIFT}, sets AS (SELECT symbol, trade_date, open, high, low, close FROM bars_supp UNION ALL SELECT symbol || '@' || e, trade_date, open, high, low, close FROM (
@@ -284,19 +321,24 @@ def _whole(names: str) -> str:
 
 
 _BATCH = f""", {FLAWED}, {POOL}, {RESULTS}, {POOL_TWICE}, {_PLAN}, todo AS (SELECT * FROM plan WHERE plan IN ('insert', 'retry', 'take_over')),
-lastn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS place FROM bars_flawed WHERE trade_date <= DATE '{END}' AND symbol IN (SELECT stock_code FROM todo)) WHERE place <= 30 AND close IS NOT NULL),
+lastn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS place FROM bars_flawed WHERE trade_date <= DATE
+  '{END}' AND symbol IN (SELECT stock_code FROM todo)) WHERE place <= 30 AND close IS NOT NULL),
 whole AS ({_whole("lastn")}), good AS (SELECT symbol, trade_date, open, high, low, close FROM lastn WHERE symbol IN (SELECT symbol FROM whole WHERE n >= 30 AND fault IS NULL))"""
 _BATCH_OUT = f"""{_back("good", _BATCH)}, {_STRUCT}, {_SETUPS}, {_DECIDED}, batch AS (SELECT sector, sector_rank::INT AS sector_rank, stock_rank::INT AS stock_rank, stock_code, stock_name, plan,
   CASE WHEN coalesce(n, 0) < 20 THEN 'skipped_data_insufficient' WHEN conclusion IS NULL THEN 'failed' ELSE 'succeeded' END AS analysis_status,
-  CASE WHEN coalesce(n, 0) < 20 THEN 'kline bars insufficient, need >=20, got ' || coalesce(n, 0) WHEN conclusion IS NULL THEN coalesce(fault, '{D.TOO_FEW}') END AS error_message, coalesce(n, 0)::INT AS bars_count,
+  CASE WHEN coalesce(n, 0) < 20 THEN 'kline bars insufficient, need >=20, got ' || coalesce(n, 0) WHEN conclusion IS NULL THEN coalesce(fault, '{D.TOO_FEW}')
+  END AS error_message, coalesce(n, 0)::INT AS bars_count,
   d0 AS kline_trade_date_start, d1 AS kline_trade_date_end, now AS current_price, top AS recent_high, bottom AS recent_low, decided.* EXCLUDE (symbol)
   FROM todo LEFT JOIN whole ON whole.symbol = stock_code LEFT JOIN decided ON decided.symbol = stock_code)"""
 _SCAN = f""", {FLAWED}, snap AS (SELECT symbol, 'N' || symbol AS name, open, high, low, CASE WHEN symbol::INT % 9 <> 4 THEN close END AS close FROM bars_flawed WHERE trade_date = DATE '{TODAY}'),
-now AS (SELECT * FROM snap WHERE close IS NOT NULL), before AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS place FROM bars_flawed WHERE trade_date <= DATE '{YESTERDAY}') WHERE place <= 89 AND close IS NOT NULL AND symbol IN (SELECT symbol FROM now)),
+now AS (SELECT * FROM snap WHERE close IS NOT NULL), before AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC)
+  AS place FROM bars_flawed WHERE trade_date <= DATE '{YESTERDAY}') WHERE place <= 89 AND close IS NOT NULL AND symbol IN (SELECT symbol FROM now)),
 rows_ AS (SELECT symbol, DATE '{TODAY}' AS trade_date, open, high, low, close FROM now UNION ALL SELECT symbol, trade_date, open, high, low, close FROM before),
 whole AS ({_whole("rows_")}), good AS (SELECT * FROM rows_ WHERE symbol IN (SELECT symbol FROM whole WHERE n >= 30 AND fault IS NULL))"""
-_SCAN_OUT = f"""{_back("good", _SCAN)}, {_STRUCT}, {_SETUPS}, {_DECIDED}, scan AS (SELECT snap.symbol, name, CASE WHEN snap.close IS NULL THEN 'skipped_invalid_current_snapshot' WHEN n < 30 THEN 'skipped_data_insufficient' WHEN conclusion IS NULL THEN 'failed' ELSE 'succeeded' END AS status,
-  CASE WHEN snap.close IS NULL THEN 'current snapshot row missing OHLC fields' WHEN n < 30 THEN 'need >=30 bars for strict Price Action context, got ' || n || ' (history=' || (n - 1) || ' + current=1); target is 90 bars when available' WHEN conclusion IS NULL THEN fault END AS scan_reason,
+_SCAN_OUT = f"""{_back("good", _SCAN)}, {_STRUCT}, {_SETUPS}, {_DECIDED}, scan AS (SELECT snap.symbol, name, CASE WHEN snap.close IS NULL THEN 'skipped_invalid_current_snapshot'
+  WHEN n < 30 THEN 'skipped_data_insufficient' WHEN conclusion IS NULL THEN 'failed' ELSE 'succeeded' END AS status,
+  CASE WHEN snap.close IS NULL THEN 'current snapshot row missing OHLC fields' WHEN n < 30 THEN 'need >=30 bars for strict Price Action context, got '
+  || n || ' (history=' || (n - 1) || ' + current=1); target is 90 bars when available' WHEN conclusion IS NULL THEN fault END AS scan_reason,
   CASE WHEN snap.close IS NOT NULL THEN n END AS bars_count, decided.* EXCLUDE (symbol) FROM snap LEFT JOIN whole USING (symbol) LEFT JOIN decided USING (symbol))"""
 _SESSIONS = f"WITH {BARS}, {NEWS}, {CALENDAR}, k AS (SELECT session, lag(session) OVER (ORDER BY session) AS previous FROM calendar)"
 _ITEMS = " || chr(10) || ".join
@@ -326,12 +368,17 @@ ORACLES = {
     "ema20": f"""WITH {BARS}, n AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars_supp)
 SELECT symbol, round(sum(CASE WHEN i = 1 THEN pow(19 / 21::DOUBLE, n - 1) ELSE 2 / 21::DOUBLE * pow(19 / 21::DOUBLE, n - i) END * close), 6) AS ema FROM n GROUP BY symbol""",
     "ema_series": f"{_back('bars_supp')} SELECT symbol, trade_date, round(ema, 6) AS ema FROM b",
-    "stock_context": f"WITH {BARS}, {POOL}, {_RECENT} SELECT symbol, count(*) AS bars_count, min(trade_date) AS first_date, max(trade_date) AS last_date, arg_max(close, trade_date) AS last_close, max(high) AS max_high, min(low) AS min_low, string_agg(trade_date::VARCHAR, ',' ORDER BY trade_date) AS input_bars FROM recent GROUP BY symbol",
-    "market_context": f"{_OF_SUPP} SELECT symbol, bull_bars, bear_bars, tr_bars, overlap_count, inside_count, heavy_tails, bull_micro::INT AS bull_micro, bear_micro::INT AS bear_micro, in_middle, confusion FROM z",
+    "stock_context": f"""WITH {BARS}, {POOL}, {_RECENT} SELECT symbol, count(*) AS bars_count, min(trade_date) AS first_date, max(trade_date) AS last_date, arg_max(close, trade_date)
+  AS last_close, max(high) AS max_high, min(low) AS min_low, string_agg(trade_date::VARCHAR, ',' ORDER BY trade_date) AS input_bars FROM recent GROUP BY
+  symbol""",
+    "market_context": f"""{_OF_SUPP} SELECT symbol, bull_bars, bear_bars, tr_bars, overlap_count, inside_count, heavy_tails, bull_micro::INT AS bull_micro, bear_micro::INT AS bear_micro,
+  in_middle, confusion FROM z""",
     "claim_plan": f"WITH {POOL}, {RESULTS}, {POOL_TWICE}, {_PLAN} SELECT sector, stock_code, analysis_status, plan FROM plan",
     "run_stats": f"""{_BATCH_OUT}, u AS (SELECT p.*, o.analysis_status AS outcome, p.plan IN ('insert', 'retry', 'take_over') AS claims FROM plan p LEFT JOIN batch o ON o.stock_code = p.stock_code)
-SELECT count(*) AS total, count(DISTINCT stock_code) FILTER (plan = 'skip_succeeded') AS pre_skipped_succeeded, count(*) FILTER (plan <> 'skip_succeeded') AS to_process, count(*) FILTER (claims) AS claimed, count(*) FILTER (claims AND outcome = 'succeeded') AS succeeded,
-  count(*) FILTER (claims AND outcome = 'failed') AS failed, count(*) FILTER (claims AND outcome = 'skipped_data_insufficient') AS skipped_data_insufficient, count(*) FILTER (plan IN ('skip_running', 'skipped_by_other_worker')) AS skipped_by_other_worker FROM u""",
+SELECT count(*) AS total, count(DISTINCT stock_code) FILTER (plan = 'skip_succeeded') AS pre_skipped_succeeded, count(*) FILTER (plan <> 'skip_succeeded')
+  AS to_process, count(*) FILTER (claims) AS claimed, count(*) FILTER (claims AND outcome = 'succeeded') AS succeeded,
+  count(*) FILTER (claims AND outcome = 'failed') AS failed, count(*) FILTER (claims AND outcome = 'skipped_data_insufficient') AS skipped_data_insufficient,
+  count(*) FILTER (plan IN ('skip_running', 'skipped_by_other_worker')) AS skipped_by_other_worker FROM u""",
     "status_counts": f"WITH {POOL}, {RESULTS} SELECT analysis_status, count(*) AS n FROM tech_results GROUP BY analysis_status",
     "results_by_date": f"{_BATCH_OUT} SELECT sector, sector_rank, stock_rank, stock_code, analysis_status FROM batch WHERE sector_rank IN (1, 2, 99)",
     "symbols_distinct": f"WITH {BARS} SELECT symbol, symbol || '/' || max(year(trade_date)) AS name, max(trade_date) AS last_date FROM bars_supp GROUP BY symbol",
@@ -339,12 +386,16 @@ SELECT count(*) AS total, count(DISTINCT stock_code) FILTER (plan = 'skip_succee
     "skip_loaded": f"WITH {BARS}, {FLAWED} SELECT symbol, trade_date FROM bars_supp WHERE trade_date NOT IN (SELECT trade_date FROM bars_flawed WHERE close IS NULL)",
     "sessions_asof": f"""WITH {BARS}, {CALENDAR}, k AS (SELECT session, lag(session) OVER (ORDER BY session) AS previous FROM calendar)
 SELECT day, max(session) AS session, arg_max(previous, session) AS previous FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) JOIN k ON session <= day GROUP BY day""",
-    "trade_dates": f"""{_SESSIONS}, m AS (SELECT event_id, publish_ts - event_id::BIGINT % 1500 * 86400 AS ts FROM news), l AS (SELECT event_id, (to_timestamp(ts) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR) AS lt FROM m),
-c AS (SELECT event_id, lt::DATE AS day, (CASE WHEN hour(lt) >= 9 THEN lt::DATE ELSE lt::DATE - 1 END)::DATE AS by_hour FROM l), q AS (SELECT DISTINCT day AS d FROM c UNION SELECT DISTINCT by_hour FROM c),
+    "trade_dates": f"""{_SESSIONS}, m AS (SELECT event_id, publish_ts - event_id::BIGINT % 1500 * 86400 AS ts FROM news), l AS (SELECT event_id, (to_timestamp(ts) AT TIME ZONE
+  'UTC' + INTERVAL 8 HOUR) AS lt FROM m),
+c AS (SELECT event_id, lt::DATE AS day, (CASE WHEN hour(lt) >= 9 THEN lt::DATE ELSE lt::DATE - 1 END)::DATE AS by_hour FROM l), q AS (SELECT DISTINCT day
+  AS d FROM c UNION SELECT DISTINCT by_hour FROM c),
 f AS (SELECT d, max(session) AS session, arg_max(previous, session) AS previous FROM q JOIN k ON session <= d GROUP BY d)
-SELECT event_id, a.session AS morning_date, a.previous AS morning_prev, h.session AS trade_date, h.previous AS prev_trade_date, coalesce(a.session = day, false) AS is_session, CASE WHEN coalesce(a.session = day, false) THEN h.session ELSE h.previous END AS target_date
+SELECT event_id, a.session AS morning_date, a.previous AS morning_prev, h.session AS trade_date, h.previous AS prev_trade_date, coalesce(a.session = day,
+  false) AS is_session, CASE WHEN coalesce(a.session = day, false) THEN h.session ELSE h.previous END AS target_date
 FROM c LEFT JOIN f a ON a.d = day LEFT JOIN f h ON h.d = by_hour""",
-    "upsert_bars": f"""WITH {BARS} SELECT symbol, trade_date, CASE WHEN trade_date >= DATE '2024-01-15' THEN close + 1 ELSE close END AS close, CASE WHEN trade_date < DATE '2024-01-20' THEN 'old' ELSE 'new' END AS created_by,
+    "upsert_bars": f"""WITH {BARS} SELECT symbol, trade_date, CASE WHEN trade_date >= DATE '2024-01-15' THEN close + 1 ELSE close END AS close, CASE WHEN trade_date < DATE '2024-01-20'
+  THEN 'old' ELSE 'new' END AS created_by,
   CASE WHEN trade_date >= DATE '2024-01-15' THEN 2 ELSE 1 END AS version FROM bars_type""",
     "pivots": f"{_back('bars_supp')}, {_PIVOTS} SELECT symbol, idx, price, kind, strength FROM pv",
     "two_legs": f"{_back('bars_supp')}, {_PIVOTS} SELECT * FROM legs",
@@ -357,19 +408,25 @@ FROM c LEFT JOIN f a ON a.d = day LEFT JOIN f h ON h.d = by_hour""",
   greatest(b_target, b_entry + 1.8::DOUBLE * greatest(b_entry - b_stop, 1e-9::DOUBLE)) - b_entry > greatest(b_entry - b_stop, 1e-9::DOUBLE) AS passes FROM z""",
     "signal_text": f"{_OF_SETS} SELECT symbol, {_signal('avg_range10')} AS signal FROM z WHERE {_BIG}",
     "wedges": f"{_OF_SETS} SELECT symbol, bull_flag, wedge_bottom, pivot1, pivot2, pivot3 FROM z WHERE {_BIG}",
-    "pullback": f"{_OF_SETS} SELECT symbol, start_back::INT AS start_back, swing_low, attempts, micro_before::INT AS micro_before, major_low, touched_ema, u_kind, u_held, u_ready, pair_up AS u_follows, u_entry, u_stop FROM z WHERE {_BIG}",
+    "pullback": f"""{_OF_SETS} SELECT symbol, start_back::INT AS start_back, swing_low, attempts, micro_before::INT AS micro_before, major_low, touched_ema, u_kind, u_held,
+  u_ready, pair_up AS u_follows, u_entry, u_stop FROM z WHERE {_BIG}""",
     "reversal": f"{_OF_SETS} SELECT symbol, r_double, r_found, r_ready, r_follows, u_entry AS r_entry, r_stop, r_target FROM z WHERE {_BIG}",
     "setups": f"{_OF_SETS} SELECT symbol, hold, trend_not, breakout_not, reversal_not, setup, entry, stop, target, probability FROM s4 WHERE {_BIG}",
     "decision": f"{_OF_SETS}, {_DECIDED} SELECT * FROM decided",
-    "chart_text": f"""{_OF_SUPP}, five AS (SELECT symbol, string_agg('- ' || trade_date || ': O=' || {_num("open")} || ', H=' || {_num("high")} || ', L=' || {_num("low")} || ', C=' || {_num("close")}, chr(10) ORDER BY i) AS lines FROM b WHERE back <= 5 GROUP BY symbol)
+    "chart_text": f"""{_OF_SUPP}, five AS (SELECT symbol, string_agg('- ' || trade_date || ': O=' || {_num("open")} || ', H=' || {_num("high")} || ', L=' || {_num("low")} ||
+  ', C=' || {_num("close")}, chr(10) ORDER BY i) AS lines FROM b WHERE back <= 5 GROUP BY symbol)
 SELECT symbol, {_CHART} AS chart FROM s4 JOIN five USING (symbol)""",
     "decision_markdown": f"{_OF_SUPP}, {_DECIDED} SELECT symbol, {_MARKDOWN} AS formatted_markdown FROM decided",
     "stock_tech_batch": f"{_BATCH_OUT} SELECT * FROM batch",
-    "outcome_writes": f"""{_BATCH_OUT} SELECT DATE '{END}' AS trade_date, coalesce(r.stock_code, o.stock_code) AS stock_code, coalesce('id-' || r.stock_code, 'new-' || o.stock_code) AS id, CASE WHEN r.stock_code IS NULL THEN '09:30' ELSE '08:00' END AS created_at,
-  CASE WHEN o.stock_code IS NULL THEN '08:00' ELSE '09:30' END AS updated_at, coalesce(o.analysis_status, r.analysis_status) AS analysis_status, CASE WHEN o.stock_code IS NULL THEN 'old' ELSE o.error_message END AS error_message FROM tech_results r FULL JOIN batch o ON o.stock_code = r.stock_code""",
+    "outcome_writes": f"""{_BATCH_OUT} SELECT DATE '{END}' AS trade_date, coalesce(r.stock_code, o.stock_code) AS stock_code, coalesce('id-' || r.stock_code, 'new-' || o.stock_code)
+  AS id, CASE WHEN r.stock_code IS NULL THEN '09:30' ELSE '08:00' END AS created_at,
+  CASE WHEN o.stock_code IS NULL THEN '08:00' ELSE '09:30' END AS updated_at, coalesce(o.analysis_status, r.analysis_status) AS analysis_status, CASE WHEN
+  o.stock_code IS NULL THEN 'old' ELSE o.error_message END AS error_message FROM tech_results r FULL JOIN batch o ON o.stock_code = r.stock_code""",
     "market_scan": f"{_SCAN_OUT} SELECT * FROM scan",
-    "scan_summary": f"""{_SCAN_OUT} SELECT count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (conclusion = '买') AS buy, count(*) FILTER (conclusion = '不买') AS not_buy,
-  count(*) FILTER (status = 'skipped_data_insufficient') AS skipped_data_insufficient, count(*) FILTER (status = 'skipped_invalid_current_snapshot') AS skipped_invalid_current_snapshot, count(*) FILTER (status = 'failed') AS failed FROM scan""",
+    "scan_summary": f"""{_SCAN_OUT} SELECT count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (conclusion = '买') AS buy, count(*) FILTER (conclusion
+  = '不买') AS not_buy,
+  count(*) FILTER (status = 'skipped_data_insufficient') AS skipped_data_insufficient, count(*) FILTER (status = 'skipped_invalid_current_snapshot') AS
+  skipped_invalid_current_snapshot, count(*) FILTER (status = 'failed') AS failed FROM scan""",
 }
 
 ORACLES["stored_market_context"] = ORACLES["market_context"]

@@ -39,15 +39,18 @@ QUERIES = {
 }
 
 _REPLAY = f"""WITH RECURSIVE log AS (SELECT DISTINCT lpad((o_custkey % 97)::VARCHAR, 6, '0') AS stock_code, 'w' || ((o_orderkey // 32) % 3) AS worker, epoch(o_orderdate)::BIGINT AS "at",
-  CASE WHEN kind < 6 THEN 'claim' WHEN kind < 8 THEN 'beat' WHEN kind = 8 THEN 'failed' WHEN kind = 9 THEN 'skipped_data_insufficient' WHEN kind = 10 AND o_orderkey % 7 = 0 THEN 'succeeded' ELSE 'claim' END AS action
+  CASE WHEN kind < 6 THEN 'claim' WHEN kind < 8 THEN 'beat' WHEN kind = 8 THEN 'failed' WHEN kind = 9 THEN 'skipped_data_insufficient' WHEN kind = 10 AND
+  o_orderkey % 7 = 0 THEN 'succeeded' ELSE 'claim' END AS action
   FROM (SELECT *, (o_orderkey // 4) % 12 AS kind FROM orders)),
 numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY "at", worker, action) AS i FROM log),
 replay AS (
   SELECT DISTINCT stock_code, 0::BIGINT AS i, NULL::VARCHAR AS worker, NULL::BIGINT AS "at", NULL::VARCHAR AS action, NULL::VARCHAR AS verdict, NULL::VARCHAR AS owner, NULL::VARCHAR AS status,
     NULL::BIGINT AS lease_end, 0::BIGINT AS granted, 0::BIGINT AS refused, 0::BIGINT AS ignored FROM log
   UNION ALL
-  SELECT stock_code, i, worker, "at", action, verdict, CASE WHEN won THEN worker ELSE owner END, CASE WHEN won THEN 'running' WHEN verdict IN ('succeeded', 'failed', 'skipped_data_insufficient') THEN verdict ELSE status END,
-    CASE WHEN won OR verdict = 'beat' THEN "at" + {LEASE} ELSE lease_end END, granted + won::BIGINT, refused + (verdict IN ('already_succeeded', 'running_by_other'))::BIGINT, ignored + (verdict = 'ignored')::BIGINT
+  SELECT stock_code, i, worker, "at", action, verdict, CASE WHEN won THEN worker ELSE owner END, CASE WHEN won THEN 'running' WHEN verdict IN ('succeeded',
+  'failed', 'skipped_data_insufficient') THEN verdict ELSE status END,
+    CASE WHEN won OR verdict = 'beat' THEN "at" + {LEASE} ELSE lease_end END, granted + won::BIGINT, refused + (verdict IN ('already_succeeded', 'running_by_other'))::BIGINT,
+  ignored + (verdict = 'ignored')::BIGINT
   FROM (SELECT *, verdict IN ('insert', 'retry', 'take_over') AS won FROM (
     SELECT n.*, r.owner, r.status, r.lease_end, r.granted, r.refused, r.ignored, CASE
       WHEN n.action = 'claim' THEN CASE WHEN r.status IS NULL THEN 'insert' WHEN r.status IN ('failed', 'skipped_data_insufficient') THEN 'retry'

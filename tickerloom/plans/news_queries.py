@@ -13,7 +13,8 @@ from tickerloom.sources.views import ASOF, NEWS, news, table
 DAY = "2024-01-29"
 _DAY_START = f"(epoch(TIMESTAMP '{DAY}') - 28800)"
 _LOCAL = "(to_timestamp(publish_ts) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR)"
-_FOUND = f"publish_ts >= {_DAY_START} AND publish_ts < {_DAY_START} + 86400 AND list_contains(sectors, 'click') AND regexp_matches(coalesce(title, '') || chr(10) || coalesce(content, ''), '(?i)k') AND score >= -45"
+_FOUND = f"""publish_ts >= {_DAY_START} AND publish_ts < {_DAY_START} + 86400 AND list_contains(sectors, 'click') AND regexp_matches(coalesce(title, '') || chr(10)
+  || coalesce(content, ''), '(?i)k') AND score >= -45"""
 _SENTIMENT = "CASE WHEN score >= 20 THEN 'positive' WHEN score <= -20 THEN 'negative' ELSE 'neutral' END"
 
 
@@ -201,7 +202,8 @@ def _held(text: str, words) -> str:
 _N = "event_id::BIGINT"
 _SITED = f"""({_pick(("", "财联社1月12日电，", "金十数据3月4日讯:", "[金十数据]", "财联社：", "同花顺9月30日讯，", "[同花顺],", "头 金十数据1月2日讯，"), "event_id")} || event_type || ' ' || coalesce(props, '') || {_pick(("", " - 金十数据 ", "—财联社", " 金十数据", "财联社", " — 同花顺", "同花顺", "（同花顺） ", "“引”"), "event_id // 3")})"""
 _SPREAD = "substr({x}, 1, 1) || '、 ' || substr({x}, 2, 20)"
-_NAME = f"""(CASE {_N} // 90 % 9 WHEN 0 THEN '　' || {_pick(X.SECTORS, _N)} WHEN 1 THEN '某' || {_pick(X.SECTORS, _N)} || '公司' WHEN 2 THEN {_SPREAD.format(x=_pick(X.SECTORS, _N))} WHEN 3 THEN {_SPREAD.format(x=_pick(tuple(X.ALIASES), _N))}
+_NAME = f"""(CASE {_N} // 90 % 9 WHEN 0 THEN '　' || {_pick(X.SECTORS, _N)} WHEN 1 THEN '某' || {_pick(X.SECTORS, _N)} || '公司' WHEN 2 THEN {_SPREAD.format(x=_pick(X.SECTORS, _N))}
+  WHEN 3 THEN {_SPREAD.format(x=_pick(tuple(X.ALIASES), _N))}
   WHEN 4 THEN '近期' || {_pick(tuple(X.ALIASES), _N)} || '板块' WHEN 5 THEN 'x' || event_id WHEN 6 THEN ' ' WHEN 8 THEN 'ETF-' || {_pick(tuple(X.ALIASES), _N)} END)"""
 
 
@@ -210,60 +212,79 @@ def _norm(raw0: str) -> str:
     raw = f"trim({raw0}, ' 　')"
     compact = f"regexp_replace({raw}, '[\\s、，,/；;（）()_—\\\\\\]]+', '', 'g')"
     keys, values = _list(X.ALIASES), _list(X.ALIASES.values())
-    return f"""CASE WHEN coalesce({raw}, '') <> '' THEN coalesce(CASE WHEN list_contains({_list(X.SECTORS)}, {raw}) THEN {raw} END, list_filter({_list(X.SECTORS)}, lambda s: contains({raw}, s))[1], CASE WHEN list_contains({_list(X.SECTORS)}, {compact}) THEN {compact} END,
+    return f"""CASE WHEN coalesce({raw}, '') <> '' THEN coalesce(CASE WHEN list_contains({_list(X.SECTORS)}, {raw}) THEN {raw} END, list_filter({_list(X.SECTORS)}, lambda
+  s: contains({raw}, s))[1], CASE WHEN list_contains({_list(X.SECTORS)}, {compact}) THEN {compact} END,
   {values}[list_position({keys}, {compact})], {values}[list_position({keys}, list_filter({keys}, lambda a: contains({raw}, a) OR contains({compact}, a))[1])]) END"""
 
 
 _TOLD = f"""concat_ws('，', '报道', {_pick(_words(), _N)}, CASE WHEN {_N} % 3 > 0 THEN lower({_pick(_words(), _N + " * 7 + 3")}) END, CASE WHEN {_N} % 3 > 1 THEN {_pick(_words(), _N + " * 11 + 5")} END, CASE WHEN {_N} % 5 = 0 THEN {_pick(_words(), _N + " * 13 + 9")} END)"""
 _INFER = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(told, '(?i){p}') THEN '{x}' END" for p, x in X.CONTENT_RULES) + "], lambda x: x IS NOT NULL)[1:3]"
-_SAID = f"""concat_ws(' ', CASE WHEN {_N} % 3 <> 2 THEN {_pick(X.POSITIVE, _N)} END, CASE WHEN {_N} % 4 = 1 THEN {_pick(X.NEGATIVE, _N)} END, CASE WHEN {_N} % 8 = 3 THEN {_pick(X.NEGATIVE, _N + " * 3 + 1")} END, CASE WHEN {_N} % 5 = 0 THEN {_pick(X.OFFICIAL, _N)} END,
+_SAID = f"""concat_ws(' ', CASE WHEN {_N} % 3 <> 2 THEN {_pick(X.POSITIVE, _N)} END, CASE WHEN {_N} % 4 = 1 THEN {_pick(X.NEGATIVE, _N)} END, CASE WHEN {_N} % 8 =
+  3 THEN {_pick(X.NEGATIVE, _N + " * 3 + 1")} END, CASE WHEN {_N} % 5 = 0 THEN {_pick(X.OFFICIAL, _N)} END,
   CASE WHEN {_N} % 7 = 0 THEN '8%' END, CASE WHEN {_N} % 9 = 0 THEN {_pick(X.HARD_EVENTS, _N)} END, title)"""
 _CUT = ASOF - 15 * 86400
 ORACLES = {
     "deep_page": f"WITH {NEWS} SELECT event_id, publish_ts, title, score FROM news ORDER BY publish_ts DESC, event_id LIMIT 60 OFFSET 7000",
-    "upsert_news": f"WITH {NEWS} SELECT event_id, publish_ts, source, CASE WHEN publish_ts >= {_CUT - 3 * 86400} THEN title || '!' ELSE title END AS title, (CASE WHEN publish_ts >= {_CUT - 3 * 86400} THEN score + 1 ELSE score END)::INT AS score FROM news",
+    "upsert_news": f"""WITH {NEWS} SELECT event_id, publish_ts, source, CASE WHEN publish_ts >= {_CUT - 3 * 86400} THEN title || '!' ELSE title END AS title, (CASE WHEN publish_ts
+  >= {_CUT - 3 * 86400} THEN score + 1 ELSE score END)::INT AS score FROM news""",
     "upsert_daily_doc": f"""WITH {NEWS}, d AS (SELECT {_LOCAL}::DATE AS biz_date, count(*) AS n FROM news GROUP BY 1)
-SELECT biz_date, CASE WHEN biz_date > DATE '2024-01-10' THEN n * 2 ELSE n END AS n, CASE WHEN biz_date < DATE '2024-01-20' THEN 'first' ELSE 'second' END AS created_at, CASE WHEN biz_date > DATE '2024-01-10' THEN 'second' ELSE 'first' END AS updated_at FROM d""",
+SELECT biz_date, CASE WHEN biz_date > DATE '2024-01-10' THEN n * 2 ELSE n END AS n, CASE WHEN biz_date < DATE '2024-01-20' THEN 'first' ELSE 'second' END
+  AS created_at, CASE WHEN biz_date > DATE '2024-01-10' THEN 'second' ELSE 'first' END AS updated_at FROM d""",
     "news_search": f"WITH {NEWS} SELECT event_id, publish_ts, title, score FROM news WHERE {_FOUND} ORDER BY publish_ts DESC, event_id LIMIT 40 OFFSET 5",
     "news_count": f"WITH {NEWS} SELECT count(*) AS n FROM news WHERE {_FOUND}",
     "news_by_sector": f"WITH {NEWS} SELECT event_id, publish_ts FROM news WHERE list_contains(sectors, 'U7') ORDER BY publish_ts DESC, event_id LIMIT 30",
     "news_by_id": f"WITH {NEWS} SELECT event_id, publish_ts, source, title, score FROM news WHERE event_id = '77'",
-    "news_latest": f"WITH {NEWS} SELECT event_id, publish_ts, source, title, content, score, array_to_string(sectors, ',') AS sectors, array_to_string(companies, ',') AS companies FROM news ORDER BY publish_ts DESC, event_id LIMIT 100",
-    "news_recent": f"WITH {NEWS} SELECT event_id, publish_ts, strftime({_LOCAL}, '%Y-%m-%d %H:%M:%S') AS publish_time, title, source, score, {_SENTIMENT} AS sentiment FROM news WHERE publish_ts BETWEEN {ASOF - 3 * 86400} AND {ASOF}",
+    "news_latest": f"""WITH {NEWS} SELECT event_id, publish_ts, source, title, content, score, array_to_string(sectors, ',') AS sectors, array_to_string(companies, ',') AS companies
+  FROM news ORDER BY publish_ts DESC, event_id LIMIT 100""",
+    "news_recent": f"""WITH {NEWS} SELECT event_id, publish_ts, strftime({_LOCAL}, '%Y-%m-%d %H:%M:%S') AS publish_time, title, source, score, {_SENTIMENT} AS sentiment FROM
+  news WHERE publish_ts BETWEEN {ASOF - 3 * 86400} AND {ASOF}""",
     "hours_back": f"WITH {NEWS} SELECT event_id, publish_ts FROM news WHERE publish_ts BETWEEN {ASOF - 7200 - 86400} AND {ASOF - 7200} ORDER BY publish_ts DESC, event_id LIMIT 50",
     "score_tag": f"WITH {NEWS} SELECT event_id, CASE WHEN score > 60 THEN '利好' WHEN score < -60 THEN '利空' ELSE '中性' END AS tag, {_SENTIMENT} AS sentiment FROM news",
     "top_companies": f"WITH {NEWS} SELECT item, count(*) AS n FROM (SELECT unnest(companies) AS item FROM news) GROUP BY item ORDER BY n DESC, item LIMIT 10",
     "top_sectors": f"WITH {NEWS} SELECT item, count(*) AS n FROM (SELECT unnest(sectors) AS item FROM news) GROUP BY item ORDER BY n DESC, item LIMIT 10",
     "news_totals": f"WITH {NEWS} SELECT count(*) AS total, count(*) FILTER ({_LOCAL}::DATE = DATE '2024-01-31') AS today FROM news",
-    "sentiment_share": f"WITH {NEWS} SELECT sentiment, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM (SELECT {_SENTIMENT} AS sentiment FROM news WHERE {_FOUND}) GROUP BY sentiment",
+    "sentiment_share": f"""WITH {NEWS} SELECT sentiment, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM (SELECT {_SENTIMENT} AS sentiment FROM news WHERE {_FOUND})
+  GROUP BY sentiment""",
     "latest_cursor": f"WITH {NEWS} SELECT source, count(*) AS n, max(publish_ts) AS latest_ts FROM news GROUP BY source",
     "new_events_only": f"WITH {NEWS} SELECT event_id, publish_ts FROM news WHERE publish_ts >= {ASOF - 15 * 86400}",
-    "after_cursor": f"WITH {NEWS}, c AS (SELECT source, max(publish_ts) AS newest FROM news WHERE publish_ts < {ASOF - 15 * 86400} GROUP BY source) SELECT event_id, publish_ts, source FROM news LEFT JOIN c USING (source) WHERE publish_ts >= {ASOF - 16 * 86400} AND (newest IS NULL OR publish_ts >= newest)",
+    "after_cursor": f"""WITH {NEWS}, c AS (SELECT source, max(publish_ts) AS newest FROM news WHERE publish_ts < {ASOF - 15 * 86400} GROUP BY source) SELECT event_id, publish_ts,
+  source FROM news LEFT JOIN c USING (source) WHERE publish_ts >= {ASOF - 16 * 86400} AND (newest IS NULL OR publish_ts >= newest)""",
     "biz_date": f"WITH {NEWS} SELECT {_LOCAL}::DATE AS biz_date, count(*) AS n FROM news GROUP BY 1",
     "dedup_text": f"WITH t AS (SELECT doc_id, {_noise_sql('text')} AS text FROM documents) SELECT doc_id, md5(text) AS text_md5, length(text)::INT AS length FROM t",
     "dedup_text_feeds": f"SELECT event_id, {_noise_sql(_SITED)} AS text FROM events",
-    "dedup_title_ok": f"""WITH {NEWS}, t AS (SELECT event_id, trim({_pick(("  ", "金十图示", "新闻联播今日要点", "今日要点", "金十数据", "快讯", "财联社", "五个字的题", "六个字的标题"), "event_id::BIGINT")} || CASE WHEN event_id::BIGINT % 2 = 0 THEN '一二三' ELSE '　' END, ' 　') AS t FROM news)
+    "dedup_title_ok": f"""WITH {NEWS}, t AS (SELECT event_id, trim({_pick(("  ", "金十图示", "新闻联播今日要点", "今日要点", "金十数据", "快讯", "财联社", "五个字的题", "六个字的标题"), "event_id::BIGINT")} || CASE
+  WHEN event_id::BIGINT % 2 = 0 THEN '一二三' ELSE '　' END, ' 　') AS t FROM news)
 SELECT event_id, length(t) >= 6 AND NOT (starts_with(t, '金十图示') OR starts_with(t, '新闻联播今日要点') OR t IN ('今日要点', '金十数据', '财联社', '快讯')) AS ok FROM t""",
     "dedup_keys": f"WITH {NEWS}, {_KEYS} SELECT event_id, md5(key) AS key_md5 FROM keys",
     "dedup_key_overlap": f"WITH {NEWS}, {_KEYS} SELECT md5(key) AS key_md5, count(*) AS n_rows, min(event_id) AS first_id FROM keys GROUP BY key HAVING count(*) > 1",
     "norm_sector": f"WITH {NEWS}, r AS (SELECT event_id, {_NAME} AS raw0 FROM news) SELECT event_id, {_norm('raw0')} AS sector FROM r",
     "infer_sectors": f"WITH {NEWS}, r AS (SELECT event_id, {_TOLD} AS told FROM news) SELECT event_id, array_to_string({_INFER}, ',') AS sectors FROM r",
-    "norm_sector_list": f"""WITH {NEWS}, r AS (SELECT event_id, event_id::BIGINT AS n, {_TOLD} AS told, {_norm(_NAME)} AS named, {_norm(_pick(tuple(X.ALIASES), "event_id::BIGINT"))} AS aliased, {_pick(X.SECTORS, "event_id::BIGINT * 3")} AS s3, {_pick(X.SECTORS, "event_id::BIGINT * 5")} AS s5, {_pick(X.SECTORS, "event_id::BIGINT * 7")} AS s7 FROM news),
+    "norm_sector_list": f"""WITH {NEWS}, r AS (SELECT event_id, event_id::BIGINT AS n, {_TOLD} AS told, {_norm(_NAME)} AS named, {_norm(_pick(tuple(X.ALIASES), "event_id::BIGINT"))}
+  AS aliased, {_pick(X.SECTORS, "event_id::BIGINT * 3")} AS s3, {_pick(X.SECTORS, "event_id::BIGINT * 5")} AS s5, {_pick(X.SECTORS, "event_id::BIGINT * 7")}
+  AS s7 FROM news),
 l AS (SELECT event_id, told, CASE WHEN n % 4 < 2 THEN [named, s3, s5, s7] WHEN n % 4 = 2 THEN [aliased, named] ELSE [] END AS xs FROM r),
-d AS (SELECT event_id, told, list_filter(xs, lambda x, i: x IS NOT NULL AND list_position(xs, x) = i)[1:3] AS xs FROM l) SELECT event_id, CASE WHEN len(xs) > 0 THEN array_to_string(xs, ',') WHEN len({_INFER}) > 0 THEN array_to_string({_INFER}, ',') END AS sectors FROM d""",
-    "score_postprocess": f"""WITH {NEWS}, s AS (SELECT event_id, score, sectors, {_SAID} AS said FROM news), w AS (SELECT *, {_held("said", X.POSITIVE)} AS pos, {_held("said", X.NEGATIVE)} AS neg, {_held("said", X.OFFICIAL)} AS off, {_held("said", X.HARD_EVENTS)} AS hard FROM s),
-v AS (SELECT *, sign(pos - neg)::INT AS direction, (pos + neg > 0 AND (off > 0 OR regexp_matches(said, '[0-9]'))) OR hard > 0 AS strong, greatest(-100, least(100, CASE WHEN score < 0 THEN 0 ELSE score * 3 END)) AS clamped, CASE WHEN score % 3 <> 0 THEN sectors END AS kept FROM w)
+d AS (SELECT event_id, told, list_filter(xs, lambda x, i: x IS NOT NULL AND list_position(xs, x) = i)[1:3] AS xs FROM l) SELECT event_id, CASE WHEN len(xs)
+  > 0 THEN array_to_string(xs, ',') WHEN len({_INFER}) > 0 THEN array_to_string({_INFER}, ',') END AS sectors FROM d""",
+    "score_postprocess": f"""WITH {NEWS}, s AS (SELECT event_id, score, sectors, {_SAID} AS said FROM news), w AS (SELECT *, {_held("said", X.POSITIVE)} AS pos, {_held("said", X.NEGATIVE)}
+  AS neg, {_held("said", X.OFFICIAL)} AS off, {_held("said", X.HARD_EVENTS)} AS hard FROM s),
+v AS (SELECT *, sign(pos - neg)::INT AS direction, (pos + neg > 0 AND (off > 0 OR regexp_matches(said, '[0-9]'))) OR hard > 0 AS strong, greatest(-100,
+  least(100, CASE WHEN score < 0 THEN 0 ELSE score * 3 END)) AS clamped, CASE WHEN score % 3 <> 0 THEN sectors END AS kept FROM w)
 SELECT event_id, direction, strong, (CASE WHEN clamped = 0 AND sectors IS NOT NULL AND direction <> 0 THEN direction * CASE WHEN strong THEN 35 ELSE 15 END ELSE clamped END)::INT AS score,
   (sectors IS NOT NULL AND kept IS NULL) OR (kept IS NOT NULL AND score = 0) OR (kept IS NOT NULL AND strong AND abs(score) < 45) AS needs_repair FROM v""",
     "analysis_payload": f"""WITH {NEWS}, k AS (SELECT event_id, event_id::BIGINT AS n FROM news),
-a AS (SELECT event_id, n, [7, -100, 0, -12, 2, 4, 0, -8, 0, 99, 0, 1][n % 12 + 1] AS score, ['why', '{X.NO_REASON}', '{X.NO_REASON}', 'r'][n % 4 + 1] AS reason, ['甲,乙', '丙,丁', NULL, NULL, NULL, NULL][n % 6 + 1] AS companies, ['半导体,白酒', '半导体,银行', '银行', '银行', '养殖业', '银行'][n // 12 % 6 + 1] AS sectors FROM k)
-SELECT event_id, CASE WHEN n % 5 < 4 THEN score END AS score, CASE WHEN n % 5 < 4 THEN reason END AS reason, CASE WHEN n % 5 < 4 THEN companies END AS companies, CASE WHEN n % 5 < 4 THEN sectors END AS sectors FROM a""",
+a AS (SELECT event_id, n, [7, -100, 0, -12, 2, 4, 0, -8, 0, 99, 0, 1][n % 12 + 1] AS score, ['why', '{X.NO_REASON}', '{X.NO_REASON}', 'r'][n % 4 + 1] AS
+  reason, ['甲,乙', '丙,丁', NULL, NULL, NULL, NULL][n % 6 + 1] AS companies, ['半导体,白酒', '半导体,银行', '银行', '银行', '养殖业', '银行'][n // 12 % 6 + 1] AS sectors FROM
+  k)
+SELECT event_id, CASE WHEN n % 5 < 4 THEN score END AS score, CASE WHEN n % 5 < 4 THEN reason END AS reason, CASE WHEN n % 5 < 4 THEN companies END AS
+  companies, CASE WHEN n % 5 < 4 THEN sectors END AS sectors FROM a""",
     "extract_json": "SELECT event_id, (props->>'$.k')::INT AS k, regexp_extract(props, '-?[0-9]+')::BIGINT AS first_int FROM events",
     "coerce_list": "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[、，,;/；\\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''))::INT AS n_parts FROM documents",
     "fmt_num": "SELECT event_id, regexp_replace(regexp_replace(printf('%.3f', value), '0+$', ''), '\\.$', '') AS shown FROM events",
     "join_list": f"WITH {NEWS} SELECT event_id, CASE WHEN score > 0 THEN title || '、' || source ELSE 'None' END AS shown FROM news",
-    "date_texts": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN year(o_orderdate) || '/' || month(o_orderdate) || '/' || day(o_orderdate) END AS day FROM orders",
-    "safe_casts": """WITH t AS (SELECT o_orderkey AS k, o_orderkey % 5 AS m FROM orders) SELECT k AS o_orderkey, CASE m WHEN 0 THEN k WHEN 1 THEN -k WHEN 3 THEN k + 0.75::DOUBLE ELSE 1.5::DOUBLE END::DOUBLE AS as_float, CASE m WHEN 0 THEN k WHEN 1 THEN -k WHEN 3 THEN k ELSE 7 END AS as_int,
+    "date_texts": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN year(o_orderdate)
+  || '/' || month(o_orderdate) || '/' || day(o_orderdate) END AS day FROM orders""",
+    "safe_casts": """WITH t AS (SELECT o_orderkey AS k, o_orderkey % 5 AS m FROM orders) SELECT k AS o_orderkey, CASE m WHEN 0 THEN k WHEN 1 THEN -k WHEN 3 THEN k + 0.75::DOUBLE
+  ELSE 1.5::DOUBLE END::DOUBLE AS as_float, CASE m WHEN 0 THEN k WHEN 1 THEN -k WHEN 3 THEN k ELSE 7 END AS as_int,
   CASE WHEN m IN (0, 3) AND k > 0 THEN k WHEN m IN (2, 4) THEN 1 ELSE 1 END AS positive, CASE m WHEN 0 THEN k WHEN 3 THEN k ELSE 0 END AS non_negative FROM t""",
     "md_escape": "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages",
     "normalize_dates": "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders",
@@ -296,7 +317,8 @@ h{i} AS (SELECT event_id, least({last}.home, coalesce(min(before), {last}.home))
         last = f"h{i}"
     return f"""WITH {NEWS}, {_KEYS}, arr AS (SELECT event_id, row_number() OVER (ORDER BY publish_ts, CASE source WHEN 'cls' THEN 1 WHEN 'jin10' THEN 2 ELSE 3 END, event_id) AS place FROM news),
 ka AS (SELECT event_id, key, place FROM keys JOIN arr USING (event_id)), h0 AS (SELECT DISTINCT event_id, place AS home FROM ka), {", ".join(steps)},
-best AS (SELECT news.event_id, publish_ts, source, home, row_number() OVER (PARTITION BY home ORDER BY length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) DESC, (source = 'cls')::INT DESC, publish_ts DESC, place) AS rank FROM news JOIN arr USING (event_id) JOIN {last} USING (event_id))
+best AS (SELECT news.event_id, publish_ts, source, home, row_number() OVER (PARTITION BY home ORDER BY length(trim(content, ' ' || chr(9) || chr(10) ||
+  chr(13))) DESC, (source = 'cls')::INT DESC, publish_ts DESC, place) AS rank FROM news JOIN arr USING (event_id) JOIN {last} USING (event_id))
 SELECT event_id, publish_ts, source FROM best WHERE rank = 1 UNION ALL SELECT event_id, publish_ts, source FROM news WHERE event_id NOT IN (SELECT event_id FROM keys)"""
 
 

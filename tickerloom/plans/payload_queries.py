@@ -154,8 +154,10 @@ def _docs_sql() -> str:
     for i, o in enumerate("一二三四五"):
         name = f"CASE WHEN k % 5 = 4 THEN '别的' ELSE {_sector_sql(i)} END" if i == 4 else _sector_sql(i)
         lines += [f"'第{o}主线：' || '{' ' if i < 4 else ''}' || {name} || '  '", f"'理由：because ' || k || ' of {i}'" if i != 3 else "'no reason here'", f"'  and more {i}'"]
-    return f"""d0 AS (SELECT (DATE '2024-01-01' + doc_id::INT)::DATE AS analysis_date, doc_id AS k, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS flat FROM documents WHERE doc_id IS NOT NULL),
-d1 AS (SELECT analysis_date, k, CASE WHEN k % 4 <> 3 THEN (analysis_date + 1)::DATE END AS trade_date, (k * 10)::INT AS updated_at, CASE WHEN k % 6 = 5 THEN 'nothing clear today ' || flat ELSE array_to_string(['开头 ' || flat, {", ".join(lines)}], chr(10)) END AS analysis_text FROM d0),
+    return f"""d0 AS (SELECT (DATE '2024-01-01' + doc_id::INT)::DATE AS analysis_date, doc_id AS k, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS flat
+  FROM documents WHERE doc_id IS NOT NULL),
+d1 AS (SELECT analysis_date, k, CASE WHEN k % 4 <> 3 THEN (analysis_date + 1)::DATE END AS trade_date, (k * 10)::INT AS updated_at, CASE WHEN k % 6 = 5
+  THEN 'nothing clear today ' || flat ELSE array_to_string(['开头 ' || flat, {", ".join(lines)}], chr(10)) END AS analysis_text FROM d0),
 docs AS (SELECT * FROM d1 UNION ALL SELECT analysis_date, k, analysis_date, updated_at + 5, analysis_text FROM d1 WHERE k % 3 = 0)"""
 
 
@@ -175,7 +177,9 @@ def _indices(spark, sf):
 
 
 _INDICES = """ix0 AS (SELECT (DATE '2024-01-01' + doc_id::INT)::DATE AS day, doc_id AS k FROM documents WHERE doc_id IS NOT NULL),
-ix AS (SELECT day, p - 1 AS pos, lpad(c, 6, '0') AS code, ' raw ' || c AS raw, (k * 100 + p - 1)::INT AS latest FROM ix0, (SELECT unnest(['688', '899050', '300', '399001', '000016', '1', '399006', '000905', '399001', '000852', '000016']) AS c, generate_subscripts(['688', '899050', '300', '399001', '000016', '1', '399006', '000905', '399001', '000852', '000016'], 1) AS p) WHERE (k + p - 1) % 4 <> 0)"""
+ix AS (SELECT day, p - 1 AS pos, lpad(c, 6, '0') AS code, ' raw ' || c AS raw, (k * 100 + p - 1)::INT AS latest FROM ix0, (SELECT unnest(['688', '899050',
+  '300', '399001', '000016', '1', '399006', '000905', '399001', '000852', '000016']) AS c, generate_subscripts(['688', '899050', '300', '399001', '000016',
+  '1', '399006', '000905', '399001', '000852', '000016'], 1) AS p) WHERE (k + p - 1) % 4 <> 0)"""
 
 
 def _trials(spark, sf):
@@ -264,50 +268,73 @@ _INDEX_NAMES = "CASE code " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in Y.IN
 _LINKS = f"links AS (SELECT DISTINCT {_SECTOR_LIST}[page_id % 90 + 1] AS sector_name, lpad((page_id % 90 + 881100)::VARCHAR, 6, '0') AS sector_code FROM pages)"
 _TITLED = "CASE WHEN n % 4 = 1 THEN title WHEN n % 2 = 0 THEN 'lead ' || title ELSE '' END"
 ORACLES = {
-    "land_news_json": f"""WITH {NEWS}, {_BODIES}, t AS (SELECT n, publish_ts, {_TITLED} AS shown, CASE WHEN n % 2 = 0 THEN ltrim(content, ' ' || chr(9) || chr(10) || chr(13)) ELSE content END AS told, title FROM bodies),
+    "land_news_json": f"""WITH {NEWS}, {_BODIES}, t AS (SELECT n, publish_ts, {_TITLED} AS shown, CASE WHEN n % 2 = 0 THEN ltrim(content, ' ' || chr(9) || chr(10) || chr(13)) ELSE
+  content END AS told, title FROM bodies),
 u AS (SELECT *, trim(told, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM t)
-SELECT CASE WHEN n % 3 = 0 THEN n::VARCHAR ELSE md5(publish_ts || '+' || shown || '+' || body || '+cls') END AS event_id, publish_ts, strftime({_LOCAL}, '%H:%M:%S') AS publish_time, title || ',s' || (n % 4) AS subjects, shown AS title, body AS content, 'cls' AS source FROM u""",
+SELECT CASE WHEN n % 3 = 0 THEN n::VARCHAR ELSE md5(publish_ts || '+' || shown || '+' || body || '+cls') END AS event_id, publish_ts, strftime({_LOCAL},
+  '%H:%M:%S') AS publish_time, title || ',s' || (n % 4) AS subjects, shown AS title, body AS content, 'cls' AS source FROM u""",
     "flash_lines": f"""WITH p AS (SELECT doc_id, lpad((doc_id % 24)::VARCHAR, 2, '0') || ':' || lpad((doc_id % 60)::VARCHAR, 2, '0') AS clock, '题 ' || doc_id AS title,
   trim(regexp_replace('文 ' || regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g'), '[ \\t\\x0B\\f\\x{{a0}}]+', ' ', 'g')) AS content FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id AS page_id, clock, title, content, 1 AS pos FROM p
-UNION ALL SELECT doc_id, '12:30:45', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'A' END, 'B', 10 FROM p WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, '12:31', 'B', 'C', 11 FROM p WHERE doc_id % 3 = 0""",
-    "jin10_clean": f"WITH {NEWS}, {_FEED} SELECT event_id, CASE WHEN n % 5 < 4 THEN body WHEN n % 4 = 0 THEN '分享 详情' WHEN n % 4 = 1 THEN '摘要' || n WHEN n % 4 = 2 THEN '2024-01-01 x' ELSE repeat('长', 90) END AS content FROM fd",
+UNION ALL SELECT doc_id, '12:30:45', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'A' END, 'B', 10 FROM p WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, '12:31',
+  'B', 'C', 11 FROM p WHERE doc_id % 3 = 0""",
+    "jin10_clean": f"""WITH {NEWS}, {_FEED} SELECT event_id, CASE WHEN n % 5 < 4 THEN body WHEN n % 4 = 0 THEN '分享 详情' WHEN n % 4 = 1 THEN '摘要' || n WHEN n % 4 = 2 THEN '2024-01-01 x'
+  ELSE repeat('长', 90) END AS content FROM fd""",
     "jin10_title": f"WITH {NEWS}, {_FEED} SELECT event_id, CASE WHEN n % 5 = 1 THEN title WHEN n % 4 = 1 THEN '摘要' || n ELSE '' END AS title FROM fd",
-    "jin10_ts": f"WITH {NEWS}, {_FEED} SELECT event_id, CASE WHEN n % 2 = 0 THEN publish_ts WHEN n % 6 < 5 THEN {ASOF - (ASOF + 28800) % 86400} + (hour(lt) * 3600 + minute(lt) * 60 + second(lt)) END::BIGINT AS ts FROM fd",
+    "jin10_ts": f"""WITH {NEWS}, {_FEED} SELECT event_id, CASE WHEN n % 2 = 0 THEN publish_ts WHEN n % 6 < 5 THEN {ASOF - (ASOF + 28800) % 86400} + (hour(lt) * 3600 + minute(lt)
+  * 60 + second(lt)) END::BIGINT AS ts FROM fd""",
     "snapshot_from_vendor": f"SELECT *, CASE WHEN close_price <> 0 THEN float_market_cap_yuan / close_price END AS float_shares FROM ({_quotes_sql()})",
-    "history_from_csv": f"""WITH {BARS}, h AS (SELECT symbol, trade_date, open AS open_price, CASE WHEN month(trade_date) <> 7 THEN close END AS close_price, high AS high_price, low AS low_price FROM bars_supp WHERE month(trade_date) <> 2)
-SELECT symbol, 'N' || symbol AS name, trade_date, open_price, close_price, high_price, low_price, 12.5::DOUBLE AS turnover_amount_yuan, NULL::DOUBLE AS amplitude_percent, NULL::DOUBLE AS change_percent, 0.5::DOUBLE AS change_amount, 3::DOUBLE AS turnover_percent,
+    "history_from_csv": f"""WITH {BARS}, h AS (SELECT symbol, trade_date, open AS open_price, CASE WHEN month(trade_date) <> 7 THEN close END AS close_price, high AS high_price, low
+  AS low_price FROM bars_supp WHERE month(trade_date) <> 2)
+SELECT symbol, 'N' || symbol AS name, trade_date, open_price, close_price, high_price, low_price, 12.5::DOUBLE AS turnover_amount_yuan, NULL::DOUBLE AS
+  amplitude_percent, NULL::DOUBLE AS change_percent, 0.5::DOUBLE AS change_amount, 3::DOUBLE AS turnover_percent,
   lag(close_price) OVER (PARTITION BY symbol ORDER BY trade_date) AS prev_close_price FROM h""",
     "index_snapshot": """WITH q AS (SELECT ['000001', '399001', '399006', '000688', '000300', '777777'][p_partkey % 6 + 1] AS code, max(p_retailprice)::DOUBLE AS latest FROM part GROUP BY 1)
-SELECT place::INT AS place, w.code AS index_code, w.name AS index_name, latest, latest AS prev_close, latest IS NULL AS missing FROM (VALUES (1, '000001', '上证指数'), (2, '399001', '深证成指'), (3, '399006', '创业板指'), (4, '000688', '科创50'), (5, '899050', '北证50')) AS w(place, code, name) LEFT JOIN q USING (code)""",
+SELECT place::INT AS place, w.code AS index_code, w.name AS index_name, latest, latest AS prev_close, latest IS NULL AS missing FROM (VALUES (1, '000001',
+  '上证指数'), (2, '399001', '深证成指'), (3, '399006', '创业板指'), (4, '000688', '科创50'), (5, '899050', '北证50')) AS w(place, code, name) LEFT JOIN q USING (code)""",
     "split_sections": f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS x FROM documents WHERE doc_id IS NOT NULL),
-l AS (SELECT doc_id, i, trim(substr(x, 1 + length(x) // 5 * i, CASE WHEN i < 4 THEN length(x) // 5 ELSE length(x) END), ' ' || chr(9) || chr(11) || chr(12) || chr(160) || chr(12288)) AS line, CASE WHEN i = 0 THEN 'head' WHEN i = 3 THEN {_MARKS}[(doc_id + 2) % 6 + 1] ELSE {_MARKS}[doc_id % 6 + 1] END AS section FROM t, range(0, 5) AS k(i)),
-s AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS body FROM l WHERE line <> '' GROUP BY doc_id, section) SELECT doc_id, section, md5(body) AS body_md5, length(body)::INT AS length FROM s""",
+l AS (SELECT doc_id, i, trim(substr(x, 1 + length(x) // 5 * i, CASE WHEN i < 4 THEN length(x) // 5 ELSE length(x) END), ' ' || chr(9) || chr(11) || chr(12)
+  || chr(160) || chr(12288)) AS line, CASE WHEN i = 0 THEN 'head' WHEN i = 3 THEN {_MARKS}[(doc_id + 2) % 6 + 1] ELSE {_MARKS}[doc_id % 6 + 1] END AS section
+  FROM t, range(0, 5) AS k(i)),
+s AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS body FROM l WHERE line <> '' GROUP BY doc_id, section) SELECT doc_id, section, md5(body)
+  AS body_md5, length(body)::INT AS length FROM s""",
     "sector_list_dedup": f"WITH {_LINKS} SELECT sector_name, sector_code FROM links",
     "sector_dim": f"WITH {_docs_sql()}, {_LINKS}, pool AS ({_POOL_ROWS}) SELECT analysis_date, sector, sector_code, stock_code FROM pool LEFT JOIN links ON sector_name = sector",
     "mainlines": f"""WITH {_docs_sql()} SELECT analysis_date, updated_at, CASE WHEN k % 6 = 5 THEN '' ELSE array_to_string([{", ".join(_sector_sql(i) for i in range(4))}, CASE WHEN k % 5 = 4 THEN '别的' ELSE {_sector_sql(4)} END], ',') END AS names, k % 6 <> 5 AND k % 5 <> 4 AS valid FROM docs""",
     "mainline_reasons": f"WITH {_docs_sql()} {_REASONS}",
-    "digest_lines": f"""WITH {_docs_sql()}, l AS (SELECT analysis_date, updated_at, trim(unnest(string_split(analysis_text, chr(10)))) AS line, generate_subscripts(string_split(analysis_text, chr(10)), 1) AS i FROM docs WHERE k % 6 <> 5)
-SELECT analysis_date, updated_at, md5(string_agg(CASE WHEN starts_with(line, '第') THEN '**' || line || '**' ELSE '> ' || line END, chr(10) || chr(10) ORDER BY i)) AS digest_md5 FROM l WHERE starts_with(line, '第') OR starts_with(line, '理由：') GROUP BY 1, 2
+    "digest_lines": f"""WITH {_docs_sql()}, l AS (SELECT analysis_date, updated_at, trim(unnest(string_split(analysis_text, chr(10)))) AS line, generate_subscripts(string_split(analysis_text,
+  chr(10)), 1) AS i FROM docs WHERE k % 6 <> 5)
+SELECT analysis_date, updated_at, md5(string_agg(CASE WHEN starts_with(line, '第') THEN '**' || line || '**' ELSE '> ' || line END, chr(10) || chr(10) ORDER
+  BY i)) AS digest_md5 FROM l WHERE starts_with(line, '第') OR starts_with(line, '理由：') GROUP BY 1, 2
 UNION ALL SELECT analysis_date, updated_at, md5(substr(analysis_text, 1, 2000)) FROM docs WHERE k % 6 = 5""",
     "market_doc_latest": f"WITH {_docs_sql()} SELECT analysis_date, trade_date, updated_at FROM docs ORDER BY analysis_date DESC, updated_at DESC LIMIT 1",
     "market_docs_recent": f"WITH {_docs_sql()} SELECT analysis_date, trade_date, updated_at FROM docs ORDER BY analysis_date DESC, updated_at DESC LIMIT 7",
     "market_doc_by_date": f"WITH {_docs_sql()} SELECT analysis_date, arg_max(trade_date, updated_at) AS trade_date, max(updated_at) AS updated_at FROM docs GROUP BY analysis_date",
     "doc_fallback": f"""WITH {_docs_sql()}, q AS (SELECT DISTINCT (ts::DATE + 3)::DATE AS day FROM events),
-r AS (SELECT day, analysis_date, trade_date, updated_at, row_number() OVER (PARTITION BY day ORDER BY CASE WHEN trade_date = day THEN 0 WHEN analysis_date = day THEN 1 ELSE 2 END, CASE WHEN trade_date = day OR analysis_date = day THEN NULL ELSE analysis_date END DESC NULLS LAST, updated_at DESC) AS place FROM q, docs)
+r AS (SELECT day, analysis_date, trade_date, updated_at, row_number() OVER (PARTITION BY day ORDER BY CASE WHEN trade_date = day THEN 0 WHEN analysis_date
+  = day THEN 1 ELSE 2 END, CASE WHEN trade_date = day OR analysis_date = day THEN NULL ELSE analysis_date END DESC NULLS LAST, updated_at DESC) AS place
+  FROM q, docs)
 SELECT day, analysis_date, trade_date, updated_at FROM r WHERE place = 1""",
     "morning_panel": f"""WITH {_docs_sql()}, r AS ({_REASONS}), m AS ({" UNION ALL ".join(f"SELECT DISTINCT analysis_date, k, {i + 1} AS rank, {_sector_sql(i)} AS sector_name FROM docs" for i in range(5))})
 SELECT m.analysis_date, m.rank, m.sector_name, coalesce(max(r.reason), '') AS reason FROM m LEFT JOIN r ON r.analysis_date = m.analysis_date AND r.sector_name = m.sector_name GROUP BY ALL""",
     "pool_positions": f"WITH {_docs_sql()}, pool AS ({_POOL_ROWS}) SELECT analysis_date, sector, sector_rank, stock_rank, stock_code, stock_name FROM pool WHERE updated_at % 10 = 0",
-    "index_panel": f"""WITH {_INDICES}, one AS (SELECT *, {_FOUND_INDEX} AS pref FROM ix WHERE code <> '000300' QUALIFY row_number() OVER (PARTITION BY day, code ORDER BY CASE WHEN {_FOUND_INDEX} < 6 THEN -pos ELSE pos END) = 1)
+    "index_panel": f"""WITH {_INDICES}, one AS (SELECT *, {_FOUND_INDEX} AS pref FROM ix WHERE code <> '000300' QUALIFY row_number() OVER (PARTITION BY day, code ORDER BY CASE
+  WHEN {_FOUND_INDEX} < 6 THEN -pos ELSE pos END) = 1)
 SELECT day, (row_number() OVER (PARTITION BY day ORDER BY pref, pos))::INT AS place, code AS index_code, {_INDEX_NAMES} AS index_name, latest FROM one QUALIFY place <= 5""",
-    "panel_bars": f"""WITH {BARS}, t AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS stock_code, e AS kline_trade_date_end FROM supplier, (VALUES (DATE '1996-02-10'), (DATE '1998-06-15'), (DATE '2005-01-01')) AS k(e)),
-l AS (SELECT stock_code, kline_trade_date_end, trade_date, close, row_number() OVER (PARTITION BY stock_code, kline_trade_date_end ORDER BY trade_date DESC) AS place FROM t JOIN bars_supp ON symbol = stock_code AND trade_date <= kline_trade_date_end QUALIFY place <= 30),
+    "panel_bars": f"""WITH {BARS}, t AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS stock_code, e AS kline_trade_date_end FROM supplier, (VALUES (DATE '1996-02-10'), (DATE '1998-06-15'),
+  (DATE '2005-01-01')) AS k(e)),
+l AS (SELECT stock_code, kline_trade_date_end, trade_date, close, row_number() OVER (PARTITION BY stock_code, kline_trade_date_end ORDER BY trade_date
+  DESC) AS place FROM t JOIN bars_supp ON symbol = stock_code AND trade_date <= kline_trade_date_end QUALIFY place <= 30),
 g AS (SELECT stock_code, kline_trade_date_end, count(*) AS n, min(trade_date) AS d0, max(trade_date) AS d1, arg_max(close, trade_date) AS c1 FROM l GROUP BY 1, 2)
-SELECT stock_code, kline_trade_date_end, CASE WHEN n >= 30 THEN 30 ELSE 1 END AS n, CASE WHEN n >= 30 THEN d0 ELSE DATE '1990-01-01' END AS first_date, coalesce(d1, DATE '1990-01-01') AS last_date, coalesce(c1, 1) AS close FROM t LEFT JOIN g USING (stock_code, kline_trade_date_end)""",
-    "panel_rows": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS open_price, CASE WHEN o_orderkey % 3 = 0 THEN '2024-01-05' ELSE '2024-01-06' END AS trade_date, true AS no_ratio, CASE WHEN o_orderkey % 4 < 2 THEN '2024-03-01 09:30:00' WHEN o_orderkey % 4 = 2 THEN 'soon' END AS analysis_time FROM orders",
-    "trial_summary": """WITH t AS (SELECT o_orderpriority, o_orderstatus, CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey % 7 ELSE 0 END AS p, o_orderkey % 700 AS r, (o_orderkey % 64) / 4::DOUBLE AS c, o_orderkey AS k FROM orders)
-SELECT o_orderpriority, o_orderstatus, count(*) AS samples, round(avg(p), 2) AS avg_success_pages, median(p)::DOUBLE AS median_success_pages, min(p)::INT AS min_success_pages, max(p)::INT AS max_success_pages, round(avg(r), 2) AS avg_total_rows, round(avg(c), 2) AS avg_total_cost_seconds,
+SELECT stock_code, kline_trade_date_end, CASE WHEN n >= 30 THEN 30 ELSE 1 END AS n, CASE WHEN n >= 30 THEN d0 ELSE DATE '1990-01-01' END AS first_date,
+  coalesce(d1, DATE '1990-01-01') AS last_date, coalesce(c1, 1) AS close FROM t LEFT JOIN g USING (stock_code, kline_trade_date_end)""",
+    "panel_rows": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS open_price, CASE WHEN o_orderkey % 3 = 0 THEN '2024-01-05'
+  ELSE '2024-01-06' END AS trade_date, true AS no_ratio, CASE WHEN o_orderkey % 4 < 2 THEN '2024-03-01 09:30:00' WHEN o_orderkey % 4 = 2 THEN 'soon' END
+  AS analysis_time FROM orders""",
+    "trial_summary": """WITH t AS (SELECT o_orderpriority, o_orderstatus, CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey % 7 ELSE 0 END AS p, o_orderkey % 700 AS r, (o_orderkey
+  % 64) / 4::DOUBLE AS c, o_orderkey AS k FROM orders)
+SELECT o_orderpriority, o_orderstatus, count(*) AS samples, round(avg(p), 2) AS avg_success_pages, median(p)::DOUBLE AS median_success_pages, min(p)::INT
+  AS min_success_pages, max(p)::INT AS max_success_pages, round(avg(r), 2) AS avg_total_rows, round(avg(c), 2) AS avg_total_cost_seconds,
   count(*) FILTER (k % 6 = 0) AS warmup_failures, count(*) FILTER (p = 0) AS zero_page_failures, count(*) FILTER (k % 5 = 0) AS expired_count FROM t GROUP BY 1, 2""",
     "feeds_union": f"WITH {NEWS} SELECT event_id, publish_ts, source, title FROM news",
 }

@@ -11,7 +11,8 @@ from tickerloom.streaming.ingest import rebuilt_views
 
 AT = ASOF
 
-_AGED = f"""aged0 AS (SELECT event_id, publish_ts, greatest(-100::DOUBLE, least(100::DOUBLE, coalesce(score, 0)::DOUBLE)) AS score, list_distinct(sectors) AS sectors, {{at}} AS now_ts{{more}} FROM {{source}}
+_AGED = f"""aged0 AS (SELECT event_id, publish_ts, greatest(-100::DOUBLE, least(100::DOUBLE, coalesce(score, 0)::DOUBLE)) AS score, list_distinct(sectors) AS sectors,
+  {{at}} AS now_ts{{more}} FROM {{source}}
   WHERE publish_ts BETWEEN {{at}} - {S.WINDOW_S} AND {{at}} AND len(coalesce(sectors, [])) > 0),
 aged1 AS (SELECT *, greatest((now_ts - publish_ts) / 3600::DOUBLE, 0::DOUBLE) AS age_h, abs(score) / 100::DOUBLE AS s FROM aged0),
 aged AS (SELECT *, CASE WHEN score = 0 THEN 0::DOUBLE ELSE sign(score) * 100::DOUBLE * pow(s, 2.6::DOUBLE - 1.6::DOUBLE * s) END AS strength,
@@ -28,13 +29,15 @@ PREFERENCE = """pref0 AS (SELECT {by}, count(*) AS news_count, count(*) FILTER (
 pref1 AS (SELECT * EXCLUDE (e, effects, p, n, up, down), 100 * tanh(effects / sqrt(greatest(e, 1)) / 60) AS event_score,
   100 * tanh((ln(1 + p) - ln(1 + n)) / 1.6::DOUBLE) AS count_score, 100 * (up - down) AS time_score FROM pref0),
 pref2 AS (SELECT *, greatest(-100::DOUBLE, least(100::DOUBLE, 0.75::DOUBLE * event_score + 0.08::DOUBLE * count_score + 0.17::DOUBLE * time_score)) AS final_score FROM pref1),
-pref AS (SELECT *, row_number() OVER ({apart} ORDER BY round(final_score, 2) DESC, round(event_score, 2) DESC, round(count_score, 2) DESC, round(time_score, 2) DESC, news_count DESC, sector)::INT AS rank FROM pref2)"""
+pref AS (SELECT *, row_number() OVER ({apart} ORDER BY round(final_score, 2) DESC, round(event_score, 2) DESC, round(count_score, 2) DESC, round(time_score,
+  2) DESC, news_count DESC, sector)::INT AS rank FROM pref2)"""
 PREF_NOW = PREFERENCE.format(by="sector", apart="")
 
 HEAT = """heat0 AS (SELECT {by}, count(*) AS news_count, sum(heat_decay) AS effective_news_count, count(*) FILTER (age_h <= 18) AS recent_count, max(publish_ts) AS latest_ts FROM per GROUP BY {by}),
 heat1 AS (SELECT *, 100 * tanh(effective_news_count / 6) AS count_score, 100 * effective_news_count / greatest(news_count, 1) AS time_score FROM heat0),
 heat2 AS (SELECT *, greatest(0::DOUBLE, least(100::DOUBLE, 0.75::DOUBLE * count_score + 0.25::DOUBLE * time_score)) AS final_score FROM heat1),
-heat AS (SELECT *, row_number() OVER ({apart} ORDER BY round(final_score, 2) DESC, round(count_score, 2) DESC, round(time_score, 2) DESC, round(effective_news_count, 4) DESC, news_count DESC, sector)::INT AS rank FROM heat2)"""
+heat AS (SELECT *, row_number() OVER ({apart} ORDER BY round(final_score, 2) DESC, round(count_score, 2) DESC, round(time_score, 2) DESC, round(effective_news_count,
+  4) DESC, news_count DESC, sector)::INT AS rank FROM heat2)"""
 HEAT_NOW = HEAT.format(by="sector", apart="")
 
 FIRST, LAST = "2024-01-04", "2024-01-31"
@@ -104,19 +107,26 @@ SELECT hour, 'summary' AS view, trim(sector) AS sector, NULL::INT AS rank, count
   FROM (SELECT hour, score, unnest(list_distinct(sectors)) AS sector FROM at_hours) GROUP BY ALL
 UNION ALL SELECT hour, 'preference', sector, rank, news_count, round(final_score, 2) FROM pref
 UNION ALL SELECT hour, 'heat', sector, rank, news_count, round(final_score, 2) FROM heat""",
-    "sector_3d_summary": f"WITH {NEWS} SELECT trim(sector) AS sector, count(*) AS news_count, sum(coalesce(score, 0))::BIGINT AS score_sum FROM (SELECT score, unnest(list_distinct(sectors)) AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF}) WHERE trim(sector) <> '' GROUP BY 1",
-    "sector_3d_header": f"WITH {NEWS} SELECT count(DISTINCT sector) AS sector_count, count(*) AS total_news_count, sum(coalesce(score, 0))::BIGINT AS total_score_sum FROM (SELECT score, unnest(list_distinct(sectors)) AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF})",
+    "sector_3d_summary": f"""WITH {NEWS} SELECT trim(sector) AS sector, count(*) AS news_count, sum(coalesce(score, 0))::BIGINT AS score_sum FROM (SELECT score, unnest(list_distinct(sectors))
+  AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF}) WHERE trim(sector) <> '' GROUP BY 1""",
+    "sector_3d_header": f"""WITH {NEWS} SELECT count(DISTINCT sector) AS sector_count, count(*) AS total_news_count, sum(coalesce(score, 0))::BIGINT AS total_score_sum FROM (SELECT
+  score, unnest(list_distinct(sectors)) AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF})""",
     "investment_preference": f"WITH {NEWS}, {NOW}, {PREF_NOW} SELECT * FROM pref",
     "preference_header": f"WITH {NEWS}, {NOW} SELECT count(*) AS total_news_count, {ASOF - S.WINDOW_S}::BIGINT AS window_start_ts, {ASOF}::BIGINT AS window_end_ts FROM aged",
     "market_heat": f"WITH {NEWS}, {NOW}, {HEAT_NOW} SELECT * FROM heat",
     "rank_limit": f"WITH {NEWS}, {NOW}, {HEAT_NOW} SELECT * FROM heat WHERE rank <= 8",
-    "preference_dominant_events": f"WITH {NEWS}, {NOW} SELECT sector, string_agg(event_id, ',' ORDER BY k) AS event_ids FROM (SELECT sector, event_id, row_number() OVER (PARTITION BY sector ORDER BY abs(effect) DESC, publish_ts DESC, event_id) AS k FROM per) WHERE k <= 5 GROUP BY sector",
-    "heat_dominant_events": f"WITH {NEWS}, {NOW} SELECT sector, string_agg(event_id, ',' ORDER BY k) AS event_ids FROM (SELECT sector, event_id, row_number() OVER (PARTITION BY sector ORDER BY age_h, publish_ts DESC, event_id) AS k FROM per) WHERE k <= 5 GROUP BY sector",
+    "preference_dominant_events": f"""WITH {NEWS}, {NOW} SELECT sector, string_agg(event_id, ',' ORDER BY k) AS event_ids FROM (SELECT sector, event_id, row_number() OVER (PARTITION BY sector
+  ORDER BY abs(effect) DESC, publish_ts DESC, event_id) AS k FROM per) WHERE k <= 5 GROUP BY sector""",
+    "heat_dominant_events": f"""WITH {NEWS}, {NOW} SELECT sector, string_agg(event_id, ',' ORDER BY k) AS event_ids FROM (SELECT sector, event_id, row_number() OVER (PARTITION BY sector
+  ORDER BY age_h, publish_ts DESC, event_id) AS k FROM per) WHERE k <= 5 GROUP BY sector""",
     "event_window": f"WITH {NEWS} SELECT event_id, publish_ts, source, score FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF}",
     "ranking_payload": f"WITH {NEWS}, {NOW}, {PREF_NOW} SELECT sector, rank, round(final_score, 2) AS final_score, news_count FROM pref WHERE rank <= 12",
-    "rebuilt_views": f"""WITH {NEWS}, {NOW}, {PREF_NOW}, {HEAT_NOW} SELECT 'summary' AS view, trim(sector) AS sector, NULL::INT AS rank, count(*) AS news_count, sum(coalesce(score, 0))::DOUBLE AS score FROM (SELECT score, unnest(list_distinct(sectors)) AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF}) GROUP BY ALL
+    "rebuilt_views": f"""WITH {NEWS}, {NOW}, {PREF_NOW}, {HEAT_NOW} SELECT 'summary' AS view, trim(sector) AS sector, NULL::INT AS rank, count(*) AS news_count, sum(coalesce(score,
+  0))::DOUBLE AS score FROM (SELECT score, unnest(list_distinct(sectors)) AS sector FROM news WHERE publish_ts BETWEEN {ASOF - S.WINDOW_S} AND {ASOF})
+  GROUP BY ALL
 UNION ALL SELECT 'preference', sector, rank, news_count, round(final_score, 2) FROM pref UNION ALL SELECT 'heat', sector, rank, news_count, round(final_score, 2) FROM heat""",
     "ranking_days": f"WITH {NEWS}, {_DAYS} SELECT biz_date, sector, rank, news_count, final_score FROM pref",
     "ranking_asof": f"WITH {NEWS}, {_DAYS} SELECT biz_date, sector, rank, final_score FROM pref WHERE biz_date = DATE '{LAST}'",
-    "ranking_history": f"WITH {NEWS}, {_DAYS} SELECT p.sector, t.rank AS top_rank, p.biz_date, p.rank, p.final_score, p.news_count FROM pref p JOIN pref t ON t.sector = p.sector AND t.biz_date = DATE '2024-01-29' AND t.rank <= 5 WHERE p.biz_date BETWEEN DATE '2024-01-23' AND DATE '2024-01-29'",
+    "ranking_history": f"""WITH {NEWS}, {_DAYS} SELECT p.sector, t.rank AS top_rank, p.biz_date, p.rank, p.final_score, p.news_count FROM pref p JOIN pref t ON t.sector = p.sector
+  AND t.biz_date = DATE '2024-01-29' AND t.rank <= 5 WHERE p.biz_date BETWEEN DATE '2024-01-23' AND DATE '2024-01-29'""",
 }

@@ -134,7 +134,8 @@ b AS (SELECT {_DATE} AS biz_date, count(*) AS rows_1 FROM merged GROUP BY 1) SEL
 SELECT 0 AS version, count(*)::INT AS partitions, sum(n)::BIGINT AS rows, count(*)::INT AS rewritten FROM of WHERE trade_date < DATE '{BARS_TO}'
 UNION ALL SELECT 1, count(*)::INT, sum(n)::BIGINT, count(*) FILTER (trade_date >= DATE '{BARS_FROM}')::INT FROM of""",
     "indexed_search": f"""WITH {NEWS}, k(keyword) AS (VALUES {", ".join("('" + k + "')" for k in KEYWORDS)})
-SELECT keyword, count(*) AS n, min(event_id) AS first_id, sum(score)::BIGINT AS score_sum FROM news JOIN k ON regexp_matches(title, '(?i)' || keyword) OR regexp_matches(content, '(?i)' || keyword) GROUP BY keyword""",
+SELECT keyword, count(*) AS n, min(event_id) AS first_id, sum(score)::BIGINT AS score_sum FROM news JOIN k ON regexp_matches(title, '(?i)' || keyword)
+  OR regexp_matches(content, '(?i)' || keyword) GROUP BY keyword""",
     "rejects": rf"""WITH {BARS}, {FLAWED}, r AS (
   SELECT 'upsert_bars' AS operator, {_FAULT} AS reason, symbol || '/' || trade_date AS key FROM bars_flawed
   UNION ALL SELECT 'market_prefix', CASE WHEN p_partkey % 6 IN (0, 2) AND (p_partkey % 6 = 2 OR length(p_partkey::VARCHAR) <> 6) THEN 'not six digits'
