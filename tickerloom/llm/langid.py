@@ -91,14 +91,24 @@ class Terms:
 
     number: dict[str, int]
     base: np.ndarray
-    starts: np.ndarray
+    starts: list[int]
     langs: np.ndarray
     added: np.ndarray
 
+    def of(self, i: int) -> np.ndarray:
+        """Log frequencies of a known term, per language."""
+        a, b = self.starts[i], self.starts[i + 1]
+        out = self.base.copy()
+        out[self.langs[a:b]] += self.added[a:b]
+        return out
+
     def mean(self, terms: list[int]) -> np.ndarray:
         """Mean log frequencies of known terms, per language."""
-        at = np.concatenate([np.arange(self.starts[i], self.starts[i + 1]) for i in terms])
-        return self.base + np.bincount(self.langs[at], self.added[at], len(self.base)) / len(terms)
+        if len(terms) == 1:
+            return self.of(terms[0])
+        ends = [(self.starts[i], self.starts[i + 1]) for i in terms]
+        langs, added = np.concatenate([self.langs[a:b] for a, b in ends]), np.concatenate([self.added[a:b] for a, b in ends])
+        return self.base + np.bincount(langs, added, len(self.base)) / len(terms)
 
 
 @dataclass
@@ -111,7 +121,7 @@ class Model:
     def word(self, word: str) -> np.ndarray:
         at = self.terms[0].number.get(word)
         if at is not None:
-            return self.terms[0].mean([at])
+            return self.terms[0].of(at)
         for n in range(MAX_N, 0, -1):
             number = self.terms[n].number
             known = [i for g in grams_of(word, n) if (i := number.get(g)) is not None]
@@ -146,7 +156,7 @@ def build(seen: pa.Table) -> Model:
         total = np.bincount(lang, n, len(langs)) + SMOOTHING * len(coded.dictionary)
         order = np.argsort(term, kind="stable")
         number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
-        starts = np.searchsorted(term[order], np.arange(len(number) + 1))
+        starts = np.searchsorted(term[order], np.arange(len(number) + 1)).tolist()
         # Without terms there is no frequency to fall back on.
         base = np.log(SMOOTHING / total) if number else total
         model.terms.append(Terms(number, base, starts, lang[order].astype(np.int32), np.log((n[order] + SMOOTHING) / SMOOTHING)))
