@@ -103,7 +103,16 @@ def _stored_recent(spark, sf):
     return B.recent_bars(stored_bars(spark, _bucketed(spark, sf, bars_supp(spark, sf))), stock_pool(spark, sf), END)
 
 
+def _exported(spark, sf, part):
+    """A part of a scan's report as it was written, read again."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/report-{uuid.uuid4().hex}"
+    D.write_report(_scan(spark, sf), path)
+    return spark.read.json(f"{path}/{part}")
+
+
 QUERIES = {
+    "export_report": lambda spark, sf: _exported(spark, sf, "items").select("symbol", "name", "status", "scan_reason", "bars_count", "conclusion"),
+    "export_summary": lambda spark, sf: _exported(spark, sf, "summary"),
     "stored_recent_bars": _stored_recent,
     "stored_market_context": lambda spark, sf: P.structures(stored_bars(spark, _bucketed(spark, sf, bars_supp(spark, sf)))).select("symbol", "bull_bars", "bear_bars", "tr_bars", "overlap_count", "inside_count", "heavy_tails", "bull_micro", "bear_micro", "in_middle", "confusion"),
     "bars_type": bars_type,
@@ -430,3 +439,5 @@ SELECT symbol, {_CHART} AS chart FROM s4 JOIN five USING (symbol)""",
 }
 
 ORACLES["stored_market_context"] = ORACLES["market_context"]
+ORACLES["export_report"] = f"SELECT symbol, name, status, scan_reason, bars_count, conclusion FROM ({ORACLES['market_scan']})"
+ORACLES["export_summary"] = ORACLES["scan_summary"]

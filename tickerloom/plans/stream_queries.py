@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickerloom.functions.newstext import SECTORS
-from tickerloom.sources.views import NEWS, news
+from tickerloom.sources.scratch import shared_folder
+from tickerloom.sources.views import ASOF, NEWS, news
+from tickerloom.streaming.figures import figures
+from tickerloom.streaming.ingest import start
 from tickerloom.streaming.repair import open_repairs, scored
 
 
@@ -32,7 +37,34 @@ def _rounds(spark, sf):
     return scored(rows, _first, _second, attempts=2)
 
 
+#: Where the first landing ends, and how far back the second reaches.
+CUT, BACK = ASOF - 10 * 86400, 2 * 86400
+
+
+def _streamed(spark, sf) -> str:
+    """The store of a stream over two landings of news: the second brings the first's last days again, late rows among
+    them, and every seventh event twice. Run twice with a restart between, ids in flight guarded by the state store."""
+    rows = news(spark, sf).withColumns({"content": F.concat(F.lit("a story that only number "), "event_id", F.lit(" tells")), "title": F.lit("")})
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    ts, twice = F.col("publish_ts"), rows.where(F.col("event_id").cast("long") % 7 == 0)
+    for landing in (ts < CUT, ts >= CUT - BACK):
+        rows.where(landing).unionByName(twice.where(landing)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        start(spark, f"{folder}/in", f"{folder}/store", f"{folder}/check", guard_s=3600).awaitTermination()
+    return f"{folder}/store"
+
+
+def _stored(spark, sf):
+    return spark.read.parquet(f"{_streamed(spark, sf)}/rows").select("event_id", "publish_ts", "source", "score")
+
+
+def _figures(spark, sf):
+    """Of the batches with rows; there is one without, in which ids leave the guard's state."""
+    return figures(spark, f"{_streamed(spark, sf)}/figures").where("landed > 0").select("landed", "sources", "oldest", "newest", "stored")
+
+
 QUERIES = {
+    "stream_stored": _stored,
+    "stream_figures": _figures,
     "repair_queue": lambda spark, sf: _rounds(spark, sf)[1].withColumn("sectors", F.array_join("sectors", ",")),
     "repaired_scores": lambda spark, sf: _rounds(spark, sf)[0].select("event_id", "score", F.array_join("sectors", ",").alias("sectors")),
     "open_repairs": lambda spark, sf: open_repairs(_rounds(spark, sf)[1]).select("event_id", "attempts", "score"),
@@ -42,7 +74,13 @@ _ROUNDS = f"""first AS (SELECT event_id, event_id::BIGINT % 10 AS kind, event_id
 queue AS (SELECT event_id, 1 AS attempt, CASE WHEN never OR kind < 2 THEN 0 ELSE 20 END AS score, '{SECTORS[1]}' AS sectors FROM first WHERE kind < 4
   UNION ALL SELECT event_id, 2, CASE WHEN never THEN 0 ELSE 20 END, '{SECTORS[1]}' FROM first WHERE kind < 2 OR (kind < 4 AND never))"""
 
+_STREAM = f"""landed AS (SELECT 0 AS batch, * FROM news WHERE publish_ts < {CUT} UNION ALL SELECT 1, * FROM news WHERE publish_ts >= {CUT - BACK}),
+stored AS (SELECT event_id, publish_ts, source, score, batch FROM landed WHERE batch = 0 OR publish_ts >= {CUT})"""
+
 ORACLES = {
+    "stream_stored": f"WITH {NEWS}, {_STREAM} SELECT event_id, publish_ts, source, score FROM stored",
+    "stream_figures": f"""WITH {NEWS}, {_STREAM} SELECT (count(*) + count(*) FILTER (event_id::BIGINT % 7 = 0))::BIGINT AS landed, count(DISTINCT source)::BIGINT AS sources,
+  min(publish_ts) AS oldest, max(publish_ts) AS newest, any_value(n) AS stored FROM landed JOIN (SELECT batch, count(*) AS n FROM stored GROUP BY 1) USING (batch) GROUP BY batch""",
     "repair_queue": f"WITH {NEWS}, {_ROUNDS} SELECT event_id, attempt, score, sectors, score = 0 AS open FROM queue",
     "repaired_scores": f"""WITH {NEWS}, {_ROUNDS} SELECT event_id, 30 AS score, CASE WHEN kind < 9 THEN '{SECTORS[0]}' END AS sectors FROM first WHERE kind >= 4
 UNION ALL SELECT event_id, score, sectors FROM queue QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY attempt DESC) = 1""",
