@@ -28,17 +28,19 @@ class BatchFigures(StreamingQueryListener):
     holds, and the time taken. stored is filled in by the stream's own batches."""
 
     def __init__(self, spark: SparkSession, folder: str, query_name: str):
-        self._journal, self._name = Journal(spark, folder), query_name
+        self._spark, self._journal, self._name, self._run = spark, Journal(spark, folder), query_name, None
         self.stored: dict[int, int] = {}
 
     def onQueryStarted(self, event) -> None:
-        pass
+        if event.name == self._name:
+            self._run = event.runId
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        if event.runId == self._run:
+            self._spark.streams.removeListener(self)
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
@@ -54,6 +56,7 @@ class BatchFigures(StreamingQueryListener):
 
 
 def figures(spark: SparkSession, folder: str) -> DataFrame:
-    """The figures written so far, a row per batch."""
+    """The figures of the batches so far, a row each; events that are on their way to listeners are waited for."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     journal = Journal(spark, folder)
     return spark.createDataFrame([journal._get(n) for n in journal.versions()], SCHEMA)
