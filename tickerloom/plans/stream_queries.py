@@ -67,7 +67,7 @@ QUERIES = {
     "stream_figures": _figures,
     "repair_queue": lambda spark, sf: _rounds(spark, sf)[1].withColumn("sectors", F.array_join("sectors", ",")),
     "repaired_scores": lambda spark, sf: _rounds(spark, sf)[0].select("event_id", "score", F.array_join("sectors", ",").alias("sectors")),
-    "open_repairs": lambda spark, sf: open_repairs(_rounds(spark, sf)[1]).select("event_id", "attempts", "score"),
+    "repairs_open": lambda spark, sf: open_repairs(_rounds(spark, sf)[1]).select("event_id", "attempts", "score"),
 }
 
 _ROUNDS = f"""first AS (SELECT event_id, event_id::BIGINT % 10 AS kind, event_id::BIGINT % 70 IN (0, 2) AS never FROM news),
@@ -84,5 +84,5 @@ ORACLES = {
     "repair_queue": f"WITH {NEWS}, {_ROUNDS} SELECT event_id, attempt, score, sectors, score = 0 AS open FROM queue",
     "repaired_scores": f"""WITH {NEWS}, {_ROUNDS} SELECT event_id, 30 AS score, CASE WHEN kind < 9 THEN '{SECTORS[0]}' END AS sectors FROM first WHERE kind >= 4
 UNION ALL SELECT event_id, score, sectors FROM queue QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY attempt DESC) = 1""",
-    "open_repairs": f"WITH {NEWS}, {_ROUNDS} SELECT event_id, attempt AS attempts, score FROM queue WHERE attempt = 2 AND score = 0",
+    "repairs_open": f"WITH {NEWS}, {_ROUNDS} SELECT event_id, attempt AS attempts, score FROM queue WHERE attempt = 2 AND score = 0",
 }
