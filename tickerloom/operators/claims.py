@@ -56,8 +56,8 @@ def _after(state: Column, row: Column, verdict: Column, lease_s: int) -> Column:
     ).cast(_STATE)
 
 
-def _folded(log: DataFrame, lease_s: int, before: DataFrame | None) -> DataFrame:
-    """KEYS with the state after all rows and the list of their verdicts."""
+def _folded(log: DataFrame, lease_s: int, before: DataFrame | None, telling: bool) -> DataFrame:
+    """KEYS with the state after all rows and, if telling, the list of their verdicts (which grows row by row)."""
     rows = log.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("at", "worker", "action"))).alias("rows"))
     nobody = F.expr(f"CAST(named_struct('owner', NULL, 'status', NULL, 'lease_end', NULL, 'granted', 0L, 'refused', 0L, 'ignored', 0L) AS {_STATE})")
     start = nobody
@@ -72,7 +72,7 @@ def _folded(log: DataFrame, lease_s: int, before: DataFrame | None) -> DataFrame
     def step(acc: Column, row: Column) -> Column:
         verdict = _verdict(acc["state"], row)
         told = F.struct(row["worker"].alias("worker"), row["at"].alias("at"), row["action"].alias("action"), verdict.alias("verdict")).cast(_VERDICT)
-        return F.struct(_after(acc["state"], row, verdict, lease_s).alias("state"), F.concat(acc["told"], F.array(told)).alias("told"))
+        return F.struct(_after(acc["state"], row, verdict, lease_s).alias("state"), (F.concat(acc["told"], F.array(told)) if telling else acc["told"]).alias("told"))
 
     return rows.select(*KEYS, F.aggregate("rows", F.struct(start.alias("state"), none.alias("told")), step).alias("end"))
 
@@ -82,12 +82,12 @@ def snapshot(log: DataFrame, lease_s: int = LEASE_S, before: DataFrame | None =
 
     before: a snapshot of all rows older than log's; stocks without newer rows stay as they are there.
     """
-    return _folded(log, lease_s, before).select(*KEYS, "end.state.*")
+    return _folded(log, lease_s, before, telling=False).select(*KEYS, "end.state.*")
 
 
 def verdicts(log: DataFrame, lease_s: int = LEASE_S, before: DataFrame | None = None) -> DataFrame:
     """Every row of log with what became of it."""
-    return _folded(log, lease_s, before).select(*KEYS, F.explode("end.told").alias("one")).select(*KEYS, "one.*")
+    return _folded(log, lease_s, before, telling=True).select(*KEYS, F.explode("end.told").alias("one")).select(*KEYS, "one.*")
 
 
 def append(log_path: str, rows: DataFrame) -> None:
