@@ -122,3 +122,15 @@ def test_scorer_answers_of_every_type(spark):
     got = rows.select("want", X.analysis_payload(F.col("t"), F.lit(""), F.array().cast("array<string>")).alias("p")).collect()
     assert [r.p.score for r in got] == [r.want for r in got] and all(r.p.reason == X.NO_REASON and r.p.companies is None and r.p.sectors is None for r in got)
     assert spark.createDataFrame([("none",), (None,)], "t string").select(X.analysis_payload(F.col("t"), F.lit(""), F.array().cast("array<string>")).alias("p")).where("p IS NOT NULL").count() == 0
+
+
+def test_texts_are_read_once(spark):
+    names = F.col("names")
+    assert str(X.analysis_payload(F.col("told"), F.col("content"), names)).count("parse_json") == 1
+    assert str(X.norm_sector_list(names, F.col("content"), names)).count("冻猪肉") == 1
+
+
+def test_lists_of_names_end_with_the_first_that_says_something(spark):
+    cases = [(["某芯片、公司", " 白\\酒", "不明", "半导体", "ETF-铜", "保险"], ["银行"], "游戏", ["半导体", "白酒", "工业金属"]), (["不明", None], [" 银 行", "E-x"], "游戏", ["银行"]), ([], None, "票房和游戏", ["影视院线", "游戏"]), (None, [""], None, None)]
+    rows = spark.createDataFrame(cases, "a array<string>, b array<string>, c string, want array<string>")
+    assert all(r.got == r.want for r in rows.withColumn("got", X.norm_sector_list(F.col("a"), F.col("c"), F.col("b"))).collect())
