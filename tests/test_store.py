@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators.rejects import answer_rules, bar_rules, routed, symbol_rules
 from tickerloom.operators.store import BARS_TABLE, NEWS_TABLE, merge_bars
+from tickerloom.plans import store_queries
 from tickerloom.sources.versioned import VersionConflict, VersionedTable
 
 SCHEMA = "trade_date date, symbol string, close double, id string, created_at string"
@@ -120,3 +121,16 @@ def test_symbols_and_answers_are_rejected_for_the_first_rule(spark):
     answers = spark.createDataFrame([('{"a": 1}',), ('x ```json\n{"a": 1}\n``` {',), ("none",), (None,), ('{"a": 1} end }',), ('{"a": 1}, {"b": 2}',), ("{'a': 1}",), ("{}",)], "answer string")
     out = routed(answers, "extract_json", answer_rules(), ["answer"])
     assert out.counts == {"no object": 2, "not JSON": 3} and out.passed.count() == 3
+
+
+def test_symbols_of_high_part_keys_are_rejected_as_the_sql_says(spark, tmp_path):
+    keys = [*range(1, 13), *range(99_995, 100_010), *range(699_995, 700_010), *range(1_000_000, 1_000_012)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.key: r.reason for r in routed(store_queries._symbols(spark, str(tmp_path)), "market_prefix", symbol_rules(), ["p_partkey"]).rejected.collect()}
+
+    def want(k):
+        if k % 6 == 2 or (k % 6 == 0 and len(str(k)) != 6):
+            return "not six digits"
+        return "no market of this digit" if k % 6 == 1 or (k % 6 == 0 and str(k)[0] == "7") else None
+
+    assert got == {str(k): want(k) for k in keys if want(k)}

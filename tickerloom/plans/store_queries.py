@@ -89,8 +89,10 @@ def _answers(spark, sf):
 
 
 def _symbols(spark, sf):
+    """A symbol per part: of too few digits, of no market, none, and, on every other part, one that begins with 0."""
     k = F.col("p_partkey")
-    return table(spark, sf, "part").select("p_partkey", F.when(k % 6 == 0, k.cast("string")).when(k % 6 == 1, F.concat(F.lit("7"), F.lpad(k.cast("string"), 5, "0"))).when(k % 6 == 2, F.lit(None)).otherwise(F.lpad(k.cast("string"), 6, "0")).alias("symbol"))
+    known = F.concat(F.lit("0"), F.lpad((k % 100_000).cast("string"), 5, "0"))
+    return table(spark, sf, "part").select("p_partkey", F.when(k % 6 == 0, k.cast("string")).when(k % 6 == 1, F.concat(F.lit("7"), F.lpad(k.cast("string"), 5, "0"))).when(k % 6 == 2, F.lit(None)).otherwise(known).alias("symbol"))
 
 
 def _rejects(spark, sf):
