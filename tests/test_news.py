@@ -202,3 +202,10 @@ def test_dedup_text_restated(spark):
     cases = {" 财联社4月5日电，A b。 ": "ab", "[金十数据]：Story - 金十数据  ": "story", "财联社讯 x": "财联社讯x".replace("财联社", ""), "a　b\u00a0(同花顺)": "ab", "no feed – here": "nofeed–here", None: ""}
     rows = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert all(r.got == r.want for r in rows.withColumn("got", X.dedup_text(F.col("t"))).collect())
+
+
+def test_keys_are_not_worked_out_again_to_filter_them(spark):
+    rows = news(spark, [{"title": "headline of a story", "content": "headline of a story and what it tells"}, {"content": "x"}])
+    texts = [plan._jdf.queryExecution().optimizedPlan().toString() for plan in (story_dedup.key_rows(rows), story_dedup.shared_key_pairs(rows))]
+    assert all("Filter" not in text[text.index("Project") :] for text in texts)
+    assert sorted(r.key for r in story_dedup.key_rows(rows).collect()) == ["content::andwhatittells", "content::headlineofastoryandwhatittells", "title::headlineofastory"]
