@@ -2,7 +2,9 @@
 
 import time
 
+
 from tickerloom.functions.newstext import SECTORS
+from tickerloom.plans import stream_queries
 from tickerloom.streaming import ingest
 from tickerloom.streaming.figures import figures
 from tickerloom.streaming.repair import open_repairs
@@ -104,3 +106,14 @@ def test_a_long_run_writes_figures_and_clears_its_source(spark, tmp_path):
     assert ids(spark, store) == ["a", "b", "c", "e"]
     assert all(r.duration_ms > 0 for r in figures(spark, f"{store}/figures").collect())
     assert list((tmp_path / "done").rglob("*.parquet"))
+
+
+def test_a_landing_is_written_by_several_tasks(spark, monkeypatch):
+    class Done:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(stream_queries, "start", lambda *args, **how: Done())
+    store = stream_queries._streamed(spark, "/root/testdata/sf0.001")
+    files = len(spark.read.parquet(store.removesuffix("store") + "in").inputFiles())
+    assert 2 < files <= 2 * 50

@@ -39,6 +39,8 @@ def _rounds(spark, sf):
 
 #: Where the first landing ends, and how far back the second reaches.
 CUT, BACK = ASOF - 10 * 86400, 2 * 86400
+#: Files of a landing, fewer than a batch takes.
+LANDED_FILES = 32
 
 
 def _streamed(spark, sf) -> str:
@@ -48,7 +50,8 @@ def _streamed(spark, sf) -> str:
     folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     ts, twice = F.col("publish_ts"), rows.where(F.col("event_id").cast("long") % 7 == 0)
     for landing in (ts < CUT, ts >= CUT - BACK):
-        rows.where(landing).unionByName(twice.where(landing)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        # A bounded number of files, so that a landing is one batch.
+        rows.where(landing).unionByName(twice.where(landing)).repartition(LANDED_FILES, "event_id").write.mode("append").parquet(f"{folder}/in")
         start(spark, f"{folder}/in", f"{folder}/store", f"{folder}/check", guard_s=3600).awaitTermination()
     return f"{folder}/store"
 
