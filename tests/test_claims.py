@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tickerloom.operators import claims
 
 
@@ -77,3 +79,13 @@ def test_a_late_row_of_an_earlier_claim_wins_before_it_is_settled(spark, tmp_pat
 
 def test_no_claims(spark):
     assert claims.snapshot(frame(spark, [("s", "w", 1, "claim")]).limit(0)).collect() == []
+
+
+def test_verdicts_listed_by_runs(spark, monkeypatch):
+    rows = [(str(i % 2), f"w{i * 7 % 3}", 1000 + i * 3, ("claim", "beat", "claim", "failed", "claim", "beat", "succeeded" if i > 180 else "claim")[i % 7]) for i in range(200)]
+    log = spark.createDataFrame(rows, "stock_code string, worker string, at bigint, action string").select(F.lit("2024-01-05").cast("date").alias("trade_date"), "*")
+    found = []
+    for size in (256, 7, 100):
+        monkeypatch.setattr(claims, "RUN_ROWS", size)
+        found.append(sorted(tuple(r) for r in claims.verdicts(log, 20).collect()))
+    assert len(found[0]) == 200 and found[0] == found[1] == found[2]
