@@ -134,3 +134,14 @@ def test_lists_of_names_end_with_the_first_that_says_something(spark):
     cases = [(["某芯片、公司", " 白\\酒", "不明", "半导体", "ETF-铜", "保险"], ["银行"], "游戏", ["半导体", "白酒", "工业金属"]), (["不明", None], [" 银 行", "E-x"], "游戏", ["银行"]), ([], None, "票房和游戏", ["影视院线", "游戏"]), (None, [""], None, None)]
     rows = spark.createDataFrame(cases, "a array<string>, b array<string>, c string, want array<string>")
     assert all(r.got == r.want for r in rows.withColumn("got", X.norm_sector_list(F.col("a"), F.col("c"), F.col("b"))).collect())
+
+
+def test_lines_and_bodies_are_not_read_again_to_filter_them(spark):
+    pages = spark.createDataFrame([(1, "10:00\n 重要\n##  t  x \n c　 d\n\n12:00:01\n13:00\ne")], "page_id int, text string")
+    plan = Y.flash_items(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_replace" in x]
+    assert [tuple(r) for r in Y.flash_items(pages).collect()] == [(1, "10:00", "t x", "c d", 0)]
+    bodies = spark.createDataFrame([('{"data": {"list": [{"id": "1", "ctime": "9", "content": "x"}, null]}}',), ('{"data": []}',), (None,)], "body string")
+    plan = Y.news_items(bodies)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "from_json" in x]
+    assert [(r.event_id, r.publish_ts) for r in Y.news_items(bodies).collect()] == [("1", 9)]

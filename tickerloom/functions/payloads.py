@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.landing import ZONE, clock_text, clock_to_epoch, epoch_seconds, event_id, split_title
-from tickerloom.functions.newstext import strip
+from tickerloom.functions.newstext import WHITE, bound, one_of, strip
 
 # Words that stand between a flash's time and its title, and navigation words of the flash pages.
 SKIP_WORDS = ("A股", "重要", "公告", "期货", "异动", "港股", "美股", "全部", "快讯", "7*24", "7×24", "7x24", "全球财经直播", "滚动快讯")
@@ -65,7 +65,9 @@ def news_items(raw: DataFrame, body: str = "body") -> DataFrame:
     """News rows of landed JSON bodies: their items at data.roll_data, data.data, data.list or data, whichever is a list."""
     inside = F.from_json(body, f"STRUCT<data: STRUCT<roll_data: ARRAY<{_ITEM}>, data: ARRAY<{_ITEM}>, list: ARRAY<{_ITEM}>>>")["data"]
     bare = F.from_json(body, f"STRUCT<data: ARRAY<{_ITEM}>>")["data"]
-    items = raw.select(F.explode(F.coalesce(inside["roll_data"], inside["data"], inside["list"], bare)).alias("item")).select("item.*")
+    listed = bound(inside, lambda i: F.coalesce(i["roll_data"], i["data"], i["list"], bare))
+    # An outer explode, as the filter inferred for an inner one would parse again; without an item there is no time either.
+    items = raw.select(F.explode_outer(listed).alias("item")).select("item.*")
     stamp = F.coalesce(*[_given(F.nullif(F.col(c), F.lit("0"))) for c in ("ctime", "time", "created_at", "publish_ts")])
     title, content = split_title(F.col("title"), F.col("content"))
     rows = items.select(F.coalesce(_given(F.col("event_id")), _given(F.col("id"))).alias("given"), title.alias("title"), content.alias("content"), epoch_seconds(stamp).alias("publish_ts"), subjects_distinct(F.col("subjects")).alias("subjects"))
@@ -73,8 +75,12 @@ def news_items(raw: DataFrame, body: str = "body") -> DataFrame:
     return rows.where(F.col("publish_ts").isNotNull()).select(made.alias("event_id"), "publish_ts", clock_text(F.col("publish_ts")).alias("publish_time"), "subjects", "title", "content", F.lit("cls").alias("source"))
 
 
+#: Runs of white space but single spaces.
+_SPACES = f"{one_of(WHITE.replace(' ', ''))}{one_of(WHITE)}*| {one_of(WHITE)}+"
+
+
 def _clean_line(text: Column) -> Column:
-    return strip(F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), _SPACES, " "))
 
 
 def flash_items(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
@@ -83,10 +89,12 @@ def flash_items(pages: DataFrame, key: str = "page_id", text: str = "text") -> D
 
     One window over a page's lines read backwards; nothing is collected.
     """
-    lines = pages.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line")).withColumn("line", _clean_line(F.col("line"))).where("line <> ''")
+    # Lines are cleaned before they are rows: a filter on a column of rows would clean them again.
+    clean = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _clean_line)
+    lines = pages.select(key, F.posexplode_outer(clean).alias("pos", "line")).where("line <> ''")
     back = Window.partitionBy(key).orderBy(F.col("pos").desc())
-    is_time = lambda c: c.rlike(r"^\d{2}:\d{2}(?::\d{2})?$")
-    rows = lines.withColumn("story", F.when(~F.col("line").isin(*SKIP_WORDS), F.struct(strip(F.regexp_replace("line", r"^#+", "")).alias("title"), F.lag("line").over(back).alias("content"))))
+    is_time = lambda c: (F.octet_length(c) <= 8) & c.rlike(r"^\d{2}:\d{2}(?::\d{2})?$")
+    rows = lines.withColumn("story", F.when(~F.col("line").isin(*SKIP_WORDS), F.struct(strip(F.ltrim(F.col("line"), F.lit("#"))).alias("title"), F.lag("line").over(back).alias("content"))))
     rows = rows.withColumn("next", F.last("story", True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     found = rows.where(is_time(F.col("line")) & F.col("next.content").isNotNull()).select(key, "pos", F.col("line").alias("clock"), "next.title", "next.content")
     found = found.where((F.col("title") != "") & ~is_time(F.col("title")) & ~is_time(F.col("content")))
