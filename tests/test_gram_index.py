@@ -6,6 +6,7 @@ import re
 import pytest
 
 from tickerloom.operators import search
+from tickerloom.operators import gram_index
 from tickerloom.operators.gram_index import GramIndex, bucket_of, grams_of, needed_grams
 from tickerloom.operators.store import NEWS_TABLE
 from tickerloom.sources.versioned import VersionedTable
@@ -92,3 +93,10 @@ def test_long_lists_are_cut_into_chunks(spark, tmp_path, monkeypatch):
     index = GramIndex(table, f"file://{tmp_path}/grams")
     assert len(ids(index.search("common"))) == 200
     assert max(r.n for r in index.lists({"com"}).collect()) < 40
+
+
+def test_lists_are_dealt_once(spark):
+    parts = spark.createDataFrame([("f", 0, 3, "abc", 1, ["1"]), ("f", 0, 3, "abc", 2, ["2", "3"]), ("f", 1, 3, "abc", 1, ["4"])], gram_index._LISTS)
+    whole = gram_index._whole_lists(parts)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.chunk, r.n, sorted(r.ids)) for r in whole.collect()) == [(0, 3, ["1", "2", "3"]), (1, 1, ["4"])]

@@ -94,6 +94,13 @@ def needed_grams(pattern: str) -> set[str]:
     return set().union(*(grams_of(r) for r in [*runs, run]))
 
 
+def _whole_lists(parts: DataFrame) -> DataFrame:
+    """One list per trigram, folder and chunk of what tasks listed; dealt by bucket once, so that the grouping has no
+    exchange of its own. Lists of a chunk are bounded by its rows; within a bucket they lie by trigram, so that row groups are skipped."""
+    whole = parts.repartition("bucket").groupBy("bucket", "gram", "folder", "chunk").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("ids")).alias("ids"))
+    return whole.sortWithinPartitions("bucket", "gram")
+
+
 @dataclass
 class _Segments:
     """The folders covered by each segment of a version of the index."""
@@ -163,9 +170,7 @@ class GramIndex(Journal):
             yield out()
 
         parts = placed.where(F.col(self.key).isNotNull()).select("folder", chunk.alias("chunk"), self.key, text.alias("text")).mapInArrow(lists, _LISTS)
-        whole = parts.groupBy("bucket", "gram", "folder", "chunk").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("ids")).alias("ids"))
-        # Lists of a chunk are bounded by its rows; within a bucket they lie by trigram, so that row groups are skipped.
-        whole.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        _whole_lists(parts).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def lists(self, grams: set[str]) -> DataFrame:
         """gram, folder, chunk, n and ids of these trigrams in folders of the table's newest version."""
