@@ -209,3 +209,20 @@ def test_keys_are_not_worked_out_again_to_filter_them(spark):
     texts = [plan._jdf.queryExecution().optimizedPlan().toString() for plan in (story_dedup.key_rows(rows), story_dedup.shared_key_pairs(rows))]
     assert all("Filter" not in text[text.index("Project") :] for text in texts)
     assert sorted(r.key for r in story_dedup.key_rows(rows).collect()) == ["content::andwhatittells", "content::headlineofastoryandwhatittells", "title::headlineofastory"]
+
+
+def test_a_pair_of_keys_is_one_link_however_many_rows_name_it(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(story_dedup, "components", lambda links, **more: seen.append(links.count()) or components(links, **more))
+    rows = news(spark, [{"title": "headline one" if i % 2 else "headline two", "content": f"a story that {i % 3} tells"} for i in range(60)])
+    got = story_dedup.transitive(rows).select("event_id", "component").collect()
+    # Two titles and three contents: six pairs, no link per row; all content is equally long, so the first row stays.
+    assert seen[0] <= 6 and [tuple(r) for r in got] == [("0", "0")]
+
+
+def test_transitive_keeps_ties_in_order_and_rows_without_time_last(spark):
+    same = {"title": "headline one", "content": "a story that one tells"}
+    rows = news(spark, [{**same, "source": "jin10", "publish_ts": None}, {**same, "source": "jin10"}, {**same, "source": "10jqka"}, {"content": "short"}])
+    got = sorted((r.event_id, r.component) for r in story_dedup.transitive(rows).collect())
+    # Equal preferences and times: jin10 comes before 10jqka; the row without a time is preferred to none.
+    assert got == [("1", "0"), ("3", "3")]
