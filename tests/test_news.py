@@ -226,3 +226,12 @@ def test_transitive_keeps_ties_in_order_and_rows_without_time_last(spark):
     got = sorted((r.event_id, r.component) for r in story_dedup.transitive(rows).collect())
     # Equal preferences and times: jin10 comes before 10jqka; the row without a time is preferred to none.
     assert got == [("1", "0"), ("3", "3")]
+
+
+def test_rounds_of_the_greedy_pass_take_only_rows_that_change_a_key(spark, monkeypatch):
+    seen, step = [], story_dedup._next_homes
+    monkeypatch.setattr(story_dedup, "_next_homes", lambda edges, homes: seen.append(edges.select("place").distinct().count()) or step(edges, homes))
+    # Key 0 is in every row, key 1 in rows 0 and 150; the others have one key.
+    rows = [(i, i // 16, bytes([0])) for i in range(300)] + [(0, 0, bytes([1])), (150, 9, bytes([1]))]
+    homes = {r.place: r.home for r in story_dedup.greedy_homes(spark.createDataFrame(rows, "place bigint, chunk bigint, key binary")).collect()}
+    assert homes == dict.fromkeys(range(300), 0) and max(seen) == 2
