@@ -1,13 +1,15 @@
 """Streams over several batches: ids in flight across restarts, repairs of scores, long runs with figures."""
 
+import re
 import time
 
 
+from tickerloom.functions import newstext as X
 from tickerloom.functions.newstext import SECTORS
 from tickerloom.plans import stream_queries
 from tickerloom.streaming import ingest
 from tickerloom.streaming.figures import figures
-from tickerloom.streaming.repair import open_repairs
+from tickerloom.streaming.repair import open_repairs, scored
 
 NOW = 1_700_000_000
 
@@ -117,3 +119,21 @@ def test_a_landing_is_written_by_several_tasks(spark, monkeypatch):
     store = stream_queries._streamed(spark, "/root/testdata/sf0.001")
     files = len(spark.read.parquet(store.removesuffix("store") + "in").inputFiles())
     assert 2 < files <= 2 * 50
+
+
+def test_whether_an_answer_needs_repair_is_worked_out_once(spark):
+    """The results hold written columns only; no word of an event is looked for again in a later round."""
+    rows = spark.createDataFrame([(str(i), NOW, "cls", "", f"收储 story {i}", [], 0, [], None) for i in range(20)], ingest.NEWS_SCHEMA)
+    done, queue = scored(rows, stream_queries._first, stream_queries._second, attempts=2)
+    for frame in (done, queue):
+        assert "收储" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    # A strong event is scored too weakly by every attempt.
+    assert done.count() == 20 and {(r.attempt, r.open) for r in queue.collect()} == {(1, True), (2, True)}
+
+
+def test_words_are_found_as_by_looking_for_each():
+    words = (*X.SECTORS, *X.ALIASES, *X.POSITIVE, *X.NEGATIVE, *X.HARD_EVENTS, *X.OFFICIAL)
+    for group in (words, X.OFFICIAL, X.HARD_EVENTS):
+        for text in ("", "a b c 12", "CXO", "cx", "IT服务", "IT 服务", "ＩＴ", "一", *words, *["x" + w[:-1] for w in words]):
+            assert bool(re.search(X.any_of(group), text)) == any(w in text for w in group)
+    assert not [w for w in words if re.escape(w) != w]

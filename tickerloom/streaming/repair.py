@@ -31,7 +31,8 @@ def guarded(scorer: Scorer) -> Scorer:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             told = rows["content"].fillna("").str.strip() != ""
-            yield neutral(rows[~told])
+            if not told.all():
+                yield neutral(rows[~told])
             try:
                 yield from list(scorer(iter([rows[told]])))
             except Exception:  # whatever a scorer raises: find the rows it fails on
@@ -48,14 +49,15 @@ def guarded(scorer: Scorer) -> Scorer:
 def scored(rows: DataFrame, scorer: Scorer, repairer: Scorer | None = None, attempts: int = 1) -> tuple[DataFrame, DataFrame]:
     """rows with their final answers, as the scorers gave them, and the queue: a row per event and attempt at repair.
 
-    Every scorer sees a row once per attempt: its answers are written before they are looked at.
+    Every scorer sees a row once per attempt: its answers are written before they are looked at, and whether they need
+    repair with them, so that it is worked out once.
     """
     spark = rows.sparkSession
 
     def round_of(rows: DataFrame, by: Scorer) -> DataFrame:
-        told = scratch_table(rows.mapInPandas(guarded(by), NEWS_SCHEMA))
+        told = rows.mapInPandas(guarded(by), NEWS_SCHEMA)
         known = norm_sector_list(F.col("sectors"), F.col("content"), F.col("subjects"))
-        return told.withColumn("open", F.coalesce(needs_repair(F.col("content"), F.col("sectors"), known, F.col("score")), F.lit(False)))
+        return scratch_table(told.withColumn("open", F.coalesce(needs_repair(F.col("content"), F.col("sectors"), known, F.col("score")), F.lit(False))))
 
     answers = round_of(rows, scorer)
     queue = spark.createDataFrame([], QUEUE_SCHEMA)
