@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import bars as B
 from tickerloom.operators import decision as D
 from tickerloom.operators import price_action as P
+from tickerloom.plans import bar_queries
 
 SCHEMA = "symbol string, trade_date date, open double, high double, low double, close double"
 START = datetime.date(2025, 12, 1)
@@ -131,3 +132,29 @@ def test_trade_dates_at_nine_and_on_weekends(spark):
     assert found["saturday"] == (d(17), d(16), d(17), False, d(16))  # two sessions back, as the rules have it
     assert found["monday"] == (d(17), d(16), d(20), True, d(17)) and found["after"] == (d(20), d(17), d(20), False, d(17))
     assert found["first"] == (d(13), None, d(13), True, d(13)) and found["never"] == (None, None, None, False, None)
+
+
+@pytest.mark.parametrize("query", ["setups", "decision", "pullback", "market_state", "reversal", "wedges", "signal_text"])
+def test_sets_of_bars_cost_one_exchange_and_no_join(spark, query):
+    plan = bar_queries.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_series_are_told_apart_by_all_their_columns(spark):
+    rows = table(spark, breakout_bars()).withColumn("end", F.lit("a")).union(table(spark, steps(35)).withColumn("end", F.lit("b"))).union(table(spark, steps(31)).withColumn("end", F.lit(None)))
+    got = {r["end"]: r for r in P.structures(rows, ("symbol", "end")).drop("symbol").collect()}
+    one = {end: P.structures(table(spark, prices)).drop("symbol").first() for end, prices in (("a", breakout_bars()), ("b", steps(35)), (None, steps(31)))}
+    assert {end: tuple(r[c] for c in one[end].__fields__) for end, r in got.items()} == {end: tuple(r) for end, r in one.items()}
+
+
+def test_bars_hold_the_ends_that_a_loop_finds(spark):
+    dates = [None, *[START + datetime.timedelta(days=d) for d in (0, 1, 3, 4, 9, 10, 20)]]
+    ends = [str(START + datetime.timedelta(days=d)) for d in (-1, 0, 2, 3, 9, 15, 19, 20, 99)]
+    rows = spark.createDataFrame([("s", d, 1.0, 1.0, 1.0, 1.0) for d in dates], SCHEMA)
+    got = {r.trade_date: {str(e) for e in r["__ends"]} for r in B.ends_held(rows, ends, 3).collect()}
+    want = {d: set() for d in dates}
+    for e in ends:
+        upto = [i for i, d in enumerate(dates) if d and str(d) <= e]
+        for d in dates[max(upto[-1] - 2, 0) : upto[-1] + 1] if upto else []:
+            want[d].add(e)
+    assert got == want

@@ -37,18 +37,27 @@ def recent_bars(bars: DataFrame, pool: DataFrame, end_date: str, limit: int = MI
 def as_of_sets(bars: DataFrame, ends: list[str], limit: int = MIN_BARS) -> DataFrame:
     """The last limit bars of every symbol as of each of ends: bars with end, symbol being symbol@end.
 
-    A bar tells for which ends it is the last one, by the date of the next; those rows ask for the bars before them by
-    number, in an equi-join. Rows grow with the ends, not with the history.
+    Rows grow with the ends, not with the history.
+    """
+    rows = ends_held(bars, ends, limit).withColumn("end", F.explode("__ends")).drop("__ends")
+    return rows.withColumn("symbol", F.concat("symbol", F.lit("@"), F.col("end").cast("string")))
+
+
+def ends_held(bars: DataFrame, ends: list[str], limit: int = MIN_BARS) -> DataFrame:
+    """bars with __ends, those of ends as of which a bar is one of its symbol's last limit bars.
+
+    A bar tells for which ends it is the last one, by the date of the next, and takes what the limit - 1 bars after it
+    tell too: two windows of one partition and order, no join.
     """
     w = Window.partitionBy("symbol").orderBy("trade_date")
-    known = bars.withColumns({"__at": F.row_number().over(w), "__next": F.lead("trade_date").over(w)})
     dates = F.array(*[F.lit(e).cast("date") for e in ends])
     date, following = F.col("trade_date"), F.col("__next")
+    known = bars.withColumn("__next", F.lead("trade_date").over(w))
     last_for = F.filter(dates, lambda e: (e >= date) & (following.isNull() | (e < following)))
-    asked = known.select("symbol", "__at", F.explode(last_for).alias("end"))
-    asked = asked.select("symbol", "end", F.explode(F.sequence(F.greatest(F.col("__at") - limit + 1, F.lit(1)), F.col("__at"))).alias("__at"))
-    joined = known.drop("__next").join(asked, ["symbol", "__at"]).drop("__at")
-    return joined.withColumn("symbol", F.concat("symbol", F.lit("@"), F.col("end").cast("string")))
+    # Most bars are the last one for no end; nulls are not collected.
+    told = known.withColumn("__last", last_for).withColumn("__last", F.when(F.size("__last") > 0, F.col("__last"))).drop("__next")
+    held = F.flatten(F.collect_list("__last").over(w.rowsBetween(0, limit - 1)))
+    return told.withColumn("__ends", held).drop("__last")
 
 
 def _range(high: str = "high", low: str = "low") -> Column:
@@ -68,12 +77,12 @@ def bar_kind() -> Column:
     )
 
 
-def bar_features(bars: DataFrame) -> DataFrame:
+def bar_features(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Every bar with its kind, its shape against the bar before, pivots among its neighbours and their strength.
 
-    All windows share partition and order, so one exchange and one sort serve them.
+    All windows share partition and order, so one exchange and one sort serve them. by names a series of bars.
     """
-    w = Window.partitionBy("symbol").orderBy("trade_date")
+    w = Window.partitionBy(*by).orderBy("trade_date")
     p_high, p_low = F.lag("high").over(w), F.lag("low").over(w)
     near = [("high", F.greatest), ("low", F.least)]
     out = bars.withColumns(

@@ -25,8 +25,14 @@ LOOKBACK, SIDE_BARS, MOST_PULLBACK = 20, 10, 14
 EMA_CHUNK = 256
 
 
-def with_ema(features: DataFrame, period: int = EMA_PERIOD) -> DataFrame:
-    """features with ema, every bar's exponential average, seeded by the symbol's first close.
+def with_ema(features: DataFrame, period: int = EMA_PERIOD, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """features with ema, as _with_ema has it."""
+    return _with_ema(features, period, by).drop("__chunk")
+
+
+def _with_ema(features: DataFrame, period: int, by: tuple[str, ...]) -> DataFrame:
+    """features with ema, every bar's exponential average, seeded by the symbol's first close, and __chunk, which grows
+    with the date: windows ordered by both need no other sort than the average's.
 
     Linear in a symbol's bars: within a chunk the average is a running sum of weighted closes, and what earlier chunks
     leave to it is their own last averages, of which two reach a double's precision. Closes count from the first one,
@@ -34,26 +40,30 @@ def with_ema(features: DataFrame, period: int = EMA_PERIOD) -> DataFrame:
     """
     alpha = 2.0 / (period + 1)
     keep = 1.0 - alpha
-    w = Window.partitionBy("symbol").orderBy("trade_date")
-    part = Window.partitionBy("symbol", "__chunk").orderBy("trade_date")
+    w = Window.partitionBy(*by).orderBy("trade_date")
+    part = Window.partitionBy(*by, "__chunk").orderBy("trade_date")
+    chunks = Window.partitionBy(*by).orderBy("__chunk", "trade_date")
     place = F.row_number().over(w) - 1
     first = F.first("close").over(w)
     rows = features.withColumns({"__chunk": F.floor(place / EMA_CHUNK), "__k": F.pmod(place, F.lit(EMA_CHUNK)).cast("double"), "__first": first})
     weighted = (F.col("close") - F.col("__first")) * alpha * F.pow(F.lit(keep), -F.col("__k"))
     rows = rows.withColumn("__own", F.pow(F.lit(keep), F.col("__k")) * F.sum(weighted).over(part.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("__end", F.last("__own").over(part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    earlier = F.coalesce(F.lag("__end", EMA_CHUNK).over(w), F.lit(0.0)) + keep**EMA_CHUNK * F.coalesce(F.lag("__end", 2 * EMA_CHUNK).over(w), F.lit(0.0))
+    earlier = F.coalesce(F.lag("__end", EMA_CHUNK).over(chunks), F.lit(0.0)) + keep**EMA_CHUNK * F.coalesce(F.lag("__end", 2 * EMA_CHUNK).over(chunks), F.lit(0.0))
     ema = F.col("__first") + F.col("__own") + F.pow(F.lit(keep), F.col("__k") + 1) * earlier
-    return rows.withColumn("ema", ema).drop("__chunk", "__k", "__first", "__own", "__end")
+    return rows.withColumn("ema", ema).drop("__k", "__first", "__own", "__end")
+
 
+def frame(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Every bar with its features, average, place from the end, and what pivots and pullbacks need of its neighbours.
 
-def frame(bars: DataFrame) -> DataFrame:
-    """Every bar with its features, average, place from the end, and what pivots and pullbacks need of its neighbours."""
-    w = Window.partitionBy("symbol").orderBy("trade_date")
-    whole = Window.partitionBy("symbol")
+    by names a series of bars; where bars lie by its first column already, nothing is exchanged.
+    """
+    w = Window.partitionBy(*by).orderBy("__chunk", "trade_date")
+    whole = Window.partitionBy(*by)
     ahead = w.rowsBetween(1, 8)
     back = F.col("back")
-    rows = with_ema(bar_features(bars)).withColumn("range", F.greatest(F.col("high") - F.col("low"), F.lit(TINY)))
+    rows = _with_ema(bar_features(bars, by), EMA_PERIOD, by).withColumn("range", F.greatest(F.col("high") - F.col("low"), F.lit(TINY)))
     rows = rows.withColumn("back", (F.count(F.lit(1)).over(whole) - F.col("idx")).cast("int"))
     ends_as = F.when((back <= LOOKBACK) & (F.col("pivot_high") | F.col("pivot_low")), F.when(F.col("pivot_low"), F.lit("low")).otherwise(F.lit("high")))
     rows = rows.withColumns(
@@ -89,7 +99,7 @@ def frame(bars: DataFrame) -> DataFrame:
             "body": F.abs(F.col("close") - F.col("open")),
             "up": F.col("close") > F.col("open"),
         }
-    )
+    ).drop("__chunk")
 
 
 def pivots(rows: DataFrame) -> DataFrame:
@@ -111,7 +121,7 @@ def _among(condition: Column, column: str, fold=F.max) -> Column:
     return fold(F.when(condition, F.col(column)))
 
 
-def facts(rows: DataFrame) -> DataFrame:
+def facts(rows: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """One row per symbol of what its bars show; rows is frame()."""
     back, near, start = F.col("back"), F.col("back") <= LOOKBACK, F.col("start_back")
     inner = (back < LOOKBACK) & (F.col("idx") > 0)
@@ -122,7 +132,7 @@ def facts(rows: DataFrame) -> DataFrame:
     major = lambda move, size: F.col(move) >= 2 * F.col(size)
     high_move, low_move, cut_move = F.col("high") - F.col("next_low"), F.col("next_high") - F.col("low"), F.col("next_high_cut") - F.col("low")
     shown = ("open", "high", "low", "close", "ema", "near_high", "near_low", "inside", "outside", "range", "p_open", "p_high", "p_low", "prev_close")
-    return rows.groupBy("symbol").agg(
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("bars_count"),
         F.max("trade_date").alias("last_date"),
         *[_last(c).alias(c) for c in shown],
@@ -293,9 +303,9 @@ def reversal(symbols: DataFrame) -> DataFrame:
     )
 
 
-def structures(bars: DataFrame) -> DataFrame:
-    """Everything above for every symbol of bars: one frame, one fold, one row per symbol."""
-    return reversal(pullback(wedges(breakout(context(facts(frame(bars)))))))
+def structures(bars: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Everything above for every symbol of bars: one frame, one fold, one row per symbol (or other series named by)."""
+    return reversal(pullback(wedges(breakout(context(facts(frame(bars, by), by))))))
 
 
 def signal_text(avg_range: str) -> Column:
