@@ -57,6 +57,17 @@ def test_score_postprocess(spark):
     assert got == [15, -35, 0, 100, 0]
 
 
+def test_scores_read_the_given_columns_in_a_select_that_names_others_so_before(spark):
+    """The aliases of a select that stand before an expression are not what its columns mean."""
+    cases = [(28, ["银行"], "公司签约 3 家"), (-50, ["银行"], "公司处罚 3 人"), (0, ["银行"], "公司签约"), (0, [], "签约"), (60, None, "收储")]
+    rows = spark.createDataFrame(cases, "score int, sectors array<string>, said string")
+    others = F.lit(0).alias("score"), F.array(F.lit("x")).alias("sectors"), F.lit("公司处罚").alias("said")
+    score, sectors, said = F.col("score"), F.col("sectors"), F.col("said")
+    asked = X.score_postprocess(score, sectors, said).alias("told"), X.needs_repair(said, F.array(F.lit("银行")), sectors, score).alias("repair")
+    got = [(r.told, r.repair) for r in rows.select(*others, *asked).collect()]
+    assert got == [(28, True), (-50, False), (15, True), (0, True), (60, True)]
+
+
 def test_strip_title(spark):
     cases = [("【标题一二三】正文内容", "标题一二三", "正文内容"), ("标题：正文", "标题", "正文"), ("标题", "标题", "标题"), ("其他", "标题", "其他"), (None, "标题", "")]
     rows = spark.createDataFrame(cases, "content string, title string, want string")
